@@ -255,6 +255,7 @@ def _joined(spans: Column) -> Column:
 def digests(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, a digest of the base spans, and all spans as text."""
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in BASE]
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
