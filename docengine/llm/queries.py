@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import chat, packing, pii, quality, rules, warc
+from docengine.llm import chat, hamming, packing, pii, quality, rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hamming.search(codes, codes.where(F.col("id") % 100 == 0))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -48,6 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming": op1_hamming,
     "op2_packing": op2_packing,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
@@ -57,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_hamming": hamming.SQL,
     "op8_chat": chat.SQL,
 }
