@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import chat, hamming, jaccard, packing, pii, quality, rules, warc
+from docengine.llm import chat, hamming, jaccard, logbilinear, packing, pii, quality, rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs))
 
 
+def op6_logbilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logbilinear.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("probability", 6).alias("probability"))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
+    "op6_logbilinear": op6_logbilinear,
     "op7_rules": op7_rules,
     "op8_chat": op8_chat,
     "op9_jaccard": op9_jaccard,
