@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import chat, hamming, jaccard, logbilinear, packing, pii, quality, rules, warc
+from docengine.llm import chat, hamming, jaccard, logbilinear, mixing, packing, pii, quality, rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+#: Shares of the tokens that the mix aims at, by domain.
+TARGETS = {"good": 0.94, "low": 0.02, "toxic": 0.04}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """The labelled table's marks as domains."""
+    domain = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive_pages(table(spark, sf_dir, "pages"))
     return made.withColumn("block", F.decode("block", "UTF-8"))
@@ -63,6 +77,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming": op1_hamming,
     "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_logbilinear": op6_logbilinear,
