@@ -5,12 +5,15 @@ nodes link when their Jaccard similarity is at least the threshold.  The join is
 
 1. Elimination.  In the order of hashes, similar sets share their first l common shingles within the first
    ``n - overlap + l`` of either.  A node of whose prefix too few shingles occur in another prefix has no partner.
-2. Stars.  The nodes left meet in buckets of equal minimum hashes; each is verified against one hub of its bucket, so a
-   group of copies of any size costs a few checks a node.  Verified links give first components.
-3. Token combinations.  Only shingles found in several components can link what isn't yet connected.  They are
-   ordered by document frequency after all others, and prefixes extended so that similar nodes share two shingles in
-   them.  A rare one is indexed alone, frequent ones in pairs; components that share a key are verified against
-   each other, node by node.
+2. Neighbours.  The nodes left are put in several orders of their minimum hashes; each is verified against those just
+   before it, so a group of copies of any size costs a few checks a node.  Verified links give first components, and
+   a second turn, between components only, joins most of what is left.
+3. Token combinations.  Only shingles found in several components can link what isn't yet connected; nodes with too
+   few of them are done, which is settled twice as it takes shingles from others.  They are ordered after all other
+   shingles, by the number of components, and prefixes extended so that similar nodes share two of them.  A shingle of
+   few components is indexed alone, and nodes of different components that share it are verified.  Frequent ones are
+   indexed in pairs; nodes joined by such keys form a cluster, which is verified in blocks of bounded size by matrix
+   products, giving only links between different components.
 
 Links never leave the tables.  Shingles and sets are compared by 64-bit hashes; a chance collision could only matter
 where it turns a similarity at the very threshold.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.components import components
@@ -36,10 +39,14 @@ from docengine.llm.words import slices, texts_as_bytes
 
 SIZE = 5
 PERCENT = 80
-#: Shingles in more nodes than this are indexed in pairs.
+#: Shingles in more components than this are indexed in pairs.
 FREQUENT = 32
+#: Minimum hashes of a turn, and how many of them two neighbours share at least to be verified.
+SKETCH, ALIKE = 16, 10
+#: Nodes in a block of a cluster.
+BLOCK = 1024
 #: Odd multipliers of the rolling hash and of the minimum hashes (made from a rule, not from a table).
-ODD = [int(xxhash.xxh3_64_intdigest(bytes([k]))) | 1 for k in range(32)]
+ODD = [int(xxhash.xxh3_64_intdigest(bytes([k]))) | 1 for k in range(64)]
 
 
 class WordHashes(dict):
@@ -82,7 +89,7 @@ def _overlap(n: int, percent: int) -> int:
 
 
 def _extension(n: int) -> int:
-    return max(1, n // 20)
+    return max(1, n // 10)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -163,39 +170,113 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _hubs(sets: DataFrame, rounds: int = 4) -> DataFrame:
-    """Pairs of a node and the hub of a bucket that it is in."""
+def _neighbours(sets: DataFrame, turn: int, lags: int, orders: int = 8) -> DataFrame:
+    """Pairs of nodes that come close to each other in an order of minimum hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             tokens = [np.frombuffer(t, np.uint64) for t in batch.column(1).to_pylist()]
-            nodes = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), rounds)
-            least = [int(_mix(t * np.uint64(ODD[8 + k])).min().astype(np.int64)) for t in tokens for k in range(rounds)]
-            kinds = list(range(rounds)) * len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(kinds, pa.int32()), pa.array(least, pa.int64())], names=["node", "kind", "least"])
-
-    rows = sets.select("node", "tokens").mapInArrow(run, "node long, kind int, least long")
-    hubs = rows.groupBy("kind", "least").agg(F.min("node").alias("hub"))
-    return rows.join(hubs, ["kind", "least"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+            least = [np.array([_mix(t * np.uint64(ODD[8 + SKETCH * turn + k])).min() for k in range(SKETCH)], np.uint64) for t in tokens]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(least)], names=["node", "sketch"])
+
+    rows = sets.select("node", "tokens").mapInArrow(run, "node long, sketch array<long>")
+    turned = rows.select("node", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda k: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.get("sketch", (k + j) % SKETCH)))).alias("kind", "by"))
+    window = Window.partitionBy("kind", F.get("by", F.lit(0))).orderBy("by", "node")
+    before = F.array_compact(F.array(*[F.lag(F.struct("node", "sketch"), k).over(window) for k in range(1, lags + 1)]))
+    alike = lambda x: F.size(F.filter(F.zip_with(x["sketch"], F.col("sketch"), lambda a, b: a == b), lambda same: same)) >= ALIKE
+    near = turned.select("node", "sketch", before.alias("before")).select("node", F.transform(F.filter("before", alike), lambda x: x["node"]).alias("other"))
+    pairs = near.select("node", F.explode("other").alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _open(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Of ``node, component, token``, the rows of shingles in several components, with their number ``many``, for
+    nodes that have enough of them to be similar to one of another component."""
+    rows = rows.repartition("token")
+    shared = rows.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    kept = rows.join(shared, "token")
+    enough = kept.groupBy("node").agg(F.count("*").alias("own")).join(sizes, "node").where(F.col("own") * 100 >= percent * F.col("n")).select("node")
+    return kept.join(enough, "node")
 
 
-def _combination_keys(own: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """Keys of each node from its shingles that several components hold (rows ``node, component, n, token, df``)."""
+def _keys(own: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """``key, often, node, component, n``: rare shingles of each node's prefix alone, frequent ones in pairs."""
 
     def run(rows: pa.Table) -> pa.Table:
-        n, token, df = rows["n"][0].as_py(), rows["token"].to_numpy(), rows["df"].to_numpy()
-        order = np.lexsort((token, df))
-        room = n - _overlap(n, percent) + 2 - (n - len(token))  # the other shingles come first
-        token, df = token[order][: max(0, room)].view(np.uint64), df[order][: max(0, room)]
-        keys = [token[df <= frequent]]
-        often = _mix(token[df > frequent])
-        for k in range(len(often) - 1):
-            a, b = often[k], often[k + 1 :]
-            keys.append(_mix(np.minimum(a, b) * np.uint64(ODD[20]) + np.maximum(a, b)))
-        key = np.concatenate(keys).view(np.int64)
-        return pa.table({"key": key, "component": np.full(len(key), rows["component"][0].as_py(), np.int64)})
+        n, token, many = rows["n"][0].as_py(), rows["token"].to_numpy(), rows["many"].to_numpy()
+        order = np.lexsort((token, many))
+        room = max(0, n - _overlap(n, percent) + 2 - (n - len(token)))  # the other shingles come first
+        token, many = token[order][:room].view(np.uint64), many[order][:room]
+        rare, often = token[many <= frequent], _mix(token[many > frequent])
+        pairs = [_mix(np.minimum(often[k], often[k + 1 :]) * np.uint64(ODD[5]) + np.maximum(often[k], often[k + 1 :])) for k in range(len(often) - 1)]
+        key = np.concatenate([rare, *pairs]).view(np.int64)
+        same = lambda c: np.full(len(key), rows[c][0].as_py(), np.int64)
+        return pa.table({"key": key, "often": np.arange(len(key)) >= len(rare), "node": same("node"), "component": same("component"), "n": same("n")})
+
+    return own.groupBy("node").applyInArrow(run, "key long, often boolean, node long, component long, n long")
+
+
+def _rare_pairs(keys: DataFrame, percent: int) -> DataFrame:
+    """Nodes of different components and fitting sizes that share a rare key."""
+    left = keys.where("not often").select("key", F.col("node").alias("a"), F.col("component").alias("x"), F.col("n").alias("na"))
+    right = left.select("key", F.col("a").alias("b"), F.col("x").alias("y"), F.col("na").alias("nb"))
+    fits = (F.col("x") < F.col("y")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return left.join(right, "key").where(fits).select("a", "b").distinct()
+
+
+def _cluster_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among nodes that frequent keys join, enough of them to connect all they connect."""
+    own = keys.where("often").select("node", "component", F.min("node").over(Window.partitionBy("often", "key")).alias("hub"))
+    stars = own.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    placed = components(stars).select(F.col("vertex").alias("node"), F.col("component").alias("cluster"))
+    placed = placed.join(keys.where("often").select("node", "component").distinct(), "node")
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # each block meets each other, and itself
+    meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
+    rows = dealt.select("cluster", "node", "component", "block", meeting.alias("m")).join(sets.select("node", "tokens"), "node")
 
-    return own.groupBy("node").applyInArrow(run, "key long, component long")
+    def run(rows: pa.Table) -> pa.Table:
+        tokens = [np.frombuffer(t, np.uint64) for t in rows["tokens"].to_pylist()]
+        nodes, groups, block = (rows[c].to_numpy() for c in ("node", "component", "block"))
+        size = np.array([len(t) for t in tokens])
+        _, column, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        who = np.repeat(np.arange(len(tokens)), size)
+        place = np.cumsum(times > 1) - 1
+        useful = times[column] > 1
+        who, column = who[useful], place[column[useful]]
+        common = np.zeros((len(tokens), len(tokens)), np.float32)
+        for at in range(0, int((times > 1).sum()), 4096):
+            part = (column >= at) & (column < at + 4096)
+            x = np.zeros((len(tokens), 4096), np.float32)
+            x[who[part], column[part] - at] = 1
+            common += x @ x.T
+        near = 100 * common >= percent * (size[:, None] + size[None] - common)
+        first, second = np.nonzero(np.triu(near & (groups[:, None] != groups[None]), 1))
+        root = {g: g for g in groups.tolist()}
+
+        def find(g: int) -> int:
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
+        kept = []
+        for a, b in zip(first.tolist(), second.tolist()):
+            g, h = find(int(groups[a])), find(int(groups[b]))
+            if g != h:
+                root[g] = h
+                kept.append((a, b))
+        at = np.array(kept, np.int64).reshape(-1, 2)
+        return pa.table({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
+
+    return rows.groupBy("cluster", "m").applyInArrow(run, "a long, b long")
+
+
+def _components_of(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """The component of every node; its own where it has no link."""
+    linked = components(found).select(F.col("vertex").alias("node"), "component")
+    return sets.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def links(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -204,34 +285,34 @@ def links(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, frequent
     store = Store(docs.sparkSession, "jaccard")
     described = store.put(_described(docs, size, percent), "described")
     company = store.put(_with_company(described), "company")
+    described = store.put(described.drop("prefix", "need"), "documents")
+    store.drop("described")
     nodes = described.where(F.col("doc_id").isNotNull()).join(company, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = store.put(_sets(docs, nodes, size), "sets")
-    first = store.put(_linked(_hubs(sets), sets, percent), "stars")
-
-    placed = sets.select("node", "n", "tokens").join(components(first).select(F.col("vertex").alias("node"), "component"), "node", "left")
+    found = store.put(_linked(_neighbours(sets, 0, 2), sets, percent), "near0")
+    named = store.put(_components_of(sets, found), "components0")
+    x, y = named.select(F.col("node").alias("a"), F.col("component").alias("x")), named.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    apart = _neighbours(sets, 1, 3).join(x, "a").join(y, "b").where("x <> y").select("a", "b")
+    found = found.union(store.put(_linked(apart, sets, percent), "near1"))
+    named = store.put(_components_of(sets, found), "components1")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tokens = [np.frombuffer(t, np.uint64) for t in batch.column(3).to_pylist()]
+            tokens = [np.frombuffer(t, np.uint64) for t in batch.column(2).to_pylist()]
             many = np.array([len(t) for t in tokens])
-            columns = [np.repeat(np.array(batch.column(k).to_pylist(), np.int64), many) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64))], names=["node", "component", "n", "token"])
+            columns = [np.repeat(np.array(batch.column(k).to_pylist(), np.int64), many) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64))], names=["node", "component", "token"])
 
-    rows = placed.select("node", F.coalesce("component", "node").alias("component"), "n", "tokens").mapInArrow(spread, "node long, component long, n long, token long")
-    rows = rows.repartition("token")
-    shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "df")
-    open_rows = store.put(rows.join(shared, "token"), "open")
-    enough = open_rows.groupBy("node").agg(F.count("*").alias("own"), F.max("n").alias("n")).where(F.col("own") * 100 >= percent * F.col("n")).select("node")
-    open_rows = open_rows.join(enough, "node")
-    members = open_rows.select("node", "component").distinct()
-    keys = _combination_keys(open_rows, percent, frequent).distinct()
-    meet = keys.groupBy("key").agg(F.sort_array(F.collect_list("component")).alias("c")).where(F.size("c") > 1)
-    sides = F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
-    between = meet.select(sides.alias("s")).select("s.x", "s.y").distinct()
-    pairs = between.join(members.select(F.col("node").alias("a"), F.col("component").alias("x")), "x").join(members.select(F.col("node").alias("b"), F.col("component").alias("y")), "y")
-    second = store.put(_linked(pairs.select("a", "b"), sets, percent), "combinations")
-    store.drop("open")
-    return described.drop("prefix", "need"), first.union(second)
+    placed = sets.select("node", "tokens").join(named, "node").select("node", "component", "tokens")
+    rows, sizes = placed.mapInArrow(spread, "node long, component long, token long"), sets.select("node", "n")
+    rows = store.put(_open(rows, sizes, percent), "open0")
+    rows = store.put(_open(rows.drop("many"), sizes, percent), "open1")
+    store.drop("open0")
+    keys = store.put(_keys(rows.join(sizes, "node"), percent, frequent), "keys")
+    rare = store.put(_linked(_rare_pairs(keys, percent), sets, percent), "rare")
+    often = store.put(_cluster_links(keys, sets, percent), "often")
+    pairs = found.union(rare).union(often)
+    return described, pairs
 
 
 def groups(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
@@ -248,6 +329,7 @@ def groups(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, frequen
 
 
 def keep_first(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents that are the first of their group, unchanged: for each group its smallest id."""
+    """The documents that are the first of their group, unchanged: for each group its smallest id.  Documents without
+    an id belong to no group and stay."""
     kept = groups(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))

@@ -7,6 +7,7 @@ directory is used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,9 +27,12 @@ class Store:
         self.root = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+        """Write ``df`` and return the written table.  The shuffle files that led to it are of no use any more; Spark
+        deletes them once the driver has collected what stood for them, which a hint brings forward."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
