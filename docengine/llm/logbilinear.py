@@ -4,7 +4,8 @@ The unigram base counts every token of the training documents exactly: words, an
 log-bilinear model predicts the class of a token from the classes of the two before it: each of the commonest words is
 a class of its own, all others share a few classes by their shape.  Class trigrams of all training documents are
 counted first; noise-contrastive estimation then runs in numpy over these counts, by rounds of Adam on each partition
-whose parameters are averaged.  Within a shared class a word has its add-half share of the class, so the product is a
+whose parameters are averaged.  The rounds go through every counted trigram with its whole count, once at least, so
+partitions and steps grow with the training text.  Within a shared class a word has its add-half share of the class, so the product is a
 distribution over all words, one unknown word for each shared class included.  Scoring normalises exactly: for the
 contexts that a batch of documents has, one matrix product gives the scores of all classes.
 
@@ -37,6 +38,8 @@ from docengine.llm.words import slices, texts_as_bytes
 END = b""
 #: Shared classes: by last byte (letter, stop, comma, digit, other) and by what else a word holds.
 SHAPES = 20
+#: Tokens for which there is a partition of training.
+PART = 8_000_000
 #: Words at most that a task counts before it hands its counts on.
 FLUSH = 400_000
 
@@ -131,6 +134,19 @@ def count_trigrams(texts: DataFrame, common: list[bytes]) -> DataFrame:
     return texts.select("text").mapInArrow(run, "context long, class int, count long").groupBy("context", "class").agg(F.sum("count").alias("count"))
 
 
+def pieces(key: np.ndarray, count: np.ndarray, cap: float, turn: int, rounds: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and the part of its count that each stands for: a row's count is cut into equal parts of ``cap`` at most, and
+    these are dealt to the rounds by the row's key.  Where all parts are ``few`` or less, each round has all."""
+    cuts = np.ceil(count / max(cap, 1.0)).astype(np.int64)
+    row = np.repeat(np.arange(len(count)), cuts)
+    weight = np.repeat(count / cuts, cuts)
+    if len(row) > few:
+        place = np.arange(len(row)) - np.repeat(cuts.cumsum() - cuts, cuts)
+        mine = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)[row] + place) % rounds == turn
+        row, weight = row[mine], weight[mine]
+    return row, weight
+
+
 @dataclass
 class LogBilinear:
     """Scores of class w after classes (j, i): (q[i] C1 + q[j] C2) . r[w] + b[w]."""
@@ -159,24 +175,30 @@ class LogBilinear:
         s -= s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
-    def train(self, context: np.ndarray, target: np.ndarray, count: np.ndarray, noise: np.ndarray, *, steps: int, size: int = 4096, samples: int = 64, rate: float = 0.01, seed: int = 0) -> None:
-        """Noise-contrastive steps on token-weighted draws of trigrams; a step's noise classes serve all its rows."""
+    def train(self, context: np.ndarray, target: np.ndarray, count: np.ndarray, noise: np.ndarray, *, steps: int, size: int = 4096, samples: int = 64, rate: float = 0.01, seed: int = 0, cap: float | None = None, turn: int = 0, rounds: int = 1) -> None:
+        """Noise-contrastive steps in whole passes over the round's pieces of the trigrams, ``steps`` of them at least; a
+        step's noise classes serve all its rows."""
         r, p = np.random.default_rng(seed), self.parameters
-        edges, log_noise = count.cumsum() / count.sum(), np.log(noise)
+        piece, weight = pieces(context * self.many + target, count, cap or count.mean(), turn, rounds, steps * size)
+        if not len(piece):
+            return
+        order = np.concatenate([r.permutation(len(piece)) for _ in range(-(-steps * size // len(piece)))])
+        steps, log_noise = -(-len(order) // size), np.log(noise)
         noise_edges = noise.cumsum() / noise.sum()
         m = {k: np.zeros_like(v) for k, v in p.items()}
         v = {k: np.zeros_like(x) for k, x in p.items()}
         shift = np.log(samples)
         for step in range(1, steps + 1):
-            rows = np.minimum(np.searchsorted(edges, r.random(size)), len(edges) - 1)
+            at = order[(step - 1) * size : step * size]
+            rows, share = piece[at], weight[at] / weight[at].sum()
             w, c = target[rows], context[rows]
             drawn = np.minimum(np.searchsorted(noise_edges, r.random(samples)), self.many - 1)
             i, j = c % self.many, c // self.many
             h = p["q"][i] @ p["c1"] + p["q"][j] @ p["c2"]
             own = (h * p["r"][w]).sum(1) + p["b"][w] - log_noise[w] - shift
             other = h @ p["r"][drawn].T + p["b"][drawn] - log_noise[drawn] - shift
-            e_own = 1 / (1 + np.exp(-own)) - 1  # gradient of the loss by each score
-            e_other = 1 / (1 + np.exp(-other))
+            e_own = share * (1 / (1 + np.exp(-own)) - 1)  # gradient of the loss by each score
+            e_other = share[:, None] / (1 + np.exp(-other))
             gh = e_own[:, None] * p["r"][w] + e_other @ p["r"][drawn]
             g = {k: np.zeros_like(x) for k, x in p.items()}
             by_word = np.zeros((self.many, self.width))
@@ -189,8 +211,8 @@ class LogBilinear:
             g["c1"], g["c2"] = p["q"][i].T @ gh, p["q"][j].T @ gh
             pace = rate * (1 - 0.9 * step / steps)
             for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k] / size
-                v[k] = 0.99 * v[k] + 0.01 * (g[k] / size) ** 2
+                m[k] = 0.9 * m[k] + 0.1 * g[k]
+                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 p[k] = p[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
 
@@ -246,10 +268,12 @@ def fit(docs: DataFrame, store: Store, *, common: int = 320, head: int = 150_000
     model = Model(top, counts, least, tokens, distinct, share, None)
     if not tokens:
         return model, words
+    parts = max(parts, -(-tokens // PART))
     trigrams = store.put(count_trigrams(texts, top).repartition(parts, F.xxhash64("context", "class")), "trigrams")
-    noise = np.full(classes.many, 0.5)
-    for k, n in trigrams.groupBy("class").agg(F.sum("count")).collect():
+    noise, distinct_trigrams = np.full(classes.many, 0.5), 0
+    for k, n, rows in trigrams.groupBy("class").agg(F.sum("count"), F.count("*")).collect():
         noise[k] += n
+        distinct_trigrams += rows
     noise /= noise.sum()
     net = LogBilinear(classes.many, width).start(noise)
     for turn in range(rounds):
@@ -263,7 +287,7 @@ def fit(docs: DataFrame, store: Store, *, common: int = 320, head: int = 150_000
             context, target, count = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
             if len(context):
                 own = LogBilinear(classes.many, width, {k: x.copy() for k, x in begun.items()})
-                own.train(context, target, count.astype(float), noise, steps=steps, rate=0.02 * 0.75**turn, seed=1000 * turn + TaskContext.get().partitionId())
+                own.train(context, target, count.astype(float), noise, steps=steps, rate=0.02 * 0.75**turn, seed=1000 * turn + TaskContext.get().partitionId(), cap=tokens / distinct_trigrams, turn=turn, rounds=rounds)
                 flat = np.concatenate([x.ravel() for x in own.parameters.values()])
                 yield pa.RecordBatch.from_arrays([pa.array([float(count.sum())]), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["weight", "parameters"])
 

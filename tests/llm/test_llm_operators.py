@@ -244,6 +244,17 @@ def test_class_probabilities_add_up():
     assert np.exp(net.log_probabilities(np.arange(81))).sum(1) == pytest.approx(np.ones(81), abs=1e-5)
 
 
+def test_training_goes_through_every_trigram():
+    context, target, count = np.arange(60), np.arange(60) % 9, np.where(np.arange(60) == 0, 1e6, 1.0)
+    parts = [logbilinear.pieces(context * 9 + target, count, count.mean(), k, 3, 1) for k in range(3)]
+    row, weight = (np.concatenate(x) for x in zip(*parts))
+    assert np.bincount(row, weight, 60) == pytest.approx(count) and weight.max() <= count.mean()
+    net = logbilinear.LogBilinear(61, 4).start(np.full(61, 1 / 61))
+    before = net.parameters["q"].copy()
+    net.train(context, target, count, np.full(61, 1 / 61), steps=2)
+    assert (net.parameters["q"][1:60] != before[1:60]).any(1).all()
+
+
 # ------------------------------------------------------------------ mixing
 def test_rates_meet_the_targets(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
