@@ -1,17 +1,20 @@
 """Language-model scores from a log-bilinear neural model, next to add-half unigram scores.
 
 The unigram base counts every token of the training documents exactly: words, and one end for each document.  The
-log-bilinear model predicts the class of a token from the classes of the two before it: each of the commonest words is
-a class of its own, all others share a few classes by their shape.  Class trigrams of all training documents are
-counted first; noise-contrastive estimation then runs in numpy over these counts, by rounds of Adam on each partition
+log-bilinear model predicts a token from the two before it.  Every word that occurs ``own`` times in training, and the
+``common`` commonest at least, is a unit with an embedding of its own; all others are a few units by their shape.  The
+model first gives the class of a unit (itself for the commonest, its shape for the others), then the unit within the
+class, by a Huffman tree whose every fork is log-bilinear too.  Unit trigrams of all training documents are counted first; noise-contrastive estimation then runs in numpy over these counts, by rounds of Adam on each partition
 whose parameters are averaged.  The rounds go through every counted trigram with its whole count, once at least, so
-partitions and steps grow with the training text.  Within a shared class a word has its add-half share of the class, so the product is a
-distribution over all words, one unknown word for each shared class included.  Scoring normalises exactly: for the
-contexts that a batch of documents has, one matrix product gives the scores of all classes.
+partitions and steps grow with the training text.  A word without a unit of its own has its add-half share of its shape's, so the product is a
+distribution over all words, one unknown word for each shape included.  Scoring normalises exactly: for the
+contexts that a batch of documents has, one matrix product gives the scores of all classes, and a fork's two sides add
+up to one.
 
 Documents whose ``crc32`` of the id, as text, leaves the remainder 1 on division by 5 are held out of all learning.
 
-What is broadcast is bounded: the classes' parameters, and counts of at most ``head`` of the commonest words.  Counts of
+What is broadcast: the parameters and words of all units, which grow with the vocabulary as the words do that occur
+``own`` times, and counts of at most ``head`` of the commonest words besides.  Counts of
 other words meet the documents' words in a join.
 
 Defined cases: a null or empty text is its end alone; a null id is not held out; rows are scored each on its own; an
@@ -21,6 +24,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +43,7 @@ END = b""
 #: Shared classes: by last byte (letter, stop, comma, digit, other) and by what else a word holds.
 SHAPES = 20
 #: Tokens for which there is a partition of training.
-PART = 8_000_000
+PART = 4_000_000
 #: Words at most that a task counts before it hands its counts on.
 FLUSH = 400_000
 
@@ -82,7 +86,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Classes(dict):
-    """Word to class: the common words first, then shapes; the class before a text's start is the last."""
+    """Word to unit: words with one of their own first, then shapes; the unit before a text's start is the last."""
 
     def __init__(self, common: list[bytes]):
         super().__init__({w: k for k, w in enumerate(common)})
@@ -98,7 +102,7 @@ class Classes(dict):
         return k
 
     def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of all tokens in a row, and each one's context as a number; and how many each text has."""
+        """Units of all tokens in a row, and each one's context as a number; and how many each text has."""
         sizes = np.array([len(t) for t in texts])
         flat = [w for t in texts for w in t]
         own = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
@@ -118,15 +122,18 @@ def count_trigrams(texts: DataFrame, common: list[bytes]) -> DataFrame:
         classes, held, size = Classes(common), [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            context, own = (np.concatenate([*(h[k] for h in held), np.zeros(0, np.int64)]) for k in (0, 1))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys // classes.many), pa.array((keys % classes.many).astype(np.int32)), pa.array(n)], names=["context", "class", "count"])
+            order = np.lexsort((own, context)) if classes.many > 2_000_000 else np.argsort(context * classes.many + own)
+            context, own = context[order], own[order]
+            first = np.flatnonzero(np.concatenate([[True] * (len(own) > 0), (context[1:] != context[:-1]) | (own[1:] != own[:-1])]))
+            return pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(own[first].astype(np.int32)), pa.array(np.diff(np.append(first, len(own))))], names=["context", "class", "count"])
 
         for batch in slices(batches):
             own, context, _ = classes.encode(_tokens(texts_as_bytes(batch.column(0))))
-            held.append(context * classes.many + own)
+            held.append((context, own))
             size += len(own)
-            if size > 8_000_000:
+            if size > 4_000_000:
                 yield flush()
                 size = 0
         yield flush()
@@ -147,26 +154,95 @@ def pieces(key: np.ndarray, count: np.ndarray, cap: float, turn: int, rounds: in
     return row, weight
 
 
+def _codes(weights: list[float]) -> list[list[tuple[int, int]]]:
+    """For each leaf of a Huffman tree its forks, from 0 on, and the side it is on."""
+    n = len(weights)
+    heap = [(w, k) for k, w in enumerate(weights)]
+    heapq.heapify(heap)
+    above: dict[int, tuple[int, int]] = {}
+    for fork in range(n - 1):
+        (w, x), (v, y) = heapq.heappop(heap), heapq.heappop(heap)
+        above[x], above[y] = (fork, 0), (fork, 1)
+        heapq.heappush(heap, (w + v, n + fork))
+    out = []
+    for leaf in range(n):
+        path, at = [], leaf
+        while at in above:
+            path.append(above[at])
+            at = n + above[at][0]
+        out.append(path)
+    return out
+
+
+class Tree:
+    """The class of every unit, and its way through the forks of its class."""
+
+    def __init__(self, words: list[bytes], common: int, counts: list[float]):
+        """``counts`` has the words', then the shapes'."""
+        v = len(words)
+        within: list[list[int]] = [[] for _ in range(SHAPES)]
+        self.of = np.arange(v + SHAPES + 1)
+        for u in range(common, v):
+            within[shape(words[u])].append(u)
+        for k, units in enumerate(within):
+            self.of[units] = common + k
+        self.of[v:] -= v - common
+        ways: dict[int, list[tuple[int, int]]] = {}
+        self.forks = 0
+        for k, units in enumerate(within):
+            leaves = [*units, v + k]
+            for u, path in zip(leaves, _codes([counts[u] + 0.5 for u in leaves])):
+                ways[u] = [(self.forks + fork, side) for fork, side in path]
+            self.forks += len(units)
+        flat = [x for u in range(v + SHAPES + 1) for x in ways.get(u, ())]
+        self.long = np.array([len(ways.get(u, ())) for u in range(v + SHAPES + 1)])
+        self.first = self.long.cumsum() - self.long
+        self.fork, self.side = np.array(flat, np.int64).reshape(-1, 2).T.copy()
+
+    def ways(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in ``units``, fork and side, for all forks of each unit in a row."""
+        long = self.long[units]
+        who = np.repeat(np.arange(len(units)), long)
+        at = np.arange(len(who)) - np.repeat(long.cumsum() - long, long) + self.first[units][who]
+        return who, self.fork[at], self.side[at]
+
+
+def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sums of their rows."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True] * (len(ids) > 0), ids[1:] != ids[:-1]]))
+    return ids[first], np.add.reduceat(rows[order], first, axis=0) if len(ids) else rows
+
+
 @dataclass
 class LogBilinear:
-    """Scores of class w after classes (j, i): (q[i] C1 + q[j] C2) . r[w] + b[w]."""
+    """Scores of class w after units (j, i): (q[i] C1 + q[j] C2) . r[w] + b[w]; those of a fork f within a class have
+    t[f] and its last column in place of r and b.  Without a tree, units are classes."""
 
     many: int
     width: int = 24
     parameters: dict[str, np.ndarray] = field(default_factory=dict)
+    tree: Tree | None = None
+    touched: dict[str, np.ndarray] = field(default_factory=dict)  # weight of what rows of q and t have learnt from
+
+    @property
+    def units(self) -> int:
+        return len(self.tree.of) if self.tree else self.many
 
     def start(self, noise: np.ndarray, seed: int = 11) -> LogBilinear:
         r = np.random.default_rng(seed)
         d = self.width
         self.parameters = {
-            "q": r.normal(0, 0.3, (self.many, d)), "r": r.normal(0, 0.3, (self.many, d)), "b": np.log(noise),
-            "c1": np.eye(d) * 0.7, "c2": np.eye(d) * 0.5,
+            "q": r.normal(0, 0.3, (self.units, d)), "r": r.normal(0, 0.3, (self.many, d)), "b": np.log(noise),
+            "c1": np.eye(d) * 0.7, "c2": np.eye(d) * 0.5, "t": np.zeros((self.tree.forks if self.tree else 0, d + 1)),
         }
+        self.parameters = {k: x.astype(np.float32) for k, x in self.parameters.items()}
         return self
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         p = self.parameters
-        return p["q"][context % self.many] @ p["c1"] + p["q"][context // self.many] @ p["c2"]
+        return p["q"][context % self.units] @ p["c1"] + p["q"][context // self.units] @ p["c2"]
 
     def log_probabilities(self, context: np.ndarray) -> np.ndarray:
         """Natural logs for every class, normalised, a row for each context."""
@@ -175,55 +251,121 @@ class LogBilinear:
         s -= s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
+    def logs_within(self, h: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Natural logs of each unit within its class, where ``h`` has the row predicted for it."""
+        out = np.zeros(len(units))
+        for at in range(0, len(units) if self.tree else 0, 8192):
+            who, fork, side = self.tree.ways(units[at : at + 8192])
+            t = self.parameters["t"][fork]
+            z = np.einsum("ij,ij->i", h[at : at + 8192][who], t[:, :-1]) + t[:, -1]
+            out[at : at + 8192] = -np.bincount(who, np.logaddexp(0, np.where(side == 1, -z, z)), len(units[at : at + 8192]))
+        return out
+
     def train(self, context: np.ndarray, target: np.ndarray, count: np.ndarray, noise: np.ndarray, *, steps: int, size: int = 4096, samples: int = 64, rate: float = 0.01, seed: int = 0, cap: float | None = None, turn: int = 0, rounds: int = 1) -> None:
         """Noise-contrastive steps in whole passes over the round's pieces of the trigrams, ``steps`` of them at least; a
-        step's noise classes serve all its rows."""
+        step's noise classes serve all its rows.  Forks learn by their logistic loss.  Rows of ``q`` and ``t`` change in
+        the steps that meet them."""
         r, p = np.random.default_rng(seed), self.parameters
-        piece, weight = pieces(context * self.many + target, count, cap or count.mean(), turn, rounds, steps * size)
+        self.touched = {k: np.zeros(len(p[k])) for k in ("q", "t")}
+        piece, weight = pieces(context * self.units + target, count, cap or count.mean(), turn, rounds, steps * size)
         if not len(piece):
             return
         order = np.concatenate([r.permutation(len(piece)) for _ in range(-(-steps * size // len(piece)))])
-        steps, log_noise = -(-len(order) // size), np.log(noise)
+        steps, log_noise = -(-len(order) // size), np.log(noise).astype(np.float32)
         noise_edges = noise.cumsum() / noise.sum()
         m = {k: np.zeros_like(v) for k, v in p.items()}
         v = {k: np.zeros_like(x) for k, x in p.items()}
+        met = {k: np.zeros(len(p[k]), np.int32) for k in ("q", "t")}
         shift = np.log(samples)
         for step in range(1, steps + 1):
             at = order[(step - 1) * size : step * size]
-            rows, share = piece[at], weight[at] / weight[at].sum()
+            rows, share = piece[at], (weight[at] / weight[at].sum()).astype(np.float32)
             w, c = target[rows], context[rows]
             drawn = np.minimum(np.searchsorted(noise_edges, r.random(samples)), self.many - 1)
-            i, j = c % self.many, c // self.many
-            h = p["q"][i] @ p["c1"] + p["q"][j] @ p["c2"]
+            i, j = c % self.units, c // self.units
+            qi, qj = p["q"][i], p["q"][j]
+            h = qi @ p["c1"] + qj @ p["c2"]
+            unit, w = w, self.tree.of[w] if self.tree else w
             own = (h * p["r"][w]).sum(1) + p["b"][w] - log_noise[w] - shift
             other = h @ p["r"][drawn].T + p["b"][drawn] - log_noise[drawn] - shift
             e_own = share * (1 / (1 + np.exp(-own)) - 1)  # gradient of the loss by each score
             e_other = share[:, None] / (1 + np.exp(-other))
             gh = e_own[:, None] * p["r"][w] + e_other @ p["r"][drawn]
-            g = {k: np.zeros_like(x) for k, x in p.items()}
-            by_word = np.zeros((self.many, self.width))
-            np.add.at(by_word, w, e_own[:, None] * h)
+            g, by_word = {}, np.zeros((self.many, self.width), np.float32)
             np.add.at(by_word, drawn, e_other.T @ h)
+            words, sums = _summed(w, e_own[:, None] * h)
+            by_word[words] += sums
             g["r"] = by_word
             g["b"] = np.bincount(w, e_own, self.many) + np.bincount(drawn, e_other.sum(0), self.many)
-            np.add.at(g["q"], i, gh @ p["c1"].T)
-            np.add.at(g["q"], j, gh @ p["c2"].T)
-            g["c1"], g["c2"] = p["q"][i].T @ gh, p["q"][j].T @ gh
+            some: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            if self.tree:
+                who, fork, side = self.tree.ways(unit)
+                t, hw = p["t"][fork], h[who]
+                e = share[who] * (1 / (1 + np.exp(-np.einsum("ij,ij->i", hw, t[:, :-1]) - t[:, -1])) - side).astype(np.float32)
+                places, sums = _summed(who, e[:, None] * t[:, :-1])
+                gh[places] += sums
+                some["t"] = _summed(fork, e[:, None] * np.concatenate([hw, np.ones((len(hw), 1), np.float32)], 1))
+                self.touched["t"] += np.bincount(fork, weight[at][who], len(p["t"]))
+            some["q"] = _summed(np.concatenate([i, j]), np.concatenate([gh @ p["c1"].T, gh @ p["c2"].T]))
+            self.touched["q"] += np.bincount(np.concatenate([i, j]), np.concatenate([weight[at]] * 2), self.units)
+            g["c1"], g["c2"] = qi.T @ gh, qj.T @ gh
             pace = rate * (1 - 0.9 * step / steps)
-            for k in p:
+            for k in g:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                p[k] = p[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                p[k] = (p[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            for k, (at, x) in some.items():
+                met[k][at] += 1
+                n = met[k][at][:, None]
+                m[k][at] = a = 0.9 * m[k][at] + 0.1 * x
+                v[k][at] = b = 0.99 * v[k][at] + 0.01 * x**2
+                p[k][at] -= pace * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.99**n)) + 1e-8)
+
+    def packed(self, weight: float) -> pa.RecordBatch:
+        """Rows of all parameters that have learnt something, with their weights, in chunks."""
+        p = self.parameters
+        wide = lambda x: np.concatenate([x, np.zeros((len(x), self.width + 1 - x.shape[1]), np.float32)], 1)
+        rows = np.concatenate([wide(p["q"]), np.concatenate([p["r"], p["b"][:, None]], 1), wide(p["c1"]), wide(p["c2"]), p["t"]]).astype(np.float32)
+        weights = np.concatenate([self.touched["q"], np.full(self.many + 2 * self.width, weight), self.touched["t"]])
+        chunks = range(0, len(rows), CHUNK)
+        at = [np.flatnonzero(weights[k : k + CHUNK]) + k for k in chunks]
+        kept = [(k, x) for k, x in enumerate(at) if len(x)]
+        columns = [pa.array([k for k, _ in kept], pa.int32()), *(pa.array([a[x].astype(t).tobytes() for _, x in kept], pa.binary()) for a, t in ((np.arange(len(rows)), "i8"), (weights, "f8"), (rows, "f4")))]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "at", "weights", "rows"])
+
+    def with_rows(self, at: np.ndarray, rows: np.ndarray) -> LogBilinear:
+        """The model with these rows, as ``packed`` numbers them, in place of its own."""
+        p, d, n = {k: x.copy() for k, x in self.parameters.items()}, self.width, 0
+        for k, long in (("q", self.units), ("r", self.many), ("c1", d), ("c2", d), ("t", len(p["t"]))):
+            mine = (at >= n) & (at < n + long)
+            p[k][at[mine] - n] = rows[mine][:, : p[k].shape[1]]
+            if k == "r":
+                p["b"][at[mine] - n] = rows[mine][:, d]
+            n += long
+        return LogBilinear(self.many, d, p, self.tree)
+
+
+#: Rows of parameters that are averaged together.
+CHUNK = 1024
+PACKED = "chunk int, at binary, weights binary, rows binary"
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """Of one chunk, each row's mean by the weights of what it has learnt from."""
+    at, weights, rows = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("at", "i8"), ("weights", "f8"), ("rows", "f4")))
+    ids, sums = _summed(at, rows.reshape(len(at), -1) * weights[:, None])
+    _, total = _summed(at, weights[:, None])
+    return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "at": [ids.tobytes()], "weights": [total.tobytes()], "rows": [(sums / total).astype("f4").tobytes()]})
 
 
 @dataclass
 class Model:
-    common: list[bytes]
-    counts: dict[bytes, int]  # of the commonest words, all of those with at least ``least`` occurrences
+    common: list[bytes]  # words with a unit of their own
+    counts: dict[bytes, int]  # theirs, and of the commonest words, all of those with at least ``least`` occurrences
     least: int
     tokens: int
     distinct: int
-    share: np.ndarray  # add-half total of each shared class
+    share: np.ndarray  # add-half total of the words that share a unit, by shape
     net: LogBilinear | None
 
 
@@ -244,21 +386,24 @@ def _head(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     return counts, least
 
 
-def fit(docs: DataFrame, store: Store, *, common: int = 320, head: int = 150_000, width: int = 24, rounds: int = 6, steps: int = 150, parts: int = 6) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, store: Store, *, common: int = 320, own: int = 100, head: int = 150_000, width: int = 24, rounds: int = 6, steps: int = 150, parts: int = 6) -> tuple[Model, DataFrame]:
     """The model, and the table of all word counts that it rests on."""
     texts = docs.where(~held_out()).select("text")
     words = store.put(count_words(texts), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     counts, least = _head(words, head)
-    top = sorted((w for w in counts if w != END), key=lambda w: (-counts[w], w))[: common - 1]
-    top = [END, *top]
+    frequent = words.where(F.col("count") >= own).toArrow()
+    counts |= zip(frequent["word"].to_pylist(), frequent["count"].to_pylist())
+    ranked = sorted((w for w in counts if w != END), key=lambda w: (-counts[w], w))
+    top = [END, *(w for k, w in enumerate(ranked) if k < common - 1 or counts[w] >= own)]
+    common = min(common, len(top))
     classes = Classes(top)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, own = np.zeros(SHAPES), set(top)
+        total, units = np.zeros(SHAPES), set(top)
         for batch in batches:
             for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if w not in own:
+                if w not in units:
                     total[shape(w)] += n + 0.5
         yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(total)], names=["shape", "total"])
 
@@ -269,37 +414,34 @@ def fit(docs: DataFrame, store: Store, *, common: int = 320, head: int = 150_000
     if not tokens:
         return model, words
     parts = max(parts, -(-tokens // PART))
-    trigrams = store.put(count_trigrams(texts, top).repartition(parts, F.xxhash64("context", "class")), "trigrams")
-    noise, distinct_trigrams = np.full(classes.many, 0.5), 0
+    trigrams = store.put(count_trigrams(texts, top), "trigrams")  # dealt by a hash, so that any part is a fair share
+    seen, distinct_trigrams = np.zeros(classes.many), 0
     for k, n, rows in trigrams.groupBy("class").agg(F.sum("count"), F.count("*")).collect():
-        noise[k] += n
+        seen[k] += n
         distinct_trigrams += rows
+    tree = Tree(top, common, seen.tolist())
+    many = common + SHAPES + 1
+    noise = np.bincount(tree.of, seen, many) + 0.5
     noise /= noise.sum()
-    net = LogBilinear(classes.many, width).start(noise)
+    net = LogBilinear(many, width, tree=tree).start(noise)
     for turn in range(rounds):
-        begun = net.parameters
 
-        def run(batches: Iterator[pa.RecordBatch], begun=begun, turn=turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], begun=net, turn=turn) -> Iterator[pa.RecordBatch]:
             columns = [[], [], []]
             for batch in batches:
                 for c, x in zip(columns, batch.columns):
                     c.append(x.to_numpy())
             context, target, count = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
             if len(context):
-                own = LogBilinear(classes.many, width, {k: x.copy() for k, x in begun.items()})
+                own = LogBilinear(many, width, {k: x.copy() for k, x in begun.parameters.items()}, begun.tree)
                 own.train(context, target, count.astype(float), noise, steps=steps, rate=0.02 * 0.75**turn, seed=1000 * turn + TaskContext.get().partitionId(), cap=tokens / distinct_trigrams, turn=turn, rounds=rounds)
-                flat = np.concatenate([x.ravel() for x in own.parameters.values()])
-                yield pa.RecordBatch.from_arrays([pa.array([float(count.sum())]), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["weight", "parameters"])
-
-        got = trigrams.select("context", F.col("class").cast("long"), "count").coalesce(parts).mapInArrow(run, "weight double, parameters array<double>").collect()
-        weights = np.array([r[0] for r in got])
-        mean = np.average(np.array([r[1] for r in got]), axis=0, weights=weights)
-        at, new = 0, {}
-        for k, x in begun.items():
-            new[k] = mean[at : at + x.size].reshape(x.shape)
-            at += x.size
-        net = LogBilinear(classes.many, width, new)
+                yield own.packed(float(count.sum()))
+
+        got = trigrams.select("context", F.col("class").cast("long"), "count").coalesce(parts).mapInArrow(run, PACKED).groupBy("chunk").applyInArrow(_mean, PACKED).toArrow()
+        at, rows = (np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("at", "i8"), ("rows", "f4")))
+        net = net.with_rows(at, rows.reshape(len(at), width + 1))
     model.net = net
+    store.drop("trigrams")
     return model, words
 
 
@@ -319,13 +461,15 @@ def _scores_in_head(docs: DataFrame, model: Model) -> DataFrame:
             if model.net is not None:
                 own, context, sizes = classes.encode(texts)
                 met, where = np.unique(context, return_inverse=True)
-                got = np.zeros(len(own))
+                tree = model.net.tree
+                got, deep = np.zeros(len(own)), np.flatnonzero(tree.long[own])
                 order = np.argsort(where, kind="stable")
                 cuts = np.searchsorted(where[order], np.arange(0, len(met) + 2048, 2048))
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     table = model.net.log_probabilities(met[k * 2048 : (k + 1) * 2048])
                     at = order[a:b]
-                    got[at] = table[where[at] - k * 2048, own[at]]
+                    got[at] = table[where[at] - k * 2048, tree.of[own[at]]]
+                got[deep] += model.net.logs_within(model.net.predicted(met)[where[deep]], own[deep])
                 nets = np.add.reduceat(got, np.concatenate([[0], sizes.cumsum()[:-1]])) / np.log(10)
             rows: list[tuple] = []
             for doc, held, words, net in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, nets.tolist()):

@@ -255,6 +255,22 @@ def test_training_goes_through_every_trigram():
     assert (net.parameters["q"][1:60] != before[1:60]).any(1).all()
 
 
+def test_words_beyond_the_classes_are_modelled(spark):
+    r = random.Random(4)
+    pairs = [(f"left{k:03}", f"right{k:03}") for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(w for _ in range(40) for w in r.choice(pairs))) for k in range(300)], "doc_id long, text string")
+    model, _ = logbilinear.fit(docs, logbilinear.Store(spark, "test"), common=5, own=50, parts=1)
+    net, units = model.net, logbilinear.Classes(model.common)
+    assert len(model.common) == 121 and net.units == units.many
+    every = np.arange(units.many)
+    for before in (units[b"left007"], units[b"right007"], units.start):
+        context = np.full(len(every), units[b"right001"] * units.many + before)
+        p = np.exp(net.log_probabilities(context[:1])[0][net.tree.of] + net.logs_within(net.predicted(context), every))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+        if before == units[b"left007"]:  # what follows a word is learnt, though neither has a class of its own
+            assert p[units[b"right007"]] > 0.5
+
+
 # ------------------------------------------------------------------ mixing
 def test_rates_meet_the_targets(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
