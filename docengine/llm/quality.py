@@ -44,8 +44,7 @@ def _symbols(text: bytes, words: list[bytes]) -> int:
 
 
 def _marked_words(text: bytes, words: list[bytes]) -> int:
-    sample = words[:: 1 + len(words) // 2000]
-    return _between(sum(w[-1] in SYMBOLS for w in sample) / len(sample), 0.4, 0.1, False)
+    return _between(sum(w[-1] in SYMBOLS for w in words) / len(words), 0.4, 0.1, False)
 
 
 def _capitals(text: bytes, words: list[bytes]) -> int:
@@ -64,8 +63,8 @@ def _repeats(text: bytes, words: list[bytes]) -> int:
 def _variety(text: bytes, words: list[bytes]) -> int:
     if len(words) < 20:
         return ABSTAIN
-    part = words[:400]
-    return _between(len(set(part)) / len(part), 0.22, 0.4, True)
+    # of long texts, distinct words grow with the square root
+    return _between(len(set(words)) / (len(words) * min(len(words), 400)) ** 0.5, 0.22, 0.4, True)
 
 
 def _same_lines(text: bytes, words: list[bytes]) -> int:

@@ -132,6 +132,13 @@ def test_weak_labels_find_junk(spark, odd, none):
     assert quality.keep_good(odd, model).columns == odd.columns
 
 
+def test_votes_read_the_whole_text():
+    varied = [b"w%d" % k for k in range(400)]
+    assert quality._variety(b"", varied) == quality.GOOD and quality._variety(b"", varied + [b"again"] * 20000) == quality.BAD
+    words = [b"word" if k % 3 else b"word#" for k in range(4500)]  # a third is marked, all in step with a stride of 3
+    assert quality._marked_words(b"", words) == quality.ABSTAIN
+
+
 def test_label_model_learns_who_is_right():
     r = np.random.default_rng(1)
     good = r.random(4000) < 0.8
