@@ -38,6 +38,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+DIGITS = "0123456789"
 DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
@@ -84,13 +85,13 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-#: Generators: kind, pattern (its group 1 is the span), and a text that must be present.
+#: Generators: kind, pattern (its group 1 is the span), and characters of which one must be present.
 GENERATORS = (
     (4, re.compile(r"[=:][ \t]{0,4}[\"']?([^\s\"'<>]{6,})"), "=:"),
-    (4, re.compile(r"(?<![^\s\"'=:,;(<>])((?=[^\s\"']*[0-9])[A-Za-z0-9_+/=.-]{16,})"), ""),
-    (5, re.compile(r"(?<![0-9A-Za-z])(\(?[0-9](?:[ ().-]{0,2}[0-9]){6,24})(?![0-9A-Za-z])"), ""),
+    (4, re.compile(r"(?<![^\s\"'=:,;(<>])((?=[^\s\"']*[0-9])[A-Za-z0-9_+/=.-]{16,})"), DIGITS),
+    (5, re.compile(r"(?<![0-9A-Za-z])(\(?[0-9](?:[ ().-]{0,2}[0-9]){6,24})(?![0-9A-Za-z])"), DIGITS),
     (6, re.compile(r"(?<![0-9A-Fa-f:])((?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])"), ":"),
-    (7, re.compile(r"(?<![0-9A-Za-z])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"), ""),
+    (7, re.compile(r"(?<![0-9A-Za-z])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"), DIGITS),
 )
 
 #: Words of context, a fixed value each.
@@ -100,11 +101,9 @@ COUNT_WORDS = re.compile(r"order|item|page|isbn|version|price|total|year|no\.|id
 
 
 def candidates(text: str) -> list[Span]:
-    if not DIGIT.search(text):
-        return []
     found = {}
     for kind, pattern, needs in GENERATORS:
-        if not needs or any(c in text for c in needs):
+        if any(c in text for c in needs):
             for m in pattern.finditer(text):
                 found[m.start(1), kind, m.end(1)] = None
     return list(found)
@@ -115,13 +114,12 @@ def features(text: str, span: Span) -> list[float]:
     s, left, right = text[start:end], text[max(0, start - 24) : start], text[end : end + 12]
     n = len(s)
     digits, letters = sum(map(str.isdigit, s)), sum(map(str.isalpha, s))
-    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c for c in s[:128]]
-    counts = Counter(s[:128])
-    m = sum(counts.values())
-    entropy = -sum(v / m * log2(v / m) for v in counts.values())
+    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c for c in s]
+    counts = Counter(s)
+    entropy = -sum(v / n * log2(v / n) for v in counts.values())
     return [
         n, digits, digits / n, letters / n, sum(map(str.isupper, s)) / n, (n - digits - letters) / n,
-        sum(a != b for a, b in zip(classes, classes[1:])) / n, entropy, len(counts) / m,
+        sum(a != b for a, b in zip(classes, classes[1:])) / n, entropy, len(counts) / n,
         float(all(c in "0123456789abcdefABCDEF" for c in s)), len(re.findall(r"[^0-9]+", s)),
         float(bool(SECRET_WORDS.search(left))), float(bool(CONTACT_WORDS.search(left))), float(bool(COUNT_WORDS.search(left[-12:]))),
         float(left.rstrip(" \"'")[-1:] in ("=", ":") if left.rstrip(" \"'") else 0), float(right[:1] in ('"', "'")),
@@ -140,6 +138,7 @@ def examples(seed: int = 7, each: int = 350) -> tuple[np.ndarray, np.ndarray]:
     name = lambda: r.choice(["token", "secret", "api_key", "password", "auth", "key", "pwd"])
     contact = lambda: r.choice(["phone", "tel", "call", "mobile", "contact", "fax"])
     quoted = lambda v: r.choice(['"%s"', "'%s'", "%s"]) % v
+    title = lambda k: "".join(word().title() for _ in range(k))
     private = [
         lambda: (f"{name()} {r.choice('=:')} ", quoted(some(hexa, r.choice([24, 32, 40, 64])))),
         lambda: (f"{name()}{r.choice('=:')}", quoted(some(mixed, r.randint(12, 44)))),
@@ -151,6 +150,10 @@ def examples(seed: int = 7, each: int = 350) -> tuple[np.ndarray, np.ndarray]:
         lambda: (r.choice(["ssn ", "social security ", ""]), f"{some(dec, 3)}-{some(dec, 2)}-{some(dec, 4)}"),
         lambda: (r.choice(["iban ", "account ", ""]), some(low.upper(), 2) + some(dec, 2) + " " + " ".join(some(dec, 4) for _ in range(r.randint(3, 6)))),
         lambda: ("", ":".join(some(hexa, 4) for _ in range(r.choice([6, 8])))),
+        lambda: (f"{name()}{r.choice(['=', ': '])}", quoted(title(r.randint(2, 4)) + r.choice(["", "!", "?", "#"]))),
+        lambda: (f"{name()}{r.choice(['=', ': '])}", quoted(some(low + low.upper() + "!?#%", r.randint(12, 44)))),
+        lambda: (f"{name()}{r.choice(['=', ': '])}", quoted(some(r.choice([mixed + "+/", hexa]), r.randint(129, 900)))),
+        lambda: ("", some(r.choice([mixed, hexa]), r.randint(129, 900)) + some(dec, 2)),
     ]
     harmless = [
         lambda: (r.choice(["order ", "item ", "ref ", "no. "]), some(dec, r.randint(7, 13))),
@@ -167,6 +170,11 @@ def examples(seed: int = 7, each: int = 350) -> tuple[np.ndarray, np.ndarray]:
         lambda: (f"{word()}:", f"//{word()}.example/{word()}/{some(dec, 4)}"),
         lambda: ("", " ".join(some(dec, r.randint(1, 3)) for _ in range(r.randint(4, 9)))),
         lambda: ("", word() + "." + word() + "." + word() + some(dec, 2)),
+        lambda: (f"{word()}: ", quoted(title(r.randint(2, 4)) + r.choice(["", "!", "?"]))),
+        lambda: (f"{name()}: ", some(low, r.randint(6, 9)) + r.choice(["", ".", ","])),
+        lambda: (f"{word()}:", "//" + word() + ".example/" + "/".join(word() for _ in range(r.randint(1, 40)))),
+        lambda: (r.choice(["", f"{word()}: "]), r.choice("/-._").join(word() for _ in range(r.randint(24, 120))) + some(dec, 1)),
+        lambda: (f"{word()}: ", r.choice(low + "-=_.") * r.randint(8, 600)),
     ]
     rows, labels = [], []
     for _ in range(each):

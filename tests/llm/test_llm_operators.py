@@ -111,6 +111,17 @@ def test_redaction_keeps_rows_and_columns(spark, odd, corpus):
     assert sorted(map(repr, pii.redact(odd).collect())) == sorted(map(repr, odd.collect()))
 
 
+def test_secrets_need_no_digit_and_no_length():
+    booster, threshold = pii.model()
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b, _ in pii.spans_of([t], booster, threshold)[0]]
+    assert found("the password: CorrectHorseBattery! was sent") == [("secret", "CorrectHorseBattery!")]
+    assert found("a remark: nothing of note") == [] and (3, 6, 14) in pii.candidates("at fe:ab:cd:ef on")
+    r = random.Random(8)
+    key = "".join(r.choice("abcdefghijkLMNOPQRSTU0123456789") for _ in range(600))
+    assert ("secret", key) in found(f"set token={key} here")
+    assert pii.features(key, (0, 4, 600))[6] > 0.4 and pii.features("a" * 128 + key, (0, 4, 728))[8] == len(set("a" + key)) / 728
+
+
 def test_candidate_model_holds_on_held_out_spans():
     booster, threshold = pii.model()
     p, y = booster.held
