@@ -103,18 +103,19 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """For each document its node, the size of its set and the prefix of the elimination; of nodes that a task has
-    met before, the prefix is left out."""
+    """For each document its node, the size of its set and the prefix of the elimination; of rows without an id, and of
+    nodes that a task has met before on a row with one, the prefix is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, met = WordHashes(), set()
         for batch in slices(batches):
             nodes, counts, prefixes, needs = [], [], [], []
-            for tokens in sets_of(texts_as_bytes(batch.column(1)), memo, size):
+            for known, tokens in zip(batch.column(0).is_valid().to_pylist(), sets_of(texts_as_bytes(batch.column(1)), memo, size)):
                 n, node = len(tokens), _node(tokens)
                 least = _overlap(n, percent)
-                fresh = n and node not in met
-                met.add(node)
+                fresh = n and known and node not in met
+                if known:
+                    met.add(node)
                 nodes.append(node if n else None)
                 counts.append(n)
                 needs.append(_extension(least))

@@ -229,6 +229,13 @@ def test_near_copies_lose_no_link(spark, frequent):
         assert jaccard.keep_first(docs).count() == len({c for _, _, c in plain_groups(rows)})
 
 
+def test_copies_without_an_id_cost_no_link(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join([*words[:99], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id or 0, r.component_id) for r in jaccard.groups(docs).collect()) == [(0, None), (1, 1), (2, 1)]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     found = {r.vertex: r.component for r in components.components(edges).collect()}
