@@ -179,7 +179,7 @@ def chunk_invariants(spark, sf):
 @query
 def table_chunks(spark, sf):
     """Orders as documents, their lines as table rows."""
-    lines = t.read(spark, sf, "lineitem").where("l_linestatus = 'O'")
+    lines = t.read(spark, sf, "lineitem")
     rows = lines.select("l_orderkey", "l_linenumber", F.concat_ws(" ", F.lit("Part sold"), F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")).alias("row"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "row"))), lambda r: r["row"]), "\n")
     pages_ = rows.groupBy("l_orderkey").agg(F.concat(F.lit("Parts Of The Order\nParticulars\n"), text).alias("text"))
