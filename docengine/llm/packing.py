@@ -6,12 +6,15 @@ its own, so no sequence holds two documents, none needs padding, and sequences o
 batches of equal shape are drawn.  The operator needs no shuffle: pieces of a document depend on that document alone.
 
 Defined cases: a null or empty text is the separator alone (one piece of length 1); a null id is carried along; equal
-rows are packed each on its own; an empty table gives no rows; further columns are ignored.
+rows are packed each on its own; an empty table gives no rows; further columns are ignored.  With ``added``, a text's
+literal added tokens (``<|endoftext|>``) have their own ids, as ``tokenizers`` has it unless ``encode_special_tokens`` is
+set; without, they are ordinary characters.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -66,8 +69,14 @@ class WordEncoder(dict):
     parts encoded apart with the same ids.  A text with more white space next to a blank is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.core = byte_level_core(path)
+        with open(path, encoding="utf-8") as f:
+            tokens = json.load(f).get("added_tokens", []) if added else []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+            raise ValueError("added tokens that look at what stands around them")
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in tokens}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if tokens else None
 
     def plain(self, text: str) -> bytes:
         return array("I", self.core.encode_ordinary(text)).tobytes()
@@ -79,6 +88,12 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        """Added tokens cut a text first; what lies between them is encoded apart."""
+        if self.cut is None or not self.cut.search(text):
+            return self.ordinary(text)
+        return b"".join(self.added[x] if k % 2 else self.ordinary(x) for k, x in enumerate(self.cut.split(text)) if x)
+
+    def ordinary(self, text: str) -> bytes:
         if len(self) > MEMO:
             self.clear()
         parts = text.split(" ")
@@ -90,7 +105,7 @@ class WordEncoder(dict):
             return self.plain(text)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, longest: int = 1024, separator: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, longest: int = 1024, separator: int = 0, added: bool = False) -> DataFrame:
     """Pieces of all documents (``doc_id``, ``text``): one row for each, with its ids as little-endian uint32.
 
     ``sequence_id`` numbers the sequences of a partition in order, under the partition's number in the upper bits;
@@ -100,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, *, longest: int = 1024, separator: int
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = WordEncoder(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, sequence = WordEncoder(tokenizer, added), TaskContext.get().partitionId() << 40
         for batch in slices(batches, 128):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

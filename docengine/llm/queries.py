@@ -26,7 +26,7 @@ def op1_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), added=True))
 
 
 #: Shares of the tokens that the mix aims at, by domain.

@@ -71,6 +71,19 @@ def test_encoder_cuts_where_the_tokenizer_does():
     assert packing.power_lengths(2055, 1024) == [1024, 1024, 4, 2, 1]
 
 
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    own, encoder, r = Tokenizer.from_file(queries.tokenizer_path()), packing.WordEncoder(queries.tokenizer_path(), added=True), random.Random(6)
+    parts = ["a", " ", "  ", "\n", "b c", "'s", "12", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "\0", "-"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = np.array([64, 220, 50256, 275, 0], "<u4").tobytes()
+    assert {(x.start, x.ids_crc32) for x in queries.op2_packing(spark, str(tmp_path)).collect()} == {(0, zlib.crc32(ids[:16])), (4, zlib.crc32(ids[16:]))}
+
+
 # ------------------------------------------------------------------ personal data
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
