@@ -1,21 +1,25 @@
 """Language-model scores from a log-bilinear neural model, next to add-half unigram scores.
 
 The unigram base counts every token of the training documents exactly: words, and one end for each document.  The
-log-bilinear model predicts a token from the two before it.  Every word that occurs ``own`` times in training, and the
-``common`` commonest at least, is a unit with an embedding of its own; all others are a few units by their shape.  The
-model first gives the class of a unit (itself for the commonest, its shape for the others), then the unit within the
-class, by a Huffman tree whose every fork is log-bilinear too.  Unit trigrams of all training documents are counted first; noise-contrastive estimation then runs in numpy over these counts, by rounds of Adam on each partition
-whose parameters are averaged.  The rounds go through every counted trigram with its whole count, once at least, so
-partitions and steps grow with the training text.  A word without a unit of its own has its add-half share of its shape's, so the product is a
-distribution over all words, one unknown word for each shape included.  Scoring normalises exactly: for the
-contexts that a batch of documents has, one matrix product gives the scores of all classes, and a fork's two sides add
-up to one.
+log-bilinear model predicts a token from the two before it.  The commonest words (all that occur ``own`` times, as many
+as ``head`` allows) are units with an embedding of their own, as context and as target; all others are a unit for each
+shape.  Units in the order of their counts are cut into classes of about equal mass, as many as the square root of the
+units: the model gives the class, then the unit within it, both log-bilinear.  A word without a unit of its own has its
+add-half share of its shape's, so the product is a distribution over all words, one unknown word for each shape included.
+
+Noise-contrastive estimation runs in numpy.  Training goes once through every token of the training documents (several
+times where these are few), in rounds over disjoint parts of them, on each partition by itself; after a round the
+partitions' parameters are averaged, each row by how much it has learnt from.  Partitions grow with the tokens, and a
+partition's updates are far smaller than its texts.  Nothing is shuffled before training, so a task that is run again
+sees the same rows in the same order and learns the same.
+
+Scoring normalises exactly, by matrix products: the contexts of a batch of documents with all classes, and the tokens of
+each class with all units of that class.
 
 Documents whose ``crc32`` of the id, as text, leaves the remainder 1 on division by 5 are held out of all learning.
 
-What is broadcast: the parameters and words of all units, which grow with the vocabulary as the words do that occur
-``own`` times, and counts of at most ``head`` of the commonest words besides.  Counts of
-other words meet the documents' words in a join.
+What is broadcast: parameters and words of at most ``head`` units, and their counts, some 30 MB at 150,000 however large
+the corpus.  Counts of other words meet the documents' words in a join.
 
 Defined cases: a null or empty text is its end alone; a null id is not held out; rows are scored each on its own; an
 empty table gives no rows; where nothing is left to train on, all tokens are unknown and the model is the base;
@@ -24,10 +28,12 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import heapq
+import copy
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +46,14 @@ from docengine.llm.words import slices, texts_as_bytes
 
 #: The end of a text, as a word; no word of a text is empty.
 END = b""
-#: Shared classes: by last byte (letter, stop, comma, digit, other) and by what else a word holds.
+#: Shapes: by last byte (letter, stop, comma, digit, other) and by what else a word holds.
 SHAPES = 20
-#: Tokens for which there is a partition of training.
-PART = 4_000_000
 #: Words at most that a task counts before it hands its counts on.
 FLUSH = 400_000
 
 
 def shape(word: bytes) -> int:
-    """The shared class of a word, below SHAPES."""
+    """The shape of a word, below SHAPES."""
     last = word[-1] if word else 0
     ending = 0 if 97 <= last <= 122 or last >= 128 else 1 if last in b".!?" else 2 if last in b",;:" else 3 if 48 <= last <= 57 else 4
     foreign = any(b >= 128 for b in word)
@@ -85,29 +89,29 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-class Classes(dict):
-    """Word to unit: words with one of their own first, then shapes; the unit before a text's start is the last."""
+class Units(dict):
+    """Word to unit, in the order of counts; a word without one has its shape's.  The unit before a text's start is the
+    one after the last."""
 
-    def __init__(self, common: list[bytes]):
-        super().__init__({w: k for k, w in enumerate(common)})
-        self.common = self.kept = len(common)
-        self.start = self.common + SHAPES
-        self.many = self.start + 1
+    def __init__(self, words: list[bytes], places: np.ndarray):
+        """``places`` has the units of ``words``, then those of the shapes."""
+        super().__init__(zip(words, places.tolist()))
+        self.kept, self.shapes, self.start = len(words), places[len(words) :].tolist(), len(places)
+        self.many = len(places) + 1
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.common + 300_000:
-            for w in list(self)[self.common :]:
+        if len(self) > self.kept + 300_000:
+            for w in list(self)[self.kept :]:
                 del self[w]
-        self[word] = k = self.common + shape(word)
+        self[word] = k = self.shapes[shape(word)]
         return k
 
     def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units of all tokens in a row, and each one's context as a number; and how many each text has."""
-        sizes = np.array([len(t) for t in texts])
-        flat = [w for t in texts for w in t]
-        own = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
-        first = np.concatenate([[0], sizes.cumsum()[:-1]]).astype(np.int64)
-        one = np.concatenate([[self.start], own[:-1]])
+        sizes = np.array([len(t) for t in texts], np.int64)
+        own = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        first = sizes.cumsum() - sizes
+        one = np.concatenate([[self.start], own[:-1]])[: len(own)]
         two = np.concatenate([[self.start] * 2, own[:-2]])[: len(own)]
         one[first] = self.start
         two[first] = self.start
@@ -115,234 +119,153 @@ class Classes(dict):
         return own, two * self.many + one, sizes
 
 
-def count_trigrams(texts: DataFrame, common: list[bytes]) -> DataFrame:
-    """``context``, ``class`` and their ``count``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, held, size = Classes(common), [], 0
-
-        def flush() -> pa.RecordBatch:
-            context, own = (np.concatenate([*(h[k] for h in held), np.zeros(0, np.int64)]) for k in (0, 1))
-            held.clear()
-            order = np.lexsort((own, context)) if classes.many > 2_000_000 else np.argsort(context * classes.many + own)
-            context, own = context[order], own[order]
-            first = np.flatnonzero(np.concatenate([[True] * (len(own) > 0), (context[1:] != context[:-1]) | (own[1:] != own[:-1])]))
-            return pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(own[first].astype(np.int32)), pa.array(np.diff(np.append(first, len(own))))], names=["context", "class", "count"])
-
-        for batch in slices(batches):
-            own, context, _ = classes.encode(_tokens(texts_as_bytes(batch.column(0))))
-            held.append((context, own))
-            size += len(own)
-            if size > 4_000_000:
-                yield flush()
-                size = 0
-        yield flush()
-
-    return texts.select("text").mapInArrow(run, "context long, class int, count long").groupBy("context", "class").agg(F.sum("count").alias("count"))
-
-
-def pieces(key: np.ndarray, count: np.ndarray, cap: float, turn: int, rounds: int, few: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows, and the part of its count that each stands for: a row's count is cut into equal parts of ``cap`` at most, and
-    these are dealt to the rounds by the row's key.  Where all parts are ``few`` or less, each round has all."""
-    cuts = np.ceil(count / max(cap, 1.0)).astype(np.int64)
-    row = np.repeat(np.arange(len(count)), cuts)
-    weight = np.repeat(count / cuts, cuts)
-    if len(row) > few:
-        place = np.arange(len(row)) - np.repeat(cuts.cumsum() - cuts, cuts)
-        mine = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)[row] + place) % rounds == turn
-        row, weight = row[mine], weight[mine]
-    return row, weight
-
-
-def _codes(weights: list[float]) -> list[list[tuple[int, int]]]:
-    """For each leaf of a Huffman tree its forks, from 0 on, and the side it is on."""
-    n = len(weights)
-    heap = [(w, k) for k, w in enumerate(weights)]
-    heapq.heapify(heap)
-    above: dict[int, tuple[int, int]] = {}
-    for fork in range(n - 1):
-        (w, x), (v, y) = heapq.heappop(heap), heapq.heappop(heap)
-        above[x], above[y] = (fork, 0), (fork, 1)
-        heapq.heappush(heap, (w + v, n + fork))
-    out = []
-    for leaf in range(n):
-        path, at = [], leaf
-        while at in above:
-            path.append(above[at])
-            at = n + above[at][0]
-        out.append(path)
-    return out
-
-
-class Tree:
-    """The class of every unit, and its way through the forks of its class."""
-
-    def __init__(self, words: list[bytes], common: int, counts: list[float]):
-        """``counts`` has the words', then the shapes'."""
-        v = len(words)
-        within: list[list[int]] = [[] for _ in range(SHAPES)]
-        self.of = np.arange(v + SHAPES + 1)
-        for u in range(common, v):
-            within[shape(words[u])].append(u)
-        for k, units in enumerate(within):
-            self.of[units] = common + k
-        self.of[v:] -= v - common
-        ways: dict[int, list[tuple[int, int]]] = {}
-        self.forks = 0
-        for k, units in enumerate(within):
-            leaves = [*units, v + k]
-            for u, path in zip(leaves, _codes([counts[u] + 0.5 for u in leaves])):
-                ways[u] = [(self.forks + fork, side) for fork, side in path]
-            self.forks += len(units)
-        flat = [x for u in range(v + SHAPES + 1) for x in ways.get(u, ())]
-        self.long = np.array([len(ways.get(u, ())) for u in range(v + SHAPES + 1)])
-        self.first = self.long.cumsum() - self.long
-        self.fork, self.side = np.array(flat, np.int64).reshape(-1, 2).T.copy()
-
-    def ways(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in ``units``, fork and side, for all forks of each unit in a row."""
-        long = self.long[units]
-        who = np.repeat(np.arange(len(units)), long)
-        at = np.arange(len(who)) - np.repeat(long.cumsum() - long, long) + self.first[units][who]
-        return who, self.fork[at], self.side[at]
-
-
 def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and the sums of their rows."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     ids = ids[order]
     first = np.flatnonzero(np.concatenate([[True] * (len(ids) > 0), ids[1:] != ids[:-1]]))
-    return ids[first], np.add.reduceat(rows[order], first, axis=0) if len(ids) else rows
+    return ids[first], np.add.reduceat(rows.take(order, 0), first, axis=0) if len(ids) else rows
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
-@dataclass
 class LogBilinear:
-    """Scores of class w after units (j, i): (q[i] C1 + q[j] C2) . r[w] + b[w]; those of a fork f within a class have
-    t[f] and its last column in place of r and b.  Without a tree, units are classes."""
-
-    many: int
-    width: int = 24
-    parameters: dict[str, np.ndarray] = field(default_factory=dict)
-    tree: Tree | None = None
-    touched: dict[str, np.ndarray] = field(default_factory=dict)  # weight of what rows of q and t have learnt from
-
-    @property
-    def units(self) -> int:
-        return len(self.tree.of) if self.tree else self.many
-
-    def start(self, noise: np.ndarray, seed: int = 11) -> LogBilinear:
-        r = np.random.default_rng(seed)
-        d = self.width
+    """After units (j, i) the row h = q[i] C1 + q[j] C2 predicts; a class c scores h . k[c], a unit w of it h . r[w], where
+    the last column of k and r stands for a bias."""
+
+    def __init__(self, mass: np.ndarray, width: int = 24, seed: int = 11):
+        """``mass`` has the units' counts, none above the one before it.  Before any training the model is that of counts."""
+        self.mass = mass / mass.sum()
+        self.edges = np.concatenate([[0.0], self.mass.cumsum()])
+        classes = math.isqrt(len(mass) - 1) + 1
+        _, self.of = np.unique(np.minimum(self.edges[:-1] * classes, classes - 1).astype(np.int64), return_inverse=True)
+        self.low = np.searchsorted(self.of, np.arange(self.of[-1] + 2))
+        self.weight = np.add.reduceat(self.mass, self.low[:-1])
+        self.many, self.width, r = len(mass) + 1, width, np.random.default_rng(seed)
+        start = lambda n, bias: np.concatenate([r.normal(0, 0.1, (n, width)), bias[:, None]], 1)
         self.parameters = {
-            "q": r.normal(0, 0.3, (self.units, d)), "r": r.normal(0, 0.3, (self.many, d)), "b": np.log(noise),
-            "c1": np.eye(d) * 0.7, "c2": np.eye(d) * 0.5, "t": np.zeros((self.tree.forks if self.tree else 0, d + 1)),
+            "q": r.normal(0, 0.1, (self.many, width)), "k": start(len(self.weight), np.log(self.weight)),
+            "r": start(len(mass), np.log(self.mass / self.weight[self.of])), "c1": np.eye(width), "c2": 0.5 * np.eye(width),
         }
         self.parameters = {k: x.astype(np.float32) for k, x in self.parameters.items()}
-        return self
+        self.turned: tuple[np.ndarray, np.ndarray] | None = None
+
+    def copy(self) -> LogBilinear:
+        own = copy.copy(self)
+        own.parameters, own.turned = {k: x.copy() for k, x in self.parameters.items()}, None
+        return own
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        p = self.parameters
-        return p["q"][context % self.units] @ p["c1"] + p["q"][context // self.units] @ p["c2"]
-
-    def log_probabilities(self, context: np.ndarray) -> np.ndarray:
-        """Natural logs for every class, normalised, a row for each context."""
-        p = self.parameters
-        s = self.predicted(context).astype(np.float32) @ p["r"].T.astype(np.float32) + p["b"].astype(np.float32)
-        s -= s.max(1, keepdims=True)
-        return s - np.log(np.exp(s).sum(1, keepdims=True))
-
-    def logs_within(self, h: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """Natural logs of each unit within its class, where ``h`` has the row predicted for it."""
-        out = np.zeros(len(units))
-        for at in range(0, len(units) if self.tree else 0, 8192):
-            who, fork, side = self.tree.ways(units[at : at + 8192])
-            t = self.parameters["t"][fork]
-            z = np.einsum("ij,ij->i", h[at : at + 8192][who], t[:, :-1]) + t[:, -1]
-            out[at : at + 8192] = -np.bincount(who, np.logaddexp(0, np.where(side == 1, -z, z)), len(units[at : at + 8192]))
+        if self.turned is None:  # the parameters stay as they are from now on
+            p = self.parameters
+            self.turned = p["q"] @ p["c1"], p["q"] @ p["c2"]
+        j, i = np.divmod(context, self.many)
+        h = np.ones((len(context), self.width + 1), np.float32)
+        h[:, :-1] = self.turned[0].take(i, 0) + self.turned[1].take(j, 0)
+        return h
+
+    def _picked(self, h: np.ndarray, rows: np.ndarray, at: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """Natural logs of the outcome ``at`` of each row of ``h`` among all ``rows``, normalised; in blocks that stay in
+        a processor's cache."""
+        out, step = np.einsum("ij,ij->i", h, rows.take(at, 0)), max(1, block // len(rows))
+        bounded = np.sqrt((h**2).sum(1).max(initial=0) * (rows**2).sum(1).max()) < 80
+        for k in range(0, len(h), step):
+            s = h[k : k + step] @ rows.T
+            top = 0 if bounded else s.max(1)
+            if not bounded:
+                s -= top[:, None]
+            out[k : k + step] -= np.log(np.exp(s, out=s).sum(1)) + top
         return out
 
-    def train(self, context: np.ndarray, target: np.ndarray, count: np.ndarray, noise: np.ndarray, *, steps: int, size: int = 4096, samples: int = 64, rate: float = 0.01, seed: int = 0, cap: float | None = None, turn: int = 0, rounds: int = 1) -> None:
-        """Noise-contrastive steps in whole passes over the round's pieces of the trigrams, ``steps`` of them at least; a
-        step's noise classes serve all its rows.  Forks learn by their logistic loss.  Rows of ``q`` and ``t`` change in
-        the steps that meet them."""
-        r, p = np.random.default_rng(seed), self.parameters
-        self.touched = {k: np.zeros(len(p[k])) for k in ("q", "t")}
-        piece, weight = pieces(context * self.units + target, count, cap or count.mean(), turn, rounds, steps * size)
-        if not len(piece):
-            return
-        order = np.concatenate([r.permutation(len(piece)) for _ in range(-(-steps * size // len(piece)))])
-        steps, log_noise = -(-len(order) // size), np.log(noise).astype(np.float32)
-        noise_edges = noise.cumsum() / noise.sum()
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        v = {k: np.zeros_like(x) for k, x in p.items()}
-        met = {k: np.zeros(len(p[k]), np.int32) for k in ("q", "t")}
-        shift = np.log(samples)
-        for step in range(1, steps + 1):
-            at = order[(step - 1) * size : step * size]
-            rows, share = piece[at], (weight[at] / weight[at].sum()).astype(np.float32)
-            w, c = target[rows], context[rows]
-            drawn = np.minimum(np.searchsorted(noise_edges, r.random(samples)), self.many - 1)
-            i, j = c % self.units, c // self.units
-            qi, qj = p["q"][i], p["q"][j]
-            h = qi @ p["c1"] + qj @ p["c2"]
-            unit, w = w, self.tree.of[w] if self.tree else w
-            own = (h * p["r"][w]).sum(1) + p["b"][w] - log_noise[w] - shift
-            other = h @ p["r"][drawn].T + p["b"][drawn] - log_noise[drawn] - shift
-            e_own = share * (1 / (1 + np.exp(-own)) - 1)  # gradient of the loss by each score
-            e_other = share[:, None] / (1 + np.exp(-other))
-            gh = e_own[:, None] * p["r"][w] + e_other @ p["r"][drawn]
-            g, by_word = {}, np.zeros((self.many, self.width), np.float32)
-            np.add.at(by_word, drawn, e_other.T @ h)
-            words, sums = _summed(w, e_own[:, None] * h)
-            by_word[words] += sums
-            g["r"] = by_word
-            g["b"] = np.bincount(w, e_own, self.many) + np.bincount(drawn, e_other.sum(0), self.many)
-            some: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            if self.tree:
-                who, fork, side = self.tree.ways(unit)
-                t, hw = p["t"][fork], h[who]
-                e = share[who] * (1 / (1 + np.exp(-np.einsum("ij,ij->i", hw, t[:, :-1]) - t[:, -1])) - side).astype(np.float32)
-                places, sums = _summed(who, e[:, None] * t[:, :-1])
-                gh[places] += sums
-                some["t"] = _summed(fork, e[:, None] * np.concatenate([hw, np.ones((len(hw), 1), np.float32)], 1))
-                self.touched["t"] += np.bincount(fork, weight[at][who], len(p["t"]))
-            some["q"] = _summed(np.concatenate([i, j]), np.concatenate([gh @ p["c1"].T, gh @ p["c2"].T]))
-            self.touched["q"] += np.bincount(np.concatenate([i, j]), np.concatenate([weight[at]] * 2), self.units)
-            g["c1"], g["c2"] = qi.T @ gh, qj.T @ gh
-            pace = rate * (1 - 0.9 * step / steps)
-            for k in g:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                p[k] = (p[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            for k, (at, x) in some.items():
-                met[k][at] += 1
-                n = met[k][at][:, None]
-                m[k][at] = a = 0.9 * m[k][at] + 0.1 * x
-                v[k][at] = b = 0.99 * v[k][at] + 0.01 * x**2
-                p[k][at] -= pace * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.99**n)) + 1e-8)
-
-    def packed(self, weight: float) -> pa.RecordBatch:
+    def logs(self, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Natural log of each unit's probability after its context."""
+        p, of = self.parameters, self.of[unit]
+        h = self.predicted(context)
+        out = self._picked(h, p["k"], of).astype(np.float64)
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(len(self.weight) + 1))
+        for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.low) > 1)):
+            at, a, b = order[cuts[c] : cuts[c + 1]], self.low[c], self.low[c + 1]
+            out[at] += self._picked(h.take(at, 0), p["r"][a:b], unit[at] - a)
+        return out
+
+    def begin(self, noise: int, inner: int, rate: float, seed: int, calm: float = 1.0) -> None:
+        """Makes ready for the steps of a round."""
+        self.random, self.noise, self.inner, self.rate, self.calm = np.random.default_rng(seed), noise, inner, rate, calm
+        self.seen = {k: np.full(len(x) if k in "qkr" else x.shape, self.calm, np.float32) for k, x in self.parameters.items()}
+        self.learnt = {k: np.zeros(len(self.parameters[k]), np.float32) for k in "qkr"}
+
+    def _move(self, name: str, ids: np.ndarray, rows: np.ndarray) -> None:
+        """An Adagrad step of some rows, with one pace for each row."""
+        ids, g = _summed(ids, rows)
+        self.learnt[name][ids] += 1
+        self.seen[name][ids] = seen = self.seen[name].take(ids) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        g *= (self.rate / np.sqrt(seen))[:, None]
+        self.parameters[name][ids] = self.parameters[name].take(ids, 0) - g
+
+    def step(self, context: np.ndarray, unit: np.ndarray) -> None:
+        """A noise-contrastive step: each token's class against classes drawn for all rows alike, and its unit against
+        units drawn for all rows of its class alike."""
+        p, of = self.parameters, self.of.take(unit)
+        j, i = np.divmod(context, self.many)
+        qi, qj = p["q"].take(i, 0), p["q"].take(j, 0)
+        h = np.ones((len(unit), self.width + 1), np.float32)
+        h[:, :-1] = qi @ p["c1"] + qj @ p["c2"]
+        drawn = np.minimum(np.searchsorted(self.weight.cumsum(), self.random.random(self.noise)), len(self.weight) - 1)
+        shift = np.log(self.noise * self.weight).astype(np.float32)
+        k_own, k_drawn = p["k"].take(of, 0), p["k"].take(drawn, 0)
+        e_own = _sigmoid(np.einsum("ij,ij->i", h, k_own) - shift[of]) - 1
+        e_drawn = _sigmoid(h @ k_drawn.T - shift[drawn])
+        gh = e_own[:, None] * k_own + e_drawn @ k_drawn
+        ids, sums = _summed(of, e_own[:, None] * h)
+        moved = {"k": (np.concatenate([ids, drawn]), np.concatenate([sums, e_drawn.T @ h]))}
+        deep = np.flatnonzero(np.diff(self.low)[of] > 1)
+        if len(deep):
+            deep = deep[np.argsort(of[deep], kind="stable")]
+            w, hd = unit[deep], h.take(deep, 0)
+            classes, first, times = np.unique(of[deep], return_index=True, return_counts=True)
+            low, long = self.low[classes], np.diff(self.low)[classes]
+            other = low[:, None] + (self.random.random((len(classes), self.inner)) * long[:, None]).astype(np.int64)
+            shift = np.log(self.inner / long).astype(np.float32)
+            which = np.repeat(np.arange(len(classes)), times)
+            place = np.arange(len(deep)) - first[which]
+            # rows of one class stand together, filled up with zeros
+            stack, seen = np.zeros((len(classes), times.max(), self.width + 1), np.float32), np.zeros((len(classes), times.max(), 1), np.float32)
+            stack[which, place], seen[which, place] = hd, 1
+            rows, r_own = p["r"].take(other, 0), p["r"].take(w, 0)
+            e_own = _sigmoid(np.einsum("ij,ij->i", hd, r_own) - shift[which]) - 1
+            e = _sigmoid(stack @ rows.transpose(0, 2, 1) - shift[:, None, None]) * seen
+            gh[deep] += e_own[:, None] * r_own + (e @ rows)[which, place]
+            moved["r"] = np.concatenate([w, other.ravel()]), np.concatenate([e_own[:, None] * hd, (e.transpose(0, 2, 1) @ stack).reshape(-1, self.width + 1)])
+        gh = gh[:, :-1]
+        moved["q"] = np.concatenate([i, j]), np.concatenate([gh @ p["c1"].T, gh @ p["c2"].T])
+        for name, q in (("c1", qi), ("c2", qj)):
+            g = q.T @ gh
+            self.seen[name] += g**2
+            p[name] -= 0.1 * self.rate * g / np.sqrt(self.seen[name])
+        for name, (at, g) in moved.items():
+            self._move(name, at, g)
+
+    def packed(self, steps: int) -> pa.RecordBatch:
         """Rows of all parameters that have learnt something, with their weights, in chunks."""
-        p = self.parameters
-        wide = lambda x: np.concatenate([x, np.zeros((len(x), self.width + 1 - x.shape[1]), np.float32)], 1)
-        rows = np.concatenate([wide(p["q"]), np.concatenate([p["r"], p["b"][:, None]], 1), wide(p["c1"]), wide(p["c2"]), p["t"]]).astype(np.float32)
-        weights = np.concatenate([self.touched["q"], np.full(self.many + 2 * self.width, weight), self.touched["t"]])
-        chunks = range(0, len(rows), CHUNK)
-        at = [np.flatnonzero(weights[k : k + CHUNK]) + k for k in chunks]
+        p, wide = self.parameters, self.width + 1
+        rows = np.concatenate([np.pad(p[k], ((0, 0), (0, wide - p[k].shape[1]))) for k in p])
+        weights = np.concatenate([self.learnt[k] if k in self.learnt else np.full(len(p[k]), steps, np.float32) for k in p])
+        at = [np.flatnonzero(weights[k : k + CHUNK]) + k for k in range(0, len(rows), CHUNK)]
         kept = [(k, x) for k, x in enumerate(at) if len(x)]
         columns = [pa.array([k for k, _ in kept], pa.int32()), *(pa.array([a[x].astype(t).tobytes() for _, x in kept], pa.binary()) for a, t in ((np.arange(len(rows)), "i8"), (weights, "f8"), (rows, "f4")))]
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "at", "weights", "rows"])
 
     def with_rows(self, at: np.ndarray, rows: np.ndarray) -> LogBilinear:
         """The model with these rows, as ``packed`` numbers them, in place of its own."""
-        p, d, n = {k: x.copy() for k, x in self.parameters.items()}, self.width, 0
-        for k, long in (("q", self.units), ("r", self.many), ("c1", d), ("c2", d), ("t", len(p["t"]))):
-            mine = (at >= n) & (at < n + long)
-            p[k][at[mine] - n] = rows[mine][:, : p[k].shape[1]]
-            if k == "r":
-                p["b"][at[mine] - n] = rows[mine][:, d]
-            n += long
-        return LogBilinear(self.many, d, p, self.tree)
+        own, n = self.copy(), 0
+        for x in own.parameters.values():
+            mine = (at >= n) & (at < n + len(x))
+            x[at[mine] - n] = rows[mine][:, : x.shape[1]]
+            n += len(x)
+        return own
 
 
 #: Rows of parameters that are averaged together.
@@ -360,8 +283,9 @@ def _mean(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Model:
-    common: list[bytes]  # words with a unit of their own
-    counts: dict[bytes, int]  # theirs, and of the commonest words, all of those with at least ``least`` occurrences
+    words: list[bytes]  # those with a unit of their own
+    places: np.ndarray  # their units, then those of the shapes
+    counts: dict[bytes, int]  # of the commonest words, all of those with at least ``least`` occurrences
     least: int
     tokens: int
     distinct: int
@@ -386,62 +310,68 @@ def _head(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     return counts, least
 
 
-def fit(docs: DataFrame, store: Store, *, common: int = 320, own: int = 100, head: int = 150_000, width: int = 24, rounds: int = 6, steps: int = 150, parts: int = 6) -> tuple[Model, DataFrame]:
-    """The model, and the table of all word counts that it rests on."""
-    texts = docs.where(~held_out()).select("text")
+def fit(docs: DataFrame, store: Store, *, own: int = 100, head: int = 150_000, width: int = 24, rounds: int = 3, part: int = 20_000_000, few: int = 1_000_000, size: int = 8192, noise: int = 64, inner: int = 16, rate: float = 0.4) -> tuple[Model, DataFrame]:
+    """The model, and the table of all word counts that it rests on.  ``part`` tokens make a partition of training; where
+    there are fewer than ``few`` tokens in all, each is gone through more often."""
+    if not 0 < head <= 2_000_000:
+        raise ValueError("head must be at most 2,000,000, so that three units make a number")
+    texts = docs.where(~held_out()).select("doc_id", "text")
     words = store.put(count_words(texts), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     counts, least = _head(words, head)
-    frequent = words.where(F.col("count") >= own).toArrow()
-    counts |= zip(frequent["word"].to_pylist(), frequent["count"].to_pylist())
-    ranked = sorted((w for w in counts if w != END), key=lambda w: (-counts[w], w))
-    top = [END, *(w for k, w in enumerate(ranked) if k < common - 1 or counts[w] >= own)]
-    common = min(common, len(top))
-    classes = Classes(top)
+    top = sorted(w for w, n in counts.items() if n >= own or w == END)
+    known = set(top)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, units = np.zeros(SHAPES), set(top)
+        total, seen = np.zeros(SHAPES), np.zeros(SHAPES, np.int64)
         for batch in batches:
             for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if w not in units:
-                    total[shape(w)] += n + 0.5
-        yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(total)], names=["shape", "total"])
-
-    share = np.full(SHAPES, 0.5)
-    for k, x in words.mapInArrow(shares, "shape int, total double").groupBy("shape").agg(F.sum("total")).collect():
+                if w not in known:
+                    k = shape(w)
+                    total[k] += n + 0.5
+                    seen[k] += n
+        yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(total), pa.array(seen)], names=["shape", "total", "seen"])
+
+    share, mass = np.full(SHAPES, 0.5), np.array([counts.get(w, 0) for w in top] + [0] * SHAPES) + 0.5
+    for k, x, n in words.mapInArrow(shares, "shape int, total double, seen long").groupBy("shape").agg(F.sum("total"), F.sum("seen")).collect():
         share[k] += x
-    model = Model(top, counts, least, tokens, distinct, share, None)
+        mass[len(top) + k] += n
+    order = np.argsort(-mass, kind="stable")
+    places = np.empty(len(order), np.int64)
+    places[order] = np.arange(len(order))
+    model = Model(top, places, counts, least, tokens, distinct, share, None)
     if not tokens:
         return model, words
-    parts = max(parts, -(-tokens // PART))
-    trigrams = store.put(count_trigrams(texts, top), "trigrams")  # dealt by a hash, so that any part is a fair share
-    seen, distinct_trigrams = np.zeros(classes.many), 0
-    for k, n, rows in trigrams.groupBy("class").agg(F.sum("count"), F.count("*")).collect():
-        seen[k] += n
-        distinct_trigrams += rows
-    tree = Tree(top, common, seen.tolist())
-    many = common + SHAPES + 1
-    noise = np.bincount(tree.of, seen, many) + 0.5
-    noise /= noise.sum()
-    net = LogBilinear(many, width, tree=tree).start(noise)
+    net, parts, passes = LogBilinear(mass[order], width), -(-tokens // part), -(-few // tokens)
     for turn in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], begun=net, turn=turn) -> Iterator[pa.RecordBatch]:
-            columns = [[], [], []]
-            for batch in batches:
-                for c, x in zip(columns, batch.columns):
-                    c.append(x.to_numpy())
-            context, target, count = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
-            if len(context):
-                own = LogBilinear(many, width, {k: x.copy() for k, x in begun.parameters.items()}, begun.tree)
-                own.train(context, target, count.astype(float), noise, steps=steps, rate=0.02 * 0.75**turn, seed=1000 * turn + TaskContext.get().partitionId(), cap=tokens / distinct_trigrams, turn=turn, rounds=rounds)
-                yield own.packed(float(count.sum()))
-
-        got = trigrams.select("context", F.col("class").cast("long"), "count").coalesce(parts).mapInArrow(run, PACKED).groupBy("chunk").applyInArrow(_mean, PACKED).toArrow()
+            own, units, held, steps, waiting = begun.copy(), Units(top, places), [], 0, 0
+            own.begin(noise, inner, rate / (1 + 2 * turn), 1000 * turn + TaskContext.get().partitionId())
+
+            def learn() -> int:
+                unit, context = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                for _ in range(passes):
+                    for at in np.array_split(own.random.permutation(len(unit)), -(-len(unit) // size)):
+                        own.step(context[at], unit[at])
+                held.clear()
+                return passes * -(-len(unit) // size)
+
+            for batch in slices(batches):
+                held.append(units.encode(_tokens(texts_as_bytes(batch.column(0))))[:2])
+                waiting += len(held[-1][0])
+                if waiting > 1_000_000:
+                    steps, waiting = steps + learn(), 0
+            if waiting:
+                steps += learn()
+            if steps:
+                yield own.packed(steps)
+
+        mine = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn) if passes == 1 else texts
+        got = mine.select("text").coalesce(parts).mapInArrow(run, PACKED).groupBy("chunk").applyInArrow(_mean, PACKED).toArrow()
         at, rows = (np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("at", "i8"), ("rows", "f4")))
         net = net.with_rows(at, rows.reshape(len(at), width + 1))
     model.net = net
-    store.drop("trigrams")
     return model, words
 
 
@@ -451,26 +381,20 @@ def _scores_in_head(docs: DataFrame, model: Model) -> DataFrame:
     schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, net double, word binary, shape int, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, counts = Classes(model.common), model.counts
+        units, counts = Units(model.words, model.places), model.counts
         key = TaskContext.get().partitionId() << 40
         whole = np.log10(model.tokens + 0.5 * (model.distinct + 1))
-        logs = {w: (float(np.log10(n + 0.5) - whole), 0.0 if w in classes else float(np.log10((n + 0.5) / model.share[shape(w)]))) for w, n in counts.items()}
+        own = set(model.words)
+        logs = {w: (float(np.log10(n + 0.5) - whole), 0.0 if w in own else float(np.log10((n + 0.5) / model.share[shape(w)]))) for w, n in counts.items()}
         for batch in slices(batches):
             texts = _tokens(texts_as_bytes(batch.column(2)))
             nets = np.zeros(len(texts))
             if model.net is not None:
-                own, context, sizes = classes.encode(texts)
-                met, where = np.unique(context, return_inverse=True)
-                tree = model.net.tree
-                got, deep = np.zeros(len(own)), np.flatnonzero(tree.long[own])
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(0, len(met) + 2048, 2048))
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    table = model.net.log_probabilities(met[k * 2048 : (k + 1) * 2048])
-                    at = order[a:b]
-                    got[at] = table[where[at] - k * 2048, tree.of[own[at]]]
-                got[deep] += model.net.logs_within(model.net.predicted(met)[where[deep]], own[deep])
-                nets = np.add.reduceat(got, np.concatenate([[0], sizes.cumsum()[:-1]])) / np.log(10)
+                unit, context, sizes = units.encode(texts)
+                # equal tokens in equal contexts are scored once
+                met, back = np.unique(context * model.net.many + unit, return_inverse=True)
+                got = model.net.logs(*np.divmod(met, model.net.many))[back]
+                nets = np.add.reduceat(got, sizes.cumsum() - sizes) / np.log(10)
             rows: list[tuple] = []
             for doc, held, words, net in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, nets.tolist()):
                 known, base, inner = 0, 0.0, 0.0
