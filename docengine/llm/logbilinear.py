@@ -1,14 +1,14 @@
 """Language-model scores from a log-bilinear neural model, next to add-half unigram scores.
 
 The unigram base counts every token of the training documents exactly: words, and one end for each document.  The
-log-bilinear model predicts a token from the two before it.  The commonest words (all that occur ``own`` times, as many
-as ``head`` allows) are units with an embedding of their own, as context and as target; all others are a unit for each
+log-bilinear model predicts a token from the two before it.  The commonest words (all that occur ``own`` times, ``units``
+at most) are units with an embedding of their own, as context and as target; all others are a unit for each
 shape.  Units in the order of their counts are cut into classes of about equal mass, as many as the square root of the
 units: the model gives the class, then the unit within it, both log-bilinear.  A word without a unit of its own has its
 add-half share of its shape's, so the product is a distribution over all words, one unknown word for each shape included.
 
 Noise-contrastive estimation runs in numpy.  Training goes once through every token of the training documents (several
-times where these are few), in rounds over disjoint parts of them, on each partition by itself; after a round the
+times where these are few; equal ones in equal contexts that a task holds together as one with a weight), in rounds over disjoint parts of them, on each partition by itself; after a round the
 partitions' parameters are averaged, each row by how much it has learnt from.  Partitions grow with the tokens, and a
 partition's updates are far smaller than its texts.  Nothing is shuffled before training, so a task that is run again
 sees the same rows in the same order and learns the same.
@@ -18,8 +18,8 @@ each class with all units of that class.
 
 Documents whose ``crc32`` of the id, as text, leaves the remainder 1 on division by 5 are held out of all learning.
 
-What is broadcast: parameters and words of at most ``head`` units, and their counts, some 30 MB at 150,000 however large
-the corpus.  Counts of other words meet the documents' words in a join.
+What is broadcast: parameters and words of at most ``units`` units, some 10 MB, and counts of at most ``head`` words, some
+4 MB, however large the corpus.  Counts of other words meet the documents' words in a join.
 
 Defined cases: a null or empty text is its end alone; a null id is not held out; rows are scored each on its own; an
 empty table gives no rows; where nothing is left to train on, all tokens are unknown and the model is the base;
@@ -166,29 +166,37 @@ class LogBilinear:
         h[:, :-1] = self.turned[0].take(i, 0) + self.turned[1].take(j, 0)
         return h
 
-    def _picked(self, h: np.ndarray, rows: np.ndarray, at: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-        """Natural logs of the outcome ``at`` of each row of ``h`` among all ``rows``, normalised; in blocks that stay in
-        a processor's cache."""
-        out, step = np.einsum("ij,ij->i", h, rows.take(at, 0)), max(1, block // len(rows))
+    @staticmethod
+    def _totals(h: np.ndarray, rows: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """For each row of ``h`` the natural log of the sum of exp(h . row) over all ``rows``; in blocks that stay in a
+        processor's cache."""
+        out, step = np.zeros(len(h)), max(1, block // len(rows))
         bounded = np.sqrt((h**2).sum(1).max(initial=0) * (rows**2).sum(1).max()) < 80
         for k in range(0, len(h), step):
             s = h[k : k + step] @ rows.T
-            top = 0 if bounded else s.max(1)
             if not bounded:
+                out[k : k + step] = top = s.max(1)
                 s -= top[:, None]
-            out[k : k + step] -= np.log(np.exp(s, out=s).sum(1)) + top
+            out[k : k + step] += np.log(np.exp(s, out=s).sum(1))
         return out
 
     def logs(self, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Natural log of each unit's probability after its context."""
-        p, of = self.parameters, self.of[unit]
-        h = self.predicted(context)
-        out = self._picked(h, p["k"], of).astype(np.float64)
+        """Natural log of each unit's probability after its context.  Each context is normalised over the classes once, and
+        over the units of a class once for all of them that follow it."""
+        p, many = self.parameters, len(self.weight)
+        met, context = np.unique(context, return_inverse=True)
+        pairs, pair = np.unique(context * many + self.of[unit], return_inverse=True)
+        h, (at, of) = self.predicted(met), np.divmod(pairs, many)
+        out = np.einsum("ij,ij->i", h.take(at, 0), p["k"].take(of, 0)) - self._totals(h, p["k"])[at]
         order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(len(self.weight) + 1))
-        for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.low) > 1)):
-            at, a, b = order[cuts[c] : cuts[c + 1]], self.low[c], self.low[c + 1]
-            out[at] += self._picked(h.take(at, 0), p["r"][a:b], unit[at] - a)
+        cuts = np.searchsorted(of[order], np.arange(many + 1))
+        deep = np.diff(self.low) > 1
+        for c in np.flatnonzero((np.diff(cuts) > 0) & deep):
+            own = order[cuts[c] : cuts[c + 1]]
+            out[own] -= self._totals(h.take(at[own], 0), p["r"][self.low[c] : self.low[c + 1]])
+        inner = np.flatnonzero(deep[of][pair])
+        out = out[pair]
+        out[inner] += np.einsum("ij,ij->i", h.take(context[inner], 0), p["r"].take(unit[inner], 0))
         return out
 
     def begin(self, noise: int, inner: int, rate: float, seed: int, calm: float = 1.0) -> None:
@@ -205,8 +213,8 @@ class LogBilinear:
         g *= (self.rate / np.sqrt(seen))[:, None]
         self.parameters[name][ids] = self.parameters[name].take(ids, 0) - g
 
-    def step(self, context: np.ndarray, unit: np.ndarray) -> None:
-        """A noise-contrastive step: each token's class against classes drawn for all rows alike, and its unit against
+    def step(self, context: np.ndarray, unit: np.ndarray, weight: np.ndarray) -> None:
+        """A noise-contrastive step on weighted tokens: each one's class against classes drawn for all rows alike, and its unit against
         units drawn for all rows of its class alike."""
         p, of = self.parameters, self.of.take(unit)
         j, i = np.divmod(context, self.many)
@@ -216,8 +224,8 @@ class LogBilinear:
         drawn = np.minimum(np.searchsorted(self.weight.cumsum(), self.random.random(self.noise)), len(self.weight) - 1)
         shift = np.log(self.noise * self.weight).astype(np.float32)
         k_own, k_drawn = p["k"].take(of, 0), p["k"].take(drawn, 0)
-        e_own = _sigmoid(np.einsum("ij,ij->i", h, k_own) - shift[of]) - 1
-        e_drawn = _sigmoid(h @ k_drawn.T - shift[drawn])
+        e_own = weight * (_sigmoid(np.einsum("ij,ij->i", h, k_own) - shift[of]) - 1)
+        e_drawn = weight[:, None] * _sigmoid(h @ k_drawn.T - shift[drawn])
         gh = e_own[:, None] * k_own + e_drawn @ k_drawn
         ids, sums = _summed(of, e_own[:, None] * h)
         moved = {"k": (np.concatenate([ids, drawn]), np.concatenate([sums, e_drawn.T @ h]))}
@@ -233,9 +241,9 @@ class LogBilinear:
             place = np.arange(len(deep)) - first[which]
             # rows of one class stand together, filled up with zeros
             stack, seen = np.zeros((len(classes), times.max(), self.width + 1), np.float32), np.zeros((len(classes), times.max(), 1), np.float32)
-            stack[which, place], seen[which, place] = hd, 1
+            stack[which, place], seen[which, place, 0] = hd, weight[deep]
             rows, r_own = p["r"].take(other, 0), p["r"].take(w, 0)
-            e_own = _sigmoid(np.einsum("ij,ij->i", hd, r_own) - shift[which]) - 1
+            e_own = weight[deep] * (_sigmoid(np.einsum("ij,ij->i", hd, r_own) - shift[which]) - 1)
             e = _sigmoid(stack @ rows.transpose(0, 2, 1) - shift[:, None, None]) * seen
             gh[deep] += e_own[:, None] * r_own + (e @ rows)[which, place]
             moved["r"] = np.concatenate([w, other.ravel()]), np.concatenate([e_own[:, None] * hd, (e.transpose(0, 2, 1) @ stack).reshape(-1, self.width + 1)])
@@ -270,6 +278,8 @@ class LogBilinear:
 
 #: Rows of parameters that are averaged together.
 CHUNK = 1024
+#: Tokens that a task holds before it learns from them.
+HELD = 2_000_000
 PACKED = "chunk int, at binary, weights binary, rows binary"
 
 
@@ -310,16 +320,17 @@ def _head(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     return counts, least
 
 
-def fit(docs: DataFrame, store: Store, *, own: int = 100, head: int = 150_000, width: int = 24, rounds: int = 3, part: int = 20_000_000, few: int = 1_000_000, size: int = 8192, noise: int = 64, inner: int = 16, rate: float = 0.4) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, head: int = 150_000, width: int = 24, rounds: int = 3, part: int = 20_000_000, few: int = 1_000_000, size: int = 8192, noise: int = 64, inner: int = 16, most: int = 16, rate: float = 0.4) -> tuple[Model, DataFrame]:
     """The model, and the table of all word counts that it rests on.  ``part`` tokens make a partition of training; where
     there are fewer than ``few`` tokens in all, each is gone through more often."""
-    if not 0 < head <= 2_000_000:
-        raise ValueError("head must be at most 2,000,000, so that three units make a number")
+    if not 0 < units <= 2_000_000:
+        raise ValueError("units must be at most 2,000,000, so that three of them make a number")
     texts = docs.where(~held_out()).select("doc_id", "text")
     words = store.put(count_words(texts), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     counts, least = _head(words, head)
-    top = sorted(w for w, n in counts.items() if n >= own or w == END)
+    ranked = sorted(((-n, w) for w, n in counts.items() if n >= own and w != END))[: units - 1]
+    top = sorted([w for _, w in ranked] + [END] * (END in counts))
     known = set(top)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,21 +357,27 @@ def fit(docs: DataFrame, store: Store, *, own: int = 100, head: int = 150_000, w
     for turn in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], begun=net, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, units, held, steps, waiting = begun.copy(), Units(top, places), [], 0, 0
+            own, place, held, steps, waiting = begun.copy(), Units(top, places), [], 0, 0
             own.begin(noise, inner, rate / (1 + 2 * turn), 1000 * turn + TaskContext.get().partitionId())
 
             def learn() -> int:
+                """Equal tokens in equal contexts are a row with their number as its weight, or several of ``most`` at the
+                utmost."""
                 unit, context = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                held.clear()
+                met, times = np.unique(context * own.many + unit, return_counts=True)
+                cuts = -(-times // most)
+                met, weight = np.repeat(met, cuts), np.repeat((times / cuts).astype(np.float32), cuts)
+                context, unit = np.divmod(met, own.many)
                 for _ in range(passes):
                     for at in np.array_split(own.random.permutation(len(unit)), -(-len(unit) // size)):
-                        own.step(context[at], unit[at])
-                held.clear()
+                        own.step(context[at], unit[at], weight[at])
                 return passes * -(-len(unit) // size)
 
             for batch in slices(batches):
-                held.append(units.encode(_tokens(texts_as_bytes(batch.column(0))))[:2])
+                held.append(place.encode(_tokens(texts_as_bytes(batch.column(0))))[:2])
                 waiting += len(held[-1][0])
-                if waiting > 1_000_000:
+                if waiting > HELD:
                     steps, waiting = steps + learn(), 0
             if waiting:
                 steps += learn()
@@ -386,14 +403,12 @@ def _scores_in_head(docs: DataFrame, model: Model) -> DataFrame:
         whole = np.log10(model.tokens + 0.5 * (model.distinct + 1))
         own = set(model.words)
         logs = {w: (float(np.log10(n + 0.5) - whole), 0.0 if w in own else float(np.log10((n + 0.5) / model.share[shape(w)]))) for w, n in counts.items()}
-        for batch in slices(batches):
+        for batch in slices(batches, 2048):
             texts = _tokens(texts_as_bytes(batch.column(2)))
             nets = np.zeros(len(texts))
             if model.net is not None:
                 unit, context, sizes = units.encode(texts)
-                # equal tokens in equal contexts are scored once
-                met, back = np.unique(context * model.net.many + unit, return_inverse=True)
-                got = model.net.logs(*np.divmod(met, model.net.many))[back]
+                got = model.net.logs(context, unit)
                 nets = np.add.reduceat(got, sizes.cumsum() - sizes) / np.log(10)
             rows: list[tuple] = []
             for doc, held, words, net in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, nets.tolist()):
