@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = store.put(edges.where("a <> b").select(high, low).distinct(), "0")
     before, turn = None, 0
-    while True:
+    while not edges.isEmpty():
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()

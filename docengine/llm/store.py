@@ -1,22 +1,42 @@
 """Intermediate results that outlive a lost executor.
 
-Lineage is cut by writing a table into the folder that ``spark.checkpoint.dir`` names; every executor and the
-driver can read it.  Where the session names none (tests on one machine) a folder under the system's temporary
-directory is used.
+Lineage is cut by writing a table into the folder that ``spark.checkpoint.dir`` names; every executor and the driver can
+read it.  Where the session names none, a folder under the system's temporary directory serves a session that runs on one
+machine (tests); any other is an error, as its executors would each write to a disk of their own.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it Spark deletes a query's shuffle files when the query ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or f"file://{tempfile.gettempdir()}/docengine").rstrip("/")
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/docengine"
+    return base.rstrip("/")
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run meanwhile delete their shuffle files at their end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 class Store:
@@ -27,16 +47,15 @@ class Store:
         self.root = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table.  The shuffle files that led to it are of no use any more; Spark
-        deletes them once the driver has collected what stood for them, which a hint brings forward."""
+        """Write ``df`` and return the written table."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        gc.collect()
-        self.spark._jvm.System.gc()
+        with tidy(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
