@@ -6,9 +6,8 @@ its own, so no sequence holds two documents, none needs padding, and sequences o
 batches of equal shape are drawn.  The operator needs no shuffle: pieces of a document depend on that document alone.
 
 Defined cases: a null or empty text is the separator alone (one piece of length 1); a null id is carried along; equal
-rows are packed each on its own; an empty table gives no rows; further columns are ignored.  With ``added``, a text's
-literal added tokens (``<|endoftext|>``) have their own ids, as ``tokenizers`` has it unless ``encode_special_tokens`` is
-set; without, they are ordinary characters.
+rows are packed each on its own; an empty table gives no rows; further columns are ignored; a text's literal added tokens
+(``<|endoftext|>``) have their own ids, as in ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -42,7 +41,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 def byte_level_core(path: str):
-    """An encoder with the vocabulary of a ``tokenizers`` file of byte-level BPE; special tokens are ordinary text.
+    """An encoder with the vocabulary of a ``tokenizers`` file of byte-level BPE, without its added tokens.
 
     Ids of such a vocabulary rise in the order of its merges, which is all that the encoder needs; it gives the ids of
     ``tokenizers.Tokenizer.encode(text, add_special_tokens=False)`` at several times the speed (the tests compare them).
@@ -69,10 +68,10 @@ class WordEncoder(dict):
     parts encoded apart with the same ids.  A text with more white space next to a blank is encoded whole.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         self.core = byte_level_core(path)
         with open(path, encoding="utf-8") as f:
-            tokens = json.load(f).get("added_tokens", []) if added else []
+            tokens = json.load(f).get("added_tokens", [])
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
             raise ValueError("added tokens that look at what stands around them")
         self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in tokens}
@@ -105,7 +104,7 @@ class WordEncoder(dict):
             return self.plain(text)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, longest: int = 1024, separator: int = 0, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, longest: int = 1024, separator: int = 0) -> DataFrame:
     """Pieces of all documents (``doc_id``, ``text``): one row for each, with its ids as little-endian uint32.
 
     ``sequence_id`` numbers the sequences of a partition in order, under the partition's number in the upper bits;
@@ -115,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, *, longest: int = 1024, separator: int
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = WordEncoder(tokenizer, added), TaskContext.get().partitionId() << 40
+        encoder, sequence = WordEncoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in slices(batches, 128):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
