@@ -6,8 +6,8 @@ corpus) estimates each labeller's accuracy and the posterior of good for every p
 label a bounded sample of documents for a logistic scorer over hashed words and word shapes, which scores all.
 
 Defined cases: a null or empty text has no words, draws no bad vote and is kept, with the scorer's bias as its score;
-a null id is carried along; equal rows score alike; an empty table gives no rows and trains nothing; further columns are
-kept by ``keep_good`` and ignored by ``scores``.
+a null id is carried along; equal rows score alike; an empty table gives no rows and trains nothing; where no labeller
+speaks on any document all are kept; further columns are kept by ``keep_good`` and ignored by ``scores``.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ class LabelModel:
 def _shape(word: bytes) -> bytes:
     """The word with letters and digits as classes and runs of one class drawn together."""
     out = bytearray()
-    for b in word[:32]:
+    for b in word:
         c = 97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b
         if not out or out[-1] != c:
             out.append(c)
@@ -210,15 +210,26 @@ def _vote_table(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, ", ".join(f"{n} int" for n in names)).groupBy(*names).count()
 
 
+def _drawn(docs: DataFrame, n: float, sample: int) -> DataFrame:
+    """Texts of ``sample`` documents: of all there are, those of the lowest hashes of id and text, each once.  Where many
+    rows are equal there are fewer, but never none."""
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    for share in (min(1.0, 8 * sample / n), 1.0):
+        some = hashed.where(F.col("h") < int(share * 2**64 - 2**63)) if share < 1 else hashed
+        last = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        if last is not None:
+            return hashed.where(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text")).select("text")
+    raise ValueError("no documents")
+
+
 def fit(docs: DataFrame, *, sample: int = 6000, width: int = 1 << 15) -> QualityModel | None:
-    """``sample`` bounds the documents that the scorer is trained on (expected number, drawn by a hash of the text);
-    votes are counted over all documents."""
+    """``sample`` bounds the documents that the scorer is trained on; votes are counted over all documents.  It is an error
+    if labellers speak, but on none of the sample, as there is nothing to learn from."""
     patterns = np.array([tuple(r) for r in _vote_table(docs).collect()], np.int64)
     if not len(patterns):
         return None
     counts, patterns = patterns[:, -1].astype(float), patterns[:, :-1]
     labels = LabelModel().fit(patterns, counts)
-    share = min(1.0, sample / counts.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets(width)
@@ -235,9 +246,10 @@ def fit(docs: DataFrame, *, sample: int = 6000, width: int = 1 << 15) -> Quality
             kinds = (pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["at", "share", "votes"])
 
-    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    rows = drawn.mapInArrow(run, "at array<int>, share array<double>, votes array<int>").toArrow()
+    rows = _drawn(docs, counts.sum(), sample).mapInArrow(run, "at array<int>, share array<double>, votes array<int>").toArrow()
     if not rows.num_rows:
+        if patterns.any():
+            raise ValueError("no labeller speaks on any document of the sample; take a larger one")
         return QualityModel(labels, Scorer(np.zeros(width), 1.0))
     y = labels.posterior(np.array(rows["votes"].to_pylist(), np.int64))
     lists = [[x.values.to_numpy() for x in rows[c]] for c in ("at", "share")]
