@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -31,7 +32,7 @@ from docengine.llm.words import slices
 
 #: Fixed order of kinds at one start: the base kinds, then those of the generators.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret", "number", "address", "iban")
+KINDS = (*BASE, "secret", "number", "address", "iban", "street", "birth", "name")
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -85,13 +86,19 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-#: Generators: kind, pattern (its group 1 is the span), and characters of which one must be present.
+#: Runs of the characters of keys; those with a digit are proposed where a quote, a bracket, a mark or a blank is before.
+RUN = re.compile(r"[A-Za-z0-9_+/=.-]{16,}+")
+BEFORE = " \t\n\x0b\f\r\"'=:,;(<>"
+#: Generators: kind, pattern (its group 1 is the span), and texts of which one must be present.
 GENERATORS = (
-    (4, re.compile(r"[=:][ \t]{0,4}[\"']?([^\s\"'<>]{6,})"), "=:"),
-    (4, re.compile(r"(?<![^\s\"'=:,;(<>])((?=[^\s\"']*[0-9])[A-Za-z0-9_+/=.-]{16,})"), DIGITS),
+    (4, re.compile(r"[=:][ \t]{0,4}[\"']?([^\s\"'<>]{6,}+)"), "=:"),
+    (4, re.compile(r"\b(?:password|passphrase|passwd|pwd|token|secret|api[_ -]?key)[ \t]{1,4}is[ \t]{1,4}[\"']?([^\s\"'<>]{6,}+)", re.I), ("password", "passphrase", "passwd", "pwd", "token", "secret", "key")),
     (5, re.compile(r"(?<![0-9A-Za-z])(\(?[0-9](?:[ ().-]{0,2}[0-9]){6,24})(?![0-9A-Za-z])"), DIGITS),
     (6, re.compile(r"(?<![0-9A-Fa-f:])((?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])"), ":"),
     (7, re.compile(r"(?<![0-9A-Za-z])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])"), DIGITS),
+    (8, re.compile(r"(?<![0-9A-Za-z])([0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Place|Square))(?![A-Za-z])"), DIGITS),
+    (9, re.compile(r"(?:\bborn|\bbirth|\bdob\b|d\.o\.b)[^0-9\n]{0,12}([0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4})(?![0-9])", re.I), DIGITS),
+    (10, re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.? |\b[Mm]y name is |\b[Nn]ame: )([A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){0,2})(?![A-Za-z])"), ("Mr", "Ms", "Dr", "Prof", "ame")),
 )
 
 #: Words of context, a fixed value each.
@@ -106,6 +113,9 @@ def candidates(text: str) -> list[Span]:
         if any(c in text for c in needs):
             for m in pattern.finditer(text):
                 found[m.start(1), kind, m.end(1)] = None
+    for m in RUN.finditer(text) if DIGIT.search(text) else ():
+        if (not m.start() or text[m.start() - 1] in BEFORE) and DIGIT.search(text, *m.span()):
+            found[m.start(), 4, m.end()] = None
     return list(found)
 
 
@@ -154,6 +164,11 @@ def examples(seed: int = 7, each: int = 350) -> tuple[np.ndarray, np.ndarray]:
         lambda: (f"{name()}{r.choice(['=', ': '])}", quoted(some(low + low.upper() + "!?#%", r.randint(12, 44)))),
         lambda: (f"{name()}{r.choice(['=', ': '])}", quoted(some(r.choice([mixed + "+/", hexa]), r.randint(129, 900)))),
         lambda: ("", some(r.choice([mixed, hexa]), r.randint(129, 900)) + some(dec, 2)),
+        lambda: (f"{name()}{r.choice(['=', ': ', ' = '])}", quoted(some(low, r.randint(12, 30)))),
+        lambda: (f"{name()} is ", quoted(some(low, r.randint(5, 9)) + some(dec, r.randint(1, 4)) + r.choice(["", "!"]))),
+        lambda: (r.choice(["lives at ", "address: ", ""]), f"{some(dec, r.randint(1, 4)).lstrip('0') or 7} {' '.join(word().title() + 'er' for _ in range(r.randint(1, 2)))} {r.choice(['Street', 'Road', 'Avenue', 'Lane'])}"),
+        lambda: (r.choice(["born ", "born on ", "date of birth: ", "DOB: "]), r.choice([f"{r.randint(1930, 2015)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1930, 2015)}"])),
+        lambda: (r.choice(["my name is ", "Name: ", "Mr ", "Mrs. ", "Dr. "]), " ".join(word().title() + "n" for _ in range(2))),
     ]
     harmless = [
         lambda: (r.choice(["order ", "item ", "ref ", "no. "]), some(dec, r.randint(7, 13))),
@@ -175,6 +190,8 @@ def examples(seed: int = 7, each: int = 350) -> tuple[np.ndarray, np.ndarray]:
         lambda: (f"{word()}:", "//" + word() + ".example/" + "/".join(word() for _ in range(r.randint(1, 40)))),
         lambda: (r.choice(["", f"{word()}: "]), r.choice("/-._").join(word() for _ in range(r.randint(24, 120))) + some(dec, 1)),
         lambda: (f"{word()}: ", r.choice(low + "-=_.") * r.randint(8, 600)),
+        lambda: (f"{name()} is ", some(low, r.randint(6, 12)) + r.choice(["", ".", ","])),
+        lambda: (f"{word()}: ", some(low, r.randint(12, 30))),
     ]
     rows, labels = [], []
     for _ in range(each):
@@ -198,6 +215,17 @@ def model(precision: float = 0.97) -> tuple[Booster, float]:
     return booster, max(0.5, booster.threshold(precision))
 
 
+def _merged(spans: list[tuple]) -> list[tuple[int, int]]:
+    """What sorted spans cover, as spans that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for a, _, b, _ in spans:
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def spans_of(texts: list[str], booster: Booster, threshold: float) -> list[list[tuple[int, int, int, float]]]:
     """For each text its spans (start, place of the kind, end, probability), sorted."""
     found = [[(*s, 1.0) for s in base_spans(t)] for t in texts]
@@ -207,9 +235,10 @@ def spans_of(texts: list[str], booster: Booster, threshold: float) -> list[list[
         likely = sorted((-p, k, s) for p, (k, s) in zip(scores.tolist(), proposed) if p >= threshold)
         taken: dict[int, list] = {}
         for p, k, (a, kind, b) in likely:
-            own = taken.setdefault(k, [(x[0], x[2]) for x in found[k]])
-            if all(b <= c or d <= a for c, d in own):
-                own.append((a, b))
+            own = taken.setdefault(k, _merged(found[k]))
+            at = bisect(own, (a, len(texts[k]) + 1))  # spans that are taken don't overlap each other
+            if (not at or own[at - 1][1] <= a) and (at == len(own) or b <= own[at][0]):
+                own.insert(at, (a, b))
                 found[k].append((a, kind, b, -p))
     return [sorted(x) for x in found]
 
