@@ -4,8 +4,10 @@ Equal codes are indexed once, with the few smallest ids that can matter.  The in
 shards of bounded size; each shard cuts its codes into segments and keeps a table from segment values to codes.  A
 query probes the tables of one segment after another, all values within Hamming radius 0, then 1 and so on.  When the
 first a+1 of m segments are searched with radius r and the others with r-1, every code within distance m*r+a has been
-met, so the search of a shard ends as soon as the kth verified distance is within that.  The best of all shards are
-then ranked by distance and id.  Queries go to the shards in blocks of bounded size.
+met, so the search of a shard ends as soon as the kth verified distance is within that.  Each query is answered by one
+shard first; its kth distance there bounds the search of all others, which end when that is covered, found or not.  The best
+of all shards are then ranked by distance and id.  A shard takes its queries in blocks; its index is sent once for ``block``
+queries.
 
 Defined cases: rows with a null id or code are neither indexed nor asked; codes of another length than the query's are
 no neighbours; a row is not its own neighbour, equal codes of other ids are; ties go to the smaller id; repeated rows
@@ -70,10 +72,11 @@ class MultiIndex:
     def _masks(size: int, radius: int) -> np.ndarray:
         return np.array([sum(1 << i for i in c) for c in combinations(range(size), radius)], np.int64)
 
-    def search(self, asked: list[bytes], enough: int, lowest: np.ndarray, sizes: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, asked: list[bytes], enough: int, lowest: np.ndarray, sizes: np.ndarray, bound: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query the classes that can hold one of the ``enough`` best ids, with their distances.
 
-        ``lowest`` and ``sizes`` are the smallest id and the number of ids of each class."""
+        ``lowest`` and ``sizes`` are the smallest id and the number of ids of each class; ``bound`` has for each query a
+        distance beyond which nothing matters."""
         bits = _bits(asked)
         words, parts, n = _words(bits), self._segments(bits), len(self.words)
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in asked]
@@ -103,14 +106,15 @@ class MultiIndex:
                             top = np.lexsort((lowest[x], d))[:enough]
                             best[q] = x[top], d[top]
                 covered = m * radius + a
-                done = np.array([len(best[q][0]) and sizes[best[q][0]][best[q][1] <= covered].sum() >= min(enough, total) for q in active], bool)
+                done = np.array([covered >= bound[q] or len(best[q][0]) and sizes[best[q][0]][best[q][1] <= covered].sum() >= min(enough, total) for q in active], bool)
                 active = active[~done]
         for q, (x, d) in enumerate(best):
             yield q, x, d
 
 
-def search(index: DataFrame, queries: DataFrame, *, k: int = 10, shard_codes: int = 1 << 15, block_queries: int = 1 << 11) -> DataFrame:
-    """The ``k`` nearest rows of ``index`` for each of ``queries`` (both ``id``, ``code``), exactly."""
+def search(index: DataFrame, queries: DataFrame, *, k: int = 10, shard_codes: int = 1 << 15, block_queries: int = 1 << 17, at_once: int = 1 << 11) -> DataFrame:
+    """The ``k`` nearest rows of ``index`` for each of ``queries`` (both ``id``, ``code``), exactly.  A task holds the codes
+    of a shard and a block of queries, and searches for ``at_once`` of these at a time."""
     store = Store(index.sparkSession, "hamming")
     known = index.where(F.col("id").isNotNull() & F.col("code").isNotNull()).select("id", "code").distinct()
     first = known.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
@@ -118,26 +122,37 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 10, shard_codes: in
     asked = store.put(queries.where(F.col("id").isNotNull() & F.col("code").isNotNull()).select(F.col("id").alias("query_id"), "code").distinct(), "queries")
     shards = max(1, ceil(classes.count() / shard_codes))
     blocks = max(1, ceil(asked.count() / block_queries))
-    left = classes.select(F.length("code").alias("width"), F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "code", "ids")
-    right = asked.select(F.length("code").alias("width"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", "code")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = classes.select(F.length("code").alias("width"), F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), every(blocks).alias("block"), "code", "ids")
+    placed = asked.select("query_id", "code", F.length("code").alias("width"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.pmod(F.xxhash64("query_id", F.lit("home")), F.lit(shards)).alias("home"))
 
     def run(own: pa.Table, asking: pa.Table) -> pa.Table:
         rows: tuple[list, list, list, list] = ([], [], [], [])
         if own.num_rows and asking.num_rows and own["width"][0].as_py():
-            ids, codes = own["ids"].to_pylist(), asking["code"].to_pylist()
+            ids = own["ids"].to_pylist()
             lowest, sizes = np.array([x[0] for x in ids]), np.array([len(x) for x in ids])
-            names = asking["query_id"].to_pylist()
-            for q, x, d in MultiIndex(own["code"].to_pylist()).search(codes, k + 1, lowest, sizes):
-                found = sorted((far, i) for c, far in zip(x.tolist(), d.tolist()) for i in ids[c] if i != names[q])[:k]
-                rows[0].extend([names[q]] * len(found))
-                rows[1].extend([codes[q]] * len(found))
-                rows[2].extend(i for _, i in found)
-                rows[3].extend(far for far, _ in found)
+            table = MultiIndex(own["code"].to_pylist())
+            for at in range(0, asking.num_rows, at_once):
+                some = asking.slice(at, at_once)
+                names, codes, bound = (some[c].to_pylist() for c in ("query_id", "code", "bound"))
+                far_enough = np.array([8 * len(c) if d is None else d for c, d in zip(codes, bound)])
+                for q, x, d in table.search(codes, k + 1, lowest, sizes, far_enough):
+                    found = sorted((far, i) for c, far in zip(x.tolist(), d.tolist()) if far <= far_enough[q] for i in ids[c] if i != names[q])[:k]
+                    rows[0].extend([names[q]] * len(found))
+                    rows[1].extend([codes[q]] * len(found))
+                    rows[2].extend(i for _, i in found)
+                    rows[3].extend(far for far, _ in found)
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32())
         return pa.table([pa.array(c, t) for c, t in zip(rows, kinds)], names=["query_id", "code", "neighbor_id", "distance"])
 
     key = ["width", "shard", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, SCHEMA)
+    answers = lambda right: left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, SCHEMA)
+    found = answers(placed.select("width", F.col("home").alias("shard"), "block", "query_id", "code", F.lit(None).cast("int").alias("bound")))
+    if shards > 1:
+        found = store.put(found, "home")
+        bounds = found.groupBy("query_id", "code").agg(F.max("distance").alias("bound"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+        others = placed.join(bounds, ["query_id", "code"], "left").select("width", every(shards).alias("shard"), "block", "query_id", "code", "bound", "home").where("shard <> home").drop("home")
+        found = found.union(answers(others))
     rank = F.row_number().over(Window.partitionBy("query_id", "code").orderBy("distance", "neighbor_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("code")
 
