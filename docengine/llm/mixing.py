@@ -7,8 +7,10 @@ the least-squares distance.  A step needs the domains' totals alone: one aggrega
 a term for each domain times the document's posterior, so the rates after any number of steps are an expression of
 the posteriors and of the steps' terms, and nothing is written between steps.
 
-Steps are taken in the metric that weighs documents by tokens and residuals by the inverse of the second moments of
-the posteriors of documents whose rate isn't yet zero; one that leads away from the targets is halved.
+Documents are weighed by their tokens in the metric of the steps.  First steps weigh residuals besides by the inverse of
+the second moments of the posteriors of documents whose rate isn't zero, which ends soon where the targets can be met; one
+that leads away from them is halved, and left out if that doesn't help.  Where the targets aren't met by then, plain
+steps along the gradient follow, whose fixed point is that of least squares on the totals.
 
 Defined cases: a null or empty text has no tokens and the prior as its posterior; a null id is carried along and never
 labelled; labels without a domain, and of unknown documents, are ignored; without any label all domains are equally
@@ -94,8 +96,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], *, sample:
     words of a language come together, and their small odds would add up to much."""
     known = labels.where(F.col("domain").isin(names) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
     share = min(1.0, sample / max(1, known.count()))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    drawn = known.where(draw < math.ceil(share * 1_000_000))
+    drawn = known.where(F.xxhash64("doc_id") < int(share * 2**64 - 2**63)) if share < 1 else known
     if drawn.count() <= 4 * sample:  # a checked size
         drawn = F.broadcast(drawn)
     store = Store(docs.sparkSession, "domains")
@@ -153,37 +154,51 @@ class Rates:
         return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - down(g)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 30, tolerance: float = 1e-6) -> Rates:
-    """``members`` has ``n_tokens`` and ``p_k``; ``targets`` are the domains' shares of all tokens, which stay as many."""
+def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 30, plain: int = 100, tolerance: float = 1e-6) -> Rates:
+    """``members`` has ``n_tokens`` and ``p_k``; ``targets`` are the domains' shares of all tokens, which stay as many.  At
+    most ``rounds`` scaled and ``plain`` plain steps are taken."""
     k = range(len(targets))
     p, n = [F.col(f"p_{i}") for i in k], F.col("n_tokens")
     total = members.agg(F.sum(n)).first()[0] or 0
     if not total:
         return Rates()
     goal = [w / sum(targets) * total for w in targets]
-    rates, before = Rates(), math.inf
-    for _ in range(rounds):
-        rated = members.select("*", rates.column().alias("rate"))
+
+    def state(steps: list[list[float]]) -> tuple[float, list[float], list[list[float]]]:
+        """How far the totals are off, in all and by domain, and the second moments, after these steps."""
+        rated = members.select("*", Rates(steps).column().alias("rate"))
         moved = F.when(F.col("rate") > 0, n).otherwise(0)
         found = rated.agg(*[F.sum(n * F.col("rate") * x) for x in p], *[F.sum(moved * p[i] * p[j]) for i in k for j in k]).first()
         off = [a - b for a, b in zip(found, goal)]
-        size = math.sqrt(sum(x * x for x in off)) / total
+        return math.sqrt(sum(x * x for x in off)) / total, off, [[found[len(p) * (i + 1) + j] for j in k] for i in k]
+
+    steps: list[list[float]] = []
+    size, off, gram = state(steps)
+    pace = 1 / sum(gram[i][i] for i in k)  # all rates are above zero here, and the trace is no less than the largest eigenvalue
+    for _ in range(rounds):
         if size <= tolerance:
+            return Rates(steps)
+        step, before = _solve([[gram[i][j] + (1e-9 * total if i == j else 0) for j in k] for i in k], off), size
+        for _ in range(4):
+            after = state([*steps, step])
+            if after[0] < size:
+                steps.append(step)
+                size, off, gram = after
+                break
+            step = [g / 2 for g in step]
+        if before - size <= 1e-3 * tolerance:
             break
-        if size > before:
-            rates.steps[-1] = [g / 2 for g in rates.steps[-1]]
-            continue
+    for _ in range(plain if size > tolerance else 0):
+        steps.append([pace * x for x in off])
+        before, (size, off, _) = size, state(steps)
         if before - size <= 1e-3 * tolerance:
             break
-        before = size
-        gram = [[found[len(p) * (i + 1) + j] + (1e-9 * total if i == j else 0) for j in k] for i in k]
-        rates.steps.append(_solve(gram, off))
-    return rates
+    return Rates(steps)
 
 
-def copies(rate: Column) -> Column:
+def copies(rate: Column, key: Column) -> Column:
     """How often a document is taken: the rate's whole part, and once more for a share of the ids equal to the rest."""
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("long")
 
 
@@ -193,16 +208,15 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **optio
     members = Store(docs.sparkSession, "mixing").put(domains.posteriors(docs, F.col("doc_id").cast("long").alias("doc_id")), "members")
     rate = fit_rates(members, list(targets.values())).column()
     rated = members.select("doc_id", "n_tokens", F.array(*[f"p_{k}" for k in range(len(targets))]).alias("posterior"), rate.alias("rate"))
-    return rated.withColumn("copies", copies(F.col("rate")))
+    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options: float) -> DataFrame:
     """The documents, each as often as its ``copies`` say; the columns stay the same."""
     domains = fit_domains(docs, labels, list(targets), **options)
-    members = Store(docs.sparkSession, "mixing").put(domains.posteriors(docs), "members")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    members = Store(docs.sparkSession, "mixing").put(domains.posteriors(docs, whole, F.col("doc_id").alias("_id")), "members")
     rate = fit_rates(members, list(targets.values())).column()
-    whole = F.struct(*docs.columns).alias("_row")
-    rated = domains.posteriors(docs, whole, "doc_id").select("_row", "doc_id", rate.alias("_rate"))
-    many = F.when(copies(F.col("_rate")) > 0, F.sequence(F.lit(1).cast("long"), copies(F.col("_rate"))))
-    taken = rated.select("_row", F.explode(many).alias("_copy"))
+    rated = members.select("_row", copies(rate, F.col("_id")).alias("_n"))
+    taken = rated.select("_row", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(1).cast("long"), F.col("_n")))).alias("_copy"))
     return taken.select("_row.*")
