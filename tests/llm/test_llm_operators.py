@@ -44,41 +44,32 @@ def test_pieces_are_the_tokenizers_ids(spark, odd, none, corpus):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(queries.tokenizer_path())
-    own.encode_special_tokens = True
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
-    for docs in (odd.where("doc_id != 9"), corpus.limit(60)):
-        texts = {r.doc_id: r.text for r in docs.collect()}
-        rows = packing.pack(docs, queries.tokenizer_path()).collect()
+    for docs in (odd, corpus.limit(60)):
+        ids = lambda text: [*own.encode(text or "", add_special_tokens=False).ids, 0]
+        rows = sorted(packing.pack(docs, queries.tokenizer_path()).collect(), key=lambda r: r.sequence_id)
         assert len({r.sequence_id for r in rows}) == len(rows)
-        for doc, text in texts.items():
-            pieces = sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.start)
-            ids = [*own.encode(text or "", add_special_tokens=False).ids, 0]
-            assert np.frombuffer(b"".join(p.ids for p in pieces), "<u4").tolist() == ids
-            assert all(p.length & (p.length - 1) == 0 and p.length <= 1024 and p.offset == 0 and p.doc_tokens == len(ids) and len(p.ids) == 4 * p.length for p in pieces)
-            assert [p.start for p in pieces] == [0, *np.cumsum([p.length for p in pieces])[:-1].tolist()]
-    assert packing.digests(packing.pack(odd.where("doc_id = 4"), queries.tokenizer_path())).first().ids_crc32 is not None
-
-
-def test_encoder_cuts_where_the_tokenizer_does():
+        assert all(p.length & (p.length - 1) == 0 and p.length <= 1024 and p.offset == 0 and len(p.ids) == 4 * p.length for p in rows)
+        made, whole = [], []
+        for p in rows:  # a document's pieces follow each other
+            whole = [*([] if p.start == 0 else whole), *np.frombuffer(p.ids, "<u4").tolist()]
+            assert len(whole) == p.start + p.length
+            if len(whole) == p.doc_tokens:
+                made.append((p.doc_id, whole))
+        assert sorted(made, key=repr) == sorted(((r.doc_id, ids(r.text)) for r in docs.collect()), key=repr)
+    twice = packing.digests(packing.pack(odd.where("doc_id = 9 or doc_id is null"), queries.tokenizer_path())).collect()
+    assert len([r for r in twice if r.doc_id == 9 and r.start == 0]) == 2 and any(r.doc_id is None for r in twice)
+
+
+def test_encoder_cuts_where_the_tokenizer_does(spark, tmp_path):
     from tokenizers import Tokenizer
 
     own, encoder, r = Tokenizer.from_file(queries.tokenizer_path()), packing.WordEncoder(queries.tokenizer_path()), random.Random(5)
-    own.encode_special_tokens = True
-    parts = ["a", " ", "  ", "\n", "\t", "b c", "'s", "12", "é", "<|endoftext|>", "\0", "-", "!?", "\x1c", "\x85", "　", "日本"]
-    for _ in range(3000):
+    parts = ["a", " ", "  ", "\n", "\t", "b c", "'s", "12", "é", "<|endoftext|>", "<|endof", "text|>", "\0", "-", "!?", "\x1c", "\x85", "　", "日本"]
+    for _ in range(6000):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
     assert packing.power_lengths(2055, 1024) == [1024, 1024, 4, 2, 1]
-
-
-def test_added_tokens_have_their_ids(spark, tmp_path):
-    from tokenizers import Tokenizer
-
-    own, encoder, r = Tokenizer.from_file(queries.tokenizer_path()), packing.WordEncoder(queries.tokenizer_path(), added=True), random.Random(6)
-    parts = ["a", " ", "  ", "\n", "b c", "'s", "12", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "\0", "-"]
-    for _ in range(3000):
-        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
     spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     ids = np.array([64, 220, 50256, 275, 0], "<u4").tobytes()
     assert {(x.start, x.ids_crc32) for x in queries.op2_packing(spark, str(tmp_path)).collect()} == {(0, zlib.crc32(ids[:16])), (4, zlib.crc32(ids[16:]))}
@@ -384,6 +375,20 @@ def test_every_speaker_is_the_assistant_once(spark):
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
+def test_rows_of_a_long_dialogue_are_one_text(spark):
+    r = random.Random(5)
+    rows = [(r.choice([1, 1, None]), r.choice([None, 0, 1, 1, 2, 3, 7, 7, 7]), r.choice(["system", "ann", "bob", None]), r.choice(["a", "b <|", None, "ccc"])) for _ in range(120)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(x.conv_id, x.speaker): x for x in chat.rotate(turns.withColumn("turn", F.coalesce("turn", F.lit(-1)) * 0 + F.coalesce("turn", F.lit(-1)) + 1), span=1000).collect()}
+    cut: dict = {}
+    for x in sorted(chat.rotate(turns, span=2).collect(), key=lambda x: (x.part, x.piece)):
+        got = cut.setdefault((x.conv_id, x.speaker), ["", []])
+        assert x.start == len(got[0]) and x.n_turns <= 2
+        got[1] += [(x.start + int(a), x.start + int(b)) for a, b in (m.split(":") for m in x.mask.split(",") if m)]
+        got[0] += x.text
+    assert len(whole) == 6 and all(cut[k][0] == x.text and ",".join(f"{a}:{b}" for a, b in cut[k][1]) == x.mask for k, x in whole.items())
+
+
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>A &amp; B</title><script>var t="</p>";</script><style>p{}</style></head>
 <body><!-- <p>gone</p> --><h1>Head</h1><p>One <b>bold</b> word<br>next&nbsp;line</p><a href="/x?a=1&amp;b=2">link</a></body></html>"""
 
