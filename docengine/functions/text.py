@@ -125,26 +125,29 @@ def is_unit_line(c: Column) -> Column:
     return (F.length(c) <= 100) & strip(c).rlike(UNIT)
 
 
-def is_header_line(c: Column) -> Column:
-    x = strip(c)
-    words = tokens(x)
+def is_header_line(c: Column, words: Column | None = None) -> Column:
+    """``words``, where they are a column already, are those of a line that is stripped."""
+    x, words = (strip(c), tokens(strip(c))) if words is None else (c, words)
     dated = (F.size(words) <= 12) & ~x.endswith(".") & (x.rlike(MONTH_DATE) | x.rlike(HEADER_WORDS))
-    return (x != "") & (F.length(x) <= 120) & (is_unit_line(x) | F.forall(words, lambda w: w.rlike(YEAR)) | dated)
+    unit = (F.length(x) <= 100) & x.rlike(UNIT)
+    return (x != "") & (F.length(x) <= 120) & (unit | F.forall(words, lambda w: w.rlike(YEAR)) | dated)
 
 
 def is_value(token: Column) -> Column:
     return token.rlike(NUMBER) | token.isin("-", "–", "—")
 
 
-def line_kind(c: Column) -> Column:
-    """blank, hdr, num (values alone), row (a label, then two values or more) or text."""
-    words = tokens(c)
-    # how many values end the line: the state is the run so far, or less than zero once it ended
-    run = F.aggregate(F.reverse(words), F.lit(0), lambda n, w: F.when((n >= 0) & is_value(w), n + 1).when(n >= 0, -n - 1).otherwise(n), lambda n: F.when(n < 0, -n - 1).otherwise(n))
+def line_kind(c: Column, words: Column | None = None, values: Column | None = None) -> Column:
+    """blank, hdr, num (values alone), row (a label, then two values or more) or text.  Of a stripped line, ``words`` and
+    whether each is one of ``values`` are best columns that are computed already."""
+    header = is_header_line(c, words)
+    words = tokens(c) if words is None else words
+    values = F.transform(words, is_value) if values is None else values
+    run = F.coalesce(F.nullif(F.array_position(F.reverse(values), False), F.lit(0)) - 1, F.size(values)).cast("int")  # values at the end
     label = F.concat_ws(" ", F.slice(words, 1, F.greatest(F.size(words) - run, F.lit(0))))
     return (
-        F.when(F.size(words) == 0, "blank").when(is_header_line(c), "hdr").when(F.forall(words, is_value), "num")
-        .when((run >= 2) & label.rlike(r"\p{L}"), "row").otherwise("text")
+        F.when(F.size(words) == 0, "blank").when(header, "hdr").when(F.forall(values, lambda v: v), "num")
+        .when(F.exists(F.slice(values, -1, 1), lambda v: v) & (run >= 2) & label.rlike(r"\p{L}"), "row").otherwise("text")
     )
 
 
@@ -193,11 +196,19 @@ def chunk_id(document_id: Column, index: Column) -> Column:
     return F.format_string("%s_chunk_%04d", document_id, index)
 
 
+def search_words(text: Column) -> Column:
+    """Lower-case words without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1), lambda w: ~w.isin(*STOPWORDS))
+
+
+def with_pairs(words: Column) -> Column:
+    """The words, then the pairs of neighbours among them.  ``words`` is best a column that is computed already."""
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit("__"), b)))
+
+
 def search_terms(text: Column) -> Column:
-    """Lower-case words without stop words, then the pairs of neighbours among them."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1), lambda w: ~w.isin(*STOPWORDS))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("__"), b))
-    return F.concat(words, pairs)
+    return with_pairs(search_words(text))
 
 
 def searchable(section: Column, subsection: Column, content: Column) -> Column:

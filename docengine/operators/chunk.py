@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from docengine.operators.clean import clean
 from docengine.schemas import ChunkConfig
 
 RAW = "document_id string, run long, seq int, kind string, section string, subsection string, body string, pages array<int>"
+ARROW = pa.schema([("document_id", pa.string()), ("run", pa.int64()), ("seq", pa.int32()), ("kind", pa.string()), ("section", pa.string()), ("subsection", pa.string()), ("body", pa.string()), ("pages", pa.list_(pa.int32()))])
 
 
 def section_runs(lines: DataFrame) -> DataFrame:
@@ -47,21 +48,16 @@ def raw_chunks(lines: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFra
         "heading": fn.is_chunk_heading(line, F.col("kind"), F.col("section"), F.col("subsection")),
     })
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["page_number", "line_no"])
-        columns = {c: g[c].tolist() for c in ("line", "page_number", "subsection", "kind", "short", "unit", "heading", "key")}
+    def pack(group: pa.Table) -> pa.Table:
+        g = group.sort_by([("page_number", "ascending"), ("line_no", "ascending")])
+        columns = {c: g[c].to_pylist() for c in ("line", "page_number", "subsection", "kind", "short", "unit", "heading", "key")}
         full = [i for i, t in enumerate(columns["line"]) if t.strip()]
-        if not full:
-            return pd.DataFrame(columns=[c.split()[0] for c in RAW.split(", ")])
-        cut = {k: v[full[0] : full[-1] + 1] for k, v in columns.items()}
-        none = [s if isinstance(s, str) else None for s in cut["subsection"]]
-        x = Lines(cut["line"], cut["page_number"], none, cut["kind"], cut["short"], cut["unit"], cut["heading"], cut["key"], intro, outro)
-        document, run, section = g["document_id"].iat[0], g["run"].iat[0], g["section"].iat[0]
-        section = section if isinstance(section, str) else None
-        rows = [(document, run, k, c.kind, section, c.subsection, c.body, sorted(c.pages)) for k, c in enumerate(chunks(x, section, config))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
-
-    return marked.groupBy("document_id", "run").applyInPandas(pack, RAW)
+        found = chunks(Lines(*(v[full[0] : full[-1] + 1] for v in columns.values()), intro, outro), g["section"][0].as_py(), config) if full else []
+        same = lambda c: [g[c][0].as_py()] * len(found)
+        rows = [same("document_id"), same("run"), range(len(found)), [c.kind for c in found], same("section"), [c.subsection for c in found], [c.body for c in found], [sorted(c.pages) for c in found]]
+        return pa.table([pa.array(v, f.type) for v, f in zip(rows, ARROW)], schema=ARROW)
+
+    return marked.groupBy("document_id", "run").applyInArrow(pack, RAW)
 
 
 def number(raw: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:

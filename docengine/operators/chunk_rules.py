@@ -1,20 +1,31 @@
-"""The sequential part of chunking: what one section run's lines become, given each line's kind and marks.
+"""The sequential part of chunking, on one section run whose lines have their kinds and marks.
 
-Lines are addressed by their place in the run.  A table is a region of them with its parts; a unit is a table, a
-heading or a paragraph; chunks are packed from units.
+A run is read as a string with one letter a line, so what tables, titles, rows and paragraphs look like is said by regular
+expressions over letters, and a span of letters is a span of lines.  Text is measured in code points; chunks are filled
+by running totals.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from dataclasses import dataclass, replace
+from itertools import accumulate, groupby, pairwise
 
 from docengine.schemas import ChunkConfig
 
 VALUE = re.compile(r"^\(?[-–—]?[₹$]?\d[\d,]*(?:\.\d+)?\)?%?$|^[-–—]$")
 SENTENCE_START = re.compile(r"(?<=[.!?])\s+(?=[A-Z(\"“0-9])")
-DATA = ("num", "row")
+
+#: Letters of kinds: blank, header, number, row, a text short enough for a caption, other text.
+LETTERS = {"blank": "b", "hdr": "h", "num": "n", "row": "r", "text": "t"}
+#: A table begins with structure, or a caption before data; a caption inside follows structure, or has data within two lines.
+REGION = re.compile(r"(?:[hnr](?:b*c)?|c(?=b*[nr]))(?:[hnr](?:b*c)?|b|c(?=b*(?:[hct]b*)?[nr]))*")
+DATA = re.compile("[nr]")
+#: Up to two lines of a title (T) above a table, and a blank among them or below.
+TITLE = re.compile(r"(?:T(?:Tb?|bT)|Tb?)\Z")
+#: Entries of a table: a row, a label (l) with the values (v) after it, or values alone; repeated headers (h) lie between.
+ENTRY = re.compile(r"r|l(?:h*v)*|v(?:h*v)*")
 
 
 @dataclass
@@ -32,306 +43,245 @@ class Lines:
     intro: re.Pattern
     outro: re.Pattern
 
-    def said(self, at: list[int]) -> str:
-        return "\n".join(self.text[i] for i in at)
 
-    def pages(self, at: list[int]) -> set[int]:
-        return {self.page[i] for i in at}
+@dataclass(frozen=True)
+class Part:
+    """Some text and the pages that it is from."""
 
+    text: str
+    pages: frozenset[int] = frozenset()
 
-@dataclass
+    def __bool__(self) -> bool:
+        return bool(self.text)
+
+
+def joined(parts: list[Part], by: str) -> Part:
+    return Part(by.join(p.text for p in parts), frozenset().union(*(p.pages for p in parts)))
+
+
+@dataclass(frozen=True)
 class Entry:
-    label: str
-    values: list[str]
-    pages: set[int]
-    verbatim: bool = False
+    """A line of a rendered table; ``closing`` where a table may be cut after it, ``opening`` before it."""
 
-    def render(self) -> str:
-        return self.label if self.verbatim or not self.values else " | ".join([self.label] * bool(self.label) + self.values)
+    part: Part
+    opening: bool = False
+    closing: bool = False
 
 
-@dataclass
+@dataclass(frozen=True)
 class Unit:
-    kind: str
-    lines: list[int]
+    kind: str  # para, heading or table
+    part: Part  # a table's head
     subsection: str | None
-    entries: list[Entry] = field(default_factory=list)
-    head: str = ""
-    head_pages: set[int] = field(default_factory=set)
-    before: Unit | None = None
-    after: Unit | None = None
-    attached: bool = False
+    line: int = 0
+    entries: tuple[Entry, ...] = ()
+    before: Part = Part("")
+    after: Part = Part("")
 
 
-@dataclass
+@dataclass(frozen=True)
 class Chunk:
     kind: str
     subsection: str | None
     body: str
-    pages: set[int]
-
-
-def table_regions(x: Lines, config: ChunkConfig) -> Iterator[tuple[int, int, int]]:
-    """``(title floor, start, stop)`` of each region that qualifies as a table."""
-    n = len(x.text)
-    ahead: list[tuple[str, ...]] = [()] * n  # the next two kinds that aren't blank
-    coming: tuple[str, ...] = ()
-    for i in range(n - 1, -1, -1):
-        ahead[i] = coming
-        if x.kind[i] != "blank":
-            coming = (x.kind[i], *coming[:1])
-    structured = ("num", "row", "hdr")
-    caption = [x.kind[i] == "text" and x.short[i] for i in range(n)]
-    i = floor = 0
-    while i < n:
-        if not (x.kind[i] in structured or caption[i] and ahead[i][:1] in (("num",), ("row",))):
-            i += 1
-            continue
-        stop, close, latest = i, i, "blank"
-        while stop < n:
-            kind = x.kind[stop]
-            if kind == "text" and not (caption[stop] and (latest in structured or any(k in DATA for k in ahead[stop]))):
-                break
-            latest = latest if kind == "blank" else kind
-            stop += 1
-            if kind in DATA:
-                close = stop
-        kinds = [k for k in x.kind[i:close] if k != "blank"]
-        data = sum(k in DATA for k in kinds)
-        if data >= max(1, config.min_table_data_lines) and data >= 0.35 * len(kinds):
-            yield floor, i, close
-            i = floor = close
-        else:
-            i = max(i + 1, stop)
-
-
-def title_lines(x: Lines, floor: int, start: int) -> list[int]:
-    """Up to two caption lines above a region, one blank line allowed in all."""
-    found, gaps, i = [], 0, start - 1
-    while i >= floor and len(found) < 2:
-        t = x.text[i].strip()
-        if not t:
-            gaps += 1
-            if gaps == 2:
-                break
-        elif x.kind[i] == "text" and len(t) <= 100 and (t[0].isupper() or t[0].isdigit()) and t[-1] not in ".:;,":
-            found.append(i)
-        else:
-            break
-        i -= 1
-    return found[::-1]
-
-
-def trailing_values(words: list[str]) -> int:
-    n = 0
-    while n < len(words) and VALUE.match(words[-1 - n]):
-        n += 1
-    return n
-
-
-def longest_label_run(kinds: list[str]) -> int:
-    """The most text lines that follow each other, blank lines aside."""
-    runs = "".join("t" if k == "text" else "." for k in kinds if k != "blank").split(".")
-    return max(map(len, runs))
-
-
-def table(x: Lines, floor: int, start: int, stop: int, config: ChunkConfig) -> Unit:
-    """The region's header, and its entries of label and values."""
-    title = title_lines(x, floor, start)
-    top = start
-    while top < stop and x.kind[top] in ("hdr", "blank"):
-        top += 1
-    heads = [i for i in range(start, top) if x.kind[i] == "hdr"]
-    units, columns = [i for i in heads if x.unit[i]], [i for i in heads if not x.unit[i]]
-    known = {x.key[i] for i in heads}
-    verbatim = longest_label_run(x.kind[top:stop]) >= config.column_major_label_run
-
-    entries: list[Entry] = []
-    owing: set[int] = set()  # pages of repeated column heads, credited to the entry after them
-    growing = False  # whether values may still join the last entry
-    for i in range(top, stop):
-        kind, said = x.kind[i], x.text[i].strip()
-        if kind == "blank":
-            continue
-        here = {x.page[i]}
-        if verbatim:
-            entries.append(Entry(said, [], here, True))
-            continue
-        if kind == "hdr" and x.key[i] in known:
-            owing |= here
-            continue
-        words = said.split()
-        n = trailing_values(words)
-        if kind == "row":
-            entries.append(Entry(" ".join(words[:-n]), words[-n:], owing | here))
-            growing, owing = False, set()
-        elif kind == "num" or kind == "hdr" and n == len(words):
-            if not growing:
-                entries.append(Entry("", [], owing))
-                growing, owing = True, set()
-            entries[-1].values += words
-            entries[-1].pages |= here
-        else:
-            entries.append(Entry(said, [], owing | here))
-            growing, owing = True, set()
-    if owing and entries:
-        entries[-1].pages |= owing
-    caption = " ".join(x.text[i] for i in title + units).strip()
-    names = " | ".join(x.text[i] for i in columns)
-    head = "\n".join([f"Table title: {caption}"] * bool(caption) + [f"Columns: {names}"] * bool(names))
-    return Unit("table", [(title or [start])[0], stop], x.subsection[(title or [start])[0]], entries, head, x.pages(title + heads))
-
-
-def text_units(x: Lines, start: int, stop: int) -> Iterator[Unit]:
-    """Headings, and paragraphs that a blank line, a heading or another subsection ends."""
-    own: list[int] = []
-    for i in range(start, stop):
-        blank = not x.text[i].strip()
-        if own and (blank or x.heading[i] or x.subsection[i] != x.subsection[own[0]]):
-            yield Unit("para", own, x.subsection[own[0]])
-            own = []
-        if not blank and x.heading[i]:
-            yield Unit("heading", [i], x.subsection[i])
-        elif not blank:
-            own = [*own, i]
-    if own:
-        yield Unit("para", own, x.subsection[own[0]])
+    pages: frozenset[int]
+
+
+def said(x: Lines, at: list[int] | range) -> Part:
+    return Part("\n".join(x.text[i] for i in at), frozenset(x.page[i] for i in at))
+
+
+def tables(x: Lines, config: ChunkConfig) -> list[tuple[int, int, int]]:
+    """``(title, start, stop)`` of each table: where its title begins, its first line, and the one after its last data."""
+    letters = "".join("c" if k == "text" and s else LETTERS[k] for k, s in zip(x.kind, x.short))
+    titles = "".join(map(title_letter, x.text, x.kind))
+    found, at, floor = [], 0, 0
+    while m := REGION.search(letters, at):
+        at = m.end()
+        body = m[0][: max((d.end() for d in DATA.finditer(m[0])), default=0)]
+        data, full = len(DATA.findall(body)), len(body) - body.count("b")
+        if data >= max(1, config.min_table_data_lines) and data >= 0.35 * full:
+            start, at = m.start(), m.start() + len(body)
+            above = TITLE.search(titles, floor, start)
+            found.append((above.start() if above else start, start, at))
+            floor = at
+    return found
+
+
+def title_letter(line: str, kind: str) -> str:
+    t = line.strip()
+    fits = kind == "text" and len(t) <= 100 and (t[:1].isupper() or t[:1].isdigit()) and t[-1] not in ".:;,"
+    return "T" if t and fits else "x" if t else "b"
+
+
+def values_at_end(words: list[str]) -> int:
+    return next((k for k, w in enumerate(reversed(words)) if not VALUE.match(w)), len(words))
+
+
+def table(x: Lines, title: int, start: int, stop: int, config: ChunkConfig) -> Unit:
+    """The head of a table and its entries."""
+    body = [i for i in range(start, stop) if x.kind[i] != "blank"]
+    many = next((k for k, i in enumerate(body) if x.kind[i] != "hdr"), len(body))
+    heads, body = body[:many], body[many:]
+    above = [i for i in range(title, start) if x.text[i].strip()]
+    caption = " ".join(x.text[i] for i in [*above, *(i for i in heads if x.unit[i])]).strip()
+    columns = " | ".join(x.text[i] for i in heads if not x.unit[i])
+    head = "\n".join(f"{name}: {t}" for name, t in (("Table title", caption), ("Columns", columns)) if t)
+
+    texts = "".join("t" if x.kind[i] == "text" else " " for i in body).split()
+    if max(map(len, texts), default=0) >= config.column_major_label_run:  # labels stand apart from their values: lines stay
+        entries = [Entry(Part(x.text[i].strip(), frozenset([x.page[i]]))) for i in body]
+    else:
+        entries = entries_of(x, body, {x.key[i] for i in heads})
+    return Unit("table", Part(head, frozenset(x.page[i] for i in [*above, *heads])), x.subsection[title], title, tuple(entries))
+
+
+def entries_of(x: Lines, body: list[int], known: set[str]) -> list[Entry]:
+    """A header that says again what one of the ``known`` says is no entry; its pages are those of the entry after it, or
+    else of the last."""
+    words = [x.text[i].split() for i in body]
+    tail = list(map(values_at_end, words))
+
+    def letter(i: int, w: list[str], n: int) -> str:
+        if x.kind[i] == "row":
+            return "r"
+        if x.kind[i] == "hdr" and x.key[i] in known:
+            return "h"
+        return "v" if x.kind[i] == "num" or x.kind[i] == "hdr" and n == len(w) else "l"
+
+    letters = "".join(map(letter, body, words, tail))
+    spans = [m.span() for m in ENTRY.finditer(letters)]
+    again = [k for k, c in enumerate(letters) if c == "h"]
+    out, free = [], 0
+    for number, (a, b) in enumerate(spans):
+        own = [k for k in range(a, b) if letters[k] != "h"]
+        last = number + 1 == len(spans)
+        repeated = [k for k in again if free <= k < a or last and k > a]
+        label, values = [x.text[body[a]].strip()] if letters[a] == "l" else [], [w for k in own if letters[k] == "v" for w in words[k]]
+        if letters[a] == "r":
+            n = tail[a]
+            label, values = [" ".join(words[a][:-n])] if words[a][:-n] else [], words[a][-n:]
+        pages = frozenset(x.page[body[k]] for k in own + repeated)
+        total = bool(label) and label[0].lower().startswith("total")
+        out.append(Entry(Part(" | ".join(label + values), pages), opening=bool(label) and not values, closing=total))
+        free = a
+    return out
+
+
+def paragraphs(x: Lines, start: int, stop: int) -> list[Unit]:
+    """Headings, and the runs of lines between blank lines, headings and changes of the subsection."""
+    full = [i for i in range(start, stop) if x.text[i].strip()]
+    breaks = [1] + [int(j > i + 1 or x.heading[i] or x.heading[j] or x.subsection[i] != x.subsection[j]) for i, j in pairwise(full)]
+    runs = groupby(zip(accumulate(breaks), full), key=lambda r: r[0])
+    own = [[i for _, i in run] for _, run in runs]
+    return [Unit("heading" if x.heading[at[0]] else "para", said(x, at), x.subsection[at[0]], at[0]) for at in own]
 
 
 def units(x: Lines, config: ChunkConfig) -> list[Unit]:
     """All units in order; a table takes along the paragraph that introduces it and the one that comments on it."""
-    out: list[Unit] = []
-    free = 0
-    for floor, start, stop in table_regions(x, config):
-        found = table(x, floor, start, stop, config)
-        out += [*text_units(x, free, found.lines[0]), found]
-        free = stop
-    out += text_units(x, free, len(x.text))
-
-    def fits(u: Unit, pattern: re.Pattern, colon: bool) -> bool:
-        t = x.said(u.lines).strip()
-        return u.kind == "para" and not u.attached and len(t) <= config.max_context_chars and (colon and t.endswith(":") or bool(pattern.search(t)))
-
-    for k, u in enumerate(out):
-        if u.kind == "table":
-            if k and fits(out[k - 1], x.intro, True):
-                u.before, out[k - 1].attached = out[k - 1], True
-            if k + 1 < len(out) and fits(out[k + 1], x.outro, False):
-                u.after, out[k + 1].attached = out[k + 1], True
+    edges = tables(x, config)
+    gaps = zip([0, *(stop for *_, stop in edges)], [*(title for title, *_ in edges), len(x.text)])
+    texts = [paragraphs(x, a, b) for a, b in gaps]
+    out = list(texts[0])
+    for (title, start, stop), after in zip(edges, texts[1:]):
+        found, after = table(x, title, start, stop, config), list(after)
+        fits = lambda u: u.kind == "para" and len(u.part.text.strip()) <= config.max_context_chars
+        if out and fits(out[-1]) and (out[-1].part.text.strip().endswith(":") or x.intro.search(out[-1].part.text.strip())):
+            found = replace(found, before=out.pop().part)
+        if after and fits(after[0]) and x.outro.search(after[0].part.text.strip()):
+            found = replace(found, after=after.pop(0).part)
+        out += [found, *after]
     return out
 
 
-def pieces(x: Lines, u: Unit, budget: int) -> list[tuple[str, set[int]]]:
-    """The paragraph, or whole sentences of it up to the budget; a longer sentence is cut at a blank."""
-    text = x.said(u.lines)
-    ends, at = [], 0
-    for i in u.lines:
-        ends.append((at, at + len(x.text[i]), x.page[i]))
-        at += len(x.text[i]) + 1
-
-    def part(a: int, b: int) -> tuple[str, set[int]]:
-        return text[a:b], {page for s, e, page in ends if s < b and e > a} or {x.page[u.lines[0]]}
-
+def sentences(x: Lines, u: Unit, budget: int) -> list[Part]:
+    """The paragraph, or as many whole sentences at a time as the budget holds; a longer sentence is cut at blanks."""
+    text = u.part.text
     if len(text) <= budget:
-        return [part(0, len(text))]
-    cuts = []
-    a = 0
-    for b in [*(m.end() for m in SENTENCE_START.finditer(text)), len(text)]:
-        while b - a > budget:
-            blank = text.rfind(" ", a, a + budget)
-            a = blank if blank > a else a + budget
-            cuts.append(a)
-        cuts.append(b)
+        return [u.part]
+    starts = list(accumulate((len(t) + 1 for t in text.split("\n")), initial=0))
+    piece = re.compile(rf".{{1,{budget}}}\Z|.{{1,{max(1, budget - 1)}}}(?= )|.{{1,{budget}}}", re.S)
+    ends = [0, *(m.end() for m in SENTENCE_START.finditer(text)), len(text)]
+    cuts = [0, *(a + m.end() for a, b in pairwise(ends) for m in piece.finditer(text[a:b]))]
+    spans, a = [], 0
+    while a + 1 < len(cuts):
+        b = max(a + 1, bisect_right(cuts, cuts[a] + budget) - 1)
+        spans.append((cuts[a], cuts[b]))
         a = b
-    spans, begun = [], 0
-    for last, b in zip(cuts, cuts[1:]):
-        if b - begun > budget:
-            spans.append((begun, last))
-            begun = last
-    spans.append((begun, cuts[-1]))
-    return [(t.strip(), p) for t, p in (part(a, b) for a, b in spans) if t.strip()]
-
-
-def table_chunks(x: Lines, u: Unit, lead: list[int], config: ChunkConfig) -> list[Chunk]:
-    """The table in one chunk if it is near enough the limit, else groups of entries under the same header."""
-    rows = [e.render() for e in u.entries]
-    intro = x.said(u.before.lines) if u.before else ""
-    outro = x.said(u.after.lines) if u.after else ""
-    opening = [t for t in (x.said(lead), intro) if t]
-    first_pages = u.head_pages | x.pages(lead) | (x.pages(u.before.lines) if u.before else set())
-    last_pages = x.pages(u.after.lines) if u.after else set()
+
+    def pages(a: int, b: int) -> frozenset[int]:
+        first = u.line + bisect_right(starts, a) - 1
+        lines = [i for i in range(first, u.line + bisect_right(starts, b - 1)) if starts[i - u.line] < b and starts[i - u.line + 1] - 1 > a]
+        return frozenset(x.page[i] for i in lines) or frozenset([x.page[u.line]])
+
+    return [Part(text[a:b].strip(), pages(a, b)) for a, b in spans if text[a:b].strip()]
+
+
+def table_chunks(u: Unit, lead: Part, config: ChunkConfig) -> list[Chunk]:
+    """The table in one chunk if it is near enough the limit, else groups of entries under the same head."""
+    n, rows = len(u.entries), [e.part for e in u.entries]
 
     def chunk(a: int, b: int) -> Chunk:
-        first, last = a == 0, b == len(rows)
-        body = "\n".join([u.head] * bool(u.head) + rows[a:b])
-        pages = set().union(first_pages if first else (), last_pages if last else (), *(e.pages for e in u.entries[a:b]))
-        return Chunk("table", u.subsection, "\n\n".join([*(opening if first else []), body, *([outro] if last and outro else [])]), pages)
-
-    whole = chunk(0, len(rows))
-    if len(whole.body) <= config.max_chars * config.table_slack:
-        return [whole]
-    later = max(config.max_chars - len(u.head) - 1, config.max_chars // 3)
-    room = max(later - len(x.said(lead)) - len(intro) - 4, later // 2)
-
-    def good_break(k: int) -> bool:
-        """Before an entry that only has a label, or after a total."""
-        return not u.entries[k].verbatim and (bool(u.entries[k].label) and not u.entries[k].values or u.entries[k - 1].label.lower().startswith("total"))
-
-    out, a = [], 0
-    for b in range(len(rows)):
-        while b > a and sum(len(r) + 1 for r in rows[a : b + 1]) > room:
-            cut = next((k for k in range(b - 1, a, -1) if good_break(k)), b)
-            out.append(chunk(a, cut))
-            a, room = cut, later
-    return [*out, chunk(a, len(rows))]
+        body = joined([p for p in (Part(u.part.text),) if p] + rows[a:b], "\n")
+        around = [p for p in (lead, u.before) if p and not a], [p for p in (u.after,) if p and b == n]
+        whole = joined([*around[0], body, *around[1]], "\n\n")
+        first = (u.part.pages | lead.pages | u.before.pages) if not a else frozenset()
+        return Chunk("table", u.subsection, whole.text, whole.pages | first)
+
+    if len(chunk(0, n).body) <= config.max_chars * config.table_slack:
+        return [chunk(0, n)]
+    room = max(config.max_chars - len(u.part.text) - 1, config.max_chars // 3)
+    first = max(room - len(lead.text) - len(u.before.text) - 4, room // 2)
+    upto = list(accumulate((len(r.text) + 1 for r in rows), initial=0))
+    good = [k for k in range(1, n) if u.entries[k].opening or u.entries[k - 1].closing]
+    edges = [0]
+    while (full := max(edges[-1] + 1, bisect_right(upto, upto[edges[-1]] + (room if edges[-1] else first)) - 1)) < n:
+        best = good[: bisect_right(good, full - 1)][-1:]
+        edges.append(best[0] if best and best[0] > edges[-1] else full)
+    return [chunk(a, b) for a, b in pairwise([*edges, n])]
 
 
 def chunks(x: Lines, section: str | None, config: ChunkConfig) -> list[Chunk]:
     """All chunks of a section run.  Headings travel with what follows; those with nothing after them are dropped."""
-    out: list[Chunk] = []
-    waiting: list[int] = []
-    held: list[tuple[str, set[int]]] = []
-    sub: str | None = None
-    size = lambda: sum(len(t) + 2 for t, _ in held)
-
-    def flush() -> None:
-        if held:
-            out.append(Chunk("text", sub, "\n\n".join(t for t, _ in held), set().union(*(p for _, p in held))))
-            held.clear()
-
+    # pieces of text, each with the room that a chunk of it has and what it must not share a chunk with
+    out: list[Chunk | tuple[Part, str | None, int, str]] = []
+    waiting: list[Part] = []
     for u in units(x, config):
-        if u.attached:
-            continue
         if u.kind == "heading":
-            if size() >= max(1, config.min_chars):
-                flush()
-            waiting += u.lines
-        elif u.kind == "table":
-            flush()
-            out += table_chunks(x, u, waiting, config)
-            waiting = []
+            waiting.append(u.part)
+            continue
+        lead, waiting = joined(waiting, "\n"), []
+        if u.kind == "table":
+            out += table_chunks(u, lead, config)
+            continue
+        above = "\n".join(h for h in (section, u.subsection) if h)
+        room = max(config.max_chars - len(above) - 1, config.max_chars // 2)
+        first, *rest = sentences(x, u, room)
+        out.append((joined([lead, first], "\n") if lead else first, u.subsection, room, "heading" if lead else ""))
+        out += [(p, u.subsection, room, "") for p in rest]
+
+    filled: list[Chunk] = []
+    size = 0  # of the text chunk that is being filled, with two for the gap after each piece
+    for item in out:
+        if isinstance(item, Chunk):
+            filled.append(item)
+            size = 0
+            continue
+        part, subsection, room, mark = item
+        last = filled[-1] if size else None
+        if last and last.subsection == subsection and not (mark and size >= max(1, config.min_chars)) and size + len(part.text) + 2 <= room:
+            filled[-1] = replace(last, body=f"{last.body}\n\n{part.text}", pages=last.pages | part.pages)
         else:
-            if u.subsection != sub:
-                flush()
-            sub = u.subsection
-            above = len("\n".join(h for h in (section, sub) if h))
-            budget = max(config.max_chars - above - 1, config.max_chars // 2)
-            parts = pieces(x, u, budget)
-            if waiting:
-                parts[0] = (x.said(waiting) + "\n" + parts[0][0], parts[0][1] | x.pages(waiting))
-                waiting = []
-            for t, p in parts:
-                if size() + len(t) + 2 > budget:
-                    flush()
-                held.append((t, p))
-    flush()
+            filled.append(Chunk("text", subsection, part.text, part.pages))
+            size = 0
+        size += len(part.text) + 2
 
     merged: list[Chunk] = []
-    for c in out:
+    for c in filled:
         last = merged[-1] if merged else None
         small = c.kind == "text" and len(c.body) < config.min_chars
         if small and last and last.kind == "text" and last.subsection == c.subsection and len(last.body) + len(c.body) + 2 <= 1.25 * config.max_chars:
-            merged[-1] = Chunk("text", c.subsection, f"{last.body}\n\n{c.body}", last.pages | c.pages)
+            merged[-1] = replace(last, body=f"{last.body}\n\n{c.body}", pages=last.pages | c.pages)
         else:
             merged.append(c)
     return merged

@@ -5,7 +5,7 @@ Everything here is joins, aggregates and windows over lines; a document of any l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import text as fn
@@ -19,27 +19,30 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE, "section", "subsection", F.posexplode(fn.chunker_lines(F.col("text"))).alias("line_no", "line"))
 
 
-def edges(lines: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Lines with ``rank_down`` and ``rank_up`` among the page's non-blank ones, and ``is_edge``."""
-    full = F.col("line") != ""
-    page = Window.partitionBy(*PAGE)
-    down = F.when(full, F.count(F.when(full, 1)).over(page.orderBy("line_no")))
-    up = F.when(full, F.count(F.when(full, 1)).over(page) - down + 1)
-    ranked = lines.withColumns({"rank_down": down, "rank_up": up})
-    return ranked.withColumn("is_edge", F.coalesce((F.col("rank_down") <= config.edge_lines) | (F.col("rank_up") <= config.edge_lines), F.lit(False)))
+def _full(lines: str) -> Column:
+    """The non-blank lines of an array, with their places."""
+    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: x["line"] != "")
+
+
+def edges(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """The first and last non-blank lines of each page, with ``rank_down`` and ``rank_up`` among these."""
+    full = pages.select(*PAGE, "section", fn.chunker_lines(F.col("text")).alias("_lines")).select(*PAGE, "section", _full("_lines").alias("_full"))
+    n = F.size("_full")
+    ranked = F.transform("_full", lambda x, k: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), (k + 1).cast("long").alias("rank_down"), (n - k).cast("long").alias("rank_up")))
+    outer = F.filter(ranked, lambda x: (x["rank_down"] <= config.edge_lines) | (x["rank_up"] <= config.edge_lines))
+    return full.select(*PAGE, "section", F.explode(outer).alias("e")).select(*PAGE, "section", "e.*")
 
 
 def edge_shapes(edged: DataFrame) -> DataFrame:
     """The distinct shapes of each page's edge lines that can repeat."""
-    shaped = edged.where(F.col("is_edge") & (F.length("line") <= 100)).select(*PAGE, "section", fn.shape(F.col("line")).alias("shape"))
+    shaped = edged.where(F.length("line") <= 100).select(*PAGE, "section", fn.shape(F.col("line")).alias("shape"))
     return shaped.where(~F.col("shape").isin("", "#")).distinct()
 
 
 def repeated_shapes(edged: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Shapes on enough pages of a document, or of one of its sections: ``document_id, section, shape, everywhere``
     (``section`` says nothing where ``everywhere`` is true)."""
-    pages = edged.groupBy(*PAGE, "section").agg(F.max((F.col("line") != "").cast("int")).alias("full"))
-    per_section = pages.where("full = 1").groupBy("document_id", "section").agg(F.count("*").alias("section_pages"))
+    per_section = edged.select(*PAGE, "section").distinct().groupBy("document_id", "section").agg(F.count("*").alias("section_pages"))
     whole = Window.partitionBy("document_id")
     totals = per_section.withColumn("all_pages", F.sum("section_pages").over(whole))
     counted = edge_shapes(edged).groupBy("document_id", "section", "shape").agg(F.count("*").alias("own"))
@@ -73,21 +76,38 @@ def page_number_drops(edged: DataFrame) -> DataFrame:
     return valued.withColumn("drop", said | follows(1) | follows(-1)).where("drop").select(*PAGE, "line_no").distinct()
 
 
-def clean(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """The lines that are left, as ``page_lines`` gives them, with their ``kind``."""
-    edged = edges(page_lines(pages), config).withColumn("kind", fn.line_kind(F.col("line")))
+def with_kind(lines: DataFrame) -> DataFrame:
+    """Stripped lines with their ``kind``; words and values are computed once each."""
+    staged = lines.withColumn("_words", fn.tokens(F.col("line"))).withColumn("_values", F.transform("_words", fn.is_value))
+    return staged.withColumn("kind", fn.line_kind(F.col("line"), F.col("_words"), F.col("_values"))).drop("_words", "_values")
+
+
+def _marks(pages: DataFrame, config: ChunkConfig) -> DataFrame:
+    """For each page what its edge lines must not be: ``shapes``, ``keys`` and places (``numbers``).  A shape is on a share
+    of pages and a page has a few edge lines, so a page's arrays are short however long the document."""
+    edged = edges(pages, config)
     repeated = repeated_shapes(edged, config)
-    everywhere = repeated.where("everywhere").select("document_id", "shape").distinct().withColumn("in_all", F.lit(True))
-    here = repeated.where("not everywhere").select(F.col("document_id").alias("d"), F.col("section").alias("s"), F.col("shape").alias("h")).withColumn("in_section", F.lit(True))
-    labels = running_labels(pages).select("document_id", F.col("key").alias("_key"), "label_pages", "first_page")
-
-    tagged = edged.withColumns({"shape": fn.shape(F.col("line")), "_key": fn.norm_key(F.col("line"))})
-    tagged = tagged.join(everywhere, ["document_id", "shape"], "left")
-    tagged = tagged.join(here, (F.col("document_id") == F.col("d")) & F.col("section").eqNullSafe(F.col("s")) & (F.col("shape") == F.col("h")), "left").drop("d", "s", "h")
-    tagged = tagged.join(labels, ["document_id", "_key"], "left")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    running = F.col("is_edge") & ~F.col("kind").isin("num", "row", "hdr") & (F.length("line") <= 100) & (yes(F.col("in_all")) | yes(F.col("in_section")) | fn.is_boilerplate(F.col("line")))
-    own = (F.col("_key") == fn.norm_key(F.col("section"))) | (F.col("_key") == fn.norm_key(F.col("subsection")))
-    label = F.col("is_edge") & (F.col("_key") != "") & own & yes((F.col("label_pages") >= config.repeat_min_pages) & (F.col("page_number") != F.col("first_page")))
-    left = tagged.where(~running & ~label).select(*PAGE, "section", "subsection", "line_no", "line", "kind")
-    return left.join(page_number_drops(edged), [*PAGE, "line_no"], "left_anti")
+    everywhere = repeated.where("everywhere").groupBy("document_id").agg(F.collect_set("shape").alias("in_all"))
+    here = repeated.where("not everywhere").groupBy("document_id", "section").agg(F.collect_set("shape").alias("in_section")).select(F.col("document_id").alias("d"), F.col("section").alias("s"), "in_section")
+    label = F.explode(F.array_distinct(F.array(fn.norm_key(F.col("section")), fn.norm_key(F.col("subsection")))))
+    running = running_labels(pages).where(F.col("label_pages") >= config.repeat_min_pages)
+    again = pages.select(*PAGE, label.alias("key")).join(running, ["document_id", "key"]).where("page_number <> first_page").groupBy(*PAGE).agg(F.collect_set("key").alias("keys"))
+    numbers = page_number_drops(edged).groupBy(*PAGE).agg(F.collect_set("line_no").alias("numbers"))
+    placed = pages.select(*PAGE, "section").join(everywhere, "document_id", "left").join(here, (F.col("document_id") == F.col("d")) & F.col("section").eqNullSafe(F.col("s")), "left")
+    none = F.array().cast("array<string>")
+    shapes = F.concat(F.coalesce("in_all", none), F.coalesce("in_section", none))
+    return placed.select(*PAGE, shapes.alias("shapes")).join(again, list(PAGE), "left").join(numbers, list(PAGE), "left")
+
+
+def clean(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """The lines that are left, as ``page_lines`` gives them, with their ``kind``.  What to drop is decided on edge lines
+    and pages; texts meet it once, as whole pages."""
+    lined = pages.select(*PAGE, "section", "subsection", fn.chunker_lines(F.col("text")).alias("_lines")).withColumn("_full", _full("_lines"))
+    outer = F.transform(F.filter("_full", lambda x, k: (k < config.edge_lines) | (k >= F.size("_full") - config.edge_lines)), lambda x: x["line_no"])
+    joined = lined.withColumn("_edges", outer).drop("_full").join(_marks(pages, config), list(PAGE))
+    lines = with_kind(joined.select(*PAGE, "section", "subsection", "_edges", "shapes", "keys", "numbers", F.posexplode("_lines").alias("line_no", "line")))
+    has = lambda array, x: F.coalesce(F.array_contains(array, x), F.lit(False))
+    running = ~F.col("kind").isin("num", "row", "hdr") & (F.length("line") <= 100) & (has("shapes", fn.shape(F.col("line"))) | fn.is_boilerplate(F.col("line")))
+    label = has("keys", F.nullif(fn.norm_key(F.col("line")), F.lit("")))
+    dropped = F.when(has("_edges", F.col("line_no")), running | label | has("numbers", F.col("line_no"))).otherwise(False)
+    return lines.where(~dropped).select(*PAGE, "section", "subsection", "line_no", "line", "kind")
