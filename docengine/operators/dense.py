@@ -1,7 +1,8 @@
 """Dense retrieval: exact inner products of stored vectors with a table of query vectors.
 
-Each batch of stored vectors meets a block of queries in one matrix product and yields only its own best few, so what
-is shuffled for the final ranking is a few rows for each query and batch.  Queries travel in blocks of bounded size.
+Each batch of stored vectors meets blocks of queries in matrix products and yields only its own best few, so what is
+shuffled for the final ranking is a few rows for each query and batch.  Queries go to the vectors, up to a bounded number
+of them with each scan.
 """
 
 from __future__ import annotations
@@ -13,8 +14,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine import expect
+
 DIGITS = 5
-BLOCK = 4096
+#: Queries in one matrix product, and numbers in the queries that go with one scan.
+BLOCK = 1024
+CARRIED = 1 << 24
+EMPTY = "Cannot search an empty vector index."
+
+
+def size(index: DataFrame) -> int:
+    """How many vectors there are."""
+    return index.count()
+
+
+def require_same_size(index: DataFrame, chunks: DataFrame) -> None:
+    """Stored vectors and chunks belong together one to one."""
+    if (n := size(index)) != (m := chunks.count()):
+        raise ValueError(f"Vector/chunk count mismatch: {n} vectors, {m} chunks.")
+
+
+def _flat(column: pa.Array, dimension: int) -> np.ndarray:
+    """A column of lists of one width as a matrix, without Python objects."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dimension)
 
 
 def append(index: DataFrame, added: DataFrame, dimension: int) -> DataFrame:
@@ -34,40 +56,43 @@ def normalise(vector):
 def search(index: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """``query_id, rank, id, position, score`` of the best of ``index`` (``id, position, embedding``) for each of
     ``queries`` (``query_id, embedding``).  Scores are rounded before ranking; ties go to the earlier position."""
-    n = queries.count()
-    found = None
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK)))))
-    for k in range(max(1, -(-n // BLOCK))):
-        block = numbered.where(F.col("_block") == k).select("query_id", "embedding").toArrow()  # about BLOCK rows
-        part = _search_block(index, block, top_k)
+    expect.top_k(top_k)
+    some = index.select(F.size("embedding")).first()
+    if some is None:
+        raise ValueError(EMPTY)
+    dimension = some[0]
+    odd = queries.where(F.coalesce(F.size("embedding") != dimension, F.lit(True))).select("query_id").first()
+    if odd:
+        raise ValueError(f"the vector of query {odd[0]} must have {dimension} numbers")
+    scans, found = max(1, -(-queries.count() * dimension // CARRIED)), None
+    numbered = queries.withColumn("_scan", F.pmod(F.xxhash64("query_id"), F.lit(scans)))
+    for k in range(scans):
+        part = _search_block(index, numbered.where(F.col("_scan") == k).select("query_id", "embedding").toArrow(), top_k, dimension)
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "position", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "position", "score")
 
 
-def _search_block(index: DataFrame, block: pa.Table, top_k: int) -> DataFrame:
-    asked = np.array(block["embedding"].to_pylist(), np.float64)
-    names, kind = block["query_id"].to_pylist(), index.schema["id"].dataType.simpleString()
-    named = pa.array(names).type
-    schema = f"query_id {'string' if pa.types.is_string(named) else 'long'}, id {kind}, position long, score double"
+def _search_block(index: DataFrame, block: pa.Table, top_k: int, dimension: int) -> DataFrame:
+    names = block["query_id"].combine_chunks()
+    asked = _flat(block["embedding"].combine_chunks(), dimension)
+    schema = f"query_id {'string' if pa.types.is_string(names.type) or pa.types.is_large_string(names.type) else 'long'}, id {index.schema['id'].dataType.simpleString()}, position long, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(names):
+            if not batch.num_rows:
                 continue
-            stored = np.array(batch.column(2).to_pylist(), np.float64)
-            scores = np.round(asked @ stored.T, DIGITS)
-            position = batch.column(1).to_numpy()
+            stored, position = _flat(batch.column(2), dimension), batch.column(1).to_numpy()
             k = min(top_k, batch.num_rows)
-            cut = np.partition(scores, batch.num_rows - k, axis=1)[:, batch.num_rows - k, None]
-            who, which = np.nonzero(scores >= cut)  # ties at the cut are all kept for now
-            order = np.lexsort((position[which], -scores[who, which], who))
-            who, which = who[order], which[order]
-            first = np.searchsorted(who, who)
-            keep = np.arange(len(who)) - first < k
-            who, which = who[keep], which[keep]
-            columns = [pa.array([names[q] for q in who], named), batch.column(0).take(pa.array(which)), pa.array(position[which]), pa.array(scores[who, which])]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "position", "score"])
+            for at in range(0, len(asked), BLOCK):
+                scores = np.round(asked[at : at + BLOCK] @ stored.T, DIGITS)
+                cut = np.partition(scores, batch.num_rows - k, axis=1)[:, batch.num_rows - k, None]
+                who, which = np.nonzero(scores >= cut)  # ties at the cut are all kept for now
+                order = np.lexsort((position[which], -scores[who, which], who))
+                who, which = who[order], which[order]
+                keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+                who, which = who[keep], which[keep]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(who + at)), batch.column(0).take(pa.array(which)), pa.array(position[which]), pa.array(scores[who, which])], names=["query_id", "id", "position", "score"])
 
     return index.select("id", F.col("position").cast("long"), "embedding").mapInArrow(run, schema)
 

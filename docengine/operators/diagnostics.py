@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions import text as fn
 from docengine.operators import dense
 
 
-def truncation_audit(chunks: DataFrame, gold: DataFrame, extra: DataFrame, keywords: list[str]) -> DataFrame:
-    """Sizes, pages and keyword places of the gold chunks and a few more (``chunk_id``)."""
+def truncation_audit(chunks: DataFrame, gold: DataFrame, extra: DataFrame, keywords: list[str], count_tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Sizes, pages and keyword places of the gold chunks and a few more (``chunk_id``).  ``count_tokens`` stands for the
+    encoder's tokenizer, its marks included; without it words are counted."""
     ids = gold.select("chunk_id").union(extra.select("chunk_id")).distinct()
     return chunks.join(ids, "chunk_id", "left_semi").select(
-        "chunk_id", "page_start", "page_end", F.length("content").alias("chars"), F.size(fn.tokens(F.col("content"))).alias("tokens"), fn.keyword_positions(F.col("content"), keywords).alias("keywords")
+        "chunk_id", "page_start", "page_end", F.length("content").alias("chars"), (count_tokens or fn.word_count)(F.col("content")).alias("tokens"), fn.keyword_positions(F.col("content"), keywords).alias("keywords")
     )
 
 

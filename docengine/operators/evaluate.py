@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docengine.functions import text as fn
+
 CUTOFFS = (1, 3, 5, 10)
 
 
@@ -45,7 +47,47 @@ def unknown_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
     return gold.select("case_id", "chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti")
 
 
+def check_gold(gold_document: str | None, document: str, gold: DataFrame, chunks: DataFrame) -> None:
+    """Gold must be of this document, and name chunks that there are."""
+    if gold_document != document:
+        raise ValueError(f"Gold-standard document_id {gold_document!r} does not match document document_id {document!r}.")
+    lost = unknown_gold(gold, chunks).select("chunk_id").distinct().orderBy("chunk_id").limit(20).collect()
+    if lost:
+        raise ValueError(f"Gold-standard contains chunk IDs that are not present in the current chunking output: {[r[0] for r in lost]}")
+
+
+def shown(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, digits: int = 4) -> DataFrame:
+    """Ranked rows (``case_id, rank, chunk_id, score``) as lines to read, with a mark on gold."""
+    marks = gold.select("case_id", "chunk_id", F.lit(" GOLD").alias("mark"))
+    cut = lambda c: F.coalesce(F.col(c), F.lit("-"))
+    line = F.concat(
+        F.format_string(f"%d. score=%.{digits}f ", "rank", "score"), F.col("chunk_id"), F.coalesce("mark", F.lit("")), F.format_string(" pages %d-%d | ", "page_start", "page_end"),
+        cut("section"), F.lit(" | "), cut("subsection"), F.lit(" | "), fn.preview(F.col("content")),
+    )
+    return ranked.join(chunks, "chunk_id").join(marks, ["case_id", "chunk_id"], "left").select("case_id", "rank", line.alias("line"))
+
+
 def case_report(first: DataFrame) -> DataFrame:
     """A row a case: hits at the cutoffs and the reciprocal rank."""
     hits = [F.coalesce(F.col("first_rank") <= k, F.lit(False)).alias(f"recall_at_{k}") for k in CUTOFFS]
     return first.select("case_id", "first_rank", *hits, F.round(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0)), 6).alias("reciprocal_rank"))
+
+
+#: Words inside a text, between blanks, by which documents that may hold it are found.
+ANCHOR = 4
+
+
+def holding(documents: DataFrame, texts: DataFrame) -> DataFrame:
+    """``case_id, chunk_id`` where the ``text`` of a document (``chunk_id``) has that of a case (``case_id``) as it stands.
+    Inner words of a case's text stand between blanks in the document too, so documents and cases meet by a hash of some
+    of them; only texts of fewer words meet all documents."""
+    inner = lambda c: F.slice(F.split(c, " "), 2, ANCHOR)
+    long = F.size(F.split("text", " ")) >= ANCHOR + 2
+    cases = texts.select("case_id", F.col("text").alias("wanted"), long.alias("long"), F.xxhash64(F.concat_ws(" ", inner(F.col("text")))).alias("anchor"))
+    words = documents.select("chunk_id", F.split("text", " ").alias("words"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - ANCHOR + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, ANCHOR))))
+    anchors = words.where(F.size("words") >= ANCHOR + 2).select("chunk_id", F.explode(F.array_distinct(runs)).alias("anchor"))
+    met = anchors.join(cases.where("long").select("case_id", "wanted", "anchor"), "anchor").join(documents.select("chunk_id", "text"), "chunk_id")
+    few = documents.crossJoin(cases.where("not long").select("case_id", "wanted"))
+    found = met.select("case_id", "chunk_id", "text", "wanted").union(few.select("case_id", "chunk_id", "text", "wanted"))
+    return found.where(F.contains("text", "wanted")).select("case_id", "chunk_id").distinct()

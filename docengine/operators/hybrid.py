@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine import expect
+from docengine.operators import dense, lexical
+
 RRF_K, CANDIDATES, DIGITS = 60, 50, 9
 
 
@@ -29,5 +32,22 @@ def fuse(arms: list[DataFrame], top_k: int, *, rrf_k: int = RRF_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "position", "score")
 
 
+def require_same_size(lexical_chunks: DataFrame, chunks: DataFrame) -> None:
+    if (n := lexical_chunks.count()) != (m := chunks.count()):
+        raise ValueError(f"the lexical side has {n} chunks, the corpus {m}")
+
+
+def search(index: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int = 10, *, candidate_k: int = CANDIDATES, rrf_k: int = RRF_K, lexical_chunks: DataFrame | None = None) -> DataFrame:
+    """Both arms for ``queries`` (``query_id, query, embedding``), fused.  The lexical arm searches ``chunks`` unless it is
+    given its own, which must be as many."""
+    expect.top_k(top_k)
+    check_parameters(rrf_k, candidate_k)
+    if lexical_chunks is not None:
+        require_same_size(lexical_chunks, chunks)
+    n = candidates(top_k, candidate_k)
+    near = dense.search(index, queries.select("query_id", "embedding"), n).withColumnRenamed("id", "chunk_id")
+    return fuse([near, lexical.search(chunks if lexical_chunks is None else lexical_chunks, queries.select("query_id", "query"), n)], top_k, rrf_k=rrf_k)
+
+
 def candidates(top_k: int, candidate_k: int = CANDIDATES) -> int:
     return max(top_k, candidate_k)

@@ -105,18 +105,18 @@ def page_lines(spark, sf):
 
 @query
 def edge_lines(spark, sf):
-    return clean.edges(clean.page_lines(t.noisy_pages(spark, sf))).where("is_edge").select("document_id", "page_number", "line_no", "rank_down", "rank_up")
+    return clean.edges(t.noisy_pages(spark, sf)).select("document_id", "page_number", "line_no", "rank_down", "rank_up")
 
 
 @query
 def edge_shapes(spark, sf):
-    shapes = clean.edge_shapes(clean.edges(clean.page_lines(t.noisy_pages(spark, sf))))
+    shapes = clean.edge_shapes(clean.edges(t.noisy_pages(spark, sf)))
     return shapes.groupBy("document_id", "shape").agg(F.count("*").alias("n_pages"))
 
 
 @query
 def repeated_edges(spark, sf):
-    return clean.repeated_shapes(clean.edges(clean.page_lines(t.noisy_pages(spark, sf))))
+    return clean.repeated_shapes(clean.edges(t.noisy_pages(spark, sf)))
 
 
 @query
@@ -126,7 +126,7 @@ def running_labels(spark, sf):
 
 @query
 def page_number_drops(spark, sf):
-    return clean.page_number_drops(clean.edges(clean.page_lines(t.noisy_pages(spark, sf))))
+    return clean.page_number_drops(clean.edges(t.noisy_pages(spark, sf)))
 
 
 @query
@@ -268,10 +268,7 @@ def hybrid_rrf_topk(spark, sf):
 def _gold(spark, sf):
     """Documents that hold a benchmark text as it stands."""
     docs = t.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    items = t.queries(spark, sf)
-    if items.count() > 10_000:
-        raise ValueError("more benchmark texts than a scan of all documents can carry along")
-    return docs.join(F.broadcast(items), F.contains("text", "query")).select(F.col("query_id").alias("case_id"), "chunk_id")
+    return evaluate.holding(docs, t.queries(spark, sf).select(F.col("query_id").alias("case_id"), F.col("query").alias("text")))
 
 
 def _as_cases(ranked):
