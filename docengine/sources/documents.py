@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from docengine import expect
-from docengine.operators.pages import measure, suspicious
+from docengine.functions.text import ocr_quality, search_terms
+from docengine.operators.pages import measure, merge_recognised, suspicious
+from docengine.operators.sections import detect
 from docengine.schemas import DOCUMENT, DOCUMENT_TYPES, GOLD, MANIFEST, PAGE
 
 
@@ -120,6 +125,45 @@ def parse_files(spark: SparkSession, manifest: DataFrame, folder: str, extract:
     return pages, found.where("error is not null").select("document_id", "error")
 
 
+def check_page_number(page_number: int, page_count: int) -> int:
+    if isinstance(page_number, bool) or not isinstance(page_number, int):
+        raise TypeError("page_number must be an integer")
+    if not 1 <= page_number <= page_count:
+        raise ValueError(f"page_number must be from 1 to {page_count}")
+    return page_number
+
+
+def recognise_page(spark: SparkSession, manifest: DataFrame, folder: str, document_id: str, page_number: int, read_page: Recogniser, extract: Extractor = form_feed_pages) -> DataFrame:
+    """One page of one file, recognised, as a measured page."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("pdf"), "content")
+    found = manifest.where(F.col("document_id") == document_id).select(F.element_at(F.split("pdf", "/"), -1).alias("pdf")).join(files, "pdf").first()
+    if found is None:
+        raise FileNotFoundError(f"no file of {document_id} in {folder}")
+    content = bytes(found["content"])
+    check_page_number(page_number, len(list(extract(content))))
+    row = spark.createDataFrame([(document_id, page_number, read_page(content, page_number), 0)], "document_id string, page_number int, text string, image_count int")
+    return measure(row, "ocr").withColumn("quality_flag", ocr_quality(F.col("text")))
+
+
+def ingest(spark: SparkSession, manifest: DataFrame, folder: str, to: str, extract: Extractor = form_feed_pages, read_page: Recogniser | None = None, suffix: str = "") -> dict[str, int]:
+    """All files of the manifest as JSON documents under ``to``; returns how many there are of ``success`` and ``failure``.
+    A file that can't be read, or is not named with the suffix, doesn't stop the others; once these are written an error
+    names those that failed."""
+    named = F.lower("pdf").endswith(suffix)
+    pages, failures = parse_files(spark, manifest.where(named), folder, extract)
+    failures = failures.union(manifest.where(~named).select("document_id", F.lit(f"file must end with {suffix}").alias("error")))
+    if read_page:
+        pages = merge_recognised(pages, recognise(spark, pages, manifest.where(named), folder, read_page))
+    pages = detect(pages.drop("section", "subsection"))
+    counted = pages.groupBy("document_id").agg(F.count("*").cast("int").alias("page_count"))
+    documents = manifest.join(counted, "document_id").select("document_id", "company_name", "document_type", F.col("pdf").alias("source_file"), "page_count")
+    save_documents(nest(documents, pages), to)
+    bad = {r["document_id"]: r["error"] for r in failures.collect()}  # a row a file at most
+    if bad:
+        raise RuntimeError(f"{len(bad)} of {manifest.count()} documents failed: " + "; ".join(f"{k}: {v}" for k, v in sorted(bad.items())))
+    return {"success": manifest.count(), "failure": 0}
+
+
 def recognise(spark: SparkSession, pages: DataFrame, manifest: DataFrame, folder: str, read_page: Recogniser) -> DataFrame:
     """Recognised text of the suspicious pages only; each file is opened once for all of its pages."""
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("pdf"), "content")
@@ -149,21 +193,44 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
 def hashed_encoder(dimension: int = 384) -> Callable[[DataFrame, str, str], DataFrame]:
     """The built-in encoder: a normalised bag of hashed search terms.  Takes a table, its text column and the name of
     the new one; a neural encoder with the same signature can stand in for it."""
-    from docengine.functions.text import search_terms
-    from docengine.operators.dense import normalise
-
     def encode(df: DataFrame, text: str, to: str = "embedding") -> DataFrame:
-        slots = F.transform(search_terms(F.col(text)), lambda t: F.pmod(F.xxhash64(t), F.lit(dimension)).cast("int"))
-        spread = df.withColumn("_slots", F.array_sort(slots))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.size(F.filter("_slots", lambda s: s == k)).cast("float"))
-        return spread.withColumn("_counts", counts).withColumn(to, normalise(F.col("_counts"))).drop("_slots", "_counts")
+        slots = df.withColumn(to, F.transform(search_terms(F.col(text)), lambda t: F.pmod(F.xxhash64(t), F.lit(dimension)).cast("int")))
+        schema = StructType([f for f in slots.schema.fields if f.name != to] + [StructField(to, ArrayType(FloatType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(batch.num_columns - 1)
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                counts = np.bincount(row * dimension + lists.flatten().to_numpy(), minlength=len(lists) * dimension).reshape(-1, dimension)
+                norm = np.sqrt((counts.astype(np.float64) ** 2).sum(1, keepdims=True))
+                flat = pa.array((counts / np.where(norm > 0, norm, 1)).astype(np.float32).ravel())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * dimension, flat)], names=[f.name for f in schema.fields])
+
+        return slots.select(*[F.col(f"`{f.name}`") for f in schema.fields]).mapInArrow(run, schema)
 
     return encode
 
 
-def write_report(summary: DataFrame, cases: DataFrame, path: str, **parameters: object) -> None:
-    """One JSON object: the parameters, metrics by name, and a row for each case."""
+def _report_block(summary: DataFrame, cases: DataFrame) -> DataFrame:
     metrics = summary.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
     rows = cases.agg(F.count("*").alias("num_cases"), F.array_sort(F.collect_list(F.struct(*cases.columns))).alias("cases"))
-    named = [F.lit(v).alias(k) for k, v in parameters.items()]
-    metrics.crossJoin(rows).select(*named, "num_cases", "metrics", "cases").coalesce(1).write.mode("overwrite").json(path)
+    return metrics.crossJoin(rows)
+
+
+def write_dense_report(summary: DataFrame, cases: DataFrame, path: str, *, document_id: str, document_name: str, top_k: int) -> None:
+    """One JSON object: the document, what was asked for, metrics by name, and a row for each case."""
+    named = [F.lit(document_id).alias("document_id"), F.lit(document_name).alias("document_name"), F.lit(top_k).alias("top_k_requested")]
+    _report_block(summary, cases).select(*named, "num_cases", "metrics", "cases").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_comparison(dense: tuple[DataFrame, DataFrame], hybrid: tuple[DataFrame, DataFrame], path: str, *, document_id: str, document_name: str, gold: str, parameters: dict[str, int], dataset: dict[str, int]) -> None:
+    """One JSON object with the parameters, the sizes of the data, and the summary and cases of both ways of search."""
+    block = lambda pair, name: _report_block(*pair).select(F.struct("num_cases", "metrics", "cases").alias(name))
+    values = lambda d: F.struct(*[F.lit(v).alias(k) for k, v in d.items()])
+    head = [F.lit(document_id).alias("document_id"), F.lit(document_name).alias("document_name"), F.lit("dense_vs_hybrid_retrieval").alias("evaluation_type"), F.lit(gold).alias("gold_standard"), values(parameters).alias("parameters"), values(dataset).alias("dataset")]
+    block(dense, "dense").crossJoin(block(hybrid, "hybrid")).select(*head, "dense", "hybrid").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_report(summary: DataFrame, cases: DataFrame, path: str, **parameters: object) -> None:
+    """One JSON object: the parameters, metrics by name, and a row for each case."""
+    _report_block(summary, cases).select(*[F.lit(v).alias(k) for k, v in parameters.items()], "num_cases", "metrics", "cases").coalesce(1).write.mode("overwrite").json(path)
