@@ -166,6 +166,15 @@ marked AS (
   FROM kinds k
 )"""
 
+RUNS = f"""{LINES}, c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND section IS DISTINCT FROM lag(section) OVER w THEN 1 ELSE 0 END AS new FROM lines WINDOW w AS (PARTITION BY document_id ORDER BY page_number, line_no)),
+r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM c)"""
+
+
+def chunk_heading(line: str, section: str) -> str:
+    letters, upper = (f"length(regexp_replace({line}, '{p}', '', 'g'))" for p in (r"[^\p{L}]", r"[^\p{Lu}]"))
+    return f"(({key(line)} <> '' AND {key(line)} = {key(section)}) OR ({letters} >= 4 AND {upper} >= 0.9 * {letters} AND length({line}) <= 100 AND NOT regexp_matches({line}, '[.,;]$')))"
+
+
 TERMS = f"words_in AS (SELECT doc_id, {terms('text')} AS w FROM documents), terms_in AS (SELECT doc_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '__' || w[i + 1])) AS terms FROM words_in)"
 
 BM25 = f"""{TERMS}, queries_in AS (SELECT item_id AS query_id, {terms('text')} AS w FROM benchmark),
@@ -229,9 +238,19 @@ SQL: dict[str, str] = {
     "line_kinds": f"""WITH l AS (SELECT unnest(['Item ' || l_returnflag || ' ' || CAST(l_quantity AS INTEGER) || ' (' || l_linenumber || ')', CAST(l_quantity AS INTEGER) || ' - ' || l_linenumber || '%', 'Particulars of ' || l_linestatus,
         'FY' || (1990 + l_linenumber), 'As sold ' || l_linenumber || ' in all.', '(₹ in million)', 'Mar 31, 2024 and later', '  ']) AS line FROM lineitem)
         SELECT {kind('line')} AS kind, length({strip('line')}) <= 90 AND {words('line')} <= 12 AND NOT ends_with({strip('line')}, '.') AS short, count(*) AS n FROM l GROUP BY ALL""",
-    "section_runs": f"""WITH {LINES}, c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND section IS DISTINCT FROM lag(section) OVER w THEN 1 ELSE 0 END AS new FROM lines WINDOW w AS (PARTITION BY document_id ORDER BY page_number, line_no)),
-        r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM c)
-        SELECT document_id, run, count(*) AS n_lines, min(page_number) AS first_page, max(page_number) AS last_page FROM r GROUP BY ALL""",
+    "section_runs": f"""WITH {RUNS} SELECT document_id, run, count(*) AS n_lines, min(page_number) AS first_page, max(page_number) AS last_page FROM r GROUP BY ALL""",
+    "paragraph_units": f"""WITH {RUNS}, h AS (SELECT *, {chunk_heading('line', 'section')} AS heading FROM r),
+        b AS (SELECT *, lag(line) OVER w AS last_line, lag(heading) OVER w AS last_heading FROM h WINDOW w AS (PARTITION BY document_id, run ORDER BY page_number, line_no)),
+        s AS (SELECT *, CAST(line <> '' AND (heading OR last_line IS NULL OR last_line = '' OR last_heading) AS INTEGER) AS begins FROM b),
+        u AS (SELECT *, CAST(sum(begins) OVER (PARTITION BY document_id, run ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS unit FROM s)
+        SELECT document_id, run, unit, CASE WHEN bool_or(heading) THEN 'heading' ELSE 'para' END AS kind, count(*) AS n_lines, CAST(sum(length(line) + 1) - 1 AS INTEGER) AS n_chars FROM u WHERE line <> '' GROUP BY document_id, run, unit""",
+    "chunk_invariants": "SELECT CAST(NULL AS VARCHAR) AS chunk_id, CAST(NULL AS VARCHAR) AS rule WHERE false",
+    "table_chunks": f"""WITH q AS (SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity FROM lineitem),
+        t AS (SELECT 'order' || l_orderkey AS document_id, count(*) AS n, string_agg('Part sold | ' || quantity || ' | ' || l_linenumber, {NL} ORDER BY l_linenumber, quantity) AS rows,
+            string_agg('Part sold ' || quantity || ' ' || l_linenumber, {NL} ORDER BY l_linenumber, quantity) AS lines FROM q GROUP BY l_orderkey)
+        SELECT document_id || '_chunk_0000' AS chunk_id, document_id, 'ORDERS' || {NL} || CASE WHEN n >= 3 THEN 'Table title: Parts Of The Order' || {NL} || 'Columns: Particulars' || {NL} || rows
+            ELSE 'Parts Of The Order' || {NL} || 'Particulars' || {NL} || lines END AS content, CAST(1 AS INTEGER) AS page_start, CAST(1 AS INTEGER) AS page_end, [CAST(1 AS INTEGER)] AS pages,
+            'ORDERS' AS section, CAST(NULL AS VARCHAR) AS subsection, CAST(0 AS INTEGER) AS chunk_index FROM t""",
     "sentence_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?]\s+[A-Z(\x22“0-9]')) + 1 AS INTEGER) AS n_sentences FROM documents",
     "chunk_ids": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
         SELECT 'conv' || conv_id || '_chunk_' || lpad(CAST(i AS VARCHAR), 4, '0') AS chunk_id, 'conv' || conv_id AS document_id, CAST(i AS INTEGER) AS chunk_index, CAST(turn + 1 AS INTEGER) AS page_start,

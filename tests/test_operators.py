@@ -7,6 +7,7 @@ from docengine import expect
 from docengine.functions import text as fn
 from docengine.operators import dense, diagnostics, evaluate, hybrid, lexical, pages, sections
 from docengine.sources import documents as src
+from docengine.sources import query_sets
 from docengine.streaming import ingest
 
 
@@ -169,6 +170,86 @@ def test_encoder_and_diagnostics(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).first().num_cases == 1
 
 
+def test_retrieval_checks_its_arguments(spark):
+    chunks = spark.createDataFrame([("c1", 0, "Total assets are large."), ("c2", 1, "The fresh issue is of new shares.")], "chunk_id string, position int, content string")
+    asked = spark.createDataFrame([("q", "Fresh Issue", [1.0, 0.0])], "query_id string, query string, embedding array<float>")
+    index = spark.createDataFrame([("c1", 0, [1.0, 0.0]), ("c2", 1, [0.0, 1.0])], "id string, position long, embedding array<float>")
+    for bad, error in ((True, TypeError), ("3", TypeError), (0, ValueError)):
+        for search in (lambda k: lexical.search(chunks, asked, k), lambda k: dense.search(index, asked, k), lambda k: hybrid.search(index, chunks, asked, k)):
+            with pytest.raises(error):
+                search(bad)
+    with pytest.raises(ValueError, match="query must not be empty"):
+        lexical.search(chunks, asked.withColumn("query", F.lit("  ")))
+    for cells in (0, 100):
+        with pytest.raises(ValueError, match="empty lexical index"):
+            lexical.search(chunks.limit(0), asked, cells=cells).collect()
+    with pytest.raises(ValueError, match="empty vector index"):
+        dense.search(index.limit(0), asked)
+    with pytest.raises(ValueError, match="must have 2 numbers"):
+        dense.search(index, spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<float>"))
+    with pytest.raises(ValueError, match="mismatch"):
+        dense.require_same_size(index, chunks.limit(1))
+    with pytest.raises(ValueError, match="the lexical side has 1"):
+        hybrid.search(index, chunks, asked, lexical_chunks=chunks.limit(1))
+    found = hybrid.search(index, chunks, asked, 2).orderBy("rank").collect()
+    assert [r.chunk_id for r in found] == ["c2", "c1"] and dense.size(index) == 2
+
+
+def test_both_ways_of_lexical_search_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    by_batch, by_term = (sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 5)) for r in lexical.search(chunks, asked, cells=n).collect()) for n in (1 << 23, 0))
+    assert by_batch == by_term and len(by_batch) > 100
+
+
+def test_texts_are_found_as_they_stand(spark):
+    docs = spark.createDataFrame([(1, "before one two three four five six seven after"), (2, "xone two three four five six sevenx"), (3, "one two  three four five six seven"), (4, "tiny text"), (5, None)], "chunk_id long, text string")
+    cases = spark.createDataFrame([(1, "one two three four five six seven"), (2, "tiny"), (3, "nothing of all this is said in any document")], "case_id long, text string")
+    assert sorted(map(tuple, evaluate.holding(docs, cases).collect())) == [(1, 1), (1, 2), (2, 4)]
+
+
+def test_gold_belongs_to_the_document(spark):
+    gold, chunks = spark.createDataFrame([("k", "c1"), ("k", "c9")], "case_id string, chunk_id string"), spark.createDataFrame([("c1", 1, 2, "S", None, "Words\nof it")], "chunk_id string, page_start int, page_end int, section string, subsection string, content string")
+    with pytest.raises(ValueError, match="does not match"):
+        evaluate.check_gold("X", "D", gold, chunks)
+    with pytest.raises(ValueError, match="c9"):
+        evaluate.check_gold("D", "D", gold, chunks)
+    ranked = spark.createDataFrame([("k", 1, "c1", 0.5)], "case_id string, rank int, chunk_id string, score double")
+    assert evaluate.shown(ranked, chunks, gold).first().line == "1. score=0.5000 c1 GOLD pages 1-2 | S | - | Words of it"
+
+
+def test_ingest_writes_what_it_can(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "b.pdf", "c.txt"):
+        (tmp_path / "in" / name).write_bytes(b"\xff\xfe" if name[0] == "b" else b"SECTION I: GENERAL\nSome plain words stand here.\fA second page of words.")
+    rows = [(n, n[0].upper(), "X Ltd", "RHP") for n in ("a.pdf", "b.pdf", "c.txt")]
+    manifest = spark.createDataFrame(rows, "pdf string, document_id string, company_name string, document_type string")
+    with pytest.raises(RuntimeError, match="2 of 3 documents failed: B: .*; C: file must end with .pdf"):
+        src.ingest(spark, manifest, str(tmp_path / "in"), str(tmp_path / "out"), suffix=".pdf")
+    (d,) = src.read_documents(spark, str(tmp_path / "out/*/*.json")).collect()
+    assert (d.document_id, d.page_count, d.pages[1].section) == ("A", 2, "GENERAL")
+    assert src.ingest(spark, manifest.limit(1), str(tmp_path / "in"), str(tmp_path / "out")) == {"success": 1, "failure": 0}
+    page = src.recognise_page(spark, manifest, str(tmp_path / "in"), "A", 2, lambda content, n: f"Page {n} was read from its image by a machine.").first()
+    assert (page.page_number, page.extraction_method, page.quality_flag) == (2, "ocr", "normal")
+    for bad, error in ((0, ValueError), (3, ValueError), (True, TypeError)):
+        with pytest.raises(error):
+            src.recognise_page(spark, manifest, str(tmp_path / "in"), "A", bad, lambda content, n: "")
+    with pytest.raises(FileNotFoundError):
+        src.recognise_page(spark, manifest, str(tmp_path / "in"), "Z", 1, lambda content, n: "")
+
+
+def test_reports_have_both_blocks(spark, tmp_path):
+    first = spark.createDataFrame([("k", 1), ("l", None)], "case_id string, first_rank int")
+    pair = evaluate.metrics(first), evaluate.case_report(first)
+    src.write_comparison(pair, pair, str(tmp_path / "c"), document_id="D", document_name="X", gold="g.json", parameters={"top_k": 10, "candidate_k": 50, "rrf_k": 60}, dataset={"chunks": 2})
+    r = spark.read.json(str(tmp_path / "c")).first()
+    assert (r.parameters.rrf_k, r.dataset.chunks, r.dense.num_cases, r.hybrid.metrics["Recall@1"]) == (60, 2, 2, 0.5)
+    src.write_dense_report(*pair, str(tmp_path / "d"), document_id="D", document_name="X", top_k=10)
+    assert spark.read.json(str(tmp_path / "d")).first().top_k_requested == 10
+    assert query_sets.questions(spark).count() == 7 and query_sets.questions(spark, dense=True).count() == 5 and query_sets.paraphrases(spark).count() == 12
+
+
 def test_stream_chunks_what_arrives(spark, tmp_path):
     blank = F.lit(None).cast("string")
     own = pages.measure(spark.createDataFrame([("D", 1, "SECTION I: GENERAL\nSome plain words.", 0)], "document_id string, page_number int, text string, image_count int"))
