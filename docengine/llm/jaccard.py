@@ -49,7 +49,7 @@ PERCENT = 80
 #: Shingles of more nodes than this are indexed in pairs.
 FREQUENT = 32
 #: Turns of prefixes before the token combinations.
-TURNS = 4
+TURNS = 2
 #: Shingles of prefixes that a task holds before it settles the frequent among them.
 HELD = 2_000_000
 #: Nodes in a block of a cluster.
