@@ -2,6 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept; all but the last return the
 columns of ``documents``.
+
+Defined cases: a null or empty text passes the classifier, and is one document an id; a row without an id is no
+duplicate and is packed with a null id; of repeated rows the second stage leaves one; an empty table stays empty; further
+columns pass through all stages but the last.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -126,6 +127,34 @@ def test_secrets_need_no_digit_and_no_length():
     assert pii.features(key, (0, 4, 600))[6] > 0.4 and pii.features("a" * 128 + key, (0, 4, 728))[8] == len(set("a" + key)) / 728
 
 
+def test_time_grows_with_the_text():
+    booster, threshold = pii.model()
+    for text in ("1 " + "a," * 250_000, "1.2." * 250_000, "a=" * 400_000, "+1 " * 300_000, "x@" * 300_000, "key: abc1 " * 60_000, "<title>" * 100_000 + "1"):
+        begun = time.perf_counter()
+        pii.spans_of([text], booster, threshold)
+        assert time.perf_counter() - begun < 30, text[:20]
+
+
+def test_spans_without_digits_and_of_people():
+    booster, threshold = pii.model()
+    found = lambda t: {(pii.KINDS[k], t[a:b]) for a, k, b, _ in pii.spans_of([t], booster, threshold)[0]}
+    assert ("secret", "abcdefghijklmnopqrstuv") in found("set token = abcdefghijklmnopqrstuv now")
+    assert ("birth", "1984-11-23") in found("she was born on 1984-11-23 in a town")
+    assert ("street", "12 Marker Street") in found("he lives at 12 Marker Street with others")
+    assert not found("the token is important here") and not found("a plain sentence: nothing private in it at all, on page 12 of 2024")
+
+
+def test_odd_rows_have_their_own_spans(odd):
+    rows = pii.find(odd).collect()
+    assert len(rows) == len(ODD) and all(not r.spans for r in rows)
+    docs = odd.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" mail a.b@c.org")))
+    rows = pii.find(docs).collect()
+    for r in rows:
+        (s,) = r.spans
+        text = (dict(ODD)[r.doc_id] if r.doc_id != 9 else ODD[-2][1]) or ""
+        assert (s.kind, s.start, s.end) == ("email", len(text) + 6, len(text) + 15)
+
+
 def test_candidate_model_holds_on_held_out_spans():
     booster, threshold = pii.model()
     p, y = booster.held
@@ -154,6 +183,54 @@ def test_votes_read_the_whole_text():
     assert quality._marked_words(b"", words) == quality.ABSTAIN
 
 
+def test_sample_is_of_exact_size_and_has_each_row_once(spark):
+    docs = spark.createDataFrame([(k % 500 if k < 900 else 7, f"text {k % 500 if k < 900 else 7}") for k in range(3000)], "doc_id long, text string")
+    texts = [r.text for r in quality._drawn(docs, 3000, 40).collect()]
+    assert len(texts) == len(set(texts)) == 40 and sorted(texts) == sorted(r.text for r in quality._drawn(docs.repartition(5), 3000, 40).collect())
+    same = spark.createDataFrame([(1, "again")] * 2000, "doc_id long, text string")
+    assert [r.text for r in quality._drawn(same, 2e9, 40).collect()] == ["again"]
+    assert quality._shape(b"a" * 40 + b"9") == b"a0"
+
+
+def test_silent_labellers_keep_all(spark, odd):
+    few = odd.where("doc_id <= 4")
+    model = quality.fit(few)
+    assert quality.keep_good(few, model).count() == 4
+
+
+def test_label_model_is_plain_expectation_maximisation():
+    r = np.random.default_rng(3)
+    patterns = r.integers(-1, 2, (40, 4))
+    counts = r.integers(1, 50, 40).astype(float)
+    model = quality.LabelModel().fit(patterns, counts, rounds=7)
+    rows = [(p, n) for p, n in zip(patterns.tolist(), counts) if any(p)]
+    seen = lambda weight, j, v: sum(w for (p, _), w in zip(rows, weight) if p[j] == v) + 0.5
+    start = [[[c * seen([n for _, n in rows], j, v) for v, c in zip((-1, 0, 1), by)] for j in range(4)] for by in ((0.8, 1, 0.2), (0.2, 1, 0.8))]
+    rates, prior = [[[x / sum(row) for x in row] for row in c] for c in start], 0.85
+    for _ in range(7):
+        good = []
+        for p, _ in rows:
+            bad_, good_ = (share * math.prod(rates[c][j][v + 1] for j, v in enumerate(p)) for c, share in ((0, 1 - prior), (1, prior)))
+            good.append(good_ / (good_ + bad_))
+        for c in (0, 1):
+            weight = [n * (g if c else 1 - g) for (_, n), g in zip(rows, good)]
+            rates[c] = [[seen(weight, j, v) / (sum(weight) + 1.5) for v in (-1, 0, 1)] for j in range(4)]
+        prior = sum(n * g for (_, n), g in zip(rows, good)) / sum(n for _, n in rows)
+    assert model.prior == pytest.approx(prior) and model.rates == pytest.approx(np.array(rates))
+
+
+def test_scores_are_those_of_the_scorer(spark, corpus):
+    model = quality.fit(corpus)
+    buckets = quality.Buckets(len(model.scorer.weights))
+    found = {r.doc_id: r for r in quality.scores(corpus, model).collect()}
+    for d in corpus.limit(60).collect():
+        words = d.text.encode().split()
+        total = sum(model.scorer.weights[list(buckets[w])].sum() for w in words) + model.scorer.weights[quality.AGAIN] * sum(a == b for a, b in zip(words, words[1:]))
+        m = model.scorer.bias + total / (len(words) + quality.PADDING)
+        assert found[d.doc_id].score == pytest.approx(1 / (1 + math.exp(-m)), rel=1e-6)
+        assert found[d.doc_id].kept == (not words or found[d.doc_id].score >= 0.5)
+
+
 def test_label_model_learns_who_is_right():
     r = np.random.default_rng(1)
     good = r.random(4000) < 0.8
@@ -179,6 +256,19 @@ def test_rule_statistics_are_counts(odd, none, corpus):
     assert rules.judge(none).count() == 0
 
 
+def test_rule_verdicts_are_the_label_models(odd, corpus):
+    for docs in (odd, corpus):
+        rows = rules.judge(docs).collect()
+        votes = np.array([[r[f"vote_{k}"] for k in rules.rules()] for r in rows])
+        table, counts = np.unique(votes, axis=0, return_counts=True)
+        model = quality.LabelModel().fit(table, counts.astype(float))
+        assert [r.probability for r in rows] == pytest.approx(model.posterior(votes).tolist(), abs=1e-9)
+        assert all(r.kept == (not r.base_failed and r.probability >= 0.5) for r in rows)
+    found = rules.judge(odd).collect()
+    assert len(found) == len(ODD) and len({(r.n_words, r.n_repeat_words, r.probability) for r in found if r.doc_id == 9}) == 1
+    assert next(r for r in found if r.doc_id is None).n_words == 3
+
+
 def test_rules_keep_clean_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     told = rules.judge(docs).where("not base_failed").join(labels, "doc_id").toPandas()
@@ -240,6 +330,48 @@ def test_copies_without_an_id_cost_no_link(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in jaccard.groups(docs).collect()) == [(0, None), (1, 1), (2, 1)]
 
 
+def test_one_document_of_each_group_stays(spark):
+    t = " ".join(f"w{k}" for k in range(60))
+    near, other = t + " tail", " ".join(f"v{k}" for k in range(60))
+    rows = [(1, t), (1, t), (2, t), (3, other), (3, other), (4, near), (2, other), (5, None), (5, ""), (None, t), (6, "Ab c"), (6, "aB C")]
+    docs = spark.createDataFrame([(i, x, "y", 0) for i, x in rows], "doc_id long, text string, `a.b` string, node int")
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=repr)
+    assert found == sorted([(1, t), (2, other), (5, ""), (6, "ab c"), (None, t)], key=repr)
+    assert jaccard.keep_first(docs.limit(0)).count() == 0
+
+
+def test_frequent_tokens_are_settled_where_they_are():
+    r = np.random.default_rng(6)
+    owner, token = np.divmod(np.unique(r.integers(0, 400, 150)), 20)
+    place, leader = jaccard._settled(owner, token.astype(np.uint64))
+    for k, t in enumerate(token):
+        own = [o for o, x in zip(owner, token) if x == t]
+        assert place[k] == own.index(owner[k]) and leader[k] == own[0]
+
+
+def test_pairs_of_a_class_meet_in_similar_sets():
+    """Any two sets at the threshold share a key, and keys are in proportion to the set."""
+    r = np.random.default_rng(7)
+    for n in (5, 12, 60, 400, 3000):
+        for _ in range(30):
+            both = r.integers(1, 1 << 62, -(-8 * n // 10)).astype(np.uint64)
+            sizes = n, r.integers(len(both), len(both) * 5 // 4 + 1)
+            sets = [np.unique(np.concatenate([both, r.integers(1, 1 << 62, max(0, m - len(both))).astype(np.uint64)])) for m in sizes]
+            if 100 * len(both) < 80 * len(np.union1d(*sets)):
+                continue
+            keys = []
+            for s in sets:
+                own, b = set(), jaccard._bucket(len(s), 80)
+                for k in (b, b + 1):
+                    room = len(s) - jaccard._overlap(len(s), 80) + jaccard._classes(k, 80) + 1
+                    own |= set(jaccard._pair_keys(s[:room], jaccard._classes(k, 80), k).tolist())
+                assert len(own) < 8 * len(s) + 40
+                keys.append(own)
+            assert keys[0] & keys[1]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     found = {r.vertex: r.component for r in components.components(edges).collect()}
@@ -345,6 +477,49 @@ def test_rates_meet_the_targets(spark, odd, none):
     assert mixing.rates(none, unlabelled, {"a": 1.0, "b": 1.0}).count() == 0 == mixing.mix(none, unlabelled, {"a": 1.0, "b": 1.0}).count()
 
 
+def test_posteriors_and_rates_by_plain_python(spark, corpus):
+    import xxhash
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    names = list(queries.TARGETS)
+    domains = mixing.fit_domains(corpus, queries.domains_of(labels), names)
+    docs = corpus.limit(40).collect()
+    got = {r.doc_id: r for r in domains.posteriors(corpus, "doc_id").collect()}
+    bucket = lambda w: (xxhash.xxh64_intdigest(w.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(w.encode(), 42) >= 1 << 63 else 0)) % domains.width
+    for d in docs:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), d.text.lower()))
+        odds = [sum(float(f"{domains.odds[k][bucket(w)]:.6g}") for w in set(words)) for k in range(3)]
+        z = [0.0, *(domains.shift[k] + domains.scale[k] * odds[k] for k in (1, 2))]
+        e = [math.exp(x - max(z)) for x in z]
+        assert got[d.doc_id].n_tokens == len(words) and [got[d.doc_id][f"p_{k}"] for k in range(3)] == pytest.approx([x / sum(e) for x in e], rel=1e-5, abs=1e-9)
+
+
+@pytest.mark.parametrize("reachable", [True, False])
+def test_rates_are_those_of_least_squares(spark, reachable):
+    r = np.random.default_rng(4)
+    p = r.dirichlet([0.4, 0.3, 0.3], 80) if reachable else np.stack([x := r.uniform(0.4, 0.6, 80), 1 - x, 0 * x], 1)
+    n, targets = r.integers(1, 90, 80), [0.2, 0.5, 0.3] if reachable else [0.9, 0.06, 0.04]
+    members = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n_tokens long, p_0 double, p_1 double, p_2 double")
+    got = mixing.fit_rates(members, targets).column()
+    rate = np.array([x.rate for x in members.select(got.alias("rate")).collect()])
+    goal = np.array(targets) * n.sum()
+    loss = lambda x: (((n * x) @ p - goal) ** 2).sum()
+    plain, pace = np.ones(80), 1 / ((n * p.T) @ p).trace()
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - pace * (p @ ((n * plain) @ p - goal)))
+    assert (rate >= 0).all() and math.sqrt(loss(rate)) <= math.sqrt(loss(plain)) + 0.002 * n.sum()
+
+
+def test_mixing_odd_rows(spark, odd):
+    told = spark.createDataFrame([(8, "a"), (9, "b"), (9, "a"), (6, "b"), (6, "b"), (99, "a"), (None, "a"), (5, "other")], "doc_id long, domain string")
+    targets = {"a": 0.5, "b": 0.5}
+    rated = mixing.rates(odd, told, targets).collect()
+    assert len(rated) == len(ODD) and all(math.isfinite(r.rate) and r.rate >= 0 for r in rated) and len({r.rate for r in rated if r.doc_id == 9}) == 1
+    clash = odd.withColumnRenamed("words", "a.b")
+    mixed = mixing.mix(clash, told, targets)
+    assert mixed.columns == clash.columns and mixed.count() == sum(r.copies for r in rated)
+
+
 # ------------------------------------------------------------------ search, chat, WARC
 def test_search_is_exact(spark):
     r = np.random.default_rng(2)
@@ -412,3 +587,55 @@ def test_derived_records_lead_to_their_source(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(b"".join(map(warc.serialise, rows)))
     read = warc.read(spark, str(tmp_path)).collect()
     assert [(r.record_id, bytes(r.block), r.refers_to, r.block_digest) for r in read] == [(r["record_id"], bytes(r["block"]), r["refers_to"], r["block_digest"]) for r in rows]
+
+
+def test_other_bodies_are_other_records(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>b</p>"), (1, "u", "<p>b</p>")], "page_id long, url string, html string")
+    made = warc.derive_pages(pages).collect()
+    assert len({r.record_id for r in made}) == 4 and len({r.refers_to for r in made}) == 2
+
+
+def test_plain_text_against_a_parser(spark):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template")
+            self.out.append("\n" if tag in warc.BREAKS else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template") and self.hidden > 0
+            self.out.append("\n" if tag in warc.BREAKS else "")
+
+        def handle_data(self, data):
+            self.out.append("" if self.hidden else data)
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(120).collect():
+        plain = Plain()
+        plain.feed(r.html)
+        plain.close()
+        lines = (" ".join(re.split("[ \t\r\f\v\xa0]+", x)).strip() for x in "".join(plain.out).split("\n"))
+        assert warc.plain_text(r.html) == "\n".join(x for x in lines if x)
+
+
+def test_unclosed_elements_take_linear_time():
+    begun = time.perf_counter()
+    for tag in ("<title>", "<a href", "<html ", "<meta ", "<script>", "<!--", "<p", "</"):
+        warc.derive(warc.response(1, "u", tag * 60_000, "1970-01-01T00:00:00Z"))
+    assert time.perf_counter() - begun < 60
+    assert warc.title("<title>A</title><title>B</title>") == "A" and warc.title("<title>open") == ""
+
+
+def test_large_files_are_streamed(spark, tmp_path):
+    rows = [warc.response(k, f"http://x/{k}", "body " * (k % 7) * 1000, "1970-01-01T00:00:00Z") for k in range(600)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(warc.serialise, rows)))
+    import gzip
+
+    (tmp_path / "b.warc").write_bytes(b"".join(gzip.decompress(warc.serialise(r)) for r in rows[:50]))
+    found = sorted((r.record_id, bytes(r.block)) for r in warc.read(spark, str(tmp_path), whole=0).collect())
+    assert found == sorted((r["record_id"], r["block"]) for r in rows + rows[:50])
+    assert warc.read(spark, str(tmp_path), whole=1 << 30).count() == 650

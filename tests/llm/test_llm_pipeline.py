@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docengine.llm import jaccard, packing, pii, quality, queries
@@ -34,6 +35,26 @@ def test_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, FOLDER).count() == pieces.count()
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, nothing, repeated rows, an empty table, and columns of any name: no stage fails, and rows without cause to go
+    stay."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    odd = [(None, "a text without an id", "en", "s", 1), (10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0), (10**9 + 2, "twice " * 3, "en", "s", 18), (10**9 + 2, "twice " * 3, "en", "s", 18), (10**9 + 3, "long words of a text " * 5000, "en", "s", 9)]
+    mixed = docs.union(spark.createDataFrame(odd, docs.schema)).withColumn("a.b", F.lit(1)).withColumn("node", F.lit("x"))
+    for k, table in enumerate((mixed, mixed.limit(0))):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, at, FOLDER).write.parquet(str(tmp_path / f"{name}{k}"))
+            after = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            if name != "packing":
+                assert after.columns == at.columns
+            if k == 0 and name == "near_duplicates":
+                ids = [r.doc_id for r in after.where(f"doc_id is null or doc_id >= {10**9}").collect()]
+                assert ids.count(None) == 1 and ids.count(10**9) == ids.count(10**9 + 1) == ids.count(10**9 + 2) == 1
+            at = after
+        assert (at.count() > 0) == (k == 0)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_gives_what_its_sql_gives(spark, name):
     con = duckdb.connect()
