@@ -30,26 +30,25 @@ from __future__ import annotations
 
 import copy
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.store import Store
-from docengine.llm.words import slices, texts_as_bytes
+from docengine.llm.words import slices
 
 #: The end of a text, as a word; no word of a text is empty.
 END = b""
 #: Shapes: by last byte (letter, stop, comma, digit, other) and by what else a word holds.
 SHAPES = 20
-#: Words at most that a task counts before it hands its counts on.
-FLUSH = 400_000
+#: Texts that a task takes at a time, and rows of counts that it merges before it hands them on.
+SLICE, FLUSH = 2048, 1_000_000
 
 
 def shape(word: bytes) -> int:
@@ -64,59 +63,78 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def _tokens(texts: list[bytes]) -> list[list[bytes]]:
-    return [t.lower().split() + [END] for t in texts]
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, A-Z in lower case, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # cuts at the six ASCII white-space characters
+    flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+    full = pc.not_equal(flat, "")
+    upto = np.concatenate([[0], full.to_numpy(zero_copy_only=False).cumsum()])
+    return flat.filter(full), upto[offsets[1:]] - upto[offsets[:-1]]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """``word`` and its ``count`` over all texts (a column ``text``), ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Table] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "count"])
-            seen.clear()
-            return out
-
-        for batch in slices(batches):
-            for words in _tokens(texts_as_bytes(batch.column(0))):
-                seen.update(words)
-            if len(seen) > FLUSH:
+            summed = pa.concat_tables(held).group_by("word").aggregate([("count", "sum")])
+            held.clear()
+            return pa.RecordBatch.from_arrays([summed["word"].combine_chunks().cast(pa.binary()), summed["count_sum"].combine_chunks()], names=["word", "count"])
+
+        for batch in slices(batches, SLICE):
+            flat, _ = split(batch.column(0))
+            found = pc.value_counts(flat)
+            held.append(pa.table({"word": found.field(0), "count": found.field(1)}))
+            held.append(pa.table({"word": pa.array([END.decode()]), "count": pa.array([batch.num_rows], pa.int64())}))
+            if sum(t.num_rows for t in held) > FLUSH:
                 yield flush()
-        yield flush()
+        if held:
+            yield flush()
 
     return texts.select("text").mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-class Units(dict):
-    """Word to unit, in the order of counts; a word without one has its shape's.  The unit before a text's start is the
+@dataclass
+class Encoded:
+    unit: np.ndarray  # of all tokens in a row, the end after each text's words
+    context: np.ndarray  # the two units before each, as a number
+    sizes: np.ndarray  # tokens of each text
+    code: np.ndarray  # places of the words, without ends, in the vocabulary; -1 for others
+    text: np.ndarray  # which text each word is of
+    other: pa.Array  # the distinct words that the vocabulary lacks
+    which: np.ndarray  # of each word with the code -1, its place among these
+    shapes: np.ndarray  # theirs
+
+
+class Vocabulary:
+    """Words with their units, in the order of counts; others have their shape's.  The unit before a text's start is the
     one after the last."""
 
-    def __init__(self, words: list[bytes], places: np.ndarray):
-        """``places`` has the units of ``words``, then those of the shapes."""
-        super().__init__(zip(words, places.tolist()))
-        self.kept, self.shapes, self.start = len(words), places[len(words) :].tolist(), len(places)
-        self.many = len(places) + 1
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.kept + 300_000:
-            for w in list(self)[self.kept :]:
-                del self[w]
-        self[word] = k = self.shapes[shape(word)]
-        return k
-
-    def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Units of all tokens in a row, and each one's context as a number; and how many each text has."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        own = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
-        first = sizes.cumsum() - sizes
-        one = np.concatenate([[self.start], own[:-1]])[: len(own)]
-        two = np.concatenate([[self.start] * 2, own[:-2]])[: len(own)]
-        one[first] = self.start
-        two[first] = self.start
-        two[first[sizes > 1] + 1] = self.start
-        return own, two * self.many + one, sizes
+    def __init__(self, words: list[bytes], units: np.ndarray, shapes: np.ndarray, end: int, many: int):
+        self.words, self.units, self.shapes, self.end, self.many = pa.array(words, pa.binary()).cast(pa.string()), np.append(units, 0), shapes, end, many
+
+    def encode(self, texts: pa.Array) -> Encoded:
+        flat, sizes = split(texts)
+        code = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy().astype(np.int64)
+        lacking = np.flatnonzero(code < 0)
+        named = flat.take(pa.array(lacking)).dictionary_encode()
+        which = named.indices.to_numpy().astype(np.int64)
+        kinds = np.array([shape(w) for w in named.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = sizes + 1
+        unit = np.full(len(code) + len(sizes), self.end)
+        own = self.units[code]
+        own[lacking] = self.shapes[kinds[which]]
+        unit[np.arange(len(code)) + text] = own
+        first, start = sizes.cumsum() - sizes, self.many - 1
+        one = np.concatenate([[start], unit[:-1]])[: len(unit)]
+        two = np.concatenate([[start] * 2, unit[:-2]])[: len(unit)]
+        one[first] = start
+        two[first] = start
+        two[first[sizes > 1] + 1] = start
+        return Encoded(unit, two * self.many + one, sizes, code, text, named.dictionary, which, kinds)
 
 
 def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,6 +320,12 @@ class Model:
     share: np.ndarray  # add-half total of the words that share a unit, by shape
     net: LogBilinear | None
 
+    def vocabulary(self, words: list[bytes]) -> Vocabulary:
+        """Of these words; those without a unit of their own have their shape's."""
+        places, shapes = dict(zip(self.words, self.places.tolist())), self.places[len(self.words) :]
+        units = np.array([places[w] if w in places else shapes[shape(w)] for w in words], np.int64)
+        return Vocabulary(words, units, shapes, places.get(END, 0), len(self.places) + 1)
+
 
 def _head(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     """Counts of the words that occur ``least`` times or more, with the smallest ``least`` that leaves ``most`` words
@@ -351,13 +375,14 @@ def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, h
     places = np.empty(len(order), np.int64)
     places[order] = np.arange(len(order))
     model = Model(top, places, counts, least, tokens, distinct, share, None)
+    untrained = Model(top, places, {}, least, tokens, distinct, share, None)  # what the tasks need of it
     if not tokens:
         return model, words
     net, parts, passes = LogBilinear(mass[order], width), -(-tokens // part), -(-few // tokens)
     for turn in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], begun=net, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, place, held, steps, waiting = begun.copy(), Units(top, places), [], 0, 0
+            own, vocabulary, held, steps, waiting = begun.copy(), untrained.vocabulary([w for w in top if w != END]), [], 0, 0
             own.begin(noise, inner, rate / (1 + 2 * turn), 1000 * turn + TaskContext.get().partitionId())
 
             def learn() -> int:
@@ -374,9 +399,10 @@ def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, h
                         own.step(context[at], unit[at], weight[at])
                 return passes * -(-len(unit) // size)
 
-            for batch in slices(batches):
-                held.append(place.encode(_tokens(texts_as_bytes(batch.column(0))))[:2])
-                waiting += len(held[-1][0])
+            for batch in slices(batches, SLICE):
+                got = vocabulary.encode(batch.column(0))
+                held.append((got.unit, got.context))
+                waiting += len(got.unit)
                 if waiting > HELD:
                     steps, waiting = steps + learn(), 0
             if waiting:
@@ -398,33 +424,30 @@ def _scores_in_head(docs: DataFrame, model: Model) -> DataFrame:
     schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, net double, word binary, shape int, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, counts = Units(model.words, model.places), model.counts
-        key = TaskContext.get().partitionId() << 40
+        key, words = TaskContext.get().partitionId() << 40, sorted(w for w in model.counts if w != END)
+        vocabulary, own = model.vocabulary(words), set(model.words)
         whole = np.log10(model.tokens + 0.5 * (model.distinct + 1))
-        own = set(model.words)
-        logs = {w: (float(np.log10(n + 0.5) - whole), 0.0 if w in own else float(np.log10((n + 0.5) / model.share[shape(w)]))) for w, n in counts.items()}
-        for batch in slices(batches, 2048):
-            texts = _tokens(texts_as_bytes(batch.column(2)))
-            nets = np.zeros(len(texts))
+        n = np.array([model.counts[w] for w in words] + [0])
+        base = np.log10(n + 0.5) - whole
+        inner = np.array([0.0 if w in own else float(np.log10((model.counts[w] + 0.5) / model.share[shape(w)])) for w in words] + [0.0])
+        end, names = model.counts.get(END, 0), [x.split()[0] for x in schema.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64()]
+        for batch in slices(batches, SLICE):
+            got = vocabulary.encode(batch.column(2))
+            known, many = got.code >= 0, batch.num_rows
+            of_text = lambda values: np.bincount(got.text[known], values, many)
+            bases = of_text(base[got.code[known]]) + np.log10(end + 0.5) - whole
+            nets = np.zeros(many)
             if model.net is not None:
-                unit, context, sizes = units.encode(texts)
-                got = model.net.logs(context, unit)
-                nets = np.add.reduceat(got, sizes.cumsum() - sizes) / np.log(10)
-            rows: list[tuple] = []
-            for doc, held, words, net in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, nets.tolist()):
-                known, base, inner = 0, 0.0, 0.0
-                for w, n in Counter(words).items():
-                    if w in logs:
-                        x, y = logs[w]
-                        known += n
-                        base += n * x
-                        inner += n * y
-                    else:
-                        rows.append((key, None, None, None, None, None, None, w, shape(w), n))
-                rows.append((key, doc, held, len(words), known, base, net + inner, None, None, None))
-                key += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
+                nets = np.add.reduceat(model.net.logs(got.context, got.unit), got.sizes.cumsum() - got.sizes) / np.log(10) + of_text(inner[got.code[known]])
+            keys = np.arange(key, key + many)
+            key += many
+            told = [keys, batch.column(0), batch.column(1), got.sizes, of_text(np.ones(known.sum())).astype(np.int64) + (end > 0), bases, nets]
+            yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(told, kinds)), *(pa.nulls(many, k) for k in kinds[7:])], names=names)
+            pairs, times = np.unique(got.text[~known] * max(1, len(got.other)) + got.which, return_counts=True)
+            text, word = np.divmod(pairs, max(1, len(got.other)))
+            rest = [got.other.cast(pa.binary()).take(pa.array(word)), pa.array(got.shapes[word], pa.int32()), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[text]), *(pa.nulls(len(pairs), k) for k in kinds[1:7]), *rest], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, schema)
 

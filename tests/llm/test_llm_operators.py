@@ -456,9 +456,9 @@ def test_what_follows_a_word_is_learnt(spark):
     pairs = [(f"left{k:03}", f"right{k:03}") for k in range(60)]
     docs = spark.createDataFrame([(k, " ".join(w for _ in range(40) for w in r.choice(pairs))) for k in range(300)], "doc_id long, text string")
     model, _ = logbilinear.fit(docs, logbilinear.Store(spark, "test"), own=50, few=1_000_000, size=1024)
-    units = logbilinear.Units(model.words, model.places)
+    units = dict(zip(model.words, model.places.tolist()))
     assert len(model.words) == 121
-    context = units[b"right001"] * units.many + units[b"left007"]
+    context = units[b"right001"] * model.net.many + units[b"left007"]
     assert np.exp(model.net.logs(np.array([context]), np.array([units[b"right007"]])))[0] > 0.5
 
 
