@@ -249,7 +249,7 @@ SQL: dict[str, str] = {
         t AS (SELECT 'order' || l_orderkey AS document_id, count(*) AS n, string_agg('Part sold | ' || quantity || ' | ' || l_linenumber, {NL} ORDER BY l_linenumber, quantity) AS rows,
             string_agg('Part sold ' || quantity || ' ' || l_linenumber, {NL} ORDER BY l_linenumber, quantity) AS lines FROM q GROUP BY l_orderkey)
         SELECT document_id || '_chunk_0000' AS chunk_id, document_id, 'ORDERS' || {NL} || CASE WHEN n >= 3 THEN 'Table title: Parts Of The Order' || {NL} || 'Columns: Particulars' || {NL} || rows
-            ELSE 'Parts Of The Order' || {NL} || 'Particulars' || {NL} || lines END AS content, CAST(1 AS INTEGER) AS page_start, CAST(1 AS INTEGER) AS page_end, [CAST(1 AS INTEGER)] AS pages,
+            ELSE 'Parts Of The Order' || {NL} || 'Particulars' || {NL} || lines END AS content, CAST(1 AS INTEGER) AS page_start, CAST(1 AS INTEGER) AS page_end, '1' AS pages,
             'ORDERS' AS section, CAST(NULL AS VARCHAR) AS subsection, CAST(0 AS INTEGER) AS chunk_index FROM t""",
     "sentence_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?]\s+[A-Z(\x22“0-9]')) + 1 AS INTEGER) AS n_sentences FROM documents",
     "chunk_ids": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
