@@ -205,7 +205,10 @@ class LogBilinear:
         met, context = np.unique(context, return_inverse=True)
         pairs, pair = np.unique(context * many + self.of[unit], return_inverse=True)
         h, (at, of) = self.predicted(met), np.divmod(pairs, many)
-        out = np.einsum("ij,ij->i", h.take(at, 0), p["k"].take(of, 0)) - self._totals(h, p["k"])[at]
+        out = -self._totals(h, p["k"])[at]
+        for k in range(0, len(at), 1 << 16):
+            some = slice(k, k + (1 << 16))
+            out[some] += np.einsum("ij,ij->i", h.take(at[some], 0), p["k"].take(of[some], 0))
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(many + 1))
         deep = np.diff(self.low) > 1
@@ -214,7 +217,9 @@ class LogBilinear:
             out[own] -= self._totals(h.take(at[own], 0), p["r"][self.low[c] : self.low[c + 1]])
         inner = np.flatnonzero(deep[of][pair])
         out = out[pair]
-        out[inner] += np.einsum("ij,ij->i", h.take(context[inner], 0), p["r"].take(unit[inner], 0))
+        for k in range(0, len(inner), 1 << 16):
+            some = inner[k : k + (1 << 16)]
+            out[some] += np.einsum("ij,ij->i", h.take(context[some], 0), p["r"].take(unit[some], 0))
         return out
 
     def begin(self, noise: int, inner: int, rate: float, seed: int, calm: float = 1.0) -> None:
@@ -432,7 +437,7 @@ def _scores_in_head(docs: DataFrame, model: Model) -> DataFrame:
         inner = np.array([0.0 if w in own else float(np.log10((model.counts[w] + 0.5) / model.share[shape(w)])) for w in words] + [0.0])
         end, names = model.counts.get(END, 0), [x.split()[0] for x in schema.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64()]
-        for batch in slices(batches, SLICE):
+        for batch in slices(batches, 512):
             got = vocabulary.encode(batch.column(2))
             known, many = got.code >= 0, batch.num_rows
             of_text = lambda values: np.bincount(got.text[known], values, many)
