@@ -9,8 +9,9 @@ the posteriors and of the steps' terms, and nothing is written between steps.
 
 Documents are weighed by their tokens in the metric of the steps.  First steps weigh residuals besides by the inverse of
 the second moments of the posteriors of documents whose rate isn't zero, which ends soon where the targets can be met; one
-that leads away from them is halved, and left out if that doesn't help.  Where the targets aren't met by then, plain
-steps along the gradient follow, whose fixed point is that of least squares on the totals.
+that leads away from them is halved, and left out if that doesn't help.  Where the targets aren't met by then, steps
+along the plain gradient follow, whose fixed point is that of least squares on the totals; their lengths come from the
+last two gradients (the two spectral lengths in turn), and the best point on the way stands.
 
 Defined cases: a null or empty text has no tokens and the prior as its posterior; a null id is carried along and never
 labelled; labels without a domain, and of unknown documents, are ignored; without any label all domains are equally
@@ -154,7 +155,7 @@ class Rates:
         return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - down(g)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 30, plain: int = 100, tolerance: float = 1e-6) -> Rates:
+def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 30, plain: int = 60, tolerance: float = 1e-6) -> Rates:
     """``members`` has ``n_tokens`` and ``p_k``; ``targets`` are the domains' shares of all tokens, which stay as many.  At
     most ``rounds`` scaled and ``plain`` plain steps are taken."""
     k = range(len(targets))
@@ -164,17 +165,18 @@ def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 30, pla
         return Rates()
     goal = [w / sum(targets) * total for w in targets]
 
-    def state(steps: list[list[float]]) -> tuple[float, list[float], list[list[float]]]:
-        """How far the totals are off, in all and by domain, and the second moments, after these steps."""
-        rated = members.select("*", Rates(steps).column().alias("rate"))
-        moved = F.when(F.col("rate") > 0, n).otherwise(0)
-        found = rated.agg(*[F.sum(n * F.col("rate") * x) for x in p], *[F.sum(moved * p[i] * p[j]) for i in k for j in k]).first()
+    def state(steps: list[list[float]]) -> tuple[float, list[float], list[list[float]], float]:
+        """After these steps: how far the totals are off, in all and by domain, the second moments, and the square of the
+        way that the last step has gone."""
+        rated = members.select("*", Rates(steps).column().alias("rate"), Rates(steps[:-1]).column().alias("last"))
+        moved, gone = F.when(F.col("rate") > 0, n).otherwise(0), F.col("rate") - F.col("last")
+        found = rated.agg(*[F.sum(n * F.col("rate") * x) for x in p], *[F.sum(moved * p[i] * p[j]) for i in k for j in k], F.sum(n * gone * gone)).first()
         off = [a - b for a, b in zip(found, goal)]
-        return math.sqrt(sum(x * x for x in off)) / total, off, [[found[len(p) * (i + 1) + j] for j in k] for i in k]
+        return math.sqrt(sum(x * x for x in off)) / total, off, [[found[len(p) * (i + 1) + j] for j in k] for i in k], found[-1]
 
     steps: list[list[float]] = []
-    size, off, gram = state(steps)
-    pace = 1 / sum(gram[i][i] for i in k)  # all rates are above zero here, and the trace is no less than the largest eigenvalue
+    size, off, gram, _ = state(steps)
+    whole = gram  # all rates are above zero here
     for _ in range(rounds):
         if size <= tolerance:
             return Rates(steps)
@@ -183,17 +185,22 @@ def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 30, pla
             after = state([*steps, step])
             if after[0] < size:
                 steps.append(step)
-                size, off, gram = after
+                size, off, gram, _ = after
                 break
             step = [g / 2 for g in step]
         if before - size <= 1e-3 * tolerance:
             break
-    for _ in range(plain if size > tolerance else 0):
+    best, pace = (size, len(steps)), 1 / sum(whole[i][i] for i in k)  # the trace is no less than the largest eigenvalue
+    for turn in range(plain if size > tolerance else 0):
         steps.append([pace * x for x in off])
-        before, (size, off, _) = size, state(steps)
-        if before - size <= 1e-3 * tolerance:
+        size, after, _, way = state(steps)
+        best = min(best, (size, len(steps)))
+        change = [x - y for x, y in zip(after, off)]
+        off, square = after, sum(x * x for x in change)
+        if size <= tolerance or not square:
             break
-    return Rates(steps)
+        pace = square / sum(change[i] * whole[i][j] * change[j] for i in k for j in k) if turn % 2 else way / square
+    return Rates(steps[: best[1]])
 
 
 def copies(rate: Column, key: Column) -> Column:
