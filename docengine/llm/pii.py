@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.boosting import Booster
-from docengine.llm.words import slices
+from docengine.llm.words import mapped, slices
 
 #: Fixed order of kinds at one start: the base kinds, then those of the generators.
 BASE = ("email", "ip", "card", "phone")
@@ -263,7 +263,6 @@ def redact(docs: DataFrame, *, precision: float = 0.97) -> DataFrame:
     """The same rows and columns, with each span of ``text`` replaced by its kind in angle brackets; ``n_chars``,
     where there is one, is the new length.  A null text stays null."""
     booster, threshold = model(precision)
-    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -282,7 +281,7 @@ def redact(docs: DataFrame, *, precision: float = 0.97) -> DataFrame:
                 batch = batch.set_column(n, batch.schema.field(n), pa.array([None if t is None else len(t) for t in new], batch.schema.field(n).type))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run)
 
 
 def _joined(spans: Column) -> Column:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.words import slices, texts_as_bytes
+from docengine.llm.words import mapped, slices, texts_as_bytes
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
@@ -293,4 +293,4 @@ def keep_good(docs: DataFrame, model: QualityModel | None) -> DataFrame:
         for batch, rows in _scored(batches, model):
             yield batch.filter(pa.array([not n or s >= 0.5 for n, _, s in rows]))
 
-    return docs if model is None else docs.mapInArrow(run, docs.schema)
+    return docs if model is None else mapped(docs, run)

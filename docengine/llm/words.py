@@ -6,10 +6,11 @@ bytes give the words without a regular expression.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Rows that a Python worker turns into objects at a time; texts can be long.
 ROWS = 512
@@ -24,3 +25,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """Texts of a string column as UTF-8; null counts as empty."""
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
+
+
+def mapped(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` through ``run``, which keeps the columns.  Names with dots or quotes, which ``mapInArrow`` would take apart,
+    are others meanwhile."""
+    plain = docs.toDF(*[f"_column{k}" if set(c) & set(".`") else c for k, c in enumerate(docs.columns)])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
