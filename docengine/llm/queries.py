@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import chat, hamming, jaccard, logbilinear, mixing, packing, pii, quality, rules, warc
+from docengine.llm import audit, chat, fim, hamming, jaccard, langid, logbilinear, mixing, packing, pii, quality, rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming": op1_hamming,
     "op2_packing": op2_packing,
@@ -85,9 +98,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
+    "op11_fim": op11_fim,
+    "op12_audit": op12_audit,
+    "op13_langid": op13_langid,
 }
 
 SQL: dict[str, str] = {
     "op1_hamming": hamming.SQL,
     "op8_chat": chat.SQL,
+    "op11_fim": fim.SQL,
+    "op12_audit": audit.SQL,
 }

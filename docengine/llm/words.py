@@ -8,18 +8,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Rows that a Python worker turns into objects at a time; texts can be long.
+#: Rows, and bytes of text, that a Python worker turns into objects at a time; a longer text is taken alone.
 ROWS = 512
+BYTES = 8 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        bulk = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                bulk += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.append(0, bulk.cumsum()), 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(upto, upto[at] + size, "right")) - 1
+            stop = min(max(at + 1, full), at + rows, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
