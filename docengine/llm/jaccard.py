@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.components import components
@@ -300,8 +300,9 @@ def _rare_pairs(keys: DataFrame, percent: int) -> DataFrame:
 
 def _cluster_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components among nodes that frequent keys join, enough of them to connect all they connect."""
-    own = keys.where("often").select("node", "component", F.min("node").over(Window.partitionBy("often", "key")).alias("hub"))
-    stars = own.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    own = keys.where("often").select("key", "node")
+    hubs = own.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
+    stars = own.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     placed = components(stars).select(F.col("vertex").alias("node"), F.col("component").alias("cluster"))
     placed = placed.join(keys.where("often").select("node", "component").distinct(), "node")
     sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -435,7 +436,8 @@ def keep_first(docs: DataFrame, **options: int) -> DataFrame:
     """One document of each group, unchanged: a row of the group's smallest id.  Rows of equal id and set are one document,
     of which the first by a hash of the text stays; of equal rows one stays.  Documents without an id belong to no group
     and stay."""
-    first = _placed(docs, **options).where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    hashed = docs.where("doc_id is not null").withColumns({"_hash": _text_hash(), "_id": F.col("doc_id").cast("long")})
-    one = hashed.join(first, ["_id", "_hash"], "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))).where("_row = 1")
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))
+    first = _placed(docs, **options).where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("text_hash").alias("hash")).select(F.col("doc_id").alias("id"), "hash").distinct()
+    # rows are carried whole, so no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("hash"))
+    one = rows.where("id is not null").join(first, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return one.select("row").union(rows.where("id is null").select("row")).select("row.*")

@@ -639,3 +639,15 @@ def test_large_files_are_streamed(spark, tmp_path):
     found = sorted((r.record_id, bytes(r.block)) for r in warc.read(spark, str(tmp_path), whole=0).collect())
     assert found == sorted((r["record_id"], r["block"]) for r in rows + rows[:50])
     assert warc.read(spark, str(tmp_path), whole=1 << 30).count() == 650
+
+
+def test_first_documents_keep_columns_of_any_name(spark):
+    """Columns named like internals, in any case and of any type, come back as they were."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "h", 1.5, [1], "x"), (2, text, "h2", 2.5, [2], "y"), (2, text, "h2", 2.5, [2], "y"), (None, text, "h3", 3.5, [3], "z"), (4, None, "h4", 4.5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string, _ID double, row array<int>, `a.hash` string")
+    kept = jaccard.keep_first(docs)
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)
+    upper = docs.withColumnsRenamed({"_hash": "HASH", "_ID": "Id"})
+    assert sorted(map(tuple, jaccard.keep_first(upper).collect()), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)
