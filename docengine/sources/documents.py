@@ -1,27 +1,29 @@
-"""Documents as JSON, one file each, and as tables; pages of files by a pluggable extractor; reports."""
+"""Documents as tables, vectors with an encoder, and reports.  Files, the JSON sink, checked settings and ingestion have
+modules of their own, named here too."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from typing import Protocol
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from docengine import expect
-from docengine.functions.text import ocr_quality, search_terms
-from docengine.operators.pages import measure, merge_recognised, suspicious
-from docengine.operators.sections import detect
-from docengine.schemas import DOCUMENT, DOCUMENT_TYPES, GOLD, MANIFEST, PAGE
+from docengine.functions.text import search_terms
+from docengine.schemas import DOCUMENT, PAGE
+from docengine.scratch import exists as _exists
+from docengine.sources.files import Extractor, Recogniser, check_page_number, form_feed_pages, parse_file, parse_files, recognise, recognise_page
+from docengine.sources.ingestion import ingest, ingest_file
+from docengine.sources.sink import save_documents, save_pages
+from docengine.sources.typed import load_gold, load_manifest
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+__all__ = [
+    "Extractor", "Recogniser", "check_page_number", "form_feed_pages", "hashed_encoder", "ingest", "ingest_file", "load_gold", "load_manifest", "load_vectors", "nest", "pages_of", "parse_file", "parse_files",
+    "read_documents", "recognise", "recognise_page", "save_documents", "save_pages", "save_vectors", "write_comparison", "write_dense_report", "write_report",
+]
 
 
 # ------------------------------------------------------------------ JSON documents
@@ -45,140 +47,6 @@ def nest(documents: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("pages", F.coalesce(F.transform("_p", lambda x: x["page"]), F.expr("array()"))).drop("_p")
 
 
-def save_documents(documents: DataFrame, path: str) -> None:
-    """A JSON file for each document, under a folder of its id."""
-    documents.withColumn("_id", F.col("document_id")).repartition("_id").write.mode("overwrite").partitionBy("_id").json(path)
-
-
-# ------------------------------------------------------------------ manifest and gold
-def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The ingestion manifest: all fields there, known document types.  Errors name the entry, from 1."""
-    if not _exists(spark, path):
-        raise FileNotFoundError(f"manifest not found: {path}")
-    names = [x.split()[0] for x in MANIFEST.split(", ")]
-    text = spark.read.option("wholetext", True).text(path)
-    listed = text.select(F.posexplode(F.from_json("value", f"array<struct<{MANIFEST.replace(' ', ':')}>>".replace(",:", ","))).alias("at", "e"))
-    if listed.isEmpty():
-        raise ValueError("manifest must be a non-empty list of objects")
-    rows = listed.select((F.col("at") + 1).alias("entry"), *[F.col(f"e.{n}").alias(n) for n in names])
-    missing = F.array_sort(F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in names])))
-    bad = rows.select("entry", missing.alias("missing")).where(F.size("missing") > 0).orderBy("entry").first()
-    if bad:
-        raise ValueError(f"entry {bad.entry}: missing fields {', '.join(bad.missing)}")
-    odd = rows.where(~F.col("document_type").isin(*DOCUMENT_TYPES)).orderBy("entry").first()
-    if odd:
-        raise ValueError(f"entry {odd.entry}: document_type must be one of {', '.join(DOCUMENT_TYPES)}")
-    return rows.drop("entry")
-
-
-def load_gold(spark: SparkSession, path: str, *, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``cases`` (``case_id, query``) and ``gold`` (``case_id, chunk_id``) of a gold file."""
-    if not _exists(spark, path):
-        raise FileNotFoundError(f"gold file not found: {path}")
-    cases = spark.read.schema(GOLD).option("multiLine", True).json(path).select(F.posexplode_outer("cases").alias("at", "c")).select("at", "c.*")
-    if strict:
-        if cases.where("at is not null").isEmpty():
-            raise ValueError("gold needs a non-empty list of cases")
-        blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-        rules = {"id": ~blank("id"), "query": ~blank("query"), "relevant_chunk_ids": (F.size("relevant_chunk_ids") > 0) & F.forall("relevant_chunk_ids", lambda x: x.isNotNull())}
-        expect.require(expect.violations(cases, rules, "at"), message="case {at}: invalid {rule}")
-    return cases.select(F.col("id").alias("case_id"), "query"), cases.select(F.col("id").alias("case_id"), F.explode("relevant_chunk_ids").alias("chunk_id"))
-
-
-# ------------------------------------------------------------------ files
-class Extractor(Protocol):
-    """Reads the pages of a file: a text and a number of images each.  Raises ValueError for one it can't open."""
-
-    def __call__(self, content: bytes) -> Iterable[tuple[str, int]]: ...
-
-
-class Recogniser(Protocol):
-    """Reads one page, by its number from 1, as an image."""
-
-    def __call__(self, content: bytes, page_number: int) -> str: ...
-
-
-def form_feed_pages(content: bytes) -> Iterable[tuple[str, int]]:
-    """The built-in extractor: plain text with a form feed between pages."""
-    return [(page, 0) for page in content.decode("utf-8").split("\f")]
-
-
-def parse_files(spark: SparkSession, manifest: DataFrame, folder: str, extract: Extractor = form_feed_pages) -> tuple[DataFrame, DataFrame]:
-    """``(pages, failures)`` of the manifest's files; a file that can't be read is a failure, not the end of the job."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("pdf"), "content")
-    wanted = manifest.select("document_id", F.element_at(F.split("pdf", "/"), -1).alias("pdf")).join(files, "pdf", "left")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for document, content in zip(batch["document_id"], batch["content"]):
-                try:
-                    if content is None:
-                        raise ValueError("file not found")
-                    rows = [(document, k, text, images, None) for k, (text, images) in enumerate(extract(bytes(content)), 1)]
-                except (ValueError, UnicodeDecodeError) as e:
-                    rows = [(document, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["document_id", "page_number", "text", "image_count", "error"])
-
-    found = wanted.select("document_id", "content").mapInPandas(read, "document_id string, page_number int, text string, image_count int, error string")
-    blank = F.lit(None).cast("string")
-    pages = measure(found.where("error is null").drop("error")).withColumns({"section": blank, "subsection": blank})
-    return pages, found.where("error is not null").select("document_id", "error")
-
-
-def check_page_number(page_number: int, page_count: int) -> int:
-    if isinstance(page_number, bool) or not isinstance(page_number, int):
-        raise TypeError("page_number must be an integer")
-    if not 1 <= page_number <= page_count:
-        raise ValueError(f"page_number must be from 1 to {page_count}")
-    return page_number
-
-
-def recognise_page(spark: SparkSession, manifest: DataFrame, folder: str, document_id: str, page_number: int, read_page: Recogniser, extract: Extractor = form_feed_pages) -> DataFrame:
-    """One page of one file, recognised, as a measured page."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("pdf"), "content")
-    found = manifest.where(F.col("document_id") == document_id).select(F.element_at(F.split("pdf", "/"), -1).alias("pdf")).join(files, "pdf").first()
-    if found is None:
-        raise FileNotFoundError(f"no file of {document_id} in {folder}")
-    content = bytes(found["content"])
-    check_page_number(page_number, len(list(extract(content))))
-    row = spark.createDataFrame([(document_id, page_number, read_page(content, page_number), 0)], "document_id string, page_number int, text string, image_count int")
-    return measure(row, "ocr").withColumn("quality_flag", ocr_quality(F.col("text")))
-
-
-def ingest(spark: SparkSession, manifest: DataFrame, folder: str, to: str, extract: Extractor = form_feed_pages, read_page: Recogniser | None = None, suffix: str = "") -> dict[str, int]:
-    """All files of the manifest as JSON documents under ``to``; returns how many there are of ``success`` and ``failure``.
-    A file that can't be read, or is not named with the suffix, doesn't stop the others; once these are written an error
-    names those that failed."""
-    named = F.lower("pdf").endswith(suffix)
-    pages, failures = parse_files(spark, manifest.where(named), folder, extract)
-    failures = failures.union(manifest.where(~named).select("document_id", F.lit(f"file must end with {suffix}").alias("error")))
-    if read_page:
-        pages = merge_recognised(pages, recognise(spark, pages, manifest.where(named), folder, read_page))
-    pages = detect(pages.drop("section", "subsection"))
-    counted = pages.groupBy("document_id").agg(F.count("*").cast("int").alias("page_count"))
-    documents = manifest.join(counted, "document_id").select("document_id", "company_name", "document_type", F.col("pdf").alias("source_file"), "page_count")
-    save_documents(nest(documents, pages), to)
-    bad = {r["document_id"]: r["error"] for r in failures.collect()}  # a row a file at most
-    if bad:
-        raise RuntimeError(f"{len(bad)} of {manifest.count()} documents failed: " + "; ".join(f"{k}: {v}" for k, v in sorted(bad.items())))
-    return {"success": manifest.count(), "failure": 0}
-
-
-def recognise(spark: SparkSession, pages: DataFrame, manifest: DataFrame, folder: str, read_page: Recogniser) -> DataFrame:
-    """Recognised text of the suspicious pages only; each file is opened once for all of its pages."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("pdf"), "content")
-    asked = suspicious(pages).groupBy("document_id").agg(F.array_sort(F.collect_list("page_number")).alias("numbers"))
-    named = manifest.select("document_id", F.element_at(F.split("pdf", "/"), -1).alias("pdf"))
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for document, numbers, content in zip(batch["document_id"], batch["numbers"], batch["content"]):
-                yield pd.DataFrame([(document, int(n), read_page(bytes(content), int(n))) for n in numbers], columns=["document_id", "page_number", "text"])
-
-    joined = asked.join(named, "document_id").join(files, "pdf").select("document_id", "numbers", "content")
-    return joined.mapInPandas(read, "document_id string, page_number int, text string")
-
-
 # ------------------------------------------------------------------ vectors and reports
 def save_vectors(vectors: DataFrame, path: str) -> None:
     vectors.select("id", F.col("position").cast("long"), "embedding").write.mode("overwrite").parquet(path)
