@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine import expect
+from docengine import expect, scratch
 from docengine.functions import text as fn
 from docengine.operators import chunk, clean, dense, evaluate, hybrid, lexical, pages, sections
+from docengine.operators.lexical_index import LexicalIndex
+from docengine.operators.vector_index import VectorIndex
 from docengine.plans import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,6 +227,15 @@ def bm25_topk(spark, sf):
     return _lexical(spark, sf, 10).select("query_id", "rank", "chunk_id", "score")
 
 
+@query
+def lexical_index_search(spark, sf):
+    """A stored index of two thirds of the chunks, to which the others are appended."""
+    chunks, later = t.chunks(spark, sf), F.col("chunk_id") % 3 == 0
+    path = scratch.folder(spark, "lexical_index")
+    LexicalIndex.build(chunks.where(~later), path).append(chunks.where(later))
+    return LexicalIndex.open(spark, path).search(t.queries(spark, sf)).select("query_id", "rank", "chunk_id", "score")
+
+
 @query
 def keyword_positions(spark, sf):
     words = ["the", "and", "que", "der"]
@@ -254,6 +265,16 @@ def dense_topk(spark, sf):
     return _dense(spark, sf, 10).select("query_id", "rank", "chunk_id", "score")
 
 
+@query
+def vector_index_search(spark, sf):
+    """A stored index of two thirds of the vectors, to which the others are appended, asked with all vectors of the queries."""
+    vectors, later = _vectors(spark, sf), F.col("id") % 3 == 0
+    path = scratch.folder(spark, "vector_index")
+    VectorIndex.build(vectors.where(~later), path).append(vectors.where(later))
+    asked = vectors.join(t.queries(spark, sf).select(F.col("query_id").alias("id")), "id", "left_semi")
+    return VectorIndex.open(spark, path).search(asked.select(F.col("id").alias("query_id"), "embedding")).select("query_id", "rank", F.col("id").alias("chunk_id"), "score")
+
+
 def _hybrid(spark, sf, top_k=10):
     n = hybrid.candidates(top_k)
     return hybrid.fuse([_dense(spark, sf, n), _lexical(spark, sf, n)], top_k)

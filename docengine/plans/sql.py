@@ -260,9 +260,11 @@ SQL: dict[str, str] = {
     "doc_stats": f"WITH {TERMS} SELECT doc_id AS chunk_id, len(terms) AS dl FROM terms_in",
     "corpus_stats": f"WITH {TERMS} SELECT count(*) AS n, round(avg(len(terms)), 6) AS avgdl FROM terms_in",
     "bm25_topk": f"WITH {BM25}, {lexical(10)} SELECT * FROM lexical",
+    "lexical_index_search": f"WITH {BM25}, {lexical(10)} SELECT * FROM lexical",
     "keyword_positions": "WITH k AS (SELECT unnest(['the', 'and', 'que', 'der']) AS keyword) SELECT doc_id, keyword, CAST(instr(lower(text), keyword) - 1 AS INTEGER) AS \"at\" FROM documents, k WHERE contains(lower(text), keyword)",
     "evidence_snippets": f"WITH p AS (SELECT doc_id, text, instr(lower(text), 'the') - 1 AS a FROM documents) SELECT doc_id, substring(text, greatest(a - 350, 0) + 1, a + 700 - greatest(a - 350, 0)) AS snippet, substring(replace(text, {NL}, ' '), 1, 500) AS preview FROM p WHERE a >= 0",
     "dense_topk": f"WITH {dense(10)} SELECT * FROM dense",
+    "vector_index_search": f"WITH {dense(10)} SELECT * FROM dense",
     "hybrid_rrf_topk": f"WITH {HYBRID} SELECT * FROM hybrid",
     "first_relevant_rank": f"WITH {BM25}, {lexical(10)}, {GOLD}, {first('f', 'lexical')} SELECT case_id, first_rank, {', '.join(f'coalesce(first_rank <= {k}, false) AS recall_at_{k}' for k in (1, 3, 5, 10))}, round(coalesce(1.0 / first_rank, 0.0), 6) AS reciprocal_rank FROM f",
     "eval_metrics": f"WITH {BM25}, {lexical(10)}, {GOLD}, {first('f', 'lexical')} {metrics('f')}",
