@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from docengine.llm.store import Store
+from docengine.llm.store import SHUFFLED, Store
 
 
 def _written(store: Store, edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
@@ -22,7 +22,7 @@ def _written(store: Store, edges: DataFrame, name: str) -> tuple[DataFrame, tupl
 def components(edges: DataFrame) -> DataFrame:
     """``vertex, component`` for every vertex of an edge (``a``, ``b``, both long); the component is its smallest
     vertex.  Loops and repeated edges change nothing."""
-    store = Store(edges.sparkSession, "components")
+    store = Store(edges.sparkSession, "components", **SHUFFLED)
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges, after = _written(store, edges.where("a <> b").select(high, low).distinct(), "0")
     before, turn = None, 0

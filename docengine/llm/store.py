@@ -29,27 +29,34 @@ def folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries that run meanwhile delete their shuffle files at their end."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def tidy(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Queries that run meanwhile delete their shuffle files at their end, and run under further ``settings``."""
+    settings = {CLEANUP: "true", **settings}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Joins of tables that grow with the corpus take the same plan at every size.
+SHUFFLED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
 
 class Store:
     """Tables of one operator call, under a name of its own in the shared folder."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, **settings: str):
+        self.spark, self.settings = spark, settings
         self.root = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
         path = f"{self.root}/{name}"
-        with tidy(self.spark):
+        with tidy(self.spark, **self.settings):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
