@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine import scratch
 from docengine.functions import text as fn
+from docengine.operators import regions
 from docengine.operators.chunk_rules import Lines, chunks
 from docengine.operators.clean import clean
 from docengine.schemas import ChunkConfig
@@ -38,12 +40,14 @@ def paragraph_units(lines: DataFrame) -> DataFrame:
     return grouped.select("document_id", "run", "unit", "kind", "subsection", "n_lines", F.array_join(F.transform("_rows", lambda r: r["line"]), "\n").alias("text"))
 
 
-def raw_chunks(lines: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Bodies and pages of the chunks of cleaned lines, before numbering."""
+def raw_chunks(lines: DataFrame, config: ChunkConfig = ChunkConfig(), *, spread: bool = False) -> DataFrame:
+    """Bodies and pages of the chunks of cleaned lines, before numbering.  With ``spread`` a run is taken apart where nothing
+    goes on, so a task holds a part of it; the lines are written once to the shared folder for that."""
     flags = lambda pattern: re.compile(re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern), re.I)
     intro, outro = flags(fn.INTRO), flags(fn.OUTRO)
     line = F.col("line")
-    marked = section_runs(lines).withColumns({
+    own = _spread(lines, config) if spread else section_runs(lines)
+    marked = own.withColumns({
         "short": fn.is_short(line), "unit": fn.is_unit_line(line), "key": fn.norm_key(line),
         "heading": fn.is_chunk_heading(line, F.col("kind"), F.col("section"), F.col("subsection")),
     })
@@ -60,6 +64,17 @@ def raw_chunks(lines: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFra
     return marked.groupBy("document_id", "run").applyInArrow(pack, RAW)
 
 
+def _spread(lines: DataFrame, config: ChunkConfig) -> DataFrame:
+    """Lines with a ``run`` that tells the parts of a run apart, in their order."""
+    spark = lines.sparkSession
+    path = scratch.folder(spark, "lines")
+    lines.write.parquet(path)
+    lines = spark.read.schema(lines.schema).parquet(path)
+    placed = lines.join(regions.page_runs(lines), ["document_id", "page_number"])
+    cut = regions.parts(placed, config)
+    return placed.join(cut, ["document_id", "run", "page_number"]).withColumn("run", F.shiftleft("run", 32) + F.col("part")).drop("part")
+
+
 def number(raw: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Chunks under their headings, empty ones left out, numbered from 0 in each document."""
     body = fn.with_headings(F.col("body"), F.col("section"), F.col("subsection")) if config.prefix_headings else F.col("body")
@@ -73,7 +88,8 @@ def number(raw: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     )
 
 
-def chunk_documents(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Chunks of all documents, from their labelled pages."""
-    return number(raw_chunks(clean(pages, config), config), config)
+def chunk_documents(pages: DataFrame, config: ChunkConfig = ChunkConfig(), *, spread: bool = False) -> DataFrame:
+    """Chunks of all documents, from their labelled pages.  ``spread`` is for documents that are longer than a task should
+    hold; it gives the same chunks."""
+    return number(raw_chunks(clean(pages, config), config, spread=spread), config)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docengine import expect, scratch
 from docengine.functions import text as fn
-from docengine.operators import chunk, clean, dense, evaluate, hybrid, lexical, pages, sections
+from docengine.operators import chunk, clean, dense, evaluate, hybrid, lexical, pages, regions, sections
 from docengine.operators.lexical_index import LexicalIndex
 from docengine.operators.vector_index import VectorIndex
 from docengine.plans import tables as t
@@ -155,6 +155,20 @@ def section_runs(spark, sf):
     return chunk.section_runs(lines).groupBy("document_id", "run").agg(F.count("*").alias("n_lines"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))
 
 
+@query
+def table_regions(spark, sf):
+    lines = clean.with_kind(clean.page_lines(t.sheets(spark, sf)))
+    placed = lines.join(regions.page_runs(lines), ["document_id", "page_number"])
+    return regions.table_regions(placed)
+
+
+@query
+def spread_chunks(spark, sf):
+    """Chunks of long documents of tables, taken apart within runs, by kind of their place in the document."""
+    made = chunk.chunk_documents(t.sheets(spark, sf), spread=True)
+    return made.groupBy("document_id", "section", "subsection").agg(F.count("*").alias("chunks"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"), F.count_if(F.col("content").contains("Columns: Particulars")).alias("tables"))
+
+
 @query
 def paragraph_units(spark, sf):
     lines = clean.page_lines(t.noisy_pages(spark, sf)).withColumn("kind", F.lit("text"))

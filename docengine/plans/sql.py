@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docengine.functions.text import STOPWORDS
-from docengine.plans.tables import HEADED_SQL, NOISY_SQL, PAGES_SQL
+from docengine.plans.tables import HEADED_SQL, NOISY_SQL, PAGES_SQL, SHEETS_SQL
 
 NL = "chr(10)"
 EDGES = "' ' || chr(9) || chr(13) || chr(10) || '-–—•·:;,.'"
@@ -170,6 +170,32 @@ RUNS = f"""{LINES}, c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND sectio
 r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM c)"""
 
 
+def short(x: str) -> str:
+    return f"(length({x}) <= 90 AND {words(x)} <= 12 AND NOT ends_with({x}, '.'))"
+
+
+#: Lines of the sheets by letters, the automaton over them line by line, and the stretches inside tables.
+REGIONS = rf"""{SHEETS_SQL}, changes AS (SELECT document_id, page_number, section, CASE WHEN lag(section) OVER w IS DISTINCT FROM section AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS new
+    FROM (SELECT DISTINCT document_id, page_number, section FROM sheets) WINDOW w AS (PARTITION BY document_id ORDER BY page_number)),
+sheet_runs AS (SELECT document_id, page_number, CAST(sum(new) OVER (PARTITION BY document_id ORDER BY page_number) AS BIGINT) AS run FROM changes),
+sheet_kinds AS (SELECT s.*, run, {kind('line')} AS kind FROM sheets s JOIN sheet_runs USING (document_id, page_number)),
+lettered AS (SELECT *, row_number() OVER (PARTITION BY document_id, run ORDER BY page_number, line_no) - 1 AS ord, CASE kind WHEN 'blank' THEN 'b' WHEN 'hdr' THEN 'h' WHEN 'num' THEN 'n' WHEN 'row' THEN 'r' ELSE CASE WHEN {short('line')} THEN 'c' ELSE 't' END END AS l,
+    CASE WHEN line = '' THEN 'b' WHEN kind = 'text' AND length(line) <= 100 AND regexp_matches(line, '^[\p{{Lu}}\d]') AND NOT regexp_matches(line, '[.:;,]$') THEN 'T' ELSE 'x' END AS tl FROM sheet_kinds),
+ahead AS (SELECT document_id, run, ord, lead(l, 1) OVER w AS n1, lead(l, 2) OVER w AS n2 FROM lettered WHERE l <> 'b' WINDOW w AS (PARTITION BY document_id, run ORDER BY ord)),
+told AS (SELECT t.document_id, t.run, t.ord, t.page_number, t.l, t.tl, coalesce(n1, '') AS n1, coalesce(n2, '') AS n2 FROM lettered t LEFT JOIN ahead USING (document_id, run, ord)),
+walked AS (
+  SELECT document_id, run, ord, CASE WHEN l IN ('h', 'n', 'r') THEN 1 WHEN l = 'c' AND n1 IN ('n', 'r') THEN 2 ELSE 0 END AS state FROM told WHERE ord = 0
+  UNION ALL SELECT t.document_id, t.run, t.ord, CASE WHEN l IN ('h', 'n', 'r') THEN 1 WHEN l = 'b' THEN state WHEN l <> 'c' THEN 0 WHEN state = 1 OR n1 IN ('n', 'r') THEN 2
+    WHEN state = 2 AND n1 IN ('h', 'c', 't') AND n2 IN ('n', 'r') THEN 2 ELSE 0 END FROM walked w JOIN told t ON t.document_id = w.document_id AND t.run = w.run AND t.ord = w.ord + 1),
+inside AS (SELECT t.*, state, CASE WHEN state > 0 AND coalesce(lag(state) OVER w, 0) = 0 THEN 1 ELSE 0 END AS begins FROM told t JOIN walked USING (document_id, run, ord) WINDOW w AS (PARTITION BY document_id, run ORDER BY ord)),
+numbered_in AS (SELECT *, sum(begins) OVER (PARTITION BY document_id, run ORDER BY ord) AS region FROM inside),
+spans AS (SELECT document_id, run, region, min(ord) AS start, max(CASE WHEN l IN ('n', 'r') THEN ord + 1 END) AS stop, count(*) FILTER (WHERE l IN ('n', 'r')) AS data FROM numbered_in WHERE state > 0 GROUP BY ALL),
+good AS (SELECT s.document_id, s.run, s.start, s.stop FROM spans s JOIN numbered_in n ON n.document_id = s.document_id AND n.run = s.run AND n.ord >= s.start AND n.ord < s.stop
+  GROUP BY s.document_id, s.run, s.start, s.stop, s.data HAVING s.data >= 3 AND s.data >= 0.35 * count(*) FILTER (WHERE l <> 'b')),
+floored AS (SELECT *, greatest(start - 3, coalesce(lag(stop) OVER (PARTITION BY document_id, run ORDER BY start), 0)) AS floor FROM good),
+titled AS (SELECT f.document_id, f.run, f.start, f.stop, coalesce(string_agg(t.tl, '' ORDER BY t.ord), '') AS above FROM floored f LEFT JOIN told t ON t.document_id = f.document_id AND t.run = f.run AND t.ord >= f.floor AND t.ord < f.start GROUP BY ALL)"""
+
+
 def chunk_heading(line: str, section: str) -> str:
     letters, upper = (f"length(regexp_replace({line}, '{p}', '', 'g'))" for p in (r"[^\p{L}]", r"[^\p{Lu}]"))
     return f"(({key(line)} <> '' AND {key(line)} = {key(section)}) OR ({letters} >= 4 AND {upper} >= 0.9 * {letters} AND length({line}) <= 100 AND NOT regexp_matches({line}, '[.,;]$')))"
@@ -239,6 +265,8 @@ SQL: dict[str, str] = {
         'FY' || (1990 + l_linenumber), 'As sold ' || l_linenumber || ' in all.', '(₹ in million)', 'Mar 31, 2024 and later', '  ']) AS line FROM lineitem)
         SELECT {kind('line')} AS kind, length({strip('line')}) <= 90 AND {words('line')} <= 12 AND NOT ends_with({strip('line')}, '.') AS short, count(*) AS n FROM l GROUP BY ALL""",
     "section_runs": f"""WITH {RUNS} SELECT document_id, run, count(*) AS n_lines, min(page_number) AS first_page, max(page_number) AS last_page FROM r GROUP BY ALL""",
+    "table_regions": f"""WITH RECURSIVE {REGIONS} SELECT r.document_id, r.run, r.start - length(regexp_extract(above, '(?:T(?:Tb?|bT)|Tb?)$')) AS title, r.start, r.stop, t.page_number
+        FROM titled r JOIN told t ON t.document_id = r.document_id AND t.run = r.run AND t.ord = r.start""",
     "paragraph_units": f"""WITH {RUNS}, h AS (SELECT *, {chunk_heading('line', 'section')} AS heading FROM r),
         b AS (SELECT *, lag(line) OVER w AS last_line, lag(heading) OVER w AS last_heading FROM h WINDOW w AS (PARTITION BY document_id, run ORDER BY page_number, line_no)),
         s AS (SELECT *, CAST(line <> '' AND (heading OR last_line IS NULL OR last_line = '' OR last_heading) AS INTEGER) AS begins FROM b),

@@ -58,6 +58,24 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a supplier sold as a document: pages of 40 lines, most of them rows of tables; titles, headers, blank lines and
+    prose come by rules on the order, and every fifth page is of another section."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    i, r = F.col("l_orderkey"), F.col("l_orderkey") % 13
+    line = (
+        F.when(r == 0, F.concat(F.lit("Parts Of Order "), (i % 7).cast("string"))).when(r == 1, "Particulars").when(r == 2, "")
+        .when(r == 3, "All of these were sold in the ordinary course of business, as the supplier has told us in the year.").when((r == 4) & (i % 3 == 0), "As we have seen.")
+        .otherwise(F.concat_ws(" ", F.lit("Part sold"), F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")))
+    )
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", (F.row_number().over(order) - 1).alias("at"), line.alias("line"))
+    pages_ = lines.groupBy("l_suppkey", (F.floor(F.col("at") / 40) + 1).cast("int").alias("page_number")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"))
+    return pages_.select(
+        F.concat(F.lit("supplier"), F.col("l_suppkey").cast("string")).alias("document_id"), "page_number", F.array_join(F.transform("x", lambda l: l["line"]), "\n").alias("text"),  # noqa: E741
+        F.when(F.col("page_number") % 5 == 0, "NOTES").otherwise("SALES").alias("section"), F.concat(F.lit("Sheet "), F.floor(F.col("page_number") / 3).cast("string")).alias("subsection"),
+    )
+
+
 PAGES_SQL = "pages_in AS (SELECT source AS document_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_number, text, CAST(doc_id % 3 AS INTEGER) AS image_count, doc_id, lang FROM documents)"
 
 HEADED_SQL = PAGES_SQL + """, headed AS (
@@ -72,3 +90,10 @@ NOISY_SQL = PAGES_SQL + """, noisy AS (
     || (CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Page ' || page_number || ' of 400' ELSE chr(10) || page_number END) AS text,
     CASE WHEN lang <> 'es' THEN upper(lang) || ' texts' END AS section
   FROM pages_in)"""
+
+SHEETS_SQL = """sold AS (SELECT l_suppkey, l_orderkey AS i, l_orderkey % 13 AS r, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS n,
+    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS place FROM lineitem),
+sheets AS (SELECT 'supplier' || l_suppkey AS document_id, CAST(place // 40 + 1 AS INTEGER) AS page_number, CAST(place % 40 AS INTEGER) AS line_no, CASE WHEN (place // 40 + 1) % 5 = 0 THEN 'NOTES' ELSE 'SALES' END AS section,
+    CASE WHEN r = 0 THEN 'Parts Of Order ' || (i % 7) WHEN r = 1 THEN 'Particulars' WHEN r = 2 THEN ''
+    WHEN r = 3 THEN 'All of these were sold in the ordinary course of business, as the supplier has told us in the year.' WHEN r = 4 AND i % 3 = 0 THEN 'As we have seen.'
+    ELSE 'Part sold ' || q || ' ' || n END AS line FROM sold)"""
