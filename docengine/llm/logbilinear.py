@@ -1,15 +1,17 @@
 """Language-model scores from a log-bilinear neural model, next to add-half unigram scores.
 
 The unigram base counts every token of the training documents exactly: words, and one end for each document.  The
-log-bilinear model predicts a token from the two before it.  The commonest words (all that occur ``own`` times, ``units``
-at most) are units with an embedding of their own, as context and as target; all others are a unit for each
-shape.  Units in the order of their counts are cut into classes of about equal mass, as many as the square root of the
-units: the model gives the class, then the unit within it, both log-bilinear.  A word without a unit of its own has its
-add-half share of its shape's, so the product is a distribution over all words, one unknown word for each shape included.
-
-Noise-contrastive estimation runs in numpy.  Training goes once through every token of the training documents (several
-times where these are few; equal ones in equal contexts that a task holds together as one with a weight), in rounds over disjoint parts of them, on each partition by itself; after a round the
-partitions' parameters are averaged, each row by how much it has learnt from.  Partitions grow with the tokens, and a
+log-bilinear model predicts a token from the two before it.  Every word has an embedding, as context and as target: the
+commonest (those that occur ``own`` times, up to ``units`` of them) one of their own, all others that of a hashed unit,
+which they share with words of their shape and hash.  Units in the order of their counts are cut into classes of about
+equal mass, as many as the square root of the units: the model gives the class, then the unit within it, both
+log-bilinear.  A word of a hashed unit has its add-half share of it, so the product is a distribution over all words, one
+unknown word for each hashed unit included.
+
+Noise-contrastive estimation runs in numpy.  Training goes through every token of the training documents equally often, at
+one rate (once, or as often as ``visits`` tokens ask for; equal ones in equal contexts that a task holds together are one
+with a weight), in rounds over disjoint parts of the documents, on each partition by itself; after a round the partitions'
+parameters are averaged, each row by how much it has learnt from.  Partitions grow with the tokens, and a
 partition's updates are far smaller than its texts.  Nothing is shuffled before training, so a task that is run again
 sees the same rows in the same order and learns the same.
 
@@ -18,7 +20,7 @@ each class with all units of that class.
 
 Documents whose ``crc32`` of the id, as text, leaves the remainder 1 on division by 5 are held out of all learning.
 
-What is broadcast: parameters and words of at most ``units`` units, some 10 MB, and counts of at most ``head`` words, some
+What is broadcast: parameters and words of at most ``units`` units and the hashed ones, some 12 MB, and counts of at most ``head`` words, some
 4 MB, however large the corpus.  Counts of other words meet the documents' words in a join.
 
 Defined cases: a null or empty text is its end alone; a null id is not held out; rows are scored each on its own; an
@@ -36,6 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,18 +48,19 @@ from docengine.llm.words import slices
 
 #: The end of a text, as a word; no word of a text is empty.
 END = b""
-#: Shapes: by last byte (letter, stop, comma, digit, other) and by what else a word holds.
-SHAPES = 20
+#: Shapes are 20, by last byte (letter, stop, comma, digit, other) and by what else a word holds, times so many hashes.
+HASHES = 16
+SHAPES = 20 * HASHES
 #: Texts that a task takes at a time, and rows of counts that it merges before it hands them on.
 SLICE, FLUSH = 2048, 1_000_000
 
 
 def shape(word: bytes) -> int:
-    """The shape of a word, below SHAPES."""
+    """The shape of a word and a hash of it as one number below SHAPES."""
     last = word[-1] if word else 0
     ending = 0 if 97 <= last <= 122 or last >= 128 else 1 if last in b".!?" else 2 if last in b",;:" else 3 if 48 <= last <= 57 else 4
     foreign = any(b >= 128 for b in word)
-    return ending * 4 + 2 * foreign + (len(word) > 8)
+    return (ending * 4 + 2 * foreign + (len(word) > 8)) * HASHES + xxhash.xxh3_64_intdigest(word) % HASHES
 
 
 def held_out():
@@ -349,9 +353,9 @@ def _head(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     return counts, least
 
 
-def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, head: int = 150_000, width: int = 24, rounds: int = 3, part: int = 20_000_000, few: int = 1_000_000, size: int = 8192, noise: int = 64, inner: int = 16, most: int = 16, rate: float = 0.4) -> tuple[Model, DataFrame]:
-    """The model, and the table of all word counts that it rests on.  ``part`` tokens make a partition of training; where
-    there are fewer than ``few`` tokens in all, each is gone through more often."""
+def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, head: int = 150_000, width: int = 24, rounds: int = 3, part: int = 10_000_000, visits: int = 1_000_000, size: int = 8192, noise: int = 64, inner: int = 16, most: int = 16, rate: float = 0.08) -> tuple[Model, DataFrame]:
+    """The model, and the table of all word counts that it rests on.  ``part`` tokens make a partition of training, and
+    training goes through ``visits`` tokens at least."""
     if not 0 < units <= 2_000_000:
         raise ValueError("units must be at most 2,000,000, so that three of them make a number")
     texts = docs.where(~held_out()).select("doc_id", "text")
@@ -383,12 +387,12 @@ def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, h
     untrained = Model(top, places, {}, least, tokens, distinct, share, None)  # what the tasks need of it
     if not tokens:
         return model, words
-    net, parts, passes = LogBilinear(mass[order], width), -(-tokens // part), -(-few // tokens)
+    net, parts, passes = LogBilinear(mass[order], width), -(-tokens // part), -(-visits // tokens)
     for turn in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], begun=net, turn=turn) -> Iterator[pa.RecordBatch]:
             own, vocabulary, held, steps, waiting = begun.copy(), untrained.vocabulary([w for w in top if w != END]), [], 0, 0
-            own.begin(noise, inner, rate / (1 + 2 * turn), 1000 * turn + TaskContext.get().partitionId())
+            own.begin(noise, inner, rate, 1000 * turn + TaskContext.get().partitionId())
 
             def learn() -> int:
                 """Equal tokens in equal contexts are a row with their number as its weight, or several of ``most`` at the
@@ -415,7 +419,7 @@ def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, h
             if steps:
                 yield own.packed(steps)
 
-        mine = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn) if passes == 1 else texts
+        mine = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn)
         got = mine.select("text").coalesce(parts).mapInArrow(run, PACKED).groupBy("chunk").applyInArrow(_mean, PACKED).toArrow()
         at, rows = (np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("at", "i8"), ("rows", "f4")))
         net = net.with_rows(at, rows.reshape(len(at), width + 1))
@@ -426,7 +430,7 @@ def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, h
 def _scores_in_head(docs: DataFrame, model: Model) -> DataFrame:
     """Two kinds of rows under a document's key: one for the document, with the scores of what the broadcast counts
     cover, and one for each further word of it."""
-    schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, net double, word binary, shape int, times long"
+    schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, net double, word binary, share double, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, words = TaskContext.get().partitionId() << 40, sorted(w for w in model.counts if w != END)
@@ -435,8 +439,9 @@ def _scores_in_head(docs: DataFrame, model: Model) -> DataFrame:
         n = np.array([model.counts[w] for w in words] + [0])
         base = np.log10(n + 0.5) - whole
         inner = np.array([0.0 if w in own else float(np.log10((model.counts[w] + 0.5) / model.share[shape(w)])) for w in words] + [0.0])
+        shares = np.log10(model.share)
         end, names = model.counts.get(END, 0), [x.split()[0] for x in schema.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.float64(), pa.int64()]
         for batch in slices(batches, 512):
             got = vocabulary.encode(batch.column(2))
             known, many = got.code >= 0, batch.num_rows
@@ -451,7 +456,7 @@ def _scores_in_head(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(told, kinds)), *(pa.nulls(many, k) for k in kinds[7:])], names=names)
             pairs, times = np.unique(got.text[~known] * max(1, len(got.other)) + got.which, return_counts=True)
             text, word = np.divmod(pairs, max(1, len(got.other)))
-            rest = [got.other.cast(pa.binary()).take(pa.array(word)), pa.array(got.shapes[word], pa.int32()), pa.array(times, pa.int64())]
+            rest = [got.other.cast(pa.binary()).take(pa.array(word)), pa.array(shares[got.shapes[word]]), pa.array(times, pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(keys[text]), *(pa.nulls(len(pairs), k) for k in kinds[1:7]), *rest], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, schema)
@@ -465,17 +470,16 @@ def scores(docs: DataFrame, **options: int) -> DataFrame:
     rows = store.put(_scores_in_head(docs, model), "rows")
     whole = F.lit(float(np.log10(model.tokens + 0.5 * (model.distinct + 1))))
     # words beyond the broadcast counts take theirs from the table
-    share = F.get(F.array(*[F.lit(float(np.log10(x))) for x in model.share]), F.col("shape"))
-    rare = rows.where("word is not null").select("key", "word", "shape", "times").join(words.where(F.col("count") < model.least), "word", "left")
+    rare = rows.where("word is not null").select("key", "word", "share", "times").join(words.where(F.col("count") < model.least), "word", "left")
     log = F.log10(F.coalesce("count", F.lit(0)) + 0.5)
     # where nothing was learnt the model is the base
-    inner = log - share if model.net is not None else F.lit(0.0)
+    inner = log - F.col("share") if model.net is not None else F.lit(0.0)
     added = rare.groupBy("key").agg(
         F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (log - whole)).alias("more_base"),
         F.sum(F.col("times") * inner).alias("more_net"),
     )
-    out = rows.where("n_tokens is not null").drop("word", "shape", "times").join(added, "key", "left")
+    out = rows.where("n_tokens is not null").drop("word", "share", "times").join(added, "key", "left")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0))
     net = F.col("net") + F.coalesce("more_net", F.lit(0.0)) if model.net is not None else base
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), net.alias("score"))

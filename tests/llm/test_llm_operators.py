@@ -380,7 +380,7 @@ def test_components_of_a_path(spark):
 
 # ------------------------------------------------------------------ language model
 def test_base_scores_count_every_token(spark, odd, none, corpus):
-    small = dict(own=3, head=60, width=8, rounds=2, few=3000, size=512)
+    small = dict(own=3, head=60, width=8, rounds=2, visits=3000, size=512)
     for docs in (odd, corpus.limit(80)):
         rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in docs.collect()]
         held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
@@ -410,7 +410,7 @@ def test_model_beats_the_base_on_held_out_texts(corpus):
 
 def test_scores_are_those_of_the_parameters(spark, corpus):
     """Every token's probability summed over all units, without matrix products over classes."""
-    small = dict(own=20, head=300, width=8, rounds=2, few=40_000)
+    small = dict(own=20, head=300, width=8, rounds=2, visits=40_000)
     docs = corpus.limit(60)
     model, _ = logbilinear.fit(docs, logbilinear.Store(spark, "test"), **small)
     p, net, units = model.net.parameters, model.net, dict(zip(model.words, model.places.tolist()))
@@ -441,8 +441,8 @@ def test_probabilities_add_up():
 def test_training_goes_through_every_token(spark):
     r = random.Random(9)
     docs = spark.createDataFrame([(k, " ".join(f"w{r.randint(0, 40)}" for _ in range(50))) for k in range(100)], "doc_id long, text string")
-    a, _ = logbilinear.fit(docs, logbilinear.Store(spark, "test"), own=1, few=1)
-    b, _ = logbilinear.fit(docs, logbilinear.Store(spark, "test"), own=1, few=1)
+    a, _ = logbilinear.fit(docs, logbilinear.Store(spark, "test"), own=1, visits=1)
+    b, _ = logbilinear.fit(docs, logbilinear.Store(spark, "test"), own=1, visits=1)
     start = logbilinear.LogBilinear(a.net.mass)
     assert all((a.net.parameters[k] == b.net.parameters[k]).all() for k in a.net.parameters)  # training is repeatable
     used = a.places[: len(a.words)]
@@ -455,7 +455,7 @@ def test_what_follows_a_word_is_learnt(spark):
     r = random.Random(4)
     pairs = [(f"left{k:03}", f"right{k:03}") for k in range(60)]
     docs = spark.createDataFrame([(k, " ".join(w for _ in range(40) for w in r.choice(pairs))) for k in range(300)], "doc_id long, text string")
-    model, _ = logbilinear.fit(docs, logbilinear.Store(spark, "test"), own=50, few=1_000_000, size=1024)
+    model, _ = logbilinear.fit(docs, logbilinear.Store(spark, "test"), own=50, visits=3_000_000, size=1024)
     units = dict(zip(model.words, model.places.tolist()))
     assert len(model.words) == 121
     context = units[b"right001"] * model.net.many + units[b"left007"]
