@@ -4,6 +4,7 @@ window functions number the result."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from docengine import scratch
 from docengine.functions import text as fn
 from docengine.operators import regions
-from docengine.operators.chunk_rules import Lines, chunks
+from docengine.operators.chunk_rules import SENTENCE_START, Lines, chunks, paragraphs
 from docengine.operators.clean import clean
 from docengine.schemas import ChunkConfig
 
@@ -27,37 +28,63 @@ def section_runs(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_new", new).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def paragraph_units(lines: DataFrame) -> DataFrame:
-    """Paragraphs and headings without regard to tables: ``document_id, run, unit, kind, subsection, n_lines, text``."""
-    order = Window.partitionBy("document_id", "run").orderBy("page_number", "line_no")
-    marked = lines.withColumn("is_heading", fn.is_chunk_heading(F.col("line"), F.col("kind"), F.col("section"), F.col("subsection")))
-    blank, before = F.col("line") == "", F.lag(F.struct("line", "is_heading", "subsection")).over(order)
-    starts = F.col("is_heading") | before.isNull() | (before["line"] == "") | before["is_heading"] | ~F.col("subsection").eqNullSafe(before["subsection"])
-    numbered = marked.withColumn("_starts", (~blank & starts).cast("int")).withColumn("unit", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = F.array_sort(F.collect_list(F.struct("page_number", "line_no", "line")))
-    kind = F.when(F.max("is_heading"), "heading").otherwise("para")
-    grouped = numbered.where(~blank).groupBy("document_id", "run", "unit").agg(kind.alias("kind"), F.max("subsection").alias("subsection"), F.count("*").alias("n_lines"), rows.alias("_rows"))
-    return grouped.select("document_id", "run", "unit", "kind", "subsection", "n_lines", F.array_join(F.transform("_rows", lambda r: r["line"]), "\n").alias("text"))
+MARKS = ("line", "page_number", "subsection", "kind", "short", "unit", "heading", "key")
+UNITS = pa.schema([("document_id", pa.string()), ("run", pa.int64()), ("unit", pa.int32()), ("kind", pa.string()), ("subsection", pa.string()), ("n_lines", pa.int32()), ("text", pa.string())])
 
 
-def raw_chunks(lines: DataFrame, config: ChunkConfig = ChunkConfig(), *, spread: bool = False) -> DataFrame:
-    """Bodies and pages of the chunks of cleaned lines, before numbering.  With ``spread`` a run is taken apart where nothing
-    goes on, so a task holds a part of it; the lines are written once to the shared folder for that."""
-    flags = lambda pattern: re.compile(re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern), re.I)
-    intro, outro = flags(fn.INTRO), flags(fn.OUTRO)
+def _marked(lines: DataFrame) -> DataFrame:
     line = F.col("line")
-    own = _spread(lines, config) if spread else section_runs(lines)
-    marked = own.withColumns({
+    return lines.withColumns({
         "short": fn.is_short(line), "unit": fn.is_unit_line(line), "key": fn.norm_key(line),
         "heading": fn.is_chunk_heading(line, F.col("kind"), F.col("section"), F.col("subsection")),
     })
 
+
+def _flags(pattern: str) -> re.Pattern:
+    return re.compile(re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern), re.I)
+
+
+def _lines_of(group: pa.Table) -> Lines | None:
+    """The lines of a run in order, from the first full one to the last."""
+    g = group.sort_by([("page_number", "ascending"), ("line_no", "ascending")])
+    columns = [g[c].to_pylist() for c in MARKS]
+    full = [i for i, t in enumerate(columns[0]) if t.strip()]
+    return Lines(*(v[full[0] : full[-1] + 1] for v in columns), _flags(fn.INTRO), _flags(fn.OUTRO)) if full else None
+
+
+def paragraph_units(lines: DataFrame) -> DataFrame:
+    """Paragraphs and headings of runs of lines, as chunks are made of them, without regard to tables:
+    ``document_id, run, unit, kind, subsection, n_lines, text``."""
+
+    def cut(group: pa.Table) -> pa.Table:
+        x = _lines_of(group)
+        found = paragraphs(x, 0, len(x.text)) if x else []
+        rows = [[group["document_id"][0].as_py()] * len(found), [group["run"][0].as_py()] * len(found), range(1, len(found) + 1), [u.kind for u in found], [u.subsection for u in found], [u.part.text.count("\n") + 1 for u in found], [u.part.text for u in found]]
+        return pa.table([pa.array(v, f.type) for v, f in zip(rows, UNITS)], schema=UNITS)
+
+    return _marked(lines).groupBy("document_id", "run").applyInArrow(cut, "document_id string, run long, unit int, kind string, subsection string, n_lines int, text string")
+
+
+def sentence_counts(texts: DataFrame) -> DataFrame:
+    """``id, n_sentences`` of ``id, text``: at these ends long paragraphs are split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [len(SENTENCE_START.split(t)) if t is not None else None for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=["id", "n_sentences"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n_sentences int")
+
+
+def raw_chunks(lines: DataFrame, config: ChunkConfig = ChunkConfig(), *, spread: bool = False) -> DataFrame:
+    """Bodies and pages of the chunks of cleaned lines, before numbering.  With ``spread`` a run is taken apart where nothing
+    goes on, so a task holds a part of it; the lines are written once to the shared folder for that."""
+    marked = _marked(_spread(lines, config) if spread else section_runs(lines))
+
     def pack(group: pa.Table) -> pa.Table:
-        g = group.sort_by([("page_number", "ascending"), ("line_no", "ascending")])
-        columns = {c: g[c].to_pylist() for c in ("line", "page_number", "subsection", "kind", "short", "unit", "heading", "key")}
-        full = [i for i, t in enumerate(columns["line"]) if t.strip()]
-        found = chunks(Lines(*(v[full[0] : full[-1] + 1] for v in columns.values()), intro, outro), g["section"][0].as_py(), config) if full else []
-        same = lambda c: [g[c][0].as_py()] * len(found)
+        x = _lines_of(group)
+        found = chunks(x, group["section"][0].as_py(), config) if x else []
+        same = lambda c: [group[c][0].as_py()] * len(found)
         rows = [same("document_id"), same("run"), range(len(found)), [c.kind for c in found], same("section"), [c.subsection for c in found], [c.body for c in found], [sorted(c.pages) for c in found]]
         return pa.table([pa.array(v, f.type) for v, f in zip(rows, ARROW)], schema=ARROW)
 

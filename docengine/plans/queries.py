@@ -13,6 +13,7 @@ from docengine.operators import chunk, clean, dense, evaluate, hybrid, lexical,
 from docengine.operators.lexical_index import LexicalIndex
 from docengine.operators.vector_index import VectorIndex
 from docengine.plans import tables as t
+from docengine.schemas import ChunkConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,14 +172,22 @@ def spread_chunks(spark, sf):
 
 @query
 def paragraph_units(spark, sf):
-    lines = clean.page_lines(t.noisy_pages(spark, sf)).withColumn("kind", F.lit("text"))
+    lines = clean.clean(t.noisy_pages(spark, sf))
     return chunk.paragraph_units(chunk.section_runs(lines)).select("document_id", "run", "unit", "kind", "n_lines", F.length("text").alias("n_chars"))
 
 
 @query
 def sentence_counts(spark, sf):
     """Where sentences begin: after a stop and white space, before a capital, a digit, a bracket or a quote."""
-    return t.pages(spark, sf).select("doc_id", (F.size(F.split("text", r"(?<=[.!?])\s+(?=[A-Z(\"“0-9])"))).alias("n_sentences"))
+    return chunk.sentence_counts(t.pages(spark, sf).withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def context_lines(spark, sf):
+    """Lines that would introduce a table or comment on one."""
+    lines = clean.page_lines(t.sheets(spark, sf)).select("line").union(clean.page_lines(t.noisy_pages(spark, sf)).select("line"))
+    said = F.explode(F.array(F.col("line"), F.concat("line", F.lit(":")), F.concat(F.lit("Source: "), "line")))
+    return lines.select(said.alias("line")).groupBy(fn.is_intro(F.col("line")).alias("intro"), fn.is_outro(F.col("line")).alias("outro")).agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ chunks
@@ -189,7 +198,11 @@ def chunk_documents(spark, sf):
 
 @query
 def chunk_invariants(spark, sf):
-    return expect.violations(chunk.chunk_documents(t.noisy_pages(spark, sf)), expect.chunk_rules(), "chunk_id")
+    """For each document how many characters but white space its chunks hold without headings above them, and how many
+    chunks break a rule."""
+    made = chunk.chunk_documents(t.noisy_pages(spark, sf), ChunkConfig(prefix_headings=False))
+    broken = F.exists(F.array(*expect.chunk_rules().values()), lambda ok: ~F.coalesce(ok, F.lit(False)))
+    return made.groupBy("document_id").agg(F.sum(fn.meaningful_chars(F.col("content")).cast("long")).alias("n_chars"), F.count_if(broken).alias("broken"))
 
 
 @query

@@ -15,6 +15,8 @@ HEADER = r"(?i)^(particulars|notes?|as at|as of|for the (?:year|period|six|nine|
 UNIT = r"(?i)^\(.*(?:₹|rs\.?|inr|million|crore|lakh|thousand).*\)$|^(?:₹|rs\.?|inr)\s*(?:in\s+)?(?:million|crore|lakh|thousand)"
 YEAR = r"(?i)^(?:FY|Fiscal)?\s?(?:19|20)\d{2}(?:[-–/](?:\d{2}|\d{4}))?$"
 NUMBER = r"(?i)^(?:page\s*)?[-–—]?\s*(\d{1,4}|[ivxl]{1,6})\s*[-–—]?$"
+INTRO = r"(?i)\b(following|below|table|set out|presents?|summary|summari[sz]es?|as under|as follows)\b"
+OUTRO = r"(?i)read in conjunction|should be read|to be read together|^notes?\b|^source\s*:|^\*"
 BOILERPLATE = r"(?i)intentionally left blank|^\s*page\s+\d+\s+of\s+\d+\s*$"
 
 
@@ -196,11 +198,17 @@ floored AS (SELECT *, greatest(start - 3, coalesce(lag(stop) OVER (PARTITION BY
 titled AS (SELECT f.document_id, f.run, f.start, f.stop, coalesce(string_agg(t.tl, '' ORDER BY t.ord), '') AS above FROM floored f LEFT JOIN told t ON t.document_id = f.document_id AND t.run = f.run AND t.ord >= f.floor AND t.ord < f.start GROUP BY ALL)"""
 
 
-def chunk_heading(line: str, section: str) -> str:
+def chunk_heading(line: str, section: str, kind: str) -> str:
     letters, upper = (f"length(regexp_replace({line}, '{p}', '', 'g'))" for p in (r"[^\p{L}]", r"[^\p{Lu}]"))
-    return f"(({key(line)} <> '' AND {key(line)} = {key(section)}) OR ({letters} >= 4 AND {upper} >= 0.9 * {letters} AND length({line}) <= 100 AND NOT regexp_matches({line}, '[.,;]$')))"
+    return f"(({key(line)} <> '' AND {key(line)} = {key(section)}) OR ({letters} >= 4 AND {upper} >= 0.9 * {letters} AND length({line}) <= 100 AND NOT regexp_matches({line}, '[.,;]$') AND {kind} = 'text'))"
 
 
+#: What cleaning leaves, in runs of equal section, with the place of each line in its run.
+KEPT = f"""{CLEAN}, kept AS (SELECT * FROM marked WHERE NOT noise AND NOT label AND (document_id, page_number, line_no) NOT IN (SELECT document_id, page_number, line_no FROM dropped)),
+kept_new AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND section IS DISTINCT FROM lag(section) OVER w THEN 1 ELSE 0 END AS new FROM kept WINDOW w AS (PARTITION BY document_id ORDER BY page_number, line_no)),
+kept_run AS (SELECT *, CAST(sum(new) OVER (PARTITION BY document_id ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM kept_new),
+kept_runs AS (SELECT *, {chunk_heading('line', 'section', 'kind')} AS heading, row_number() OVER (PARTITION BY document_id, run ORDER BY page_number, line_no) AS ord FROM kept_run)"""
+
 TERMS = f"words_in AS (SELECT doc_id, {terms('text')} AS w FROM documents), terms_in AS (SELECT doc_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '__' || w[i + 1])) AS terms FROM words_in)"
 
 BM25 = f"""{TERMS}, queries_in AS (SELECT item_id AS query_id, {terms('text')} AS w FROM benchmark),
@@ -267,12 +275,16 @@ SQL: dict[str, str] = {
     "section_runs": f"""WITH {RUNS} SELECT document_id, run, count(*) AS n_lines, min(page_number) AS first_page, max(page_number) AS last_page FROM r GROUP BY ALL""",
     "table_regions": f"""WITH RECURSIVE {REGIONS} SELECT r.document_id, r.run, r.start - length(regexp_extract(above, '(?:T(?:Tb?|bT)|Tb?)$')) AS title, r.start, r.stop, t.page_number
         FROM titled r JOIN told t ON t.document_id = r.document_id AND t.run = r.run AND t.ord = r.start""",
-    "paragraph_units": f"""WITH {RUNS}, h AS (SELECT *, {chunk_heading('line', 'section')} AS heading FROM r),
-        b AS (SELECT *, lag(line) OVER w AS last_line, lag(heading) OVER w AS last_heading FROM h WINDOW w AS (PARTITION BY document_id, run ORDER BY page_number, line_no)),
-        s AS (SELECT *, CAST(line <> '' AND (heading OR last_line IS NULL OR last_line = '' OR last_heading) AS INTEGER) AS begins FROM b),
-        u AS (SELECT *, CAST(sum(begins) OVER (PARTITION BY document_id, run ORDER BY page_number, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS unit FROM s)
-        SELECT document_id, run, unit, CASE WHEN bool_or(heading) THEN 'heading' ELSE 'para' END AS kind, count(*) AS n_lines, CAST(sum(length(line) + 1) - 1 AS INTEGER) AS n_chars FROM u WHERE line <> '' GROUP BY document_id, run, unit""",
-    "chunk_invariants": "SELECT CAST(NULL AS VARCHAR) AS chunk_id, CAST(NULL AS VARCHAR) AS rule WHERE false",
+    "paragraph_units": f"""WITH {KEPT},
+        b AS (SELECT *, lag(heading) OVER w AS last_heading, lag(ord) OVER w AS last_ord FROM kept_runs WHERE line <> '' WINDOW w AS (PARTITION BY document_id, run ORDER BY ord)),
+        s AS (SELECT *, CAST(heading OR last_ord IS NULL OR last_ord <> ord - 1 OR last_heading AS INTEGER) AS begins FROM b),
+        u AS (SELECT *, CAST(sum(begins) OVER (PARTITION BY document_id, run ORDER BY ord ROWS UNBOUNDED PRECEDING) AS INTEGER) AS unit FROM s)
+        SELECT document_id, run, unit, CASE WHEN bool_or(heading) THEN 'heading' ELSE 'para' END AS kind, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(length(line) + 1) - 1 AS INTEGER) AS n_chars FROM u GROUP BY document_id, run, unit""",
+    "chunk_invariants": f"""WITH {KEPT}, last_text AS (SELECT document_id, run, max(ord) AS last_ord FROM kept_runs WHERE line <> '' AND NOT heading GROUP BY ALL)
+        SELECT document_id, CAST(sum({chars('line')}) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS broken FROM kept_runs JOIN last_text USING (document_id, run) WHERE ord <= last_ord GROUP BY document_id""",
+    "context_lines": f"""WITH {NOISY_SQL}, {SHEETS_SQL}, both_lines AS (SELECT unnest(string_split(text, {NL})) AS line FROM noisy UNION ALL SELECT line FROM sheets), l AS (SELECT {strip('line')} AS line FROM both_lines),
+        said AS (SELECT unnest([line, line || ':', 'Source: ' || line]) AS line FROM l)
+        SELECT length({strip('line')}) <= 600 AND (ends_with({strip('line')}, ':') OR regexp_matches({strip('line')}, '{INTRO}')) AS intro, length({strip('line')}) <= 600 AND regexp_matches({strip('line')}, '{OUTRO}') AS outro, count(*) AS n FROM said GROUP BY ALL""",
     "table_chunks": f"""WITH q AS (SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity FROM lineitem),
         t AS (SELECT 'order' || l_orderkey AS document_id, count(*) AS n, string_agg('Part sold | ' || quantity || ' | ' || l_linenumber, {NL} ORDER BY l_linenumber, quantity) AS rows,
             string_agg('Part sold ' || quantity || ' ' || l_linenumber, {NL} ORDER BY l_linenumber, quantity) AS lines FROM q GROUP BY l_orderkey)
