@@ -27,7 +27,7 @@ from docengine.llm.words import slices
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 #: Entries of a worker's memo of encoded words before it is emptied.
-MEMO = 500_000
+MEMO = 150_000
 
 
 def power_lengths(n: int, longest: int) -> list[int]:
