@@ -8,6 +8,7 @@ from docengine.functions import text as fn
 from docengine.operators import dense, diagnostics, evaluate, hybrid, lexical, pages, sections
 from docengine.sources import documents as src
 from docengine.sources import query_sets
+from docengine.schemas import CHUNK
 from docengine.streaming import ingest
 
 
@@ -258,3 +259,36 @@ def test_stream_chunks_what_arrives(spark, tmp_path):
     q.awaitTermination(120)
     (c,) = spark.read.parquet(str(tmp_path / "out")).collect()
     assert c.section == "GENERAL" and "Some plain words." in c.content
+
+
+def test_pages_may_come_in_any_order_and_batch(spark, tmp_path):
+    """However the pages of documents are split over files, late and repeated ones included, the chunks are those of one batch."""
+    import random
+
+    from docengine.operators import chunk, sections
+
+    r = random.Random(6)
+    blank = F.lit(None).cast("string")
+    counts = {"A": 5, "B": 1, "C": 7, "late": 3}
+    rows = [(d, k, f"SECTION {'IVX'[k % 3]}: PART {k // 2}\nWords of page {k} of {d} stand here and there.\nMore of them follow.", 0, n) for d, n in counts.items() for k in range(1, n + 1)]
+    own = pages.measure(spark.createDataFrame(rows, "document_id string, page_number int, text string, image_count int, page_count int")).withColumns({"section": blank, "subsection": blank}).select(*ingest.FIELDS, "page_count")
+    wanted = sorted(map(repr, chunk.chunk_documents(sections.detect(own.drop("page_count"))).collect()))
+    keys = [(d, k) for d, k, *_ in rows]
+    r.shuffle(keys)
+    keys = [k for k in keys if k != ("late", 2)]
+    keys[3:3] = keys[:2]  # pages that come twice
+
+    def drop(part):
+        chosen = own.where(F.struct("document_id", "page_number").isin([F.struct(F.lit(d), F.lit(k)) for d, k in part]))
+        chosen.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = ingest.page_stream(spark, str(tmp_path / "in"), files_per_trigger=1, counted=True)
+        ingest.chunk_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(200)
+        return sorted(map(repr, spark.read.parquet(str(tmp_path / "out")).drop("batch").select(*[c.split()[0] for c in CHUNK.split(", ")]).collect()))
+
+    for at in range(0, len(keys), 3):
+        drop(keys[at : at + 3])
+    assert run() == [x for x in wanted if "document_id='late'" not in x]
+    drop([("late", 2)])
+    assert run() == wanted
