@@ -63,6 +63,16 @@ def shape(word: bytes) -> int:
     return (ending * 4 + 2 * foreign + (len(word) > 8)) * HASHES + xxhash.xxh3_64_intdigest(word) % HASHES
 
 
+class Shapes(dict):
+    """Word to its shape; a memo that empties itself."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 150_000:
+            self.clear()
+        self[word] = k = shape(word)
+        return k
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
@@ -117,6 +127,7 @@ class Vocabulary:
     one after the last."""
 
     def __init__(self, words: list[bytes], units: np.ndarray, shapes: np.ndarray, end: int, many: int):
+        self.memo = Shapes()
         self.words, self.units, self.shapes, self.end, self.many = pa.array(words, pa.binary()).cast(pa.string()), np.append(units, 0), shapes, end, many
 
     def encode(self, texts: pa.Array) -> Encoded:
@@ -125,7 +136,7 @@ class Vocabulary:
         lacking = np.flatnonzero(code < 0)
         named = flat.take(pa.array(lacking)).dictionary_encode()
         which = named.indices.to_numpy().astype(np.int64)
-        kinds = np.array([shape(w) for w in named.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+        kinds = np.array(list(map(self.memo.__getitem__, named.dictionary.cast(pa.binary()).to_pylist())), np.int64)
         text = np.repeat(np.arange(len(sizes)), sizes)
         sizes = sizes + 1
         unit = np.full(len(code) + len(sizes), self.end)
@@ -353,7 +364,7 @@ def _head(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     return counts, least
 
 
-def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, head: int = 150_000, width: int = 24, rounds: int = 3, part: int = 10_000_000, visits: int = 1_000_000, size: int = 8192, noise: int = 64, inner: int = 16, most: int = 16, rate: float = 0.08) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, head: int = 150_000, width: int = 24, rounds: int = 3, part: int = 20_000_000, visits: int = 1_000_000, size: int = 8192, noise: int = 64, inner: int = 16, most: int = 16, rate: float = 0.08) -> tuple[Model, DataFrame]:
     """The model, and the table of all word counts that it rests on.  ``part`` tokens make a partition of training, and
     training goes through ``visits`` tokens at least."""
     if not 0 < units <= 2_000_000:
