@@ -31,7 +31,7 @@ def size(index: DataFrame) -> int:
 def require_same_size(index: DataFrame, chunks: DataFrame) -> None:
     """Stored vectors and chunks belong together one to one."""
     if (n := size(index)) != (m := chunks.count()):
-        raise ValueError(f"Vector/chunk count mismatch: {n} vectors, {m} chunks.")
+        raise ValueError(f"mismatch: there are {n} vectors for {m} chunks")
 
 
 def _flat(column: pa.Array, dimension: int) -> np.ndarray:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +54,10 @@ def unknown_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
 def check_gold(gold_document: str | None, document: str, gold: DataFrame, chunks: DataFrame) -> None:
     """Gold must be of this document, and name chunks that there are."""
     if gold_document != document:
-        raise ValueError(f"Gold-standard document_id {gold_document!r} does not match document document_id {document!r}.")
+        raise ValueError(f"the gold is of {gold_document!r}, which does not match the document {document!r}")
     lost = unknown_gold(gold, chunks).select("chunk_id").distinct().orderBy("chunk_id").limit(20).collect()
     if lost:
-        raise ValueError(f"Gold-standard contains chunk IDs that are not present in the current chunking output: {[r[0] for r in lost]}")
+        raise ValueError(f"gold names chunks that there are none of: {[r[0] for r in lost]}")
 
 
 def shown(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, digits: int = 4) -> DataFrame:
@@ -75,19 +79,60 @@ def case_report(first: DataFrame) -> DataFrame:
 
 #: Words inside a text, between blanks, by which documents that may hold it are found.
 ANCHOR = 4
+#: Characters of texts, at most, that one automaton looks for.
+SOUGHT = 16 << 20
 
 
-def holding(documents: DataFrame, texts: DataFrame) -> DataFrame:
+def holding(documents: DataFrame, texts: DataFrame, *, sought: int = SOUGHT) -> DataFrame:
     """``case_id, chunk_id`` where the ``text`` of a document (``chunk_id``) has that of a case (``case_id``) as it stands.
-    Inner words of a case's text stand between blanks in the document too, so documents and cases meet by a hash of some
-    of them; only texts of fewer words meet all documents."""
-    inner = lambda c: F.slice(F.split(c, " "), 2, ANCHOR)
+
+    Texts of ``sought`` characters in all go to the documents as an automaton, which reads each of these once.  Of more
+    texts, those of ``ANCHOR`` + 2 words or more meet documents by a hash of inner words, which stand between blanks in
+    the document too; shorter ones go to the documents in parts."""
+    texts = texts.select("case_id", "text").where("text is not null")
+    total = texts.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    if total <= sought:
+        return _spotted(documents, texts.toArrow())
     long = F.size(F.split("text", " ")) >= ANCHOR + 2
-    cases = texts.select("case_id", F.col("text").alias("wanted"), long.alias("long"), F.xxhash64(F.concat_ws(" ", inner(F.col("text")))).alias("anchor"))
+    short = texts.where(~long)
+    parts = max(1, -(-short.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0] // sought))
+    found = _anchored(documents, texts.where(long))
+    for k in range(parts):
+        found = found.union(_spotted(documents, short.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).toArrow()))
+    return found
+
+
+def _spotted(documents: DataFrame, cases: pa.Table) -> DataFrame:
+    names = cases["case_id"].combine_chunks()
+    who: dict[str, list[int]] = {}
+    for k, text in enumerate(cases["text"].to_pylist()):
+        who.setdefault(text, []).append(k)
+    everywhere = who.pop("", [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for text, own in who.items():
+            automaton.add_word(text, own)
+        automaton.make_automaton()
+        for batch in batches:
+            case, row = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if text is not None:
+                    found = {c for _, own in automaton.iter(text) for c in own} if who else set()
+                    case += [*found, *everywhere]
+                    row += [k] * (len(found) + len(everywhere))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(case, pa.int64())), batch.column(0).take(pa.array(row, pa.int64()))], names=["case_id", "chunk_id"])
+
+    own = documents.select("chunk_id", "text")
+    id_type = "string" if pa.types.is_string(names.type) or pa.types.is_large_string(names.type) else "int" if pa.types.is_int32(names.type) else "long"
+    return own.mapInArrow(run, f"case_id {id_type}, chunk_id {own.schema['chunk_id'].dataType.simpleString()}")
+
+
+def _anchored(documents: DataFrame, texts: DataFrame) -> DataFrame:
+    inner = lambda c: F.slice(F.split(c, " "), 2, ANCHOR)
+    cases = texts.select("case_id", F.col("text").alias("wanted"), F.xxhash64(F.concat_ws(" ", inner(F.col("text")))).alias("anchor"))
     words = documents.select("chunk_id", F.split("text", " ").alias("words"))
     runs = F.transform(F.sequence(F.lit(1), F.size("words") - ANCHOR + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, ANCHOR))))
     anchors = words.where(F.size("words") >= ANCHOR + 2).select("chunk_id", F.explode(F.array_distinct(runs)).alias("anchor"))
-    met = anchors.join(cases.where("long").select("case_id", "wanted", "anchor"), "anchor").join(documents.select("chunk_id", "text"), "chunk_id")
-    few = documents.crossJoin(cases.where("not long").select("case_id", "wanted"))
-    found = met.select("case_id", "chunk_id", "text", "wanted").union(few.select("case_id", "chunk_id", "text", "wanted"))
-    return found.where(F.contains("text", "wanted")).select("case_id", "chunk_id").distinct()
+    met = anchors.join(cases, "anchor").join(documents.select("chunk_id", "text"), "chunk_id")
+    return met.where(F.contains("text", "wanted")).select("case_id", "chunk_id").distinct()

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from docengine import expect, scratch
 from docengine.functions import text as fn
-from docengine.operators import chunk, clean, dense, evaluate, hybrid, lexical, pages, regions, sections
+from docengine.operators import chunk, clean, dense, evaluate, hybrid, latent, lexical, pages, regions, sections
 from docengine.operators.lexical_index import LexicalIndex
 from docengine.operators.vector_index import VectorIndex
 from docengine.plans import tables as t
 from docengine.schemas import ChunkConfig
+from docengine.sources.documents import hashed_encoder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,17 +315,20 @@ def hybrid_rrf_topk(spark, sf):
 
 # ------------------------------------------------------------------ evaluation
 def _gold(spark, sf):
-    """Documents that hold a benchmark text as it stands."""
+    """Documents that hold a benchmark text as it stands, found once and written: several steps read them."""
     docs = t.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return evaluate.holding(docs, t.queries(spark, sf).select(F.col("query_id").alias("case_id"), F.col("query").alias("text")))
+    found = evaluate.holding(docs, t.queries(spark, sf).select(F.col("query_id").alias("case_id"), F.col("query").alias("text")))
+    path = scratch.folder(spark, "gold")
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def _as_cases(ranked):
     return ranked.withColumnRenamed("query_id", "case_id")
 
 
-def _first(spark, sf, ranked):
-    gold = _gold(spark, sf)
+def _first(spark, sf, ranked, gold=None):
+    gold = gold or _gold(spark, sf)
     return evaluate.first_relevant_rank(gold.select("case_id").distinct(), _as_cases(ranked), gold)
 
 
@@ -340,7 +344,22 @@ def eval_metrics(spark, sf):
 
 @query
 def dense_vs_hybrid(spark, sf):
-    return evaluate.compare(evaluate.metrics(_first(spark, sf, _dense(spark, sf, 10))), evaluate.metrics(_first(spark, sf, _hybrid(spark, sf))))
+    gold = _gold(spark, sf)
+    return evaluate.compare(evaluate.metrics(_first(spark, sf, _dense(spark, sf, 10), gold)), evaluate.metrics(_first(spark, sf, _hybrid(spark, sf), gold)))
+
+
+@query
+def encoder_eval(spark, sf):
+    """How well stored items are found by a trained encoder and by the hashed one of the same width: the texts of the
+    benchmark are asked for, and documents that hold them are relevant."""
+    chunks, asked, gold = t.chunks(spark, sf), t.queries(spark, sf), _gold(spark, sf)
+    out = None
+    for name, encode in (("hashed", hashed_encoder(latent.WIDTH)), ("latent", latent.fit(chunks))):
+        index = encode(chunks, "content").select(F.col("chunk_id").alias("id"), "position", "embedding")
+        ranked = dense.search(index, encode(asked, "query").select("query_id", "embedding")).withColumnRenamed("id", "chunk_id")
+        told = evaluate.metrics(_first(spark, sf, ranked, gold)).select(F.lit(name).alias("encoder"), "metric", "value")
+        out = told if out is None else out.union(told)
+    return out
 
 
 @query

@@ -207,7 +207,11 @@ def test_both_ways_of_lexical_search_agree(spark):
 def test_texts_are_found_as_they_stand(spark):
     docs = spark.createDataFrame([(1, "before one two three four five six seven after"), (2, "xone two three four five six sevenx"), (3, "one two  three four five six seven"), (4, "tiny text"), (5, None)], "chunk_id long, text string")
     cases = spark.createDataFrame([(1, "one two three four five six seven"), (2, "tiny"), (3, "nothing of all this is said in any document")], "case_id long, text string")
-    assert sorted(map(tuple, evaluate.holding(docs, cases).collect())) == [(1, 1), (1, 2), (2, 4)]
+    for sought in (1 << 20, 30, 3):
+        assert sorted(map(tuple, evaluate.holding(docs, cases, sought=sought).collect())) == [(1, 1), (1, 2), (2, 4)]
+    odd = spark.createDataFrame([(4, ""), (5, None), (6, "tiny"), (7, "tiny text")], "case_id long, text string")
+    for sought in (1 << 20, 3):
+        assert sorted(map(tuple, evaluate.holding(docs, odd, sought=sought).collect())) == [(4, 1), (4, 2), (4, 3), (4, 4), (6, 4), (7, 4)]
 
 
 def test_gold_belongs_to_the_document(spark):
