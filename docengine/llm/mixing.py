@@ -95,13 +95,15 @@ def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], *, sample:
     number, drawn by a hash of the id.  Three quarters give the buckets' odds, one quarter calibrates.  Buckets whose
     rates differ by fewer than ``distinct`` standard errors, or by a log of less than ``telling``, say nothing: common
     words of a language come together, and their small odds would add up to much."""
-    known = labels.where(F.col("domain").isin(names) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
+    known = labels.where(F.col("domain").isin(names) & F.col("doc_id").isNotNull()).select("doc_id", "domain").distinct()
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.xxhash64("doc_id") < int(share * 2**64 - 2**63)) if share < 1 else known
     if drawn.count() <= 4 * sample:  # a checked size
         drawn = F.broadcast(drawn)
     store = Store(docs.sparkSession, "domains")
-    texts = store.put(docs.select("doc_id", "text").join(drawn, "doc_id"), "sample")
+    # one row for each id and domain, however many rows share the id
+    drawn_texts = docs.select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id", "domain")
+    texts = store.put(drawn_texts.agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0
     told = texts.where(~held).select("domain", F.transform(words(F.lower(F.coalesce("text", F.lit("")))), lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int")).alias("b"))
     counts = told.select("domain", F.explode(F.array_append(F.array_distinct("b"), F.lit(-1))).alias("b")).groupBy("domain", "b").count().collect()
@@ -203,6 +205,10 @@ def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 30, pla
     return Rates(steps[: best[1]])
 
 
+#: Copies of a document that are made at a time.
+LEVEL = 4096
+
+
 def copies(rate: Column, key: Column) -> Column:
     """How often a document is taken: the rate's whole part, and once more for a share of the ids equal to the rest."""
     draw = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
@@ -225,5 +231,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options
     members = Store(docs.sparkSession, "mixing").put(domains.posteriors(docs, whole, F.col("doc_id").alias("_id")), "members")
     rate = fit_rates(members, list(targets.values())).column()
     rated = members.select("_row", copies(rate, F.col("_id")).alias("_n"))
-    taken = rated.select("_row", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(1).cast("long"), F.col("_n")))).alias("_copy"))
-    return taken.select("_row.*")
+    # in two levels, so that no row makes a long array, whatever its rate
+    level = F.lit(LEVEL).cast("long")
+    many = rated.where("_n > 0").select("_row", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / level))).alias("_at"))
+    return many.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(level, F.col("_n") - F.col("_at") * level)))).select("_row.*")

@@ -46,12 +46,28 @@ def tidy(spark: SparkSession, **settings: str) -> Iterator[None]:
 SHUFFLED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
 
+_scopes: list[list[Store]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables of operators that are called meanwhile are deleted at the end; what is to stay must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for store in _scopes.pop():
+            store.clear()
+
+
 class Store:
     """Tables of one operator call, under a name of its own in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str, **settings: str):
         self.spark, self.settings = spark, settings
         self.root = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if _scopes:
+            _scopes[-1].append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
@@ -62,7 +78,13 @@ class Store:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        """Delete all of the tables."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

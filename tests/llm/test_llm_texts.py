@@ -232,3 +232,39 @@ def test_samples_keep_to_their_bounds(corpus):
     languages = langid.fit(corpus, sample=5000, tables=1 << 20)
     assert all(x.size <= 5000 and x.states * (len(x.alphabet) + 1) * 4 <= (1 << 20) / len(languages) for x in languages)
     assert np.isclose(len(languages), 4)
+
+
+# ------------------------------------------------------------------ what stays behind
+def test_a_scope_deletes_the_tables_of_operators(spark):
+    from pathlib import Path
+
+    from docengine.llm.store import Store, scope
+
+    kept = Store(spark, "kept")
+    with scope():
+        inner = Store(spark, "inner")
+        found = kept.put(inner.put(spark.range(5), "a"), "b")
+        there = Path(inner.root.replace("file://", "").replace("file:", ""))
+        assert there.exists()
+    assert not there.exists() and found.count() == 5
+
+
+def test_a_document_can_be_taken_very_often(spark, monkeypatch):
+    """Copies come in levels, all of them."""
+    from docengine.llm import mixing
+
+    docs = spark.createDataFrame([(k, "fine words " * 40) for k in range(50)] + [(99, "vile things")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, "a") for k in range(50)] + [(99, "b")], "doc_id long, domain string")
+    rated = mixing.rates(docs, labels, {"a": 0.2, "b": 0.8})
+    for level in (4096, 3):
+        monkeypatch.setattr(mixing, "LEVEL", level)
+        assert mixing.mix(docs, labels, {"a": 0.2, "b": 0.8}).groupBy("doc_id").count().agg(F.sum("count")).first()[0] == rated.agg(F.sum("copies")).first()[0]
+
+
+def test_repeated_ids_are_one_sample_row(spark):
+    from docengine.llm import mixing
+
+    docs = spark.createDataFrame([(k % 40, f"word{k % 40} " * 5 + ("vile" if k % 2 else "fine")) for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, "a" if k % 2 else "b") for k in range(40)] * 2, "doc_id long, domain string")
+    rated = mixing.mix(docs, labels, {"a": 0.5, "b": 0.5})
+    assert rated.count() > 0 and rated.columns == docs.columns
