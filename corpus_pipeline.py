@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docengine.llm import jaccard, mixing, packing, pii, quality
 from docengine.llm.queries import TARGETS, domains_of, table, tokenizer_path
-from docengine.llm.store import Store
+from docengine.llm.store import Store, scope
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table ``documents``."""
-    store, docs = Store(spark, "pipeline"), table(spark, sf_dir, "documents")
+    """The last stage's rows for the table ``documents``.  What a stage has kept is deleted when the next has read it, and a
+    stage's own tables when it is done; the last but one's stay, as the result reads them."""
+    store, docs, before = Store(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = store.put(stage(spark, docs, sf_dir), name)
+        with scope():
+            docs = store.put(stage(spark, docs, sf_dir), name)
+        if before:
+            store.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
