@@ -33,25 +33,35 @@ def edges(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     return full.select(*PAGE, "section", F.explode(outer).alias("e")).select(*PAGE, "section", "e.*")
 
 
+def _shape() -> Column:
+    """The shape of an edge line that can repeat, else null."""
+    shape = fn.shape(F.col("line"))
+    return F.when((F.length("line") <= 100) & ~shape.isin("", "#"), shape)
+
+
 def edge_shapes(edged: DataFrame) -> DataFrame:
     """The distinct shapes of each page's edge lines that can repeat."""
-    shaped = edged.where(F.length("line") <= 100).select(*PAGE, "section", fn.shape(F.col("line")).alias("shape"))
-    return shaped.where(~F.col("shape").isin("", "#")).distinct()
+    return edged.select(*PAGE, "section", _shape().alias("shape")).where("shape is not null").distinct()
 
 
 def repeated_shapes(edged: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Shapes on enough pages of a document, or of one of its sections: ``document_id, section, shape, everywhere``
-    (``section`` says nothing where ``everywhere`` is true)."""
-    per_section = edged.select(*PAGE, "section").distinct().groupBy("document_id", "section").agg(F.count("*").alias("section_pages"))
-    whole = Window.partitionBy("document_id")
-    totals = per_section.withColumn("all_pages", F.sum("section_pages").over(whole))
-    counted = edge_shapes(edged).groupBy("document_id", "section", "shape").agg(F.count("*").alias("own"))
-    counted = counted.withColumn("all", F.sum("own").over(Window.partitionBy("document_id", "shape")))
-    joined = counted.alias("c").join(totals.alias("t"), (F.col("c.document_id") == F.col("t.document_id")) & F.col("c.section").eqNullSafe(F.col("t.section"))).select("c.*", "section_pages", "all_pages")
-    at_least = lambda share, pages: F.greatest(F.lit(config.repeat_min_pages), F.ceil(share * F.col(pages)))
+    (``section`` says nothing where ``everywhere`` is true).
+
+    A page counts under each of its shapes and once under none; one aggregate by grouping sets gives all four counts, of
+    shapes and of pages, by section and by document, and windows over these short rows, which share one exchange, bring
+    them together."""
+    each = F.explode(F.array_distinct(F.array(_shape(), F.lit(None).cast("string")))).alias("shape")
+    marked = edged.select(*PAGE, "section", each).distinct()
+    keys = ["document_id", "section", "shape"]
+    counted = marked.groupingSets([keys, ["document_id", "shape"]], *keys).agg(F.count("*").alias("n"), (F.grouping("section") == 1).alias("whole"))
+    most = lambda condition, *by: F.max(F.when(condition, F.col("n"))).over(Window.partitionBy(*by))
+    pages, whole = F.col("shape").isNull(), F.col("whole")
+    told = counted.withColumn("all_pages", most(pages & whole, "document_id")).withColumn("all", most(whole, "document_id", "shape")).withColumn("section_pages", most(pages & ~whole, "document_id", "section"))
+    at_least = lambda share, column: F.greatest(F.lit(config.repeat_min_pages), F.ceil(share * F.col(column)))
     everywhere = F.col("all") >= at_least(config.repeat_global_ratio, "all_pages")
-    here = F.col("own") >= at_least(config.repeat_ratio, "section_pages")
-    return joined.select("document_id", "section", "shape", everywhere.alias("everywhere"), here.alias("here")).where("everywhere or here").select("document_id", "section", "shape", "everywhere")
+    here = F.col("n") >= at_least(config.repeat_ratio, "section_pages")
+    return told.where(~whole & ~pages).select("document_id", "section", "shape", everywhere.alias("everywhere"), here.alias("here")).where("everywhere or here").select("document_id", "section", "shape", "everywhere")
 
 
 def running_labels(pages: DataFrame) -> DataFrame:
