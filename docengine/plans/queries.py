@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docengine import expect, scratch
 from docengine.functions import text as fn
-from docengine.operators import chunk, clean, dense, evaluate, hybrid, latent, lexical, pages, regions, sections
+from docengine.operators import chunk, clean, dense, diagnostics, evaluate, hybrid, latent, lexical, pages, regions, sections
 from docengine.operators.lexical_index import LexicalIndex
 from docengine.operators.vector_index import VectorIndex
 from docengine.plans import tables as t
@@ -362,6 +362,37 @@ def encoder_eval(spark, sf):
     return out
 
 
+@query
+def truncation_audit(spark, sf):
+    """Gold documents and every fiftieth: their sizes and where keywords stand."""
+    docs = t.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    audit = diagnostics.truncation_audit(docs, _gold(spark, sf), docs.where("chunk_id % 50 = 0"), ["the", "que"])
+    places = F.array_join(F.transform(F.array_sort(F.map_entries("keywords")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return audit.withColumn("keywords", places)
+
+
+@query
+def evidence_locality(spark, sf):
+    """Benchmark texts with the documents that hold them: similarity to the whole document and to the passage."""
+    docs = t.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    asked = t.queries(spark, sf).select(F.col("query_id").alias("case_id"), "query")
+    pairs = _gold(spark, sf).join(docs, "chunk_id").join(asked, "case_id").select("query", "content", (F.expr("instr(content, query)") - 1).alias("at"))
+    return diagnostics.evidence_locality(pairs, hashed_encoder())
+
+
+@query
+def query_wording(spark, sf):
+    """The halves of a benchmark text as two ways of asking for it, with the best rank of a document that holds it."""
+    chunks, gold = t.chunks(spark, sf), _gold(spark, sf)
+    encode = hashed_encoder()
+    index = encode(chunks, "content").select(F.col("chunk_id").alias("id"), "position", "embedding")
+    words, half = F.split("query", " "), F.floor(F.size(F.split("query", " ")) / 2).cast("int")
+    cut = F.posexplode(F.array(F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "))).alias("part", "query")
+    halves = t.queries(spark, sf).where(F.size(words) > 3).join(gold.select(F.col("case_id").alias("query_id")).distinct(), "query_id").select(F.col("query_id").alias("case_id"), cut)
+    paraphrases = halves.select("case_id", F.concat_ws("-", F.col("case_id").cast("string"), F.col("part").cast("string")).alias("query_id"), "query")
+    return diagnostics.wording(index, paraphrases, gold, encode).select("case_id", "query_id", "best_rank")
+
+
 @query
 def label_retrieval_eval(spark, sf):
     """Stored vectors of the query's label are relevant, but for itself."""

@@ -309,6 +309,10 @@ SQL: dict[str, str] = {
     "first_relevant_rank": f"WITH {BM25}, {lexical(10)}, {GOLD}, {first('f', 'lexical')} SELECT case_id, first_rank, {', '.join(f'coalesce(first_rank <= {k}, false) AS recall_at_{k}' for k in (1, 3, 5, 10))}, round(coalesce(1.0 / first_rank, 0.0), 6) AS reciprocal_rank FROM f",
     "eval_metrics": f"WITH {BM25}, {lexical(10)}, {GOLD}, {first('f', 'lexical')} {metrics('f')}",
     "dense_vs_hybrid": f"WITH {HYBRID}, {GOLD}, {first('d', 'dense')}, {first('h', 'hybrid')}, dm AS ({metrics('d')}), hm AS ({metrics('h')}) SELECT metric, dm.value AS dense, hm.value AS hybrid, round(100 * (hm.value - dm.value), 4) AS change FROM dm JOIN hm USING (metric)",
+    "truncation_audit": f"""WITH {GOLD}, ids AS (SELECT DISTINCT chunk_id FROM gold UNION SELECT doc_id FROM documents WHERE doc_id % 50 = 0)
+        SELECT doc_id AS chunk_id, CAST(1 AS INTEGER) AS page_start, CAST(1 AS INTEGER) AS page_end, CAST(length(text) AS INTEGER) AS chars, CAST({words('text')} AS INTEGER) AS tokens,
+        concat_ws(',', CASE WHEN contains(lower(text), 'que') THEN 'que:' || (instr(lower(text), 'que') - 1) END, CASE WHEN contains(lower(text), 'the') THEN 'the:' || (instr(lower(text), 'the') - 1) END) AS keywords
+        FROM documents JOIN ids ON ids.chunk_id = documents.doc_id""",
     "label_retrieval_eval": f"""WITH {dense(10)}, r AS (SELECT d.*, e.label AS l, q.label AS ql FROM dense d JOIN embeddings e ON e.vec_id = d.chunk_id JOIN embeddings q ON q.vec_id = d.query_id),
         f AS (SELECT query_id AS case_id, min(CASE WHEN l = ql AND chunk_id <> query_id THEN rank END) AS first_rank FROM r GROUP BY query_id) {metrics('f')}""",
     "gold_unknown_ids": "SELECT doc_id % 7 AS case_id, doc_id * 3 AS chunk_id FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM documents)",
