@@ -32,7 +32,8 @@ MARKS = ("line", "page_number", "subsection", "kind", "short", "unit", "heading"
 UNITS = pa.schema([("document_id", pa.string()), ("run", pa.int64()), ("unit", pa.int32()), ("kind", pa.string()), ("subsection", pa.string()), ("n_lines", pa.int32()), ("text", pa.string())])
 
 
-def _marked(lines: DataFrame) -> DataFrame:
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """Lines with all that the rules look at."""
     line = F.col("line")
     return lines.withColumns({
         "short": fn.is_short(line), "unit": fn.is_unit_line(line), "key": fn.norm_key(line),
@@ -62,7 +63,7 @@ def paragraph_units(lines: DataFrame) -> DataFrame:
         rows = [[group["document_id"][0].as_py()] * len(found), [group["run"][0].as_py()] * len(found), range(1, len(found) + 1), [u.kind for u in found], [u.subsection for u in found], [u.part.text.count("\n") + 1 for u in found], [u.part.text for u in found]]
         return pa.table([pa.array(v, f.type) for v, f in zip(rows, UNITS)], schema=UNITS)
 
-    return _marked(lines).groupBy("document_id", "run").applyInArrow(cut, "document_id string, run long, unit int, kind string, subsection string, n_lines int, text string")
+    return marked_lines(lines).groupBy("document_id", "run").applyInArrow(cut, "document_id string, run long, unit int, kind string, subsection string, n_lines int, text string")
 
 
 def sentence_counts(texts: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def sentence_counts(texts: DataFrame) -> DataFrame:
 def raw_chunks(lines: DataFrame, config: ChunkConfig = ChunkConfig(), *, spread: bool = False) -> DataFrame:
     """Bodies and pages of the chunks of cleaned lines, before numbering.  With ``spread`` a run is taken apart where nothing
     goes on, so a task holds a part of it; the lines are written once to the shared folder for that."""
-    marked = _marked(_spread(lines, config) if spread else section_runs(lines))
+    marked = marked_lines(_spread(lines, config) if spread else section_runs(lines))
 
     def pack(group: pa.Table) -> pa.Table:
         x = _lines_of(group)

@@ -130,3 +130,16 @@ def test_a_long_document_goes_to_many_tasks(spark):
     placed = lines.join(regions.page_runs(lines), ["document_id", "page_number"])
     sizes = placed.join(regions.parts(placed), ["document_id", "run", "page_number"]).groupBy("run", "part").count()
     assert sizes.count() == 300 and sizes.select(F.max("count")).first()[0] <= 0.01 * lines.count()
+
+
+def test_table_functions_give_the_chunks_of_the_operators(spark):
+    from docengine.functions import table_functions
+
+    table_functions.register(spark)
+    own = chunk.section_runs(clean.clean(pages_of(spark, 4, 8, 12)))
+    chunk.marked_lines(own).createOrReplaceTempView("marked")
+    call = "SELECT * FROM {}(TABLE(marked) PARTITION BY (document_id, run) ORDER BY (page_number, line_no))"
+    for name, wanted in (("chunk_lines", chunk.raw_chunks(clean.clean(pages_of(spark, 4, 8, 12)))), ("paragraph_lines", chunk.paragraph_units(own))):
+        found = spark.sql(call.format(name))
+        assert sorted(map(repr, found.select(*wanted.columns).collect())) == sorted(map(repr, wanted.collect())) and not found.isEmpty()
+    spark.catalog.dropTempView("marked")
