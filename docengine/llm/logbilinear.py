@@ -59,20 +59,10 @@ def shape(word: bytes) -> int:
     """The shape of a word and a hash of it as one number below SHAPES."""
     last = word[-1] if word else 0
     ending = 0 if 97 <= last <= 122 or last >= 128 else 1 if last in b".!?" else 2 if last in b",;:" else 3 if 48 <= last <= 57 else 4
-    foreign = any(b >= 128 for b in word)
+    foreign = not word.isascii()
     return (ending * 4 + 2 * foreign + (len(word) > 8)) * HASHES + xxhash.xxh3_64_intdigest(word) % HASHES
 
 
-class Shapes(dict):
-    """Word to its shape; a memo that empties itself."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = k = shape(word)
-        return k
-
-
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
@@ -127,7 +117,6 @@ class Vocabulary:
     one after the last."""
 
     def __init__(self, words: list[bytes], units: np.ndarray, shapes: np.ndarray, end: int, many: int):
-        self.memo = Shapes()
         self.words, self.units, self.shapes, self.end, self.many = pa.array(words, pa.binary()).cast(pa.string()), np.append(units, 0), shapes, end, many
 
     def encode(self, texts: pa.Array) -> Encoded:
@@ -136,7 +125,7 @@ class Vocabulary:
         lacking = np.flatnonzero(code < 0)
         named = flat.take(pa.array(lacking)).dictionary_encode()
         which = named.indices.to_numpy().astype(np.int64)
-        kinds = np.array(list(map(self.memo.__getitem__, named.dictionary.cast(pa.binary()).to_pylist())), np.int64)
+        kinds = np.array(list(map(shape, named.dictionary.cast(pa.binary()).to_pylist())), np.int64)
         text = np.repeat(np.arange(len(sizes)), sizes)
         sizes = sizes + 1
         unit = np.full(len(code) + len(sizes), self.end)
