@@ -52,7 +52,7 @@ END = b""
 HASHES = 16
 SHAPES = 20 * HASHES
 #: Texts that a task takes at a time, and rows of counts that it merges before it hands them on.
-SLICE, FLUSH = 2048, 1_000_000
+SLICE, FLUSH = 1024, 500_000
 
 
 def shape(word: bytes) -> int:
@@ -306,7 +306,7 @@ class LogBilinear:
 #: Rows of parameters that are averaged together.
 CHUNK = 1024
 #: Tokens that a task holds before it learns from them.
-HELD = 2_000_000
+HELD = 1_500_000
 PACKED = "chunk int, at binary, weights binary, rows binary"
 
 
