@@ -306,7 +306,7 @@ class LogBilinear:
 #: Rows of parameters that are averaged together.
 CHUNK = 1024
 #: Tokens that a task holds before it learns from them.
-HELD = 1_500_000
+HELD = 2_000_000
 PACKED = "chunk int, at binary, weights binary, rows binary"
 
 
@@ -353,7 +353,7 @@ def _head(words: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     return counts, least
 
 
-def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 50_000, head: int = 150_000, width: int = 24, rounds: int = 3, part: int = 20_000_000, visits: int = 1_000_000, size: int = 8192, noise: int = 64, inner: int = 16, most: int = 16, rate: float = 0.08) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, store: Store, *, own: int = 100, units: int = 40_000, head: int = 150_000, width: int = 24, rounds: int = 3, part: int = 20_000_000, visits: int = 1_000_000, size: int = 8192, noise: int = 64, inner: int = 16, most: int = 16, rate: float = 0.08) -> tuple[Model, DataFrame]:
     """The model, and the table of all word counts that it rests on.  ``part`` tokens make a partition of training, and
     training goes through ``visits`` tokens at least."""
     if not 0 < units <= 2_000_000:
