@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"(?U)[\s\x1c-\x1f]+"
+#: What ``WS`` matches, one by one.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_ENDS = "\r\n|[\n\r\x0b\f\x1c-\x1e\u0085  ]"
 
 # Word lists and patterns of the domain, in their order.
@@ -19,6 +21,8 @@ HEADING_EDGES = " \t\r\n-–—•·:;,."
 NUMBER = r"(?U)^\(?[-–—]?[₹$]?\d[\d,]*(?:\.\d+)?\)?%?$"
 MONTH_DATE = r"(?iuU)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+(?:19|20)\d{2}\b"
 HEADER_WORDS = r"(?iuU)^(particulars|notes?|as at|as of|for the (?:year|period|six|nine|three)|year ended|period ended|(?:six|nine|three) months?|fiscal(?:\s+\d{4})?|fy\s?\d{2,4})\b"
+#: Characters of a header at most.
+HEADER_CHARS = 120
 UNIT = r"(?iuU)^\(.*(?:₹|rs\.?|inr|million|crore|lakh|thousand).*\)$|^(?:₹|rs\.?|inr)\s*(?:in\s+)?(?:million|crore|lakh|thousand)"
 YEAR = r"(?iuU)^(?:FY|Fiscal)?\s?(?:19|20)\d{2}(?:[-–/](?:\d{2}|\d{4}))?$"
 BOILERPLATE = r"(?iuU)intentionally left blank|^\s*page\s+\d+\s+of\s+\d+\s*$"
@@ -37,7 +41,7 @@ def collapse(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}|{WS}$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def tokens(c: Column) -> Column:
@@ -81,7 +85,14 @@ def detector_lines(text: Column) -> Column:
 
 def chunker_lines(text: Column) -> Column:
     """Stripped lines, blank ones kept."""
-    return F.transform(F.split(F.regexp_replace(text, "\r\n|\r|\f", "\n"), "\n"), strip)
+    return F.transform(raw_lines(text), strip)
+
+
+def raw_lines(text: Column) -> Column:
+    """The same lines as they stand."""
+    for end in ("\r\n", "\r", "\f"):
+        text = F.replace(text, F.lit(end), F.lit("\n"))
+    return F.split(text, "\n")
 
 
 def is_contents_page(lines: Column) -> Column:
@@ -128,39 +139,49 @@ def is_unit_line(c: Column) -> Column:
 def is_header_line(c: Column, words: Column | None = None) -> Column:
     """``words``, where they are a column already, are those of a line that is stripped."""
     x, words = (strip(c), tokens(strip(c))) if words is None else (c, words)
-    dated = (F.size(words) <= 12) & ~x.endswith(".") & (x.rlike(MONTH_DATE) | x.rlike(HEADER_WORDS))
+    year = x.contains("19") | x.contains("20")  # a search for dates is dear
+    dated = ~x.endswith(".") & (x.rlike(HEADER_WORDS) | year & x.rlike(MONTH_DATE)) & (F.size(words) <= 12)
     unit = (F.length(x) <= 100) & x.rlike(UNIT)
-    return (x != "") & (F.length(x) <= 120) & (unit | F.forall(words, lambda w: w.rlike(YEAR)) | dated)
+    return (x != "") & (F.length(x) <= HEADER_CHARS) & (unit | F.forall(words, lambda w: w.rlike(YEAR)) | dated)
 
 
 def is_value(token: Column) -> Column:
     return token.rlike(NUMBER) | token.isin("-", "–", "—")
 
 
+def ends_as_value(line: Column) -> Column:
+    """Whether the last word of a stripped line may be a value, by its last character."""
+    return F.right(line, F.lit(1)).rlike(r"(?U)^[\d,)%\-–—]")
+
+
 def line_kind(c: Column, words: Column | None = None, values: Column | None = None) -> Column:
     """blank, hdr, num (values alone), row (a label, then two values or more) or text.  Of a stripped line, ``words`` and
-    whether each is one of ``values`` are best columns that are computed already."""
+    whether each is one of ``values`` are best columns that are computed already; values are looked at only where the
+    line ``ends_as_value``, words there and in lines of ``HEADER_CHARS`` at most."""
+    x = strip(c) if words is None else c
     header = is_header_line(c, words)
     words = tokens(c) if words is None else words
     values = F.transform(words, is_value) if values is None else values
     run = F.coalesce(F.nullif(F.array_position(F.reverse(values), False), F.lit(0)) - 1, F.size(values)).cast("int")  # values at the end
     label = F.concat_ws(" ", F.slice(words, 1, F.greatest(F.size(words) - run, F.lit(0))))
     return (
-        F.when(F.size(words) == 0, "blank").when(header, "hdr").when(F.forall(values, lambda v: v), "num")
+        F.when(x == "", "blank").when(header, "hdr").when(~ends_as_value(x), "text").when(F.forall(values, lambda v: v), "num")
         .when((run >= 2) & label.rlike(r"\p{L}"), "row").otherwise("text")
     )
 
 
 def is_short(c: Column) -> Column:
     x = strip(c)
-    return (F.length(x) <= 90) & (word_count(x) <= 12) & ~x.endswith(".")
+    return (F.length(x) <= 90) & ~x.endswith(".") & (word_count(x) <= 12)
 
 
 def is_chunk_heading(line: Column, kind: Column, section: Column, subsection: Column) -> Column:
     x = strip(line)
     key, letters = norm_key(x), _only(x, r"\P{L}")
-    named = (key != "") & ((key == norm_key(section)) | (key == norm_key(subsection)))
-    upper = (letters >= 4) & (_only(x, r"\P{IsUppercase}") >= 0.9 * letters) & (F.length(x) <= 100) & ~x.rlike("[.,;]$") & (kind == "text")
+    begin = norm_key(F.substring(x, 1, 16))  # of few lines the whole key is needed
+    named = lambda label: F.startswith(norm_key(label), begin) & (key != "") & (key == norm_key(label))
+    named = named(section) | named(subsection)
+    upper = (F.length(x) <= 100) & (kind == "text") & ~x.rlike("[.,;]$") & (letters >= 4) & (_only(x, r"\P{IsUppercase}") >= 0.9 * letters)
     return named | upper
 
 

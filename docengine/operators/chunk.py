@@ -4,7 +4,8 @@ window functions number the result."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,15 +29,17 @@ def section_runs(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_new", new).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+#: Rows that a task gives together, about.
+MADE = 4096
 MARKS = ("line", "page_number", "subsection", "kind", "short", "unit", "heading", "key")
 UNITS = pa.schema([("document_id", pa.string()), ("run", pa.int64()), ("unit", pa.int32()), ("kind", pa.string()), ("subsection", pa.string()), ("n_lines", pa.int32()), ("text", pa.string())])
 
 
 def marked_lines(lines: DataFrame) -> DataFrame:
     """Lines with all that the rules look at."""
-    line = F.col("line")
+    line, kind = F.col("line"), F.col("kind")
     return lines.withColumns({
-        "short": fn.is_short(line), "unit": fn.is_unit_line(line), "key": fn.norm_key(line),
+        "short": (kind == "text") & fn.is_short(line), "unit": fn.is_unit_line(line), "key": F.when(kind == "hdr", fn.norm_key(line)),
         "heading": fn.is_chunk_heading(line, F.col("kind"), F.col("section"), F.col("subsection")),
     })
 
@@ -45,25 +48,62 @@ def _flags(pattern: str) -> re.Pattern:
     return re.compile(re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern), re.I)
 
 
-def _lines_of(group: pa.Table) -> Lines | None:
-    """The lines of a run in order, from the first full one to the last."""
-    g = group.sort_by([("page_number", "ascending"), ("line_no", "ascending")])
-    columns = [g[c].to_pylist() for c in MARKS]
+INTROS, OUTROS = _flags(fn.INTRO), _flags(fn.OUTRO)
+
+
+def _lines_of(columns: list[list]) -> Lines | None:
+    """The lines of a run (``MARKS``), from the first full one to the last."""
     full = [i for i, t in enumerate(columns[0]) if t.strip()]
-    return Lines(*(v[full[0] : full[-1] + 1] for v in columns), _flags(fn.INTRO), _flags(fn.OUTRO)) if full else None
+    return Lines(*(v[full[0] : full[-1] + 1] for v in columns), INTROS, OUTROS) if full else None
+
+
+def by_run(lines: DataFrame, make: Callable[[str, int, str | None, Lines], list[tuple]], schema: str, kinds: pa.Schema) -> DataFrame:
+    """The rows that ``make`` gives for the document, number, section and lines of each run.  Runs stream through a task one
+    after the other in sorted order, many to a batch: most are much smaller than what a group of its own costs."""
+    keys = ["document_id", "run"]
+
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), kinds)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, rows = None, [], []
+
+        def done() -> None:
+            x = _lines_of(held) if held else None
+            if x:
+                rows.extend(make(*key, x))
+
+        for batch in batches:
+            document, number, *columns = (c.to_pylist() for c in batch.columns)
+            whose = list(zip(document, number))
+            edges = [0, *(k for k in range(1, len(whose)) if whose[k] != whose[k - 1]), len(whose)]
+            for a, b in pairwise(edges):
+                if key is not None and whose[a : a + 1] == [key[:2]]:
+                    for old, new in zip(held, columns[1:]):
+                        old += new[a:b]
+                elif b > a:
+                    done()
+                    key, held = (*whose[a], columns[0][a]), [v[a:b] for v in columns[1:]]
+                if len(rows) >= MADE:
+                    yield given(rows)
+                    rows.clear()
+        done()
+        if rows:
+            yield given(rows)
+
+    ordered = lines.repartition(*keys).sortWithinPartitions(*keys, "page_number", "line_no")
+    return ordered.select(*keys, "section", *MARKS).mapInArrow(run, schema)
 
 
 def paragraph_units(lines: DataFrame) -> DataFrame:
     """Paragraphs and headings of runs of lines, as chunks are made of them, without regard to tables:
     ``document_id, run, unit, kind, subsection, n_lines, text``."""
 
-    def cut(group: pa.Table) -> pa.Table:
-        x = _lines_of(group)
-        found = paragraphs(x, 0, len(x.text)) if x else []
-        rows = [[group["document_id"][0].as_py()] * len(found), [group["run"][0].as_py()] * len(found), range(1, len(found) + 1), [u.kind for u in found], [u.subsection for u in found], [u.part.text.count("\n") + 1 for u in found], [u.part.text for u in found]]
-        return pa.table([pa.array(v, f.type) for v, f in zip(rows, UNITS)], schema=UNITS)
+    def cut(document: str, number: int, section: str | None, x: Lines) -> list[tuple]:
+        found = paragraphs(x, 0, len(x.text))
+        return [(document, number, k, u.kind, u.subsection, u.part.text.count("\n") + 1, u.part.text) for k, u in enumerate(found, 1)]
 
-    return marked_lines(lines).groupBy("document_id", "run").applyInArrow(cut, "document_id string, run long, unit int, kind string, subsection string, n_lines int, text string")
+    return by_run(marked_lines(lines), cut, "document_id string, run long, unit int, kind string, subsection string, n_lines int, text string", UNITS)
 
 
 def sentence_counts(texts: DataFrame) -> DataFrame:
@@ -78,18 +118,14 @@ def sentence_counts(texts: DataFrame) -> DataFrame:
 
 
 def raw_chunks(lines: DataFrame, config: ChunkConfig = ChunkConfig(), *, spread: bool = False) -> DataFrame:
-    """Bodies and pages of the chunks of cleaned lines, before numbering.  With ``spread`` a run is taken apart where nothing
+    """Bodies and pages of the chunks of cleaned lines, with or without their ``run``, before numbering.  With ``spread`` a run is taken apart where nothing
     goes on, so a task holds a part of it; the lines are written once to the shared folder for that."""
-    marked = marked_lines(_spread(lines, config) if spread else section_runs(lines))
+    marked = marked_lines(_spread(lines, config) if spread else lines if "run" in lines.columns else section_runs(lines))
 
-    def pack(group: pa.Table) -> pa.Table:
-        x = _lines_of(group)
-        found = chunks(x, group["section"][0].as_py(), config) if x else []
-        same = lambda c: [group[c][0].as_py()] * len(found)
-        rows = [same("document_id"), same("run"), range(len(found)), [c.kind for c in found], same("section"), [c.subsection for c in found], [c.body for c in found], [sorted(c.pages) for c in found]]
-        return pa.table([pa.array(v, f.type) for v, f in zip(rows, ARROW)], schema=ARROW)
+    def pack(document: str, number: int, section: str | None, x: Lines) -> list[tuple]:
+        return [(document, number, k, c.kind, section, c.subsection, c.body, sorted(c.pages)) for k, c in enumerate(chunks(x, section, config))]
 
-    return marked.groupBy("document_id", "run").applyInArrow(pack, RAW)
+    return by_run(marked, pack, RAW, ARROW)
 
 
 def _spread(lines: DataFrame, config: ChunkConfig) -> DataFrame:
@@ -119,5 +155,5 @@ def number(raw: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
 def chunk_documents(pages: DataFrame, config: ChunkConfig = ChunkConfig(), *, spread: bool = False) -> DataFrame:
     """Chunks of all documents, from their labelled pages.  ``spread`` is for documents that are longer than a task should
     hold; it gives the same chunks."""
-    return number(raw_chunks(clean(pages, config), config, spread=spread), config)
+    return number(raw_chunks(clean(pages, config, runs=not spread), config, spread=spread), config)
 

@@ -88,7 +88,9 @@ def page_number_drops(edged: DataFrame) -> DataFrame:
 
 def with_kind(lines: DataFrame) -> DataFrame:
     """Stripped lines with their ``kind``; words and values are computed once each."""
-    staged = lines.withColumn("_words", fn.tokens(F.col("line"))).withColumn("_values", F.transform("_words", fn.is_value))
+    line = F.col("line")
+    valued = fn.ends_as_value(line)
+    staged = lines.withColumn("_words", F.when(valued | (F.length(line) <= fn.HEADER_CHARS), fn.tokens(line))).withColumn("_values", F.when(valued, F.transform("_words", fn.is_value)))
     return staged.withColumn("kind", fn.line_kind(F.col("line"), F.col("_words"), F.col("_values"))).drop("_words", "_values")
 
 
@@ -109,15 +111,33 @@ def _marks(pages: DataFrame, config: ChunkConfig) -> DataFrame:
     return placed.select(*PAGE, shapes.alias("shapes")).join(again, list(PAGE), "left").join(numbers, list(PAGE), "left")
 
 
-def clean(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """The lines that are left, as ``page_lines`` gives them, with their ``kind``.  What to drop is decided on edge lines
-    and pages; texts meet it once, as whole pages."""
-    lined = pages.select(*PAGE, "section", "subsection", fn.chunker_lines(F.col("text")).alias("_lines")).withColumn("_full", _full("_lines"))
-    outer = F.transform(F.filter("_full", lambda x, k: (k < config.edge_lines) | (k >= F.size("_full") - config.edge_lines)), lambda x: x["line_no"])
-    joined = lined.withColumn("_edges", outer).drop("_full").join(_marks(pages, config), list(PAGE))
-    lines = with_kind(joined.select(*PAGE, "section", "subsection", "_edges", "shapes", "keys", "numbers", F.posexplode("_lines").alias("line_no", "line")))
+def page_runs(pages: DataFrame) -> DataFrame:
+    """``pages``, of which each has lines, with ``run``, the number of the stretch of equal section that they are in."""
+    order = Window.partitionBy("document_id").orderBy("page_number")
+    new = F.when(F.row_number().over(order) == 1, 0).otherwise((~F.col("section").eqNullSafe(F.lag("section").over(order))).cast("int"))
+    return pages.withColumn("_new", new).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def _drops(pages: DataFrame, config: ChunkConfig) -> DataFrame:
+    """For each page the numbers of the lines to drop (``drops``, null if there are none), which are edge lines all."""
+    edged = with_kind(edges(pages, config).select(*PAGE, "line_no", "line").join(_marks(pages, config), list(PAGE)))
     has = lambda array, x: F.coalesce(F.array_contains(array, x), F.lit(False))
     running = ~F.col("kind").isin("num", "row", "hdr") & (F.length("line") <= 100) & (has("shapes", fn.shape(F.col("line"))) | fn.is_boilerplate(F.col("line")))
-    label = has("keys", F.nullif(fn.norm_key(F.col("line")), F.lit("")))
-    dropped = F.when(has("_edges", F.col("line_no")), running | label | has("numbers", F.col("line_no"))).otherwise(False)
-    return lines.where(~dropped).select(*PAGE, "section", "subsection", "line_no", "line", "kind")
+    label = F.col("keys").isNotNull() & has("keys", F.nullif(fn.norm_key(F.col("line")), F.lit("")))
+    dropped = F.when(running | label | has("numbers", F.col("line_no")), F.col("line_no"))
+    return edged.select(*PAGE, dropped.alias("dropped")).groupBy(*PAGE).agg(F.collect_set("dropped").alias("drops"))
+
+
+def clean(pages: DataFrame, config: ChunkConfig = ChunkConfig(), *, runs: bool = False) -> DataFrame:
+    """The lines that are left, as ``page_lines`` gives them, with their ``kind``, and with ``runs`` also the ``run`` of
+    ``chunk.section_runs``.  What to drop, and runs, are decided on edge lines and pages; texts meet it once, as whole
+    pages, and kinds are computed for the lines that are left."""
+    many = pages.select(*PAGE, "section", F.size(fn.raw_lines(F.col("text"))).alias("_many"))
+    decided = many.join(_drops(pages, config), list(PAGE), "left").select(*PAGE, "section", "_many", "drops")
+    if runs:
+        decided = page_runs(decided.where(F.col("_many") > F.coalesce(F.size("drops"), F.lit(0))))
+    own = ["run"] if runs else []
+    lined = pages.select(*PAGE, "section", "subsection", "text").join(decided.select(*PAGE, "drops", *own), list(PAGE))
+    lines = lined.select(*PAGE, "section", "subsection", "drops", *own, F.posexplode(fn.chunker_lines(F.col("text"))).alias("line_no", "line"))
+    kept = lines.where(~F.coalesce(F.array_contains("drops", F.col("line_no")), F.lit(False)))
+    return with_kind(kept).select(*PAGE, "section", "subsection", "line_no", "line", "kind", *own)
