@@ -20,6 +20,8 @@ DIGITS = 5
 #: Queries in one matrix product, and numbers in the queries that go with one scan.
 BLOCK = 1024
 CARRIED = 1 << 24
+#: Stored vectors in one matrix product.
+STORED = 2048
 EMPTY = "Cannot search an empty vector index."
 
 
@@ -79,15 +81,18 @@ def _search_block(index: DataFrame, block: pa.Table, top_k: int, dimension: int)
     schema = f"query_id {'string' if pa.types.is_string(names.type) or pa.types.is_large_string(names.type) else 'long'}, id {index.schema['id'].dataType.simpleString()}, position long, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # a score that so many of the task's vectors reach is needed by all after them
+        floor = np.full(len(asked), -np.inf)
+        for batch in (whole.slice(k, STORED) for whole in batches for k in range(0, whole.num_rows, STORED)):
             stored, position = _flat(batch.column(2), dimension), batch.column(1).to_numpy()
             k = min(top_k, batch.num_rows)
             for at in range(0, len(asked), BLOCK):
                 scores = np.round(asked[at : at + BLOCK] @ stored.T, DIGITS)
-                cut = np.partition(scores, batch.num_rows - k, axis=1)[:, batch.num_rows - k, None]
-                who, which = np.nonzero(scores >= cut)  # ties at the cut are all kept for now
+                cut = np.partition(scores, batch.num_rows - k, axis=1)[:, batch.num_rows - k]
+                least = np.maximum(cut, floor[at : at + BLOCK])
+                who, which = np.nonzero(scores >= least[:, None])  # ties at the cut are all kept for now
+                if k == top_k:
+                    floor[at : at + BLOCK] = least
                 order = np.lexsort((position[which], -scores[who, which], who))
                 who, which = who[order], which[order]
                 keep = np.arange(len(who)) - np.searchsorted(who, who) < k

@@ -58,15 +58,21 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Texts that are encoded together.
+ROWS = 512
+
+
 def hashed_encoder(dimension: int = 384) -> Callable[[DataFrame, str, str], DataFrame]:
     """The built-in encoder: a normalised bag of hashed search terms.  Takes a table, its text column and the name of
-    the new one; a neural encoder with the same signature can stand in for it."""
+    the new one, which may be the text's, so that texts need not pass through Python; a neural encoder with the same
+    signature can stand in for it."""
+
     def encode(df: DataFrame, text: str, to: str = "embedding") -> DataFrame:
         slots = df.withColumn(to, F.transform(search_terms(F.col(text)), lambda t: F.pmod(F.xxhash64(t), F.lit(dimension)).cast("int")))
         schema = StructType([f for f in slots.schema.fields if f.name != to] + [StructField(to, ArrayType(FloatType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
                 lists = batch.column(batch.num_columns - 1)
                 row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
                 counts = np.bincount(row * dimension + lists.flatten().to_numpy(), minlength=len(lists) * dimension).reshape(-1, dimension)

@@ -50,3 +50,20 @@ def test_kinds_are_told_by_the_last_character_first(spark):
     line = ["", "Total 1 2", "Total 1, 2,", "a (1) (2)", "12", "x -", "x – —", "x 5% 6%", "٣ ٤", "a ٣ ٤", "Mar 31, 2024 and later", "x" * 200 + " 1 2", "x" * 200, "1 2 x", "FY2024"]
     found = clean.with_kind(spark.createDataFrame([(t,) for t in line], "line string")).collect()
     assert [r.kind for r in found] == ["blank", "row", "row", "row", "num", "text", "row", "row", "num", "row", "hdr", "row", "text", "text", "hdr"]
+
+
+def test_encoding_holds_few_rows_at_a_time(spark, monkeypatch):
+    """Vectors are made in slices, may take the text's place, and are the same however they are cut."""
+    from docengine.operators import dense
+    from docengine.sources import documents
+
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id"), F.col("id").alias("position"), F.concat_ws(" ", F.lit("word"), (F.col("id") % 37).cast("string"), (F.col("id") % 11).cast("string")).alias("text"))
+    encode = documents.hashed_encoder(32)
+    own = encode(texts, "text", "text")
+    assert own.columns == ["id", "position", "text"]
+    sizes = own.select(F.col("id")).mapInArrow(lambda batches: iter(list(batches)), "id long").count()
+    assert sizes == 3000 and own.join(encode(texts, "text"), "id").where(own["text"] != F.col("embedding")).count() == 0
+    index, asked = encode(texts, "text"), encode(texts.where("id < 20"), "text").select(F.col("id").alias("query_id"), "embedding")
+    found = sorted(map(tuple, dense.search(index, asked).collect()))
+    monkeypatch.setattr(dense, "STORED", 100)
+    assert sorted(map(tuple, dense.search(index, asked).collect())) == found and len(found) == 200
