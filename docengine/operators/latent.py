@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from docengine import scratch
 from docengine.functions.text import search_words
 
 SLOTS, WIDTH = 1 << 15, 64
@@ -129,7 +130,15 @@ class LatentEncoder:
 
 def fit(texts: DataFrame, text: str = "content", *, width: int = WIDTH, slots: int = SLOTS, turns: int = TURNS, seed: int = 5) -> LatentEncoder:
     """The encoder of a table's text column.  Its width is less where the texts vary in fewer directions."""
-    lists = _slotted(texts, text, slots).select("_slots")
+    spark, path = texts.sparkSession, scratch.folder(texts.sparkSession, "slots")
+    _slotted(texts, text, slots).select("_slots").write.parquet(path)  # every pass reads them
+    try:
+        return _fitted(spark.read.schema("_slots array<int>").parquet(path), width, slots, turns, seed)
+    finally:
+        scratch.delete(spark, path)
+
+
+def _fitted(lists: DataFrame, width: int, slots: int, turns: int, seed: int) -> LatentEncoder:
     many, counts = lists.count(), np.zeros(slots)
     for slot, n in lists.select(F.explode(F.array_distinct("_slots")).alias("slot")).groupBy("slot").agg(F.count("*")).collect():  # a row a slot
         counts[slot] = n

@@ -67,3 +67,15 @@ def test_encoding_holds_few_rows_at_a_time(spark, monkeypatch):
     found = sorted(map(tuple, dense.search(index, asked).collect()))
     monkeypatch.setattr(dense, "STORED", 100)
     assert sorted(map(tuple, dense.search(index, asked).collect())) == found and len(found) == 200
+
+
+def test_a_fit_makes_slots_once(spark, monkeypatch):
+    """Its passes read what the first has written, which is deleted then."""
+    from docengine import scratch
+    from docengine.operators import latent
+
+    seen, delete = [], scratch.delete
+    monkeypatch.setattr(latent.scratch, "delete", lambda s, path: (seen.append(path), delete(s, path)))
+    texts = spark.range(60).select(F.concat_ws(" ", F.lit("word"), (F.col("id") % 7).cast("string"), (F.col("id") % 5).cast("string")).alias("content"))
+    assert latent.fit(texts, width=4, slots=64).directions.shape == (64, 4)
+    assert len(seen) == 1 and not scratch.exists(spark, seen[0])
