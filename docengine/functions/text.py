@@ -176,12 +176,12 @@ def is_short(c: Column) -> Column:
 
 
 def is_chunk_heading(line: Column, kind: Column, section: Column, subsection: Column) -> Column:
+    """What reads whole lines stands in branches: a condition's repeated parts would be computed ahead for every line."""
     x = strip(line)
-    key, letters = norm_key(x), _only(x, r"\P{L}")
+    key, letters, labels = norm_key(x), _only(x, r"\P{L}"), (norm_key(section), norm_key(subsection))
     begin = norm_key(F.substring(x, 1, 16))  # of few lines the whole key is needed
-    named = lambda label: F.startswith(norm_key(label), begin) & (key != "") & (key == norm_key(label))
-    named = named(section) | named(subsection)
-    upper = (F.length(x) <= 100) & (kind == "text") & ~x.rlike("[.,;]$") & (letters >= 4) & (_only(x, r"\P{IsUppercase}") >= 0.9 * letters)
+    named = F.when(F.startswith(labels[0], begin) | F.startswith(labels[1], begin), (key != "") & ((key == labels[0]) | (key == labels[1]))).otherwise(False)
+    upper = F.when((F.length(x) <= 100) & (kind == "text") & ~x.rlike("[.,;]$"), (letters >= 4) & (_only(x, r"\P{IsUppercase}") >= 0.9 * letters)).otherwise(False)
     return named | upper
 
 

@@ -130,22 +130,26 @@ def raw_chunks(lines: DataFrame, config: ChunkConfig = ChunkConfig(), *, spread:
 
 def _spread(lines: DataFrame, config: ChunkConfig) -> DataFrame:
     """Lines with a ``run`` that tells the parts of a run apart, in their order."""
-    spark = lines.sparkSession
-    path = scratch.folder(spark, "lines")
-    lines.write.parquet(path)
-    lines = spark.read.schema(lines.schema).parquet(path)
+    lines = scratch.stored(lines, "lines")
     placed = lines.join(regions.page_runs(lines), ["document_id", "page_number"])
     cut = regions.parts(placed, config)
     return placed.join(cut, ["document_id", "run", "page_number"]).withColumn("run", F.shiftleft("run", 32) + F.col("part")).drop("part")
 
 
 def number(raw: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Chunks under their headings, empty ones left out, numbered from 0 in each document."""
+    """Chunks under their headings, empty ones left out, numbered from 0 in each document.
+
+    A document can have most of the chunks, so these are written once and dealt by runs: how many come before a run is
+    counted without their texts, and goes as a row that stands above the run's chunks."""
     body = fn.with_headings(F.col("body"), F.col("section"), F.col("subsection")) if config.prefix_headings else F.col("body")
     kept = raw.withColumn("content", fn.strip(body)).where((F.col("content") != "") & (F.size("pages") > 0))
-    index = (F.row_number().over(Window.partitionBy("document_id").orderBy("run", "seq")) - 1).alias("chunk_index")
     pages = F.array_sort(F.array_distinct("pages"))
-    out = kept.select("document_id", "content", pages.alias("pages"), "section", "subsection", index)
+    kept = scratch.stored(kept.select("document_id", "run", "seq", "content", pages.alias("pages"), "section", "subsection"), "chunks")
+    upto = F.sum("n").over(Window.partitionBy("document_id").orderBy("run").rowsBetween(Window.unboundedPreceding, 0))
+    starts = kept.groupBy("document_id", "run").agg(F.count("*").alias("n")).select("document_id", "run", (upto - F.col("n")).alias("before"))
+    own = Window.partitionBy("document_id", "run").orderBy(F.col("before").asc_nulls_last(), "seq")
+    index = F.max("before").over(own) + F.row_number().over(own) - 2
+    out = kept.unionByName(starts, allowMissingColumns=True).withColumn("chunk_index", index.cast("int")).where("before is null")
     return out.select(
         fn.chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "document_id", "content", F.get("pages", F.lit(0)).alias("page_start"),
         F.get("pages", F.size("pages") - 1).alias("page_end"), "pages", "section", "subsection", "chunk_index",

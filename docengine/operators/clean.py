@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine import scratch
 from docengine.functions import text as fn
 from docengine.schemas import ChunkConfig
 
@@ -24,13 +25,23 @@ def _full(lines: str) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: x["line"] != "")
 
 
-def edges(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """The first and last non-blank lines of each page, with ``rank_down`` and ``rank_up`` among these."""
-    full = pages.select(*PAGE, "section", fn.chunker_lines(F.col("text")).alias("_lines")).select(*PAGE, "section", _full("_lines").alias("_full"))
+def _edged(pages: DataFrame, config: ChunkConfig) -> DataFrame:
+    """One row a page: ``many``, the number of its lines, and ``edges``, the first and last non-blank ones with their ranks."""
+    lined = pages.select(*PAGE, "section", "subsection", fn.chunker_lines(F.col("text")).alias("_lines"))
+    full = lined.select(*PAGE, "section", "subsection", F.size("_lines").alias("many"), _full("_lines").alias("_full"))
     n = F.size("_full")
     ranked = F.transform("_full", lambda x, k: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), (k + 1).cast("long").alias("rank_down"), (n - k).cast("long").alias("rank_up")))
     outer = F.filter(ranked, lambda x: (x["rank_down"] <= config.edge_lines) | (x["rank_up"] <= config.edge_lines))
-    return full.select(*PAGE, "section", F.explode(outer).alias("e")).select(*PAGE, "section", "e.*")
+    return full.select(*PAGE, "section", "subsection", "many", outer.alias("edges"))
+
+
+def _each_edge(paged: DataFrame) -> DataFrame:
+    return paged.select(*PAGE, "section", F.explode("edges").alias("e")).select(*PAGE, "section", "e.*")
+
+
+def edges(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """The first and last non-blank lines of each page, with ``rank_down`` and ``rank_up`` among these."""
+    return _each_edge(_edged(pages.withColumn("subsection", F.lit(None).cast("string")), config))
 
 
 def _shape() -> Column:
@@ -94,10 +105,9 @@ def with_kind(lines: DataFrame) -> DataFrame:
     return staged.withColumn("kind", fn.line_kind(F.col("line"), F.col("_words"), F.col("_values"))).drop("_words", "_values")
 
 
-def _marks(pages: DataFrame, config: ChunkConfig) -> DataFrame:
+def _marks(pages: DataFrame, edged: DataFrame, config: ChunkConfig) -> DataFrame:
     """For each page what its edge lines must not be: ``shapes``, ``keys`` and places (``numbers``).  A shape is on a share
     of pages and a page has a few edge lines, so a page's arrays are short however long the document."""
-    edged = edges(pages, config)
     repeated = repeated_shapes(edged, config)
     everywhere = repeated.where("everywhere").groupBy("document_id").agg(F.collect_set("shape").alias("in_all"))
     here = repeated.where("not everywhere").groupBy("document_id", "section").agg(F.collect_set("shape").alias("in_section")).select(F.col("document_id").alias("d"), F.col("section").alias("s"), "in_section")
@@ -118,24 +128,28 @@ def page_runs(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_new", new).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def _drops(pages: DataFrame, config: ChunkConfig) -> DataFrame:
-    """For each page the numbers of the lines to drop (``drops``, null if there are none), which are edge lines all."""
-    edged = with_kind(edges(pages, config).select(*PAGE, "line_no", "line").join(_marks(pages, config), list(PAGE)))
+def _drops(paged: DataFrame, config: ChunkConfig) -> DataFrame:
+    """For each page (``_edged``) the numbers of the lines to drop (``drops``, null if there are none), which are edge lines
+    all.  The kind is computed where it decides."""
+    edged = _each_edge(paged)
+    met = edged.select(*PAGE, "line_no", "line").join(_marks(paged, edged, config), list(PAGE))
     has = lambda array, x: F.coalesce(F.array_contains(array, x), F.lit(False))
-    running = ~F.col("kind").isin("num", "row", "hdr") & (F.length("line") <= 100) & (has("shapes", fn.shape(F.col("line"))) | fn.is_boilerplate(F.col("line")))
-    label = F.col("keys").isNotNull() & has("keys", F.nullif(fn.norm_key(F.col("line")), F.lit("")))
-    dropped = F.when(running | label | has("numbers", F.col("line_no")), F.col("line_no"))
-    return edged.select(*PAGE, dropped.alias("dropped")).groupBy(*PAGE).agg(F.collect_set("dropped").alias("drops"))
+    running = (F.length("line") <= 100) & (has("shapes", fn.shape(F.col("line"))) | fn.is_boilerplate(F.col("line")))
+    begin = fn.norm_key(F.substring("line", 1, 16))  # of few lines the whole key is needed
+    label = F.coalesce(F.exists("keys", lambda k: F.startswith(k, begin)), F.lit(False)) & has("keys", F.nullif(fn.norm_key(F.col("line")), F.lit("")))
+    told = with_kind(met.select(*PAGE, "line_no", F.when(running, F.col("line")).alias("line"), (label | has("numbers", F.col("line_no"))).alias("said")))
+    dropped = F.when(F.col("said") | F.col("line").isNotNull() & ~F.col("kind").isin("num", "row", "hdr"), F.col("line_no"))
+    return told.select(*PAGE, dropped.alias("dropped")).groupBy(*PAGE).agg(F.collect_set("dropped").alias("drops"))
 
 
 def clean(pages: DataFrame, config: ChunkConfig = ChunkConfig(), *, runs: bool = False) -> DataFrame:
     """The lines that are left, as ``page_lines`` gives them, with their ``kind``, and with ``runs`` also the ``run`` of
-    ``chunk.section_runs``.  What to drop, and runs, are decided on edge lines and pages; texts meet it once, as whole
-    pages, and kinds are computed for the lines that are left."""
-    many = pages.select(*PAGE, "section", F.size(fn.raw_lines(F.col("text"))).alias("_many"))
-    decided = many.join(_drops(pages, config), list(PAGE), "left").select(*PAGE, "section", "_many", "drops")
+    ``chunk.section_runs``.  What to drop, and runs, are decided on edge lines, which are written once to the shared folder;
+    texts meet it as whole pages, and kinds are computed for the lines that are left."""
+    paged = scratch.stored(_edged(pages, config), "edges")
+    decided = paged.select(*PAGE, "section", "many").join(_drops(paged, config), list(PAGE), "left")
     if runs:
-        decided = page_runs(decided.where(F.col("_many") > F.coalesce(F.size("drops"), F.lit(0))))
+        decided = page_runs(decided.where(F.col("many") > F.coalesce(F.size("drops"), F.lit(0))))
     own = ["run"] if runs else []
     lined = pages.select(*PAGE, "section", "subsection", "text").join(decided.select(*PAGE, "drops", *own), list(PAGE))
     lines = lined.select(*PAGE, "section", "subsection", "drops", *own, F.posexplode(fn.chunker_lines(F.col("text"))).alias("line_no", "line"))

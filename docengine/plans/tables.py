@@ -17,10 +17,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, sf_dir, "documents").select(
-        F.col("source").alias("document_id"), number.alias("page_number"), "text", (F.col("doc_id") % 3).cast("int").alias("image_count"), "doc_id", "lang"
-    )
+    """A source's texts are numbered in the order of their ids.  A few sources have most of the texts, so these are dealt by id
+    and not by source: the number before each id comes from a window over ids alone, as a row that stands above the id's
+    texts."""
+    docs, texts = read(spark, sf_dir, "documents"), Window.partitionBy("source", "doc_id").orderBy(F.col("before").asc_nulls_last())
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    starts = docs.groupBy("source", "doc_id").agg(F.count("*").alias("n")).select("source", "doc_id", (upto - F.col("n")).alias("before"))
+    number = F.max("before").over(texts) + F.row_number().over(texts) - 1
+    numbered = docs.unionByName(starts, allowMissingColumns=True).withColumn("page_number", number.cast("int")).where("before is null")
+    return numbered.select(F.col("source").alias("document_id"), "page_number", "text", (F.col("doc_id") % 3).cast("int").alias("image_count"), "doc_id", "lang")
 
 
 def measured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from docengine.functions import text as fn
 from docengine.operators import chunk, clean
+from docengine.plans import tables
+from docengine.schemas import ChunkConfig
 
 PAGES = "document_id string, page_number int, text string, section string, subsection string"
 
@@ -79,3 +82,44 @@ def test_a_fit_makes_slots_once(spark, monkeypatch):
     texts = spark.range(60).select(F.concat_ws(" ", F.lit("word"), (F.col("id") % 7).cast("string"), (F.col("id") % 5).cast("string")).alias("content"))
     assert latent.fit(texts, width=4, slots=64).directions.shape == (64, 4)
     assert len(seen) == 1 and not scratch.exists(spark, seen[0])
+
+
+@pytest.fixture
+def as_dealt(spark):
+    """Partitions stay as shuffles deal them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield lambda df: df.groupBy(F.spark_partition_id()).count().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_texts_of_one_source_are_numbered_in_many_tasks(spark, as_dealt, tmp_path):
+    rows = [(i, f"text {i}", "en", "all") for i in range(200)] + [(7, "again", "en", "all"), (None, "no id", "en", "all"), (3, "no source", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = tables.pages(spark, str(tmp_path))
+    assert as_dealt(found) > 1
+    numbers = sorted((r.page_number, r.doc_id) for r in found.where("document_id = 'all'").collect())
+    assert [n for n, _ in numbers] == list(range(1, 203)) and [d for _, d in numbers] == [None, *sorted([*range(200), 7])]
+    assert [(r.page_number, r.text) for r in found.where("document_id is null").collect()] == [(1, "no source")]
+
+
+def test_chunks_of_one_document_are_numbered_in_many_tasks(spark, as_dealt):
+    rows = [("A", run, seq, "", "S", None, "" if seq == 1 else f"{run} {seq}", [run + 1]) for run in range(60) for seq in range(3)] + [(None, 0, 0, "", "S", None, "x", [1])]
+    found = chunk.number(spark.createDataFrame(rows, chunk.RAW), ChunkConfig(prefix_headings=False))
+    assert as_dealt(found) > 1
+    said = sorted((r.chunk_index, r.content) for r in found.where("document_id = 'A'").collect())
+    assert said == list(enumerate(f"{run} {seq}" for run in range(60) for seq in (0, 2)))
+    assert [r.chunk_index for r in found.where("document_id is null").collect()] == [0]
+
+
+def test_edges_are_taken_from_texts_once(spark):
+    """Once for the edges, once for the lines."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    pages = spark.createDataFrame([("A", k, f"Title\nwords {chr(96 + k)}\n{k}", "S", None) for k in range(1, 9)], PAGES)
+    assert clean.clean(pages.mapInArrow(count, pages.schema)).count() == 8
+    assert seen.value == 16
