@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine import scratch
 from docengine.functions import text as fn
 from docengine.schemas import ChunkConfig
 
@@ -185,8 +186,9 @@ def parts(lines: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """``document_id, run, page_number, part``: pages of a run with the number of the part that they are in.  A part begins with
     a page of another subsection whose first full line is outside all tables and titles, after a line that is no heading
     and outside all tables.  There no table, no context of one, no waiting heading and no chunk that is being filled or
-    merged goes on.  A run whose subsection never changes is one part."""
-    begun = entered(slices(lines))
+    merged goes on.  A run whose subsection never changes is one part.  Slices with their states are written once, as three
+    steps read them."""
+    begun = scratch.stored(entered(slices(lines)), "slices")
     tables = regions(begun, config)
     full = F.col("kind") != "blank"
     heading = fn.is_chunk_heading(F.col("line"), F.col("kind"), F.col("section"), F.col("subsection"))

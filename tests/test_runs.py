@@ -131,3 +131,14 @@ def test_kinds_are_told_of_different_lines(spark):
 
     plan = queries.line_kinds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 2 and "Aggregate [line" in plan
+
+
+def test_parts_compose_states_once(spark):
+    """The steps after it read what it has written."""
+    from docengine.operators import regions
+
+    lines = clean.with_kind(clean.page_lines(pages(spark).where("document_id < 'd2'")))
+    placed = lines.join(regions.page_runs(lines), ["document_id", "page_number"])
+    found = regions.parts(placed)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == placed.select(*regions.PAGE).distinct().count()
