@@ -29,10 +29,15 @@ def check_parameters(k1: float, b: float) -> None:
         raise ValueError("b must be between 0 and 1")
 
 
-def doc_terms(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, position, terms`` of chunks with ``content`` and, where there are, ``section`` and ``subsection``."""
+def doc_texts(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, position, text`` of chunks with ``content`` and, where there are, ``section`` and ``subsection``."""
     parts = [F.col(c) if c in chunks.columns else F.lit(None).cast("string") for c in ("section", "subsection", "content")]
-    words = chunks.select("chunk_id", "position", fn.search_words(fn.searchable(*parts)).alias("words"))
+    return chunks.select("chunk_id", "position", fn.searchable(*parts).alias("text"))
+
+
+def doc_terms(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, position, terms`` of such chunks."""
+    words = doc_texts(chunks).select("chunk_id", "position", fn.search_words(F.col("text")).alias("words"))
     return words.select("chunk_id", "position", fn.with_pairs(F.col("words")).alias("terms"))
 
 

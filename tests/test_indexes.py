@@ -65,6 +65,28 @@ def test_a_search_opens_the_slots_of_its_terms(stored, spark):
     assert "places" not in stored.weights(one)[1].groupBy("term").agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def test_rows_of_an_index_hold_many_terms(stored, chunks, spark):
+    """A build shuffles, sorts and writes far fewer rows than there are terms; a count of terms reads no postings."""
+    rows_, terms = stored.rows().where("slot >= 0"), lexical.term_stats(lexical.doc_terms(chunks)).count()
+    assert 0 < rows_.count() < terms / 10
+    one = spark.createDataFrame([("q", "total")], "query_id string, query string")
+    plan = stored.weights(one)[1].groupBy("term").agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString()
+    assert "postings" not in plan.split("ReadSchema")[1] and "_word,total)" in plan
+
+
+@pytest.mark.parametrize("run,sought", [(256, 0), (2, 32)])
+def test_words_of_odd_texts_are_those_of_a_scan(spark, tmp_path, monkeypatch, run, sought):
+    """Words end with their text, pairs sort between words and digits, other alphabets and nulls have no words."""
+    for name, value in (("RUN", run), ("SOUGHT", sought), ("BLOCK", 4), ("HELD", 40)):
+        monkeypatch.setattr(lexical_index, name, value)
+    texts = ["ab a1 a b", "a b ab", None, "", "\u212a \u0130x ÄB straße-x9", "x9", "9x x9 9x the x9 9x", "ΩΩ \n", "a" * 5000 + " b", "b a", "a9 a__b a", "A B"]
+    chunks = spark.createDataFrame([(k, 20 - k, t) for k, t in enumerate(texts)], "chunk_id int, position int, content string").coalesce(2)
+    asked = spark.createDataFrame(list(enumerate(["a b", "ab a1", "k", "9x x9 x", "a9 b a", "i x", "stra e", "a" * 5000, "absent"])), "query_id int, query string")
+    index = LexicalIndex.build(chunks.where("chunk_id % 3 > 0"), str(tmp_path / "i"), slots=3).append(chunks.where("chunk_id % 3 = 0"))
+    expected = rows(lexical.search(chunks, asked), *RANKED)
+    assert rows(index.search(asked), *RANKED) == expected and len({r[0] for r in expected}) == 8
+
+
 def test_an_index_is_checked_and_committed(spark, stored, chunks, asked):
     again = LexicalIndex.open(spark, stored.path)
     assert again.size == chunks.count() and again.version == 3 and len(again.segments) == 3
