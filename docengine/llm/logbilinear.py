@@ -53,6 +53,8 @@ HASHES = 16
 SHAPES = 20 * HASHES
 #: Texts that a task takes at a time, and rows of counts that it merges before it hands them on.
 SLICE, FLUSH = 1024, 500_000
+#: Rows of a class that meet its units in one product.
+PIECE = 32
 
 
 def shape(word: bytes) -> int:
@@ -149,8 +151,20 @@ def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], np.add.reduceat(rows.take(order, 0), first, axis=0) if len(ids) else rows
 
 
+def _pieces(times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of so many rows cut into pieces of ``PIECE`` rows: each row's place in its piece, its piece, and each piece's
+    group.  What is filled up is less than a piece a group, however uneven these are."""
+    place = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+    many = -(-times // PIECE)
+    return place % PIECE, np.repeat(many.cumsum() - many, times) + place // PIECE, np.repeat(np.arange(len(times)), many)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place of ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class LogBilinear:
@@ -189,17 +203,17 @@ class LogBilinear:
         return h
 
     @staticmethod
-    def _totals(h: np.ndarray, rows: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    def _totals(h: np.ndarray, rows: np.ndarray, block: int = 1 << 18) -> np.ndarray:
         """For each row of ``h`` the natural log of the sum of exp(h . row) over all ``rows``; in blocks that stay in a
         processor's cache."""
-        out, step = np.zeros(len(h)), max(1, block // len(rows))
+        out, step, ones = np.zeros(len(h)), max(1, block // len(rows)), np.ones(len(rows), np.float32)
         bounded = np.sqrt((h**2).sum(1).max(initial=0) * (rows**2).sum(1).max()) < 80
         for k in range(0, len(h), step):
             s = h[k : k + step] @ rows.T
             if not bounded:
                 out[k : k + step] = top = s.max(1)
                 s -= top[:, None]
-            out[k : k + step] += np.log(np.exp(s, out=s).sum(1))
+            out[k : k + step] += np.log(np.exp(s, out=s) @ ones)
         return out
 
     def logs(self, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -252,7 +266,10 @@ class LogBilinear:
         shift = np.log(self.noise * self.weight).astype(np.float32)
         k_own, k_drawn = p["k"].take(of, 0), p["k"].take(drawn, 0)
         e_own = weight * (_sigmoid(np.einsum("ij,ij->i", h, k_own) - shift[of]) - 1)
-        e_drawn = weight[:, None] * _sigmoid(h @ k_drawn.T - shift[drawn])
+        e_drawn = h @ k_drawn.T
+        e_drawn -= shift[drawn]
+        e_drawn = _sigmoid(e_drawn)
+        e_drawn *= weight[:, None]
         gh = e_own[:, None] * k_own + e_drawn @ k_drawn
         ids, sums = _summed(of, e_own[:, None] * h)
         moved = {"k": (np.concatenate([ids, drawn]), np.concatenate([sums, e_drawn.T @ h]))}
@@ -260,19 +277,24 @@ class LogBilinear:
         if len(deep):
             deep = deep[np.argsort(of[deep], kind="stable")]
             w, hd = unit[deep], h.take(deep, 0)
-            classes, first, times = np.unique(of[deep], return_index=True, return_counts=True)
+            classes, times = np.unique(of[deep], return_counts=True)
             low, long = self.low[classes], np.diff(self.low)[classes]
             other = low[:, None] + (self.random.random((len(classes), self.inner)) * long[:, None]).astype(np.int64)
             shift = np.log(self.inner / long).astype(np.float32)
             which = np.repeat(np.arange(len(classes)), times)
-            place = np.arange(len(deep)) - first[which]
-            # rows of one class stand together, filled up with zeros
-            stack, seen = np.zeros((len(classes), times.max(), self.width + 1), np.float32), np.zeros((len(classes), times.max(), 1), np.float32)
-            stack[which, place], seen[which, place, 0] = hd, weight[deep]
-            rows, r_own = p["r"].take(other, 0), p["r"].take(w, 0)
+            r_own = p["r"].take(w, 0)
             e_own = weight[deep] * (_sigmoid(np.einsum("ij,ij->i", hd, r_own) - shift[which]) - 1)
-            e = _sigmoid(stack @ rows.transpose(0, 2, 1) - shift[:, None, None]) * seen
-            gh[deep] += e_own[:, None] * r_own + (e @ rows)[which, place]
+            # rows of one class stand together, so many at a time, the last ones filled up with zeros
+            at, piece, of_piece = _pieces(times)
+            stack, seen = np.zeros((len(of_piece), PIECE, self.width + 1), np.float32), np.zeros((len(of_piece), PIECE, 1), np.float32)
+            stack[piece, at], seen[piece, at, 0] = hd, weight[deep]
+            other = other[of_piece]
+            rows = p["r"].take(other, 0)
+            e = stack @ rows.transpose(0, 2, 1)
+            e -= shift[of_piece, None, None]
+            e = _sigmoid(e)
+            e *= seen
+            gh[deep] += e_own[:, None] * r_own + (e @ rows)[piece, at]
             moved["r"] = np.concatenate([w, other.ravel()]), np.concatenate([e_own[:, None] * hd, (e.transpose(0, 2, 1) @ stack).reshape(-1, self.width + 1)])
         gh = gh[:, :-1]
         moved["q"] = np.concatenate([i, j]), np.concatenate([gh @ p["c1"].T, gh @ p["c2"].T])
@@ -431,25 +453,25 @@ def _scores_in_head(docs: DataFrame, model: Model) -> DataFrame:
     """Two kinds of rows under a document's key: one for the document, with the scores of what the broadcast counts
     cover, and one for each further word of it."""
     schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, net double, word binary, share double, times long"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.float64(), pa.int64()]
+    # made here once, not by every task
+    words, own, net = sorted(w for w in model.counts if w != END), set(model.words), model.net
+    vocabulary, shares, end = model.vocabulary(words), np.log10(model.share), model.counts.get(END, 0)
+    whole = np.log10(model.tokens + 0.5 * (model.distinct + 1))
+    base = np.log10(np.array([model.counts[w] for w in words] + [0]) + 0.5) - whole
+    inner = np.array([0.0 if w in own else float(np.log10((model.counts[w] + 0.5) / model.share[shape(w)])) for w in words] + [0.0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, words = TaskContext.get().partitionId() << 40, sorted(w for w in model.counts if w != END)
-        vocabulary, own = model.vocabulary(words), set(model.words)
-        whole = np.log10(model.tokens + 0.5 * (model.distinct + 1))
-        n = np.array([model.counts[w] for w in words] + [0])
-        base = np.log10(n + 0.5) - whole
-        inner = np.array([0.0 if w in own else float(np.log10((model.counts[w] + 0.5) / model.share[shape(w)])) for w in words] + [0.0])
-        shares = np.log10(model.share)
-        end, names = model.counts.get(END, 0), [x.split()[0] for x in schema.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.float64(), pa.int64()]
+        key = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 512):
             got = vocabulary.encode(batch.column(2))
             known, many = got.code >= 0, batch.num_rows
             of_text = lambda values: np.bincount(got.text[known], values, many)
             bases = of_text(base[got.code[known]]) + np.log10(end + 0.5) - whole
             nets = np.zeros(many)
-            if model.net is not None:
-                nets = np.add.reduceat(model.net.logs(got.context, got.unit), got.sizes.cumsum() - got.sizes) / np.log(10) + of_text(inner[got.code[known]])
+            if net is not None:
+                nets = np.add.reduceat(net.logs(got.context, got.unit), got.sizes.cumsum() - got.sizes) / np.log(10) + of_text(inner[got.code[known]])
             keys = np.arange(key, key + many)
             key += many
             told = [keys, batch.column(0), batch.column(1), got.sizes, of_text(np.ones(known.sum())).astype(np.int64) + (end > 0), bases, nets]

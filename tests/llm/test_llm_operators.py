@@ -431,6 +431,27 @@ def test_scores_are_those_of_the_parameters(spark, corpus):
         assert found[i] == pytest.approx(total, rel=1e-4)
 
 
+def test_a_step_on_uneven_classes_is_not_filled_up(monkeypatch):
+    """Memory of a step follows its rows, however many of them one class has; pieces give what whole classes give."""
+    import tracemalloc
+
+    start, r = logbilinear.LogBilinear(np.ones(10_000)), np.random.default_rng(1)
+    rare = np.flatnonzero(start.of == 7)
+    unit = np.concatenate([r.choice(rare, 8000), start.low[:-1]])
+    context, weight, moved = r.integers(0, start.many**2, len(unit)), np.ones(len(unit), np.float32), []
+    for piece in (logbilinear.PIECE, 10_000):
+        monkeypatch.setattr(logbilinear, "PIECE", piece)
+        net = start.copy()
+        net.begin(64, 16, 0.08, 3)
+        tracemalloc.start()
+        net.step(context, unit, weight)
+        moved.append((net.parameters, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    for k, x in start.parameters.items():
+        assert np.allclose(moved[0][0][k], moved[1][0][k], atol=1e-4) and not np.array_equal(moved[0][0][k], x)
+    assert moved[0][1] < 40_000_000 < moved[1][1]
+
+
 def test_probabilities_add_up():
     net = logbilinear.LogBilinear(np.arange(40, 0, -1.0))
     for context in (0, 7, 41 * 41 - 1):
