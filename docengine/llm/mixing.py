@@ -5,7 +5,8 @@ words that set one domain apart from the rest.  Document rates, nonnegative, are
 tokens of each domain (tokens times rate times posterior, summed) match the targets, by projected gradient steps on
 the least-squares distance.  A step needs the domains' totals alone: one aggregate over a small table.  Its gradient is
 a term for each domain times the document's posterior, so the rates after any number of steps are an expression of
-the posteriors and of the steps' terms, and nothing is written between steps.
+the posteriors and of the steps' terms.  While steps are looked for, the rates that the last ones led to stand in a table
+of numbers, so that a step costs the same whether it is the first or the ninetieth.
 
 Documents are weighed by their tokens in the metric of the steps.  First steps weigh residuals besides by the inverse of
 the second moments of the posteriors of documents whose rate isn't zero, which ends soon where the targets can be met; one
@@ -24,6 +25,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,53 +151,77 @@ class Rates:
 
     steps: list[list[float]] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, start: Column | None = None) -> Column:
+        """The rates that the steps lead to, from ``start`` or from one."""
+        start = F.lit(1.0) if start is None else start
         if not self.steps:
-            return F.lit(1.0)
-        steps = F.transform(F.split(F.lit(";".join(",".join(map(repr, g)) for g in self.steps)), ";"), lambda g: F.split(g, ",").cast("array<double>"))
+            return start
+        steps = F.array(*[F.array(*map(F.lit, g)) for g in self.steps])  # folded into one constant
         down = lambda g: reduce(Column.__add__, [F.get(g, F.lit(k)) * F.col(f"p_{k}") for k in range(len(self.steps[0]))])
-        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - down(g)))
+        return F.aggregate(steps, start, lambda r, g: F.greatest(F.lit(0.0), r - down(g)))
 
 
 def fit_rates(members: DataFrame, targets: list[float], *, rounds: int = 30, plain: int = 60, tolerance: float = 1e-6) -> Rates:
     """``members`` has ``n_tokens`` and ``p_k``; ``targets`` are the domains' shares of all tokens, which stay as many.  At
     most ``rounds`` scaled and ``plain`` plain steps are taken."""
+    store = Store(members.sparkSession, "rates")
+    try:
+        return _fit_rates(store, members, targets, rounds, plain, tolerance)
+    finally:
+        store.clear()
+
+
+def _fit_rates(store: Store, members: DataFrame, targets: list[float], rounds: int, plain: int, tolerance: float) -> Rates:
     k = range(len(targets))
     p, n = [F.col(f"p_{i}") for i in k], F.col("n_tokens")
-    total = members.agg(F.sum(n)).first()[0] or 0
-    if not total:
-        return Rates()
-    goal = [w / sum(targets) * total for w in targets]
+    names = (f"{i}" for i in count())
 
-    def state(steps: list[list[float]]) -> tuple[float, list[float], list[list[float]], float]:
-        """After these steps: how far the totals are off, in all and by domain, the second moments, and the square of the
-        way that the last step has gone."""
-        rated = members.select("*", Rates(steps).column().alias("rate"), Rates(steps[:-1]).column().alias("last"))
-        moved, gone = F.when(F.col("rate") > 0, n).otherwise(0), F.col("rate") - F.col("last")
-        found = rated.agg(*[F.sum(n * F.col("rate") * x) for x in p], *[F.sum(moved * p[i] * p[j]) for i in k for j in k], F.sum(n * gone * gone)).first()
+    def written(rows: DataFrame, rate: Column, last: Column) -> tuple[str, DataFrame]:
+        name = next(names)
+        return name, store.put(rows.select(n, *p, rate.alias("rate"), last.alias("last")), name)
+
+    def moved(rated: tuple[str, DataFrame], step: list[float]) -> tuple[str, DataFrame]:
+        """The rates a step further."""
+        return written(rated[1], Rates([step]).column(F.col("rate")), F.col("rate"))
+
+    def state(rated: tuple[str, DataFrame]) -> tuple[float, list[float], list[list[float]], float]:
+        """Of these rates: how far the totals are off, in all and by domain, the second moments, and the square of the way
+        that the last step has gone."""
+        alive, gone = F.when(F.col("rate") > 0, n).otherwise(0), F.col("rate") - F.col("last")
+        found = rated[1].agg(*[F.sum(n * F.col("rate") * x) for x in p], *[F.sum(alive * p[i] * p[j]) for i in k for j in k], F.sum(n * gone * gone)).first()
         off = [a - b for a, b in zip(found, goal)]
         return math.sqrt(sum(x * x for x in off)) / total, off, [[found[len(p) * (i + 1) + j] for j in k] for i in k], found[-1]
 
+    rated = written(members, F.lit(1.0), F.lit(1.0))
+    total = rated[1].agg(F.sum(n)).first()[0] or 0
+    if not total:
+        return Rates()
+    goal = [w / sum(targets) * total for w in targets]
     steps: list[list[float]] = []
-    size, off, gram, _ = state(steps)
+    size, off, gram, _ = state(rated)
     whole = gram  # all rates are above zero here
     for _ in range(rounds):
         if size <= tolerance:
             return Rates(steps)
         step, before = _solve([[gram[i][j] + (1e-9 * total if i == j else 0) for j in k] for i in k], off), size
         for _ in range(4):
-            after = state([*steps, step])
+            tried = moved(rated, step)
+            after = state(tried)
             if after[0] < size:
+                store.drop(rated[0])
                 steps.append(step)
-                size, off, gram, _ = after
+                rated, (size, off, gram, _) = tried, after
                 break
+            store.drop(tried[0])
             step = [g / 2 for g in step]
         if before - size <= 1e-3 * tolerance:
             break
     best, pace = (size, len(steps)), 1 / sum(whole[i][i] for i in k)  # the trace is no less than the largest eigenvalue
     for turn in range(plain if size > tolerance else 0):
         steps.append([pace * x for x in off])
-        size, after, _, way = state(steps)
+        last, rated = rated, moved(rated, steps[-1])
+        store.drop(last[0])
+        size, after, _, way = state(rated)
         best = min(best, (size, len(steps)))
         change = [x - y for x, y in zip(after, off)]
         off, square = after, sum(x * x for x in change)
@@ -230,8 +256,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **options
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     members = Store(docs.sparkSession, "mixing").put(domains.posteriors(docs, whole, F.col("doc_id").alias("_id")), "members")
     rate = fit_rates(members, list(targets.values())).column()
-    rated = members.select("_row", copies(rate, F.col("_id")).alias("_n"))
-    # in two levels, so that no row makes a long array, whatever its rate
+    rated = members.select("_row", "_id", rate.alias("_rate")).select("_row", copies(F.col("_rate"), F.col("_id")).alias("_n"))
+    # in two levels, so that no row makes a long array, whatever its rate; a row without copies has none, as a filter would
+    # compute the rate once more
     level = F.lit(LEVEL).cast("long")
-    many = rated.where("_n > 0").select("_row", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / level))).alias("_at"))
+    upto = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / level))
+    many = rated.select("_row", "_n", F.explode(F.when(F.col("_n") > 0, upto)).alias("_at"))
     return many.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(level, F.col("_n") - F.col("_at") * level)))).select("_row.*")

@@ -531,6 +531,32 @@ def test_rates_are_those_of_least_squares(spark, reachable):
     assert (rate >= 0).all() and math.sqrt(loss(rate)) <= math.sqrt(loss(plain)) + 0.002 * n.sum()
 
 
+def test_a_step_of_the_mix_costs_the_same_however_many_went_before(spark, monkeypatch):
+    """While rates are fitted each step is computed once, from the rates before it; the result computes them once a row."""
+    r = np.random.default_rng(4)
+    p, n = np.stack([x := r.uniform(0.4, 0.6, 80), 1 - x], 1), r.integers(1, 90, 80)
+    members = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n_tokens long, p_0 double, p_1 double")
+    column, applied = mixing.Rates.column, []
+    monkeypatch.setattr(mixing.Rates, "column", lambda self, *start: applied.append(len(self.steps)) or column(self, *start))
+    fitted = mixing.fit_rates(members, [0.9, 0.1], plain=12)
+    assert len(fitted.steps) > 4 and max(applied) <= 1
+    whole = column(fitted)
+    parts = column(mixing.Rates(fitted.steps[3:]), column(mixing.Rates(fitted.steps[:3])))
+    want = np.ones(80)
+    for step in fitted.steps:
+        want = np.maximum(0, want - p @ step)
+    got = members.select(whole.alias("a"), parts.alias("b")).toPandas()
+    assert (got.a == got.b).all() and got.a.to_numpy() == pytest.approx(want, abs=1e-9)
+
+
+def test_the_mix_computes_a_rate_once_a_row(spark, odd, capsys):
+    told = spark.createDataFrame([(8, "a"), (9, "b"), (6, "b"), (5, "a")], "doc_id long, domain string")
+    mixed = mixing.mix(odd, told, {"a": 0.3, "b": 0.7})
+    capsys.readouterr()
+    mixed.explain()
+    assert capsys.readouterr().out.count("aggregate(") == 1
+
+
 def test_mixing_odd_rows(spark, odd):
     told = spark.createDataFrame([(8, "a"), (9, "b"), (9, "a"), (6, "b"), (6, "b"), (99, "a"), (None, "a"), (5, "other")], "doc_id long, domain string")
     targets = {"a": 0.5, "b": 0.5}
