@@ -81,20 +81,39 @@ def running_labels(pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE, F.explode(keys).alias("key")).distinct().groupBy("document_id", "key").agg(F.count("*").alias("label_pages"), F.min("page_number").alias("first_page"))
 
 
+def _value(number: str) -> Column:
+    return F.when(F.col(number).rlike(r"(?U)^\d+$"), F.col(number).try_cast("long"))
+
+
+def _says_number(value: Column, line: Column) -> Column:
+    """Whether a line that can be a page number is said to be one: a numeral, or after the word."""
+    return value.isNull() | fn.strip(line).rlike("(?iu)^page")
+
+
+def edge_marks(lines: DataFrame) -> DataFrame:
+    """Lines with what drops an edge line of a document of one page: ``boilerplate`` on any edge, ``printed_number`` on the
+    first or last full line."""
+    line = F.col("line")
+    numbered = lines.withColumn("_number", fn.page_number_candidate(line)).withColumn("_value", _value("_number"))
+    return numbered.withColumns({
+        "boilerplate": (F.length(line) <= 100) & fn.is_boilerplate(line) & ~F.col("kind").isin("num", "row", "hdr"),
+        "printed_number": F.col("_number").isNotNull() & _says_number(F.col("_value"), line),
+    }).drop("_number", "_value")
+
+
 def page_number_drops(edged: DataFrame) -> DataFrame:
     """Lines that are printed page numbers: said to be, or one apart from the neighbouring page's at the same place."""
     ends = edged.where((F.col("rank_down") == 1) | (F.col("rank_up") == 1))
     place = F.array_compact(F.array(F.when(F.col("rank_down") == 1, "first"), F.when(F.col("rank_up") == 1, "last")))
     found = ends.select(*PAGE, "line_no", "line", F.explode(place).alias("place"), fn.page_number_candidate(F.col("line")).alias("number")).where(F.col("number").isNotNull())
-    valued = found.withColumn("value", F.when(F.col("number").rlike(r"(?U)^\d+$"), F.col("number").try_cast("long")))
+    valued = found.withColumn("value", _value("number"))
     near = Window.partitionBy("document_id", "place").orderBy("page_number")
 
     def follows(step: int):
         page, value = F.lag("page_number", step).over(near), F.lag("value", step).over(near)
         return F.coalesce((page == F.col("page_number") - step) & (value == F.col("value") - step), F.lit(False))
 
-    said = F.col("value").isNull() | fn.strip(F.col("line")).rlike("(?iu)^page")
-    return valued.withColumn("drop", said | follows(1) | follows(-1)).where("drop").select(*PAGE, "line_no").distinct()
+    return valued.withColumn("drop", _says_number(F.col("value"), F.col("line")) | follows(1) | follows(-1)).where("drop").select(*PAGE, "line_no").distinct()
 
 
 def with_kind(lines: DataFrame) -> DataFrame:
