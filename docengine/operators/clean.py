@@ -25,7 +25,7 @@ def _full(lines: str) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: x["line"] != "")
 
 
-def _edged(pages: DataFrame, config: ChunkConfig) -> DataFrame:
+def edged_pages(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """One row a page: ``many``, the number of its lines, and ``edges``, the first and last non-blank ones with their ranks."""
     lined = pages.select(*PAGE, "section", "subsection", fn.chunker_lines(F.col("text")).alias("_lines"))
     full = lined.select(*PAGE, "section", "subsection", F.size("_lines").alias("many"), _full("_lines").alias("_full"))
@@ -41,7 +41,7 @@ def _each_edge(paged: DataFrame) -> DataFrame:
 
 def edges(pages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """The first and last non-blank lines of each page, with ``rank_down`` and ``rank_up`` among these."""
-    return _each_edge(_edged(pages.withColumn("subsection", F.lit(None).cast("string")), config))
+    return _each_edge(edged_pages(pages.withColumn("subsection", F.lit(None).cast("string")), config))
 
 
 def _shape() -> Column:
@@ -55,15 +55,16 @@ def edge_shapes(edged: DataFrame) -> DataFrame:
     return edged.select(*PAGE, "section", _shape().alias("shape")).where("shape is not null").distinct()
 
 
-def repeated_shapes(edged: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Shapes on enough pages of a document, or of one of its sections: ``document_id, section, shape, everywhere``
-    (``section`` says nothing where ``everywhere`` is true).
+def repeated_shapes(paged: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Of pages with their edges (``edged_pages``) the shapes on enough pages of a document, or of one of its sections:
+    ``document_id, section, shape, everywhere`` (``section`` says nothing where ``everywhere`` is true).
 
     A page counts under each of its shapes and once under none; one aggregate by grouping sets gives all four counts, of
     shapes and of pages, by section and by document, and windows over these short rows, which share one exchange, bring
     them together."""
-    each = F.explode(F.array_distinct(F.array(_shape(), F.lit(None).cast("string")))).alias("shape")
-    marked = edged.select(*PAGE, "section", each).distinct()
+    shapes = F.filter(F.transform(F.filter("edges", lambda e: F.length(e["line"]) <= 100), lambda e: fn.shape(e["line"])), lambda s: ~s.isin("", "#"))
+    each = F.explode(F.array_distinct(F.concat(shapes, F.array(F.lit(None).cast("string"))))).alias("shape")
+    marked = paged.where(F.size("edges") > 0).select(*PAGE, "section", each)
     keys = ["document_id", "section", "shape"]
     counted = marked.groupingSets([keys, ["document_id", "shape"]], *keys).agg(F.count("*").alias("n"), (F.grouping("section") == 1).alias("whole"))
     most = lambda condition, *by: F.max(F.when(condition, F.col("n"))).over(Window.partitionBy(*by))
@@ -127,7 +128,7 @@ def with_kind(lines: DataFrame) -> DataFrame:
 def _marks(pages: DataFrame, edged: DataFrame, config: ChunkConfig) -> DataFrame:
     """For each page what its edge lines must not be: ``shapes``, ``keys`` and places (``numbers``).  A shape is on a share
     of pages and a page has a few edge lines, so a page's arrays are short however long the document."""
-    repeated = repeated_shapes(edged, config)
+    repeated = repeated_shapes(pages, config)
     everywhere = repeated.where("everywhere").groupBy("document_id").agg(F.collect_set("shape").alias("in_all"))
     here = repeated.where("not everywhere").groupBy("document_id", "section").agg(F.collect_set("shape").alias("in_section")).select(F.col("document_id").alias("d"), F.col("section").alias("s"), "in_section")
     label = F.explode(F.array_distinct(F.array(fn.norm_key(F.col("section")), fn.norm_key(F.col("subsection")))))
@@ -148,7 +149,7 @@ def page_runs(pages: DataFrame) -> DataFrame:
 
 
 def _drops(paged: DataFrame, config: ChunkConfig) -> DataFrame:
-    """For each page (``_edged``) the numbers of the lines to drop (``drops``, null if there are none), which are edge lines
+    """For each page (``edged_pages``) the numbers of the lines to drop (``drops``, null if there are none), which are edge lines
     all.  The kind is computed where it decides."""
     edged = _each_edge(paged)
     met = edged.select(*PAGE, "line_no", "line").join(_marks(paged, edged, config), list(PAGE))
@@ -165,7 +166,7 @@ def clean(pages: DataFrame, config: ChunkConfig = ChunkConfig(), *, runs: bool =
     """The lines that are left, as ``page_lines`` gives them, with their ``kind``, and with ``runs`` also the ``run`` of
     ``chunk.section_runs``.  What to drop, and runs, are decided on edge lines, which are written once to the shared folder;
     texts meet it as whole pages, and kinds are computed for the lines that are left."""
-    paged = scratch.stored(_edged(pages, config), "edges")
+    paged = scratch.stored(edged_pages(pages, config), "edges")
     decided = paged.select(*PAGE, "section", "many").join(_drops(paged, config), list(PAGE), "left")
     if runs:
         decided = page_runs(decided.where(F.col("many") > F.coalesce(F.size("drops"), F.lit(0))))

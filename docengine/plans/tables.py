@@ -22,7 +22,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts."""
     docs, texts = read(spark, sf_dir, "documents"), Window.partitionBy("source", "doc_id").orderBy(F.col("before").asc_nulls_last())
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    starts = docs.groupBy("source", "doc_id").agg(F.count("*").alias("n")).select("source", "doc_id", (upto - F.col("n")).alias("before"))
+    ids = docs.select("source", "doc_id").repartition("source")  # they are counted and numbered where they are then
+    starts = ids.groupBy("source", "doc_id").agg(F.count("*").alias("n")).select("source", "doc_id", (upto - F.col("n")).alias("before"))
     number = F.max("before").over(texts) + F.row_number().over(texts) - 1
     numbered = docs.unionByName(starts, allowMissingColumns=True).withColumn("page_number", number.cast("int")).where("before is null")
     return numbered.select(F.col("source").alias("document_id"), "page_number", "text", (F.col("doc_id") % 3).cast("int").alias("image_count"), "doc_id", "lang")
