@@ -41,8 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.components import components
-from docengine.llm.store import SHUFFLED, Store
-from docengine.llm.words import slices, texts_as_bytes
+from docengine.llm.store import SHUFFLED, SMALL_BATCHES, Store
+from docengine.llm.words import MEMO, slices, texts_as_bytes
 
 SIZE = 5
 PERCENT = 80
@@ -60,7 +60,7 @@ ODD = [int(xxhash.xxh3_64_intdigest(bytes([k]))) | 1 for k in range(64)]
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > MEMO:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -359,7 +359,7 @@ def links(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, frequent
     """``(documents, links, tables)``: for each row its ``doc_id``, ``text_hash``, ``node`` (null for the empty set) and
     set size ``n``; pairs of nodes (``a``, ``b``) that are similar, enough of them to connect all that links connect; and
     the store of both tables, ``documents`` and ``links``."""
-    store = Store(docs.sparkSession, "jaccard", **SHUFFLED)
+    store = Store(docs.sparkSession, "jaccard", **SHUFFLED, **SMALL_BATCHES)
     described = store.put(_described(docs, size, percent), "described")
     own = described.where("doc_id is not null and node is not null")
     # the same exchange serves the lists and those who look themselves up in them

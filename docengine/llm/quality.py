@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.words import mapped, slices, texts_as_bytes
+from docengine.llm.words import MEMO, mapped, slices, texts_as_bytes
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
@@ -139,7 +139,7 @@ class Buckets(dict):
         self.width = width
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 400_000:
+        if len(self) > MEMO:
             self.clear()
         half = self.width // 2
         self[word] = x = (1 + xxhash.xxh3_64_intdigest(word.lower()) % (half - 1), half + xxhash.xxh3_64_intdigest(_shape(word), 1) % half)
@@ -153,7 +153,7 @@ class Weights(dict):
         self.buckets, self.weights = Buckets(len(weights)), weights.tolist()
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 400_000:
+        if len(self) > MEMO:
             self.clear()
         self.buckets.clear()
         a, b = self.buckets[word]

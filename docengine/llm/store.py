@@ -45,6 +45,9 @@ def tidy(spark: SparkSession, **settings: str) -> Iterator[None]:
 #: Joins of tables that grow with the corpus take the same plan at every size.
 SHUFFLED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
+#: Texts cross to Python in batches of fewer rows than Spark's 10,000, of which a task holds several in the JVM and in Python.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
 
 _scopes: list[list[Store]] = []
 

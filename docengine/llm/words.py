@@ -18,7 +18,12 @@ ROWS = 512
 BYTES = 8 << 20
 
 
+#: Words that a memo of a task holds before it is emptied.
+MEMO = 150_000
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches.  What Arrow holds free after the last is given back, as a worker goes on to other tasks."""
     for batch in batches:
         bulk = np.zeros(batch.num_rows, np.int64)
         for column in batch.columns:
@@ -30,6 +35,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTE
             stop = min(max(at + 1, full), at + rows, batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+    pa.default_memory_pool().release_unused()
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
